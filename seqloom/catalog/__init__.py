@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["interactions"]
+MODULES = ["interactions", "lookups"]
 
 
 def load():
