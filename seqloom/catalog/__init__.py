@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["interactions", "lookups"]
+MODULES = ["interactions", "lookups", "codes", "texts", "tasks"]
 
 
 def load():

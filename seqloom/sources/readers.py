@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seqloom import schemas
 from seqloom.functions.prompts import LIST_JSON, parse_list
@@ -133,9 +132,7 @@ def read_sid_index(spark: SparkSession, path: str, indent: int | None = 2) -> Da
 
 
 def read_item_features(spark: SparkSession, path: str, indent: int | None = 2) -> DataFrame:
-    fields = schemas.ITEM_FEATURE
-    ddl = "struct<" + ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in fields) + ">"
-    return read_keyed_json(spark, path, ddl, indent).select(F.col("key").cast("bigint").alias("item_id"), "value.*")
+    return read_keyed_json(spark, path, schemas.ITEM_FEATURE, indent).select(F.col("key").cast("bigint").alias("item_id"), "value.*")
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -167,11 +164,11 @@ def preference_histories(rows: DataFrame) -> DataFrame:
                        F.element_at("__all", -1).alias("target"))
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """TSV with a `name:type` header; columns are read by position."""
     return spark.read.schema(schema).csv(path, sep="\t", header=True, enforceSchema=True)
 
