@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["interactions", "lookups", "codes", "texts", "tasks"]
+MODULES = ["interactions", "lookups", "codes", "texts", "tasks", "evaluation", "streams", "files"]
 
 
 def load():
