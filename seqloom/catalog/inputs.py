@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import sids
 
-PURCHASE_ORDER = ["ts", "order_id", "line_no", "item_id", "supp_id"]
+PURCHASE_ORDER = ["ts", "order_id", "line_no", "item_id", "supp_id", "rating"]
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
@@ -71,7 +71,7 @@ CATALOGUE = """catalogue AS MATERIALIZED (
 ITEM_META = """item_meta AS MATERIALIZED (
   SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, html, url FROM pages)"""
 HIST = "ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING"
-ROUND_ORDER = "ts, order_id, line_no, item_id, supp_id"
+ROUND_ORDER = "ts, order_id, line_no, item_id, supp_id, rating"
 
 
 def core_ctes(source: str, user: str, item: str, user_k: int, item_k: int, rounds: int,

@@ -12,6 +12,7 @@ from seqloom.functions import text
 from seqloom.operators import aggregates, lookups, sequences
 
 KEYS = ["order_id", "line_no", "item_id", "supp_id"]
+ROW = [*KEYS, "rating"]
 PW = f"""pw AS MATERIALIZED (SELECT *, count(*) OVER w AS hist_n, list(item_id) OVER w AS hi
    FROM purchases WINDOW w AS (PARTITION BY user_id ORDER BY {ROUND_ORDER} {HIST}))"""
 
@@ -148,14 +149,14 @@ def category_phrases(spark, sf):
 
 SID_SAMPLES_SQL = with_sql(PURCHASES, CATALOGUE, "known AS (SELECT * FROM catalogue WHERE c3 <= 45)",
     "titles AS (SELECT item_id, title FROM catalogue WHERE c3 >= 3)", PW,
-    """flat AS (SELECT order_id, line_no, item_id, supp_id, unnest(hi) AS h, generate_subscripts(hi, 1) AS p FROM pw WHERE hist_n > 0)""",
-    """gathered AS (SELECT flat.order_id, flat.line_no, flat.item_id, flat.supp_id,
+    """flat AS (SELECT order_id, line_no, item_id, supp_id, rating, unnest(hi) AS h, generate_subscripts(hi, 1) AS p FROM pw WHERE hist_n > 0)""",
+    """gathered AS (SELECT flat.order_id, flat.line_no, flat.item_id, flat.supp_id, flat.rating,
          string_agg(titles.title, '|' ORDER BY p) AS ht, string_agg(known.sid, ' ' ORDER BY p) AS hs
        FROM flat LEFT JOIN titles ON h = titles.item_id LEFT JOIN known ON h = known.item_id GROUP BY ALL)""", body="""
-    SELECT order_id, line_no, supp_id, 'A' || user_id AS user_id, item_id, array_to_string(hi, ',') AS history_item_id,
+    SELECT order_id, line_no, supp_id, rating, 'A' || user_id AS user_id, item_id, array_to_string(hi, ',') AS history_item_id,
            coalesce(ht, '') AS history_item_title, coalesce(hs, '') AS history_item_sid, known.sid AS item_sid,
            coalesce(titles.title, 'Item_' || item_id) AS item_title
-    FROM pw JOIN gathered USING (order_id, line_no, item_id, supp_id) JOIN known USING (item_id) LEFT JOIN titles USING (item_id)""")
+    FROM pw JOIN gathered USING (order_id, line_no, item_id, supp_id, rating) JOIN known USING (item_id) LEFT JOIN titles USING (item_id)""")
 
 
 @query("sid_samples", SID_SAMPLES_SQL)
@@ -163,23 +164,23 @@ def sid_samples(spark, sf):
     cat = catalogue(spark, sf)
     sids = cat.filter(F.get("codes", F.lit(2)) <= 45).select("item_id", "sid")
     titles = cat.filter(F.get("codes", F.lit(2)) >= 3).select("item_id", "title")
-    samples = compact_samples(spark, sf).select("user_id", *KEYS, "history")
-    out = lookups.sid_samples(samples, KEYS, "history", "item_id", "user_id", titles, sids)
+    samples = compact_samples(spark, sf).select("user_id", *ROW, "history")
+    out = lookups.sid_samples(samples, ROW, "history", "item_id", "user_id", titles, sids)
     return out.withColumns({
         "history_item_id": joined("history_item_id"), "history_item_title": joined("history_item_title", "|"),
         "history_item_sid": joined("history_item_sid", " ")})
 
 
 @query("history_sids_keep_raw", with_sql(PURCHASES, CATALOGUE, "known AS (SELECT * FROM catalogue WHERE c3 <= 45)", PW,
-    """flat AS (SELECT order_id, line_no, item_id, supp_id, unnest(hi) AS h, generate_subscripts(hi, 1) AS p FROM pw WHERE hist_n > 0)""", body="""
-    SELECT flat.order_id, flat.line_no, flat.item_id, flat.supp_id, string_agg(coalesce(known.sid, CAST(h AS VARCHAR)), ' ' ORDER BY p) AS history_sid
+    """flat AS (SELECT order_id, line_no, item_id, supp_id, rating, unnest(hi) AS h, generate_subscripts(hi, 1) AS p FROM pw WHERE hist_n > 0)""", body="""
+    SELECT flat.order_id, flat.line_no, flat.item_id, flat.supp_id, flat.rating, string_agg(coalesce(known.sid, CAST(h AS VARCHAR)), ' ' ORDER BY p) AS history_sid
     FROM flat LEFT JOIN known ON h = known.item_id GROUP BY ALL"""))
 def history_sids_keep_raw(spark, sf):
     sids = catalogue(spark, sf).filter(F.get("codes", F.lit(2)) <= 45).select(F.col("item_id").alias("k"), "sid")
-    samples = compact_samples(spark, sf).select(*KEYS, "history")
-    out = lookups.map_elements(samples, KEYS, "history", sids, "k",
+    samples = compact_samples(spark, sf).select(*ROW, "history")
+    out = lookups.map_elements(samples, ROW, "history", sids, "k",
                                {"sids": F.coalesce("sid", F.col("__id").cast("string"))}, keep_unmapped=True)
-    return out.select(*KEYS, joined("sids", " ").alias("history_sid"))
+    return out.select(*ROW, joined("sids", " ").alias("history_sid"))
 
 
 @query("rekeyed_events", with_sql(PURCHASES,

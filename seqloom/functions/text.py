@@ -9,11 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Patterns and names that decide what text comes out.
+# Patterns and names that decide what text comes out. Blanks are what Python calls
+# whitespace; word characters are letters, numbers and the underscore of any script.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+WHITESPACE = "[" + BLANKS + "]+"
 ANY_TAG = r"<[^>]+>"
-NAMED_TAG = r"(?U)</?\w+[^>]*>"
+NAMED_TAG = r"</?[\p{L}\p{N}_]+[^>]*>"
 QUOTES_AND_NEWLINES = r'["\n\r]'
-WHITESPACE = r"(?U)\s+"
 ENCODER_TEXT_LIMIT = 2000
 TITLE_WORD_LIMIT = 20
 NO_TEXT = "unknown item"
@@ -46,7 +48,7 @@ def unescape(text: Column | str) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of whitespace, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def clean_review(text: Column | str) -> Column:

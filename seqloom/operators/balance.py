@@ -16,7 +16,7 @@ from seqloom.operators.quantize import (
 )
 from seqloom.operators.ranking import portable_hash
 from seqloom.operators.sampling import sample_rows
-from seqloom.session import collect_bounded, materialize
+from seqloom.session import collect_small, materialize
 
 HASH_BITS = 60
 CUT_BITS = 12
@@ -84,9 +84,9 @@ def sinkhorn_bias(
                 [pa.array(np.arange(len(c))), pa.array(sums), pa.array(np.full(len(c), rows))], ["code", "s", "n"])
 
         parts = vectors.select("vec").mapInArrow(column_sums, "code bigint, s double, n bigint")
-        rows = collect_bounded(parts.groupBy("code").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("code"),
-                               len(centroids), "codes")
-        sums = np.array([r["s"] for r in rows]) / rows[0]["n"]
+        rows = collect_small(parts.groupBy("code").agg(F.sum("s").alias("s"), F.sum("n").alias("n")),
+                             len(centroids), "codes")
+        sums = np.array([r["s"] for r in sorted(rows)]) / rows[0]["n"]
         error = np.abs(np.exp(bias) * sums - target).sum()
         bias = np.log(target) - np.log(np.maximum(sums, 1e-300))
         if error < tol:
@@ -118,7 +118,7 @@ def capacity_assign(
     placed = materialize(vectors.select("item_id", "vec", portable_hash("item_id", seed=seed).alias("h")), "priority")
     for _ in range(max_rounds):
         chosen = _choose(placed, centroids, bias, tau, cuts).persist()
-        loads = {r["code"]: r["count"] for r in collect_bounded(chosen.groupBy("code").count(), k, "codes")}
+        loads = {r["code"]: r["count"] for r in collect_small(chosen.groupBy("code").count(), k, "codes")}
         over = {c: int(capacities[c]) for c, n in loads.items() if n > capacities[c]}
         if not over:
             done = materialize(chosen.select("item_id", "code"), "assigned")
@@ -164,7 +164,7 @@ def _new_cuts(chosen: DataFrame, over: dict[int, int]) -> list[tuple[int, int, i
     ).select("code", "bucket", (F.col("room") - F.col("upto") + F.col("count")).alias("place"))
     at = F.row_number().over(Window.partitionBy("code").orderBy("h", "item_id"))
     last = rows.join(edge, ["code", "bucket"]).withColumn("at", at).filter(F.col("at") == F.col("place"))
-    found = {r["code"]: (r["h"], r["item_id"]) for r in collect_bounded(last, len(over), "cut-offs")}
+    found = {r["code"]: (r["h"], r["item_id"]) for r in collect_small(last, len(over), "cut-offs")}
     return [(code, *found.get(code, (-1, 0))) for code in over]
 
 
@@ -177,12 +177,12 @@ def balanced_kmeans(
     """
     vectors = materialize(vectors.select("item_id", "vec"), "vectors")
     caps = even_capacities(vectors.count(), k)
-    first = collect_bounded(sample_rows(vectors, ["item_id"], k, seed), k, "starting centroids")
+    first = collect_small(sample_rows(vectors, ["item_id"], k, seed), k, "starting centroids")
     centroids = np.array([r["vec"] for r in first])
     assigned = None
     for _ in range(max_iter):
         assigned = capacity_assign(vectors, centroids, caps, seed=seed)
-        means = collect_bounded(mean_vectors(vectors.join(assigned, "item_id"), "code", "vec"), k, "centroids")
+        means = collect_small(mean_vectors(vectors.join(assigned, "item_id"), "code", "vec"), k, "centroids")
         moved = centroids.copy()
         for r in means:
             moved[r["code"]] = r["centroid"]

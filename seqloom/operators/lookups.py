@@ -36,16 +36,20 @@ def map_elements(
 
     Result columns are parallel arrays named by `values`. Unmapped elements are dropped, or
     kept through the given expressions (which then see nulls) when `keep_unmapped`. Rows with
-    no element left keep empty arrays. `key` must identify a row.
+    no element left keep empty arrays. `key` must identify a row; the other columns ride along,
+    so the input is read once.
     """
-    flat = df.select(*key, F.posexplode(ids).alias("__pos", "__id"))
-    looked = flat.join(table, flat["__id"] == table[table_key], "left" if keep_unmapped else "inner")
-    entry = F.struct("__pos", *[v.alias(n) for n, v in values.items()])
-    gathered = looked.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("__all"))
-    back = df.join(gathered, list(key), "left")
-    for name in values:
-        back = back.withColumn(name, F.coalesce(F.col(f"__all.{name}"), F.array().cast("array<string>")))
-    return back.drop("__all")
+    rest = [c for c in df.columns if c not in (*key, ids)]
+    flat = df.select(*key, F.struct(F.lit(1).alias("__one"), *rest).alias("__rest"), F.posexplode_outer(ids).alias("__pos", "__id"))
+    looked = flat.join(table.withColumn("__found", F.lit(True)), flat["__id"] == table[table_key], "left")
+    known = F.col("__pos").isNotNull() if keep_unmapped else F.col("__found").isNotNull()
+    entry = F.struct("__pos", "__id", known.alias("__keep"), *[v.alias(n) for n, v in values.items()])
+    everything = F.sort_array(F.collect_list(F.when(F.col("__pos").isNotNull(), entry))).alias("__all")
+    gathered = looked.groupBy(*key).agg(F.first("__rest").alias("__rest"), everything)
+    kept = F.filter("__all", lambda e: e["__keep"])
+    return gathered.select(
+        *key, *[F.col(f"__rest.{c}").alias(c) for c in rest], F.col("__all.__id").alias(ids),
+        *[F.transform(kept, _field(n)).alias(n) for n in values])
 
 
 def sid_samples(
@@ -127,3 +131,7 @@ def target_by_history(rows: DataFrame, prompt: str, history: str, target: str, s
     histories = last_wins(rows, prompt, seq, [history])
     targets = last_wins(rows, history, seq, [target])
     return histories.join(targets, history)
+
+
+def _field(name: str):
+    return lambda entry: entry[name]

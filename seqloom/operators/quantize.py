@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.session import collect_bounded, materialize
+from seqloom.session import collect_small, materialize
 
 CODEBOOK_BYTES = 256 * 1024 * 1024
 
@@ -44,9 +44,9 @@ def fits_broadcast(codebooks: DataFrame, limit: int = CODEBOOK_BYTES) -> bool:
 
 def load_codebooks(codebooks: DataFrame) -> list[np.ndarray]:
     """Codebooks as one array per level; call only after `fits_broadcast`."""
-    rows = collect_bounded(codebooks.orderBy("level", "code"), 4_000_000, "codebook")
+    rows = collect_small(codebooks.select("level", "code", "centroid"), CODEBOOK_BYTES // 8, "codebook")
     levels: dict[int, list] = {}
-    for r in rows:
+    for r in sorted(rows):
         levels.setdefault(r["level"], []).append(r["centroid"])
     return [np.array(levels[k], dtype=np.float64) for k in sorted(levels)]
 
@@ -95,12 +95,12 @@ def _encode_blocks(vectors: DataFrame, codebooks: DataFrame, limit: int) -> Data
     dim = codebooks.select(F.size("centroid").alias("d")).first()["d"]
     block = max(1, limit // (8 * dim))
     state = vectors.select("item_id", F.col("vec").alias("residual"), F.array().cast("array<int>").alias("codes"))
-    sizes = collect_bounded(codebooks.groupBy("level").count().orderBy("level"), 1000, "levels")
+    sizes = collect_small(codebooks.groupBy("level").count().orderBy("level"), 1000, "levels")
     for level, size in ((r["level"], r["count"]) for r in sizes):
         best = state.withColumn("best", F.lit(float("inf"))).withColumn("at", F.lit(-1))
         for start in range(0, size, block):
             rows = codebooks.filter((F.col("level") == level) & F.col("code").between(start, start + block - 1))
-            part = sc.broadcast(np.array([r["centroid"] for r in collect_bounded(rows.orderBy("code"), block, "block")]))
+            part = sc.broadcast(np.array([r["centroid"] for r in collect_small(rows.orderBy("code"), block, "block")]))
             best = best.mapInArrow(_closer(part, start), best.schema)
         centroids = codebooks.filter(F.col("level") == level).select(F.col("code").alias("at"), "centroid")
         state = materialize(best.join(centroids, "at").select(
@@ -177,7 +177,7 @@ def mean_square(vec: Column | str) -> Column:
 
 def level_errors(vectors: DataFrame, coded: DataFrame, codebooks: DataFrame, beta: float = 0.25) -> DataFrame:
     """Per level: mean squared residual before and after it, and the quantiser loss (1 + beta) x error."""
-    levels = collect_bounded(codebooks.select("level").distinct(), 1000, "levels")
+    levels = collect_small(codebooks.select("level").distinct(), 1000, "levels")
     out = None
     for level in range(len(levels)):
         before = residuals(vectors, coded, codebooks, level).select("item_id", mean_square("vec").alias("b"))

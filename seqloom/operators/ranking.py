@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from seqloom.session import materialize, setting
 PART = "__part"
 HEAVY_KEY_ROWS = 2_000_000
 HISTOGRAM_BUCKETS = 4096
+DRIVER_ROWS = 20_000
 
 
 def portable_hash(*cols: Column | str, seed: int = 42) -> Column:
@@ -91,54 +92,58 @@ def _spread_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], n
     )
 
 
-def order_statistics(df: DataFrame, value: str, ranks: Sequence[int]) -> list[tuple[int, int] | None]:
-    """For each 0-based rank: (value at that rank, rows with a smaller value), for an integer column.
+def cut_rows(
+    df: DataFrame, order: Sequence[str], ranks: Callable[[int], Sequence[int]], small: int = DRIVER_ROWS
+) -> tuple[int, list[tuple | None]]:
+    """(row count, order values of the rows at the wanted 0-based ranks); `order[0]` is an integer column.
 
-    Each pass is one histogram over the range still in question, so only bucket counts
-    reach the driver, however the values are distributed.
+    `ranks` maps the row count to the ranks. A histogram of the leading column narrows each
+    rank to one bucket, again and again until the bucket holds at most `small` rows, which
+    are compared on the driver. Only a value that is itself repeated more often than that has
+    its tied rows ranked, by ranges. Whatever the distribution, no task sorts the table.
     """
-    lo, hi, n = df.agg(F.min(value), F.max(value), F.count(value)).first()
-    found: dict[int, tuple[int, int]] = {}
-    open_ranges: dict[tuple[int, int, int], list[int]] = {}
-    wanted = sorted({r for r in ranks if n and 0 <= r < n})
-    if wanted:
-        open_ranges[(int(lo), int(hi), 0)] = wanted
+    lead, keys = order[0], df.select(*order)
+    lo, hi, n = keys.agg(F.min(lead), F.max(lead), F.count(lead)).first()
+    wanted = list(ranks(n or 0))
+    open_ranges = {}
+    if n:
+        open_ranges[(int(lo), int(hi), 0, n)] = sorted({r for r in wanted if 0 <= r < n})
+    ready: dict[tuple[int, int, int, int], list[int]] = {}
+    found: dict[int, tuple] = {}
     while open_ranges:
-        (a, b, below), group = open_ranges.popitem()
-        if a == b:
-            found.update({r: (a, below) for r in group})
-            continue
-        width = (b - a) // HISTOGRAM_BUCKETS + 1
-        bucket = F.expr(f"(`{value}` - {a}L) div {width}L")
-        inside = df if (a, b) == (lo, hi) else df.filter(F.col(value).between(a, b))
-        seen = below
-        counts = sorted((r["b"], r["count"]) for r in inside.groupBy(bucket.alias("b")).count().collect()
-                        if r["b"] is not None)
-        for bucket_no, size in counts:
-            here = [r for r in group if seen <= r < seen + size]
-            if here:
-                start = a + bucket_no * width
-                open_ranges[(start, min(start + width - 1, b), seen)] = here
-            seen += size
-    return [found.get(r) for r in ranks]
-
-
-def cut_rows(df: DataFrame, order: Sequence[str], ranks: Sequence[int]) -> list[tuple | None]:
-    """The order values of the rows at the given global ranks; `order[0]` must be an integer column."""
-    keys = df.select(*order)
-    rows: list[tuple | None] = []
-    for rank, stat in zip(ranks, order_statistics(keys, order[0], ranks)):
-        if stat is None:
-            rows.append(None)
-            continue
-        value, below = stat
-        tied = keys.filter(F.col(order[0]) == value)
-        if len(order) > 1:
-            row = global_rank(tied, order, "__r").filter(F.col("__r") == rank - below).first()
+        (a, b, below, size), group = open_ranges.popitem()
+        if size <= small:
+            ready[(a, b, below, size)] = group
+        elif a == b:
+            tied = global_rank(keys.filter(F.col(lead) == a), order, "__r")
+            for r in tied.filter(F.col("__r").isin([g - below for g in group])).collect():
+                found[r["__r"] + below] = tuple(r[c] for c in order)
         else:
-            row = tied.first()
-        rows.append(tuple(row[c] for c in order))
-    return rows
+            open_ranges.update(_narrow(keys, lead, a, b, below, group))
+    if ready:
+        spans = F.lit(False)
+        for a, b, _, _ in ready:
+            spans = spans | F.col(lead).between(a, b)
+        rows = sorted(tuple(r) for r in keys.filter(spans).collect())
+        for (a, b, below, _), group in ready.items():
+            here = [r for r in rows if a <= r[0] <= b]
+            found.update({g: here[g - below] for g in group})
+    return n or 0, [found.get(r) for r in wanted]
+
+
+def _narrow(keys: DataFrame, lead: str, a: int, b: int, below: int, group: Sequence[int]) -> dict:
+    """Buckets of [a, b] that hold one of the ranks, with the rows before each bucket."""
+    width = (b - a) // HISTOGRAM_BUCKETS + 1
+    bucket = F.expr(f"(`{lead}` - {a}L) div {width}L").alias("b")
+    counts = keys.filter(F.col(lead).between(a, b)).groupBy(bucket).count().collect()
+    out, seen = {}, below
+    for number, size in sorted((r["b"], r["count"]) for r in counts):
+        here = [r for r in group if seen <= r < seen + size]
+        if here:
+            start = a + number * width
+            out[(start, min(start + width - 1, b), seen, size)] = here
+        seen += size
+    return out
 
 
 def before(order: Sequence[str], cut: tuple | None, schema) -> Column:
@@ -162,8 +167,7 @@ def chronological_split(
     Finds the cut rows only, so nothing is sorted or moved. `df` is read once per pass and
     should be a stored table.
     """
-    total = df.count()
-    cuts = cut_rows(df, order, [int(total * f) for f in fractions])
+    _, cuts = cut_rows(df, order, lambda n: [int(n * f) for f in fractions])
     label = F.lit(names[-1])
     for name, cut in reversed(list(zip(names, cuts))):
         label = F.when(before(order, cut, df.schema), F.lit(name)).otherwise(label)

@@ -33,14 +33,14 @@ def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> D
     if n <= ONE_TASK_ROWS:
         return hashed.orderBy("__h", *keys).limit(n).drop("__h")
     hashed = materialize(hashed, "hashed")
-    (cut,) = cut_rows(hashed, ["__h", *keys], [n])
+    _, (cut,) = cut_rows(hashed, ["__h", *keys], lambda _: [n])
     return hashed.filter(before(["__h", *keys], cut, hashed.schema)).drop("__h")
 
 
 def skip_first_fraction(df: DataFrame, keys: Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
     """Drop the first int(fraction·N) rows of the shuffled order."""
     hashed = materialize(df.withColumn("__h", portable_hash(*keys, seed=seed)), "hashed")
-    (cut,) = cut_rows(hashed, ["__h", *keys], [int(fraction * hashed.count())])
+    _, (cut,) = cut_rows(hashed, ["__h", *keys], lambda n: [int(fraction * n)])
     if cut is None:
         return hashed.limit(0).drop("__h")
     return hashed.filter(~before(["__h", *keys], cut, hashed.schema)).drop("__h")
@@ -49,7 +49,7 @@ def skip_first_fraction(df: DataFrame, keys: Sequence[str], fraction: float, see
 def keep_fraction(df: DataFrame, keys: Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
     """The first int(fraction·N) rows of the shuffled order."""
     hashed = materialize(df.withColumn("__h", portable_hash(*keys, seed=seed)), "hashed")
-    (cut,) = cut_rows(hashed, ["__h", *keys], [int(fraction * hashed.count())])
+    _, (cut,) = cut_rows(hashed, ["__h", *keys], lambda n: [int(fraction * n)])
     return hashed.filter(before(["__h", *keys], cut, hashed.schema)).drop("__h")
 
 

@@ -16,14 +16,16 @@ SLICE_ROWS = 100_000
 def sliding_windows(
     df: DataFrame, user: str, order: Sequence[str], fields: Sequence[str],
     width: int = HISTORY, heavy_rows: int | None = None, slice_rows: int = SLICE_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """For every row but a user's first: the up to `width` rows before it, oldest first.
 
     Adds `history`, an array of structs of `fields`. A user above the heavy-key limit is cut
-    into slices; each slice borrows the last `width` rows of the one before it.
+    into slices; each slice borrows the last `width` rows of the one before it. `counted` is a
+    narrower table with the same rows per user to look for such users in.
     """
     past = F.collect_list(F.struct(*fields))
-    heavy = heavy_keys(df, [user], heavy_rows)
+    heavy = heavy_keys(df if counted is None else counted, [user], heavy_rows)
     spec = Window.partitionBy(user).orderBy(*order).rowsBetween(-width, -1)
     if heavy is None:
         return df.withColumn("history", past.over(spec)).filter(F.size("history") > 0)

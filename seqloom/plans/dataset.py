@@ -18,7 +18,8 @@ def titled_windows(events: DataFrame, items: DataFrame, user: str, order: Sequen
     """
     titled = events.join(items, "item_id")
     carried = [c for c in ("item_id", "title", "sid", "rating", "ts") if c in titled.columns]
-    return sliding_windows(titled, user, order, carried)
+    # users are counted on the log alone, so the look-up join runs once
+    return sliding_windows(titled, user, order, carried, counted=events.select(user))
 
 
 def split_samples(

@@ -56,9 +56,9 @@ def materialize_counted(df: DataFrame, label: str = "table", **metrics) -> tuple
     return table, dict(seen.get)
 
 
-def collect_bounded(df: DataFrame, limit: int, what: str) -> list:
-    """Collect a table whose size does not grow with the data; refuse anything larger."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what} has more than {limit} rows, too many for the driver")
+def collect_small(df: DataFrame, bound: int, what: str) -> list:
+    """Collect a result whose row count is bounded by a parameter, not by the data; refuse a surprise."""
+    rows = df.collect()
+    if len(rows) > bound:
+        raise ValueError(f"{what}: {len(rows)} rows, expected at most {bound}")
     return rows

@@ -19,7 +19,7 @@ def local_session():
     from pyspark.sql import SparkSession
 
     return (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", os.environ.get("PARTITIONS", "8"))
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g").config("spark.log.level", "ERROR")
         .config("spark.ui.showConsoleProgress", "false").getOrCreate())
