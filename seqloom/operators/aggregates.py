@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import word_count
-from seqloom.operators.ranking import position_in_key
+from seqloom.operators.ranking import heavy_keys, position_in_key
 
 PROPENSITY_POWER = 0.05  # fixed value
 
@@ -80,13 +80,26 @@ def collided_members(df: DataFrame, item: str, codes: str) -> DataFrame:
 
 
 def suffix_collisions(df: DataFrame, item: str, codes: str, heavy_rows: int | None = None) -> DataFrame:
-    """Append the 1-based ordinal (by item) as an extra level wherever a path occurs more than once."""
-    sizes = path_sizes(df, codes)
-    collided = df.join(sizes.filter(F.col("members") > 1).select(codes), codes, "left_semi")
-    alone = df.join(sizes.filter(F.col("members") == 1).select(codes), codes, "left_semi")
-    placed = position_in_key(collided, [codes], [item], "__at", heavy_rows)
-    numbered = placed.withColumn(codes, F.concat(codes, F.array((F.col("__at") + 1).cast("int")))).drop("__at")
-    return alone.unionByName(numbered)
+    """Append the 1-based ordinal (by item) as an extra level wherever a path occurs more than once.
+
+    Ordinary paths are sized and numbered in one shuffle; paths above the heavy-key limit are
+    numbered by ranges.
+    """
+    heavy = heavy_keys(df, [codes], heavy_rows)
+    same = Window.partitionBy(codes)
+
+    def numbered(rows: DataFrame, place: Column, shared: Column) -> DataFrame:
+        return rows.withColumn(codes, F.when(shared, F.concat(codes, F.array(place.cast("int")))).otherwise(F.col(codes)))
+
+    def light(rows: DataFrame) -> DataFrame:
+        sized = rows.withColumn("__n", F.count(F.lit(1)).over(same)).withColumn("__at", F.row_number().over(same.orderBy(item)))
+        return numbered(sized, F.col("__at"), F.col("__n") > 1).drop("__n", "__at")
+
+    if heavy is None:
+        return light(df)
+    placed = position_in_key(df.join(heavy, codes, "left_semi"), [codes], [item], "__at", heavy_rows)
+    spread = numbered(placed, F.col("__at") + 1, F.lit(True)).drop("__at")
+    return light(df.join(heavy, codes, "left_anti")).unionByName(spread)
 
 
 def per_level_code_sizes(df: DataFrame, code: Column) -> DataFrame:

@@ -7,12 +7,12 @@ neither grows a plan nor keeps per-item state on executors.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.aggregates import path_sizes
 from seqloom.operators.quantize import (
-    codebook_frame, load_codebooks, matrix, mean_vectors, residuals, squared_distances,
+    codebook_frame, load_codebooks, matrix, mean_vectors, require_broadcast, residuals, squared_distances,
 )
 from seqloom.operators.ranking import portable_hash
 from seqloom.operators.sampling import sample_rows
@@ -21,6 +21,7 @@ from seqloom.session import collect_small, materialize
 HASH_BITS = 60
 CUT_BITS = 12
 TASK_GROUP_ROWS = 20_000
+LISTED_CODES = 32
 # fixed values
 TEMPERATURE_SAMPLE = 4000
 TEMPERATURE_QUANTILE = 90
@@ -103,7 +104,7 @@ def _logits(x: np.ndarray, c: np.ndarray, tau: float, centre) -> np.ndarray:
 
 def capacity_assign(
     vectors: DataFrame, centroids: np.ndarray, capacities: np.ndarray, bias: np.ndarray | None = None,
-    tau: float = 1.0, seed: int = 42, max_rounds: int = 10_000,
+    tau: float = 1.0, seed: int = 42, listed: int = LISTED_CODES, max_rounds: int = 10_000,
 ) -> DataFrame:
     """(item_id, code): items in seeded random order each take their best code that still has room.
 
@@ -111,27 +112,46 @@ def capacity_assign(
     order it can serve. Each round all items choose their best code whose cut-off they make,
     and overfull codes lower theirs. Cut-offs only fall, and where no code is overfull the
     choice equals that of the one-by-one walk.
+
+    Rounds read a narrow table of each item's `listed` best codes. Items turned away by all of
+    them get their next best ones listed, so the result does not depend on the length.
     """
-    k = len(centroids)
-    bias = np.zeros(k) if bias is None else bias
-    cuts = [(1 << HASH_BITS, 0)] * k
-    placed = materialize(vectors.select("item_id", "vec", portable_hash("item_id", seed=seed).alias("h")), "priority")
+    bias = np.zeros(len(centroids)) if bias is None else bias
+    cuts = [(1 << HASH_BITS, 0)] * len(centroids)
+    hashed = vectors.select("item_id", "vec", portable_hash("item_id", seed=seed).alias("h"))
+    prefs = materialize(_list_codes(hashed, centroids, bias, tau, cuts, listed), "prefs")
     for _ in range(max_rounds):
-        chosen = _choose(placed, centroids, bias, tau, cuts).persist()
-        loads = {r["code"]: r["count"] for r in collect_small(chosen.groupBy("code").count(), k, "codes")}
-        over = {c: int(capacities[c]) for c, n in loads.items() if n > capacities[c]}
-        if not over:
+        chosen = prefs.select("item_id", "h", _first_open(cuts).alias("code")).persist()
+        loads = {r["code"]: r["count"] for r in collect_small(chosen.groupBy("code").count(), len(centroids) + 1, "codes")}
+        if sum(loads.values()) > int(np.sum(capacities)):
+            raise ValueError("the capacities do not add up to the number of items")
+        over = {c: int(capacities[c]) for c, n in loads.items() if c is not None and n > capacities[c]}
+        if None in loads:
+            turned_away = chosen.filter(F.col("code").isNull()).select("item_id")
+            again = _list_codes(hashed.join(turned_away, "item_id", "left_semi"), centroids, bias, tau, cuts, listed)
+            prefs = materialize(prefs.join(turned_away, "item_id", "left_anti").unionByName(again), "prefs")
+        elif not over:
             done = materialize(chosen.select("item_id", "code"), "assigned")
             chosen.unpersist()
             return done
-        for code, h, item in _new_cuts(chosen, over):
+        for code, h, item in _new_cuts(chosen.filter(F.col("code").isNotNull()), over) if over else []:
             cuts[code] = (h, item)
         chosen.unpersist()
     raise RuntimeError(f"no balanced assignment after {max_rounds} rounds")
 
 
-def _choose(placed: DataFrame, centroids, bias, tau, cuts) -> DataFrame:
-    shared = placed.sparkSession.sparkContext.broadcast(
+def _first_open(cuts) -> Column:
+    """The first listed code whose cut-off the item makes, null when none."""
+    cut_h = F.array(*[F.lit(h).cast("bigint") for h, _ in cuts])
+    cut_i = F.array(*[F.lit(i).cast("bigint") for _, i in cuts])
+    makes_it = F.filter("prefs", lambda c: (F.col("h") < F.get(cut_h, c)) | (
+        (F.col("h") == F.get(cut_h, c)) & (F.col("item_id") <= F.get(cut_i, c))))
+    return F.get(makes_it, F.lit(0))
+
+
+def _list_codes(hashed: DataFrame, centroids, bias, tau, cuts, listed: int) -> DataFrame:
+    """(item_id, h, prefs): each item's best codes among those it can still get, best first."""
+    shared = hashed.sparkSession.sparkContext.broadcast(
         (centroids, bias, tau, np.array([c[0] for c in cuts]), np.array([c[1] for c in cuts])))
 
     def run(batches):
@@ -142,10 +162,12 @@ def _choose(placed: DataFrame, centroids, bias, tau, cuts) -> DataFrame:
             score = _logits(matrix(b.column("vec")), c, t, None) + log_v
             h, item = b.column("h").to_numpy()[:, None], b.column("item_id").to_numpy()[:, None]
             makes_it = (h < cut_h) | ((h == cut_h) & (item <= cut_i))
-            code = np.where(makes_it, score, -np.inf).argmax(1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("h"), pa.array(code)], ["item_id", "h", "code"])
+            order = np.argsort(-np.where(makes_it, score, -np.inf), axis=1, kind="stable")[:, :listed].astype(np.int32)
+            codes = [row[ok[row]] for row, ok in zip(order, makes_it)]
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("h"), pa.array(codes, pa.list_(pa.int32()))],
+                                             ["item_id", "h", "prefs"])
 
-    return placed.mapInArrow(run, "item_id bigint, h bigint, code int")
+    return hashed.mapInArrow(run, "item_id bigint, h bigint, prefs array<int>")
 
 
 def _new_cuts(chosen: DataFrame, over: dict[int, int]) -> list[tuple[int, int, int]]:
@@ -213,7 +235,7 @@ def uniform_mapping(
     vectors: DataFrame, codebooks: DataFrame, iters: int = 30, tau: float | None = None, seed: int = 42
 ) -> DataFrame:
     """(item_id, codes): level by level, Sinkhorn scalings then capacity-limited choice, sizes within one of each other."""
-    books = load_codebooks(codebooks)
+    books = load_codebooks(require_broadcast(codebooks))
     left = materialize(vectors.select("item_id", "vec"), "residual")
     codes = left.select("item_id", F.array().cast("array<int>").alias("codes"))
     n = left.count()
@@ -253,7 +275,7 @@ def resolve_collisions(
     Groups up to `task_rows` are solved inside one task each; larger ones run the same iteration
     as passes over their members.
     """
-    books = load_codebooks(codebooks)
+    books = load_codebooks(require_broadcast(codebooks))
     last_book = books[-1]
     levels = len(books)
     # the last-level residual depends on the earlier codes only, which never change here

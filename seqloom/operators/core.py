@@ -41,10 +41,13 @@ def core_edges(
 
 
 def restrict_to(df: DataFrame, edges: DataFrame, user: str, item: str) -> DataFrame:
-    """Rows of `df` whose user and item both survive (a pair survives exactly when both ends do)."""
-    users = edges.select(F.col("u").alias(user)).distinct()
-    items = edges.select(F.col("i").alias(item)).distinct()
-    return df.join(users, user, "left_semi").join(items, item, "left_semi")
+    """Rows of `df` whose user and item both survive.
+
+    A pair is among the surviving edges exactly when both its ends are, so one semi-join on the
+    pair does it: one shuffle of the wide rows, and a hot user is spread over its items.
+    """
+    pairs = edges.select(F.col("u").alias(user), F.col("i").alias(item))
+    return df.join(pairs, [user, item], "left_semi")
 
 
 def k_core(
@@ -93,7 +96,6 @@ def adaptive_k_core(
 
 def density(df: DataFrame, user: str, item: str) -> DataFrame:
     """Users, items, interactions and interactions / (users x items)."""
-    # two-level counts: distinct pairs first, so no task holds one side's full set
     counts = df.agg(
         F.countDistinct(user).alias("users"), F.countDistinct(item).alias("items"),
         F.count(F.lit(1)).alias("interactions"),

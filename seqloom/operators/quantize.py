@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.session import collect_small, materialize
@@ -22,6 +22,10 @@ def matrix(column) -> np.ndarray:
     return flat.astype(np.float64, copy=False).reshape(len(column), -1)
 
 
+def _code_matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x * x).sum(1, keepdims=True) + (c * c).sum(1)[None, :] - 2.0 * (x @ c.T)
 
@@ -42,6 +46,13 @@ def fits_broadcast(codebooks: DataFrame, limit: int = CODEBOOK_BYTES) -> bool:
     return values * 8 <= limit
 
 
+def require_broadcast(codebooks: DataFrame, limit: int = CODEBOOK_BYTES) -> DataFrame:
+    """The codebooks, for steps that hold a level's K centroids in each task; refuses larger ones."""
+    if not fits_broadcast(codebooks, limit):
+        raise ValueError("codebooks exceed the size every task may hold")
+    return codebooks
+
+
 def load_codebooks(codebooks: DataFrame) -> list[np.ndarray]:
     """Codebooks as one array per level; call only after `fits_broadcast`."""
     rows = collect_small(codebooks.select("level", "code", "centroid"), CODEBOOK_BYTES // 8, "codebook")
@@ -154,8 +165,7 @@ def residuals(vectors: DataFrame, coded: DataFrame, codebooks: DataFrame, upto:
         import pyarrow as pa
 
         for b in batches:
-            left, codes = matrix(b.column("vec")), b.column("codes")
-            codes = codes.flatten().to_numpy(zero_copy_only=False).reshape(len(codes), -1)
+            left, codes = matrix(b.column("vec")), _code_matrix(b.column("codes"))
             for level, book in enumerate(shared.value):
                 left = left - book[codes[:, level]]
             yield pa.RecordBatch.from_arrays([b.column("item_id"), _lists(left)], ["item_id", "vec"])
@@ -171,21 +181,32 @@ def next_residual(vectors: DataFrame, codebook: DataFrame) -> DataFrame:
     return residuals(vectors, _encode_blocks(vectors, codebook, CODEBOOK_BYTES), codebook, 1)
 
 
-def mean_square(vec: Column | str) -> Column:
-    return F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x) / F.size(vec)
+def level_errors(vectors: DataFrame, coded: DataFrame, codebooks: DataFrame, beta: float = 0.25) -> DataFrame:
+    """Per level: mean squared residual before and after it, and the quantiser loss (1 + beta) x error.
+
+    One join and one pass: each task adds up its squares for all levels.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(load_codebooks(require_broadcast(codebooks)))
 
+    def squares(batches):
+        import pyarrow as pa
 
-def level_errors(vectors: DataFrame, coded: DataFrame, codebooks: DataFrame, beta: float = 0.25) -> DataFrame:
-    """Per level: mean squared residual before and after it, and the quantiser loss (1 + beta) x error."""
-    levels = collect_small(codebooks.select("level").distinct(), 1000, "levels")
-    out = None
-    for level in range(len(levels)):
-        before = residuals(vectors, coded, codebooks, level).select("item_id", mean_square("vec").alias("b"))
-        after = residuals(vectors, coded, codebooks, level + 1).select("item_id", mean_square("vec").alias("a"))
-        row = before.join(after, "item_id").agg(F.avg("b").alias("mse_before"), F.avg("a").alias("mse_after")).select(
-            F.lit(level).alias("level"), "mse_before", "mse_after", (F.col("mse_after") * (1 + beta)).alias("loss"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        for b in batches:
+            left, codes = matrix(b.column("vec")), _code_matrix(b.column("codes"))
+            before, after = [], []
+            for level, book in enumerate(shared.value):
+                before.append(float((left * left).sum()))
+                left = left - book[codes[:, level]]
+                after.append(float((left * left).sum()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(before), dtype=np.int32)), pa.array(before), pa.array(after), pa.array([left.size] * len(before))],
+                ["level", "b", "a", "n"])
+
+    parts = vectors.select("item_id", "vec").join(coded.select("item_id", "codes"), "item_id").mapInArrow(
+        squares, "level int, b double, a double, n bigint")
+    sums = parts.groupBy("level").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.sum("n").alias("n"))
+    after = F.col("a") / F.col("n")
+    return sums.select("level", (F.col("b") / F.col("n")).alias("mse_before"), after.alias("mse_after"), (after * (1 + beta)).alias("loss"))
 
 
 def mean_vectors(df: DataFrame, key: str, vec: str, count: bool = False) -> DataFrame:

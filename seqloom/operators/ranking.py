@@ -31,7 +31,12 @@ def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
-    """0-based rank in the total order `order`.
+    """0-based rank in the total order `order`."""
+    return counted_rank(df, order, name)[0]
+
+
+def counted_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> tuple[DataFrame, int]:
+    """(ranked rows, row count).
 
     Ranges split ties of the leading columns, so a hot value spreads over tasks. Only one
     count per range reaches the driver.
@@ -44,15 +49,16 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> Data
         offsets.append((part, total))
         total += n
     if not offsets:
-        return df.withColumn(name, F.lit(0).cast("bigint")).limit(0)
+        return df.withColumn(name, F.lit(0).cast("bigint")).limit(0), 0
     base = spark.createDataFrame(offsets, f"{PART} int, __base bigint")
     local = F.row_number().over(Window.partitionBy(PART).orderBy(*order)) - 1
-    return (
+    ranked = (
         ranged.withColumn("__local", local)
         .join(base, PART)
         .withColumn(name, (F.col("__local") + F.col("__base")).cast("bigint"))
         .drop(PART, "__local", "__base")
     )
+    return ranked, total
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame | None:
@@ -158,26 +164,34 @@ def before(order: Sequence[str], cut: tuple | None, schema) -> Column:
     return here
 
 
-def chronological_split(
-    df: DataFrame, order: Sequence[str], fractions: Sequence[float] = (0.8, 0.9),
+def split_cuts(keys: DataFrame, order: Sequence[str], fractions: Sequence[float] = (0.8, 0.9)) -> list[tuple | None]:
+    """The rows at int(f·N) of the time order, one per fraction."""
+    return cut_rows(keys, order, lambda n: [int(n * f) for f in fractions])[1]
+
+
+def label_splits(
+    df: DataFrame, order: Sequence[str], cuts: Sequence[tuple | None],
     names: Sequence[str] = ("train", "valid", "test"), split: str = "split",
 ) -> DataFrame:
-    """Label rows by their place in time: the first int(f·N) rows come before each cut.
-
-    Finds the cut rows only, so nothing is sorted or moved. `df` is read once per pass and
-    should be a stored table.
-    """
-    _, cuts = cut_rows(df, order, lambda n: [int(n * f) for f in fractions])
+    """Name each row's split by comparing it with the cut rows."""
     label = F.lit(names[-1])
     for name, cut in reversed(list(zip(names, cuts))):
         label = F.when(before(order, cut, df.schema), F.lit(name)).otherwise(label)
     return df.withColumn(split, label)
 
 
+def chronological_split(df: DataFrame, order: Sequence[str], fractions: Sequence[float] = (0.8, 0.9)) -> DataFrame:
+    """Label rows train, valid or test: the first int(f·N) rows by time come before each cut.
+
+    Finds the cut rows only, so nothing is sorted or moved. `df` is read once per pass and
+    should be a stored table.
+    """
+    return label_splits(df, order, split_cuts(df, order, fractions))
+
+
 def contiguous_shards(df: DataFrame, order: Sequence[str], shards: int, name: str = "shard") -> DataFrame:
     """Shard i holds global ranks [i·N//n, (i+1)·N//n)."""
-    ranked = global_rank(df, order, "row")
-    total = df.count()
+    ranked, total = counted_rank(df, order, "row")
     return ranked.withColumn(name, F.expr(f"((row + 1) * {shards}L - 1) div {max(total, 1)}L"))
 
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.ranking import before, cut_rows, global_rank, portable_hash
-from seqloom.session import materialize
-
-ONE_TASK_ROWS = 50_000
 
 
 def shuffled(df: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -23,34 +20,34 @@ def shuffle_rank(df: DataFrame, keys: Sequence[str], seed: int = 42, name: str =
     return global_rank(hashed, ["__h", *keys], name).drop("__h")
 
 
-def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows without replacement, uniform over seeds; everything when there are fewer.
+def _cut(df: DataFrame, keys: Sequence[str], seed: int, rank: Callable[[int], int]) -> tuple[DataFrame, Column]:
+    """The rows with their hash, and the test for coming before the row at the given shuffled rank.
 
-    Small samples use Spark's top-n. Large ones find the cut hash from histograms and filter,
-    so no task has to hold n rows.
+    The cut is found on hash and keys only, so no row is moved or sorted to take a sample of any size.
     """
     hashed = df.withColumn("__h", portable_hash(*keys, seed=seed))
-    if n <= ONE_TASK_ROWS:
-        return hashed.orderBy("__h", *keys).limit(n).drop("__h")
-    hashed = materialize(hashed, "hashed")
-    _, (cut,) = cut_rows(hashed, ["__h", *keys], lambda _: [n])
-    return hashed.filter(before(["__h", *keys], cut, hashed.schema)).drop("__h")
+    order = ["__h", *keys]
+    n, (cut,) = cut_rows(hashed, order, lambda n: [rank(n)])
+    inside = F.lit(rank(n) >= n) if cut is None else before(order, cut, hashed.schema)
+    return hashed, inside
+
+
+def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+    """n rows without replacement, uniform over seeds; everything when there are fewer."""
+    hashed, inside = _cut(df, keys, seed, lambda _: n)
+    return hashed.filter(inside).drop("__h")
 
 
 def skip_first_fraction(df: DataFrame, keys: Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
     """Drop the first int(fraction·N) rows of the shuffled order."""
-    hashed = materialize(df.withColumn("__h", portable_hash(*keys, seed=seed)), "hashed")
-    _, (cut,) = cut_rows(hashed, ["__h", *keys], lambda n: [int(fraction * n)])
-    if cut is None:
-        return hashed.limit(0).drop("__h")
-    return hashed.filter(~before(["__h", *keys], cut, hashed.schema)).drop("__h")
+    hashed, inside = _cut(df, keys, seed, lambda n: int(fraction * n))
+    return hashed.filter(~inside).drop("__h")
 
 
 def keep_fraction(df: DataFrame, keys: Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
     """The first int(fraction·N) rows of the shuffled order."""
-    hashed = materialize(df.withColumn("__h", portable_hash(*keys, seed=seed)), "hashed")
-    _, (cut,) = cut_rows(hashed, ["__h", *keys], lambda n: [int(fraction * n)])
-    return hashed.filter(before(["__h", *keys], cut, hashed.schema)).drop("__h")
+    hashed, inside = _cut(df, keys, seed, lambda n: int(fraction * n))
+    return hashed.filter(inside).drop("__h")
 
 
 def repeated(df: DataFrame, times: int, name: str = "copy") -> DataFrame:

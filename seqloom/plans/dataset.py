@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from seqloom.operators.ranking import chronological_split
+from seqloom.operators.ranking import label_splits, split_cuts
 from seqloom.operators.sequences import sliding_windows
 from seqloom.session import materialize
 
@@ -26,6 +27,12 @@ def split_samples(
     events: DataFrame, user: str, order: Sequence[str], fields: Sequence[str],
     fractions: Sequence[float] = (0.8, 0.9),
 ) -> DataFrame:
-    """Sliding windows labelled train, valid or test by global time order."""
-    windows = materialize(sliding_windows(events, user, order, fields), "windows")
-    return chronological_split(windows, order, fractions)
+    """Sliding windows labelled train, valid or test by global time order.
+
+    The targets of the windows are all events but each user's first, so the cuts are found on
+    the order columns of those alone. The wide windows are made once and go straight on.
+    """
+    firsts = events.groupBy(user).agg(F.min(F.struct(*order)).alias("__first"))
+    targets = events.select(user, *order).join(firsts, user).filter(F.struct(*order) != F.col("__first"))
+    keys = materialize(targets.select(*order), "targets")
+    return label_splits(sliding_windows(events, user, order, fields), order, split_cuts(keys, order, fractions))

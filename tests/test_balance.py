@@ -34,9 +34,10 @@ def hashes(vectors):
     return {r["item_id"]: r["h"] for r in vectors.select("item_id", portable_hash("item_id").alias("h")).collect()}
 
 
-def test_capacity_choice_equals_walk(vectors, points, book):
+@pytest.mark.parametrize("listed", [2, 32])
+def test_capacity_choice_equals_walk(vectors, points, book, listed):
     caps = balance.even_capacities(len(points), len(book))
-    got = {r["item_id"]: r["code"] for r in balance.capacity_assign(vectors, book, caps).collect()}
+    got = {r["item_id"]: r["code"] for r in balance.capacity_assign(vectors, book, caps, listed=listed).collect()}
     h, room, want = hashes(vectors), caps.copy(), {}
     prefs = quantize.squared_distances(points, book).argsort(1)
     for item in sorted(h, key=lambda i: (h[i], i)):

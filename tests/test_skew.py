@@ -113,14 +113,14 @@ def test_core_chain_empties(spark):
     assert edges.count() == 0 and len(sizes) > 4
 
 
-def test_large_sample_equals_small_path(spark):
+def test_samples_have_their_size(spark):
     df = spark.range(500)
-    want = {r["id"] for r in sampling.sample_rows(df, ["id"], 120).collect()}
-    old, sampling.ONE_TASK_ROWS = sampling.ONE_TASK_ROWS, 10
-    try:
-        assert {r["id"] for r in sampling.sample_rows(df, ["id"], 120).collect()} == want and len(want) == 120
-    finally:
-        sampling.ONE_TASK_ROWS = old
+    for n in (0, 1, 120, 499, 500, 900):
+        assert sampling.sample_rows(df, ["id"], n).count() == min(n, 500)
+    small, large = ({r["id"] for r in sampling.sample_rows(df, ["id"], n).collect()} for n in (100, 200))
+    assert small < large
+    assert sampling.keep_fraction(df, ["id"], 0.31).count() == 155 and sampling.skip_first_fraction(df, ["id"], 0.31).count() == 345
+    assert sampling.keep_fraction(df, ["id"], 1.0).count() == 500 and sampling.skip_first_fraction(df, ["id"], 1.0).count() == 0
 
 
 def test_negatives_avoid_target(spark):
