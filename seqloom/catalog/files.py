@@ -137,6 +137,16 @@ def keyed_json_lines(spark, sf):
     return rows.select(F.col("key").cast("bigint").alias("item_id"), "value.title", "value.brand")
 
 
+@query("user_sequence_file", with_sql(LISTENS, body="""
+    SELECT uid, array_to_string(list(item_id ORDER BY ts, event_id), ' ') AS items FROM listens GROUP BY 1"""))
+def user_sequence_file(spark, sf):
+    path = durable_path(spark, "user-items")
+    s = sequences.user_sequences(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id"])
+    writers.write_keyed_json_lines(s, path, F.col("uid"), F.col("sequence.item_id"))
+    rows = readers.read_json_lines(spark, path, "key string, value array<bigint>")
+    return rows.select(F.col("key").cast("bigint").alias("uid"), joined("value", " ").alias("items"))
+
+
 @query("review_text_file", "SELECT '(' || user_id || ', ' || event_id || ', ' || epoch_us(ts) || ')' AS key, event_type AS review FROM events")
 def review_text_file(spark, sf):
     path = durable_path(spark, "reviews")

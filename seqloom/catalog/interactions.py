@@ -21,10 +21,10 @@ def hash_sql(*cols: str, seed: int = 42) -> str:
 
 
 # ---- k-core (A1, A1b, F9, A2, A3) ----
-@query("core_listens", with_sql(LISTENS, *core_ctes("listens", "uid", "item_id", 55, 85, 10),
+@query("core_listens", with_sql(LISTENS, *core_ctes("listens", "uid", "item_id", 50, 80, 10),
                                 body="SELECT event_id, uid, item_id, ts FROM core"))
 def core_listens(spark, sf):
-    return core.k_core(listens(spark, sf), "uid", "item_id", 55, 85).select("event_id", "uid", "item_id", "ts")
+    return core.k_core(listens(spark, sf), "uid", "item_id", 50, 80).select("event_id", "uid", "item_id", "ts")
 
 
 @query("core_purchases", with_sql(PURCHASES, *core_ctes("purchases", "user_id", "item_id", 20, 20, 10),

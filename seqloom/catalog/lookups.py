@@ -141,10 +141,10 @@ def bare_metadata(spark, sf):
 
 
 @query("category_phrases", """
-    SELECT n_nationkey, CASE n_name WHEN 'CHINA' THEN 'office products' ELSE n_name END AS phrase FROM nation""")
+    SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 'industrial and scientific items' WHEN 'FURNITURE' THEN 'office products' ELSE c_mktsegment END AS phrase FROM customer""")
 def category_phrases(spark, sf):
-    names = {"CHINA": text.CATEGORY_PHRASES["Office_Products"]}
-    return table(spark, sf, "nation").select("n_nationkey", text.lookup_name(F.col("n_name"), names).alias("phrase"))
+    names = {"MACHINERY": text.CATEGORY_PHRASES["Industrial_and_Scientific"], "FURNITURE": text.CATEGORY_PHRASES["Office_Products"]}
+    return table(spark, sf, "customer").select("c_custkey", text.lookup_name(F.col("c_mktsegment"), names).alias("phrase"))
 
 
 SID_SAMPLES_SQL = with_sql(PURCHASES, CATALOGUE, "known AS (SELECT * FROM catalogue WHERE c3 <= 45)",
@@ -261,6 +261,18 @@ def invalid_predictions(spark, sf):
     return lookups.invalid_predictions(listens(spark, sf).select("event_id", "item_id"), table(spark, sf, "benchmark"), "item_id", "item_id")
 
 
+@query("prediction_catalogue_ids", with_sql(LISTENS, CATALOGUE, """
+    ids AS (SELECT sid, min(r) AS catalogue_id FROM (SELECT sid, row_number() OVER (ORDER BY item_id) - 1 AS r FROM catalogue WHERE c3 <= 40) GROUP BY 1)""", body="""
+    SELECT event_id, catalogue_id, catalogue_id IS NOT NULL AS valid FROM listens JOIN catalogue USING (item_id) LEFT JOIN ids USING (sid)"""))
+def prediction_catalogue_ids(spark, sf):
+    from seqloom.operators.ranking import dense_ids
+
+    cat = catalogue(spark, sf)
+    known = dense_ids(cat.filter(F.get("codes", F.lit(2)) <= 40).select("item_id", "sid"), ["item_id"], "catalogue_id")
+    answers = listens(spark, sf).join(cat.select("item_id", "sid"), "item_id").select("event_id", F.col("sid").alias("answer"))
+    return lookups.catalogue_ids(answers, known, "answer", "sid", "catalogue_id").drop("answer")
+
+
 @query("prompt_history_target", with_sql(LISTENS, """
     h AS (SELECT event_id, 'user ' || uid AS prompt, event_type || ' ' || (uid % 40) AS history, item_id FROM listens)""", body="""
     SELECT prompt, history, target FROM (SELECT prompt, arg_max(history, event_id) AS history FROM h GROUP BY 1)

@@ -269,3 +269,12 @@ def mixture_reward_stage(spark, sf):
     return digest(tasks.mixture(
         tasks.sid_history_to_sid(s, KEY), tasks.item_text_to_sid(it, ["item_id"]),
         tasks.title_history_to_sid(s, KEY, drop_repeats=False, sample=10_000)))
+
+
+@query("task_token_columns", with_sql(*BASE, "t AS (" + sid_next_sql("sid_next", tasks.SIDS_QUESTION) + ")", body="""
+    SELECT event_id, CAST(least(strlen(prompt) + strlen(completion), 400) AS BIGINT) AS tokens,
+      CAST(least(strlen(completion), 400) AS BIGINT) AS learned FROM t"""))
+def task_token_columns(spark, sf):
+    rows = tasks.with_tokens(tasks.sid_history_to_sid(samples(spark, sf), KEY), lambda texts: [list(t.encode()) for t in texts], 400)
+    return rows.select("event_id", F.size("input_ids").cast("bigint").alias("tokens"),
+                       F.size(F.filter("labels", lambda x: x != -100)).cast("bigint").alias("learned"))

@@ -126,6 +126,12 @@ def invalid_predictions(predictions: DataFrame, catalogue: DataFrame, answer: st
     return predictions.join(catalogue.select(F.col(name).alias(answer)).distinct(), answer, "left_anti")
 
 
+def catalogue_ids(predictions: DataFrame, catalogue: DataFrame, answer: str, name: str, idx: str) -> DataFrame:
+    """Adds the catalogue id of each answer and whether it is `valid`; the first entry of a repeated name counts."""
+    ids = catalogue.groupBy(F.col(name).alias(answer)).agg(F.min(idx).alias(idx))
+    return predictions.join(ids, answer, "left").withColumn("valid", F.col(idx).isNotNull())
+
+
 def target_by_history(rows: DataFrame, prompt: str, history: str, target: str, seq: Sequence[str]) -> DataFrame:
     """The two-step prompt to history to target look-up with last-write-wins on both steps."""
     histories = last_wins(rows, prompt, seq, [history])

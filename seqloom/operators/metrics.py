@@ -57,8 +57,8 @@ def ranked_metrics(df: DataFrame, predict: str, target: str, ks: Sequence[int] =
 
 
 def one_per_group(df: DataFrame, group: Sequence[str], predict: str, target: str) -> DataFrame:
-    """First row of every prompt group, for metrics that count a prompt once."""
-    return df.groupBy(*group).agg(F.first(F.struct(predict, target)).alias("r")).select(*group, "r.*")
+    """One row of every prompt group, for metrics that count a prompt once; all its rows carry the same list."""
+    return df.groupBy(*group).agg(F.min(F.struct(predict, target)).alias("r")).select(*group, "r.*")
 
 
 def invalid_before_hit(df: DataFrame, predict: str, target: str, catalogue: DataFrame, name: str) -> DataFrame:

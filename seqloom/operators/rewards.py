@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +88,17 @@ def reward_columns(kind: str, extra: dict[str, Callable[[], Column]] | None = No
     return REWARD_SETS[kind]
 
 
+def caller_reward(fn: Callable[..., Sequence[float]], prompt: str, completion: str, *columns: str) -> Column:
+    """A reward function of the caller, `fn(prompts, completions, **columns) -> floats`, run on Arrow batches."""
+
+    def batch(*values: pd.Series) -> pd.Series:
+        prompts, completions, *rest = (v.tolist() for v in values)
+        return pd.Series(fn(prompts=prompts, completions=completions, **dict(zip(columns, rest))), dtype="float64")
+
+    batch.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(batch, "double")(prompt, completion, *columns)
+
+
 def advantages(df: DataFrame, group: Sequence[str], reward: str, name: str = "advantage") -> DataFrame:
     """(reward - group mean) / (group sample deviation + 1e-4)."""
     stats = df.groupBy(*group).agg(F.avg(reward).alias("__mean"), F.stddev_samp(reward).alias("__std"))

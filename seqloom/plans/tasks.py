@@ -6,13 +6,15 @@ a projection over the sample row; look-ups are joins done before.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import prompts
+from seqloom.functions.arrays import training_tokens
 from seqloom.operators.aggregates import last_wins
 from seqloom.operators.ranking import portable_hash
 from seqloom.operators.sampling import sample_rows
@@ -192,3 +194,22 @@ def mixture(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t.select(*TASK_COLUMNS))
     return out
+
+
+def with_tokens(rows: DataFrame, encode: Callable[[list[str]], list[list[int]]], max_len: int = 2048) -> DataFrame:
+    """Adds `input_ids`, `attention_mask` and `labels` from a caller-supplied batch tokenizer, run on Arrow batches.
+
+    Rows without a completion (evaluation) keep all their prompt tokens and carry no labels.
+    """
+
+    @F.pandas_udf("array<int>")
+    def tokens(texts: pd.Series) -> pd.Series:
+        return pd.Series(encode(texts.tolist()))
+
+    filled = rows.withColumn("__p", tokens("prompt")).withColumn("__c", tokens(F.coalesce("completion", F.lit(""))))
+    ids, mask, labels = training_tokens("__p", "__c", max_len)
+    learns = F.col("completion").isNotNull()
+    return filled.select(
+        *rows.columns, F.when(learns, ids).otherwise(F.col("__p")).alias("input_ids"),
+        F.when(learns, mask).otherwise(F.array_repeat(F.lit(1), F.size("__p"))).alias("attention_mask"),
+        F.when(learns, labels).alias("labels"))

@@ -160,3 +160,11 @@ def test_selection_equals_one_by_one(spark):
     for r in select_completions(df, ["g"], "pos", "c", "t", 8).collect():
         got[r["g"]].append(r["c"])
     assert {g: sorted(v) for g, v in got.items()} == want
+
+
+def test_caller_reward_gets_its_columns(spark):
+    from seqloom.operators.rewards import caller_reward
+
+    df = spark.createDataFrame([("p", "abc", 2), ("q", "a", 5)], "p string, c string, w int")
+    got = df.select(caller_reward(lambda prompts, completions, w: [len(c) * x for c, x in zip(completions, w)], "p", "c", "w").alias("r"))
+    assert [r["r"] for r in got.collect()] == [6.0, 5.0]
