@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 # Patterns and names that decide what text comes out. Blanks are what Python calls
 # whitespace; word characters are letters, numbers and the underscore of any script.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
-WHITESPACE = "[" + BLANKS + "]+"
 ANY_TAG = r"<[^>]+>"
 NAMED_TAG = r"</?[\p{L}\p{N}_]+[^>]*>"
 QUOTES_AND_NEWLINES = r'["\n\r]'
@@ -46,6 +45,10 @@ def unescape(text: Column | str) -> Column:
     return _unescape(F.col(text) if isinstance(text, str) else text)
 
 
+def _blanks_as_spaces(text: Column) -> Column:
+    return F.translate(text, BLANKS, " " * len(BLANKS))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of whitespace, not only blanks."""
     return F.btrim(text, F.lit(BLANKS))
@@ -56,7 +59,7 @@ def clean_review(text: Column | str) -> Column:
     col = F.col(text) if isinstance(text, str) else text
     bare = unescape(F.regexp_replace(F.coalesce(col, F.lit("")), ANY_TAG, ""))
     bare = F.replace(F.replace(bare, F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    return strip(F.regexp_replace(bare, WHITESPACE, " "))
+    return F.btrim(F.regexp_replace(_blanks_as_spaces(bare), " {2,}", " "))
 
 
 def _plain(text: Column) -> Column:
@@ -175,8 +178,8 @@ def drop_end_markers(text: Column | str) -> Column:
 
 def word_count(text: Column | str) -> Column:
     """Whitespace-separated words; 0 for blank text."""
-    trimmed = strip(F.col(text) if isinstance(text, str) else text)
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, WHITESPACE))).cast("bigint")
+    spaced = _blanks_as_spaces(F.col(text) if isinstance(text, str) else text)
+    return F.size(F.array_remove(F.split(spaced, " "), "")).cast("bigint")
 
 
 def drop_words(text: Column | str, key: Column | str, ratio: float, seed: int = 42) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.ranking import keep_first_per_key
@@ -62,19 +62,23 @@ def expand_beams(
 
     `scores` is (request, step, token, score); total score is the plain sum, without a length
     penalty. Each step joins the open beams to their allowed next tokens and keeps the best per
-    request, trimmed inside map tasks before the shuffle. Ties go to the smaller path text.
+    request, trimmed inside map tasks before the shuffle. Ties go to the smaller path text. The
+    first step starts from the request's own scores, as the empty prefix is shared by all.
     """
-    open_beams = requests.select(request, F.lit("").alias("prefix"), F.lit(0.0).alias("total"))
     steps_only = rows.filter(F.col("next") != end)
+    roots = steps_only.filter(F.col("prefix") == "").select("next")
+    open_beams = None
     for step in range(steps):
         at_step = scores.filter(F.col("step") == step).select(request, F.col("token").alias("next"), "score")
-        grown = open_beams.join(steps_only, "prefix").join(at_step, [request, "next"])
+        if open_beams is None:
+            grown = at_step.join(requests.select(request), request).join(roots, "next", "left_semi").select(
+                request, "next", "score", F.lit("").alias("prefix"), F.lit(0.0).alias("total"))
+        else:
+            grown = open_beams.join(steps_only, "prefix").join(at_step, [request, "next"])
         glue = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat("prefix", F.lit(separator), "next"))
         open_beams = keep_first_per_key(
             grown.select(request, glue.alias("prefix"), (F.col("total") + F.col("score")).alias("total")),
             [request], [F.desc("total"), "prefix"], beams)
     complete = open_beams.join(rows.filter(F.col("next") == end).select("prefix"), "prefix", "left_semi")
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy(request).orderBy(F.desc("total"), "prefix")) - 1
     return complete.select(request, F.col("prefix").alias("sid"), "total", place.cast("bigint").alias("place"))

@@ -212,11 +212,16 @@ def user_ids_by_appearance(df: DataFrame, user: str, order: Sequence[str]) -> Da
 
 
 def item_ids_by_appearance(df: DataFrame, user: str, item: str, order: Sequence[str]) -> DataFrame:
-    """Items numbered as met when users are walked in their own id order, each in time order."""
+    """Items numbered as met when users are walked in their own id order, each in time order.
+
+    Each (user, item) pair is reduced to its first event before user ids are joined on.
+    """
     users = user_ids_by_appearance(df, user, order)
-    walked = df.select(user, item, *[c for c in order if c not in (user, item)]).join(users, user)
-    firsts = first_appearance(walked.withColumn("__item", F.col(item)), "__item", ["user_idx", *order])
-    ranked = dense_ids(firsts, [f"first_{c}" for c in ["user_idx", *order]], "item_idx")
+    met = [f"first_{c}" for c in order]
+    pairs = df.groupBy(user, item).agg(F.min(F.struct(*order)).alias("__first")).select(
+        user, F.col(item).alias("__item"), *[F.col(f"__first.{c}").alias(m) for c, m in zip(order, met)])
+    firsts = first_appearance(pairs.join(users, user), "__item", ["user_idx", *met])
+    ranked = dense_ids(firsts, [f"first_{c}" for c in ["user_idx", *met]], "item_idx")
     return ranked.select(F.col("__item").alias(item), "item_idx")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.ranking import before, cut_rows, global_rank, portable_hash
+from seqloom.session import materialize
 
 
 def shuffled(df: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -23,11 +24,12 @@ def shuffle_rank(df: DataFrame, keys: Sequence[str], seed: int = 42, name: str =
 def _cut(df: DataFrame, keys: Sequence[str], seed: int, rank: Callable[[int], int]) -> tuple[DataFrame, Column]:
     """The rows with their hash, and the test for coming before the row at the given shuffled rank.
 
-    The cut is found on hash and keys only, so no row is moved or sorted to take a sample of any size.
+    The cut is found on a stored copy of hash and keys, so no row is moved or sorted to take a
+    sample of any size.
     """
     hashed = df.withColumn("__h", portable_hash(*keys, seed=seed))
     order = ["__h", *keys]
-    n, (cut,) = cut_rows(hashed, order, lambda n: [rank(n)])
+    n, (cut,) = cut_rows(materialize(hashed.select(*order), "hashes"), order, lambda n: [rank(n)])
     inside = F.lit(rank(n) >= n) if cut is None else before(order, cut, hashed.schema)
     return hashed, inside
 
