@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "packing", "host_quality", "pii", "url_filter"]
+MODULES = ["mixing", "warc", "packing", "host_quality", "pii", "url_filter"]
 
 
 def load() -> tuple[dict, dict]:
