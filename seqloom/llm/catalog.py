@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "ngram_join", "warc", "packing", "host_quality", "pii", "url_filter"]
+MODULES = ["mixing", "ngram_join", "warc", "packing", "host_quality", "pii", "url_filter", "binary_dedup"]
 
 
 def load() -> tuple[dict, dict]:
