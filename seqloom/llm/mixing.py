@@ -70,7 +70,7 @@ def source_targets(sizes: DataFrame, schedules: list[list[tuple[float, float]]],
         F.sum("_mx_weight").over(every) - F.coalesce(F.sum("_mx_weight").over(before), F.lit(0.0)))
     return (table.withColumn("_mx_level", level)
             .withColumn("_mx_free", F.col("_mx_level") * F.col("_mx_weight") <= F.col("_mx_cap"))
-            .withColumn("_mx_final", F.min(F.when(F.col("_mx_free"), F.col("_mx_level"))).over(every))
+            .withColumn("_mx_final", F.max(F.when(F.col("_mx_free"), F.col("_mx_level"))).over(every))
             .withColumn("_mx_target", F.when(F.col("_mx_free"), F.col("_mx_final") * F.col("_mx_weight"))
                         .otherwise(F.col("_mx_cap").cast("double")))
             .select("_mx_source", F.col("_mx_size").alias("_mx_source_size"), "_mx_target", "_mx_knots", "_mx_area"))
@@ -157,7 +157,7 @@ w AS (SELECT *, [3.0, 1.0, 2.0][turn + 1]::DOUBLE AS weight, [1.5, 1.0, 3.0][tur
 l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE
                  - coalesce(sum(cap) OVER b, 0)::DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS lv FROM w
       WINDOW b AS (ORDER BY cap::DOUBLE / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT *, CASE WHEN lv * weight <= cap THEN min(CASE WHEN lv * weight <= cap THEN lv END) OVER () * weight
+t AS (SELECT *, CASE WHEN lv * weight <= cap THEN max(CASE WHEN lv * weight <= cap THEN lv END) OVER () * weight
                      ELSE cap::DOUBLE END AS target FROM l),
 p AS (SELECT d.*, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d),
