@@ -35,7 +35,7 @@ SCOPES = set("html body article section main aside nav header footer div table u
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
             "option": {"option"}}
 
-_TAG = re.compile(r"<(?:!--|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?)", re.S)
+_TAG = re.compile(r"<(?:!--|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*+)(?:((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^>]*)>?))", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 
@@ -103,7 +103,7 @@ def page_blocks(html: str) -> list[Block]:
                 close = html.find("-->", m.start() + 4)
                 pos = end if close < 0 else close + 3
             continue
-        tag = tag.lower()
+        tag, attributes = tag.lower(), m[3] or m[4] or ""  # the second form has an unclosed quote
         inline = tag in INLINE
         if not inline:
             flush()
@@ -129,8 +129,8 @@ def page_blocks(html: str) -> list[Block]:
                     break
                 if stack[i][0] in SCOPES:
                     break
-            if not m[3].endswith("/"):
-                stack.append((tag, _marks(tag, m[3])))
+            if not attributes.endswith("/"):
+                stack.append((tag, _marks(tag, attributes)))
                 anchors += tag == "a"
     flush()
     return blocks
