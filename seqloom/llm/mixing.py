@@ -112,7 +112,7 @@ def assign_positions(docs: DataFrame, schedules: list[list[tuple[float, float]]]
         else:
             words = F.greatest(F.lit(0), F.least(F.col("_mx_size"), left))
         total = F.element_at("_mx_area", -1)
-        demand = F.least(start / F.col("_mx_target") * total, total)
+        demand = F.least(F.coalesce(F.try_divide(start, F.col("_mx_target")), F.lit(0.0)) * total, total)
         return F.struct(invert_schedule(F.col("_mx_knots"), F.col("_mx_area"), demand).alias("position"),
                         words.cast("long").alias("words"), k.cast("int").alias("copy"))
 
