@@ -9,6 +9,7 @@ from seqloom.catalog.inputs import CATALOGUE, catalogue, table
 from seqloom.functions import arrays, sids
 from seqloom.operators import aggregates, balance, quantize
 from seqloom.operators.ranking import dense_ids
+from seqloom.session import materialize
 from seqloom.sources.readers import sanitized_stats
 
 CLASSES, LEVELS, DIM = 8, 3, 64
@@ -191,8 +192,7 @@ def quantizer_errors(spark, sf):
     SELECT round(greatest(0.1 * median(q), 1e-6), 6) AS tau FROM s"""))
 def balancing_temperature(spark, sf):
     book = quantize.load_codebooks(class_codebooks(spark, sf, 1))[0]
-    tau = balance.temperature(vectors(spark, sf), book)
-    return vectors(spark, sf).limit(1).select(F.round(F.lit(tau), 6).alias("tau"))
+    return balance.temperatures(vectors(spark, sf), book).select(F.round("tau", 6).alias("tau"))
 
 
 SINK_ITERS, SINK_TAU = 6, 0.05
@@ -242,33 +242,57 @@ def capacity_assignment(spark, sf):
     return out.select("item_id", F.col("code").cast("bigint").alias("code"))
 
 
-# ---- fitted quantisers: checked by invariants in the tests ----
-@query("residual_kmeans_codes")
+# ---- fitted quantisers: each query returns what must hold of every item, and the SQL says what that is ----
+def level_sizes(codes):
+    """Items per level and code."""
+    flat = codes.select(F.posexplode("codes").alias("level", "code"))
+    return flat.groupBy(F.col("level").cast("bigint").alias("level"), F.col("code").cast("bigint").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def even_sizes_sql(levels, k):
+    return f"""SELECT level, code, n // k + CASE WHEN code < n % k THEN 1 ELSE 0 END AS n
+      FROM (SELECT count(*) AS n, ({k}) AS k FROM embeddings), (SELECT unnest(range({levels})) AS level), (SELECT unnest(range(({k}))) AS code)"""
+
+
+@query("residual_kmeans_codes", "SELECT vec_id AS item_id, 3 AS levels, true AS in_range, true AS error_falls FROM embeddings")
 def residual_kmeans_codes(spark, sf):
-    _, codes = quantize.fit_residual_kmeans(vectors(spark, sf), 16, 3, max_iter=20)
-    return codes.select("item_id", joined("codes").alias("codes"))
+    """Every item with its number of levels, whether its codes exist, and whether each level lowers the mean error."""
+    v = vectors(spark, sf)
+    books, codes = quantize.fit_residual_kmeans(v, 16, 3, max_iter=100)
+    steps = quantize.level_errors(v, codes, books).agg(F.bool_and(F.col("mse_after") <= F.col("mse_before") + 1e-12).alias("error_falls"))
+    rows = codes.select("item_id", F.size("codes").alias("levels"), F.forall("codes", lambda c: (c >= 0) & (c < 16)).alias("in_range"))
+    return rows.select("*", F.lit(steps.first()["error_falls"]).alias("error_falls"))
 
 
-@query("balanced_kmeans_codes")
+@query("balanced_kmeans_codes", even_sizes_sql(2, 8))
 def balanced_kmeans_codes(spark, sf):
-    _, codes = balance.residual_balanced_kmeans(vectors(spark, sf), 8, 2, max_iter=2)
-    return codes.select("item_id", joined("codes").alias("codes"))
+    """Items per level and code of a fit that honours even sizes."""
+    return level_sizes(balance.residual_balanced_kmeans(vectors(spark, sf), 8, 2)[1])
 
 
-@query("uniform_mapping_codes")
+@query("uniform_mapping_codes", even_sizes_sql(2, "SELECT count(DISTINCT label) FROM embeddings"))
 def uniform_mapping_codes(spark, sf):
-    books = class_codebooks(spark, sf, 2)
-    return balance.uniform_mapping(vectors(spark, sf), books, iters=10).select("item_id", joined("codes").alias("codes"))
+    return level_sizes(balance.uniform_mapping(vectors(spark, sf), class_codebooks(spark, sf, 2)))
 
 
-@query("collisions_resolved")
+@query("collisions_resolved", "SELECT vec_id AS item_id, true AS head_kept, true AS fewer_collisions FROM embeddings")
 def collisions_resolved(spark, sf):
+    """Every item: its earlier codes are as before, and no more items share a path than before."""
     v, books = vectors(spark, sf), class_codebooks(spark, sf, 2)
-    out = balance.resolve_collisions(v, quantize.encode(v, books), books, rounds=3)
-    return out.select("item_id", joined("codes").alias("codes"))
+    coded = materialize(quantize.encode(v, books), "codes")
+    out = materialize(balance.resolve_collisions(v, coded, books), "resolved")
+    before, after = (c.select("codes").distinct().count() for c in (coded, out))
+    both = coded.select("item_id", F.col("codes").alias("old")).join(out, "item_id")
+    return both.select("item_id", (F.slice("old", 1, 1) == F.slice("codes", 1, 1)).alias("head_kept"), F.lit(after >= before).alias("fewer_collisions"))
 
 
-@query("text_embeddings")
+@query("text_embeddings", """
+    SELECT doc_id, 64 AS dim, CAST(len(regexp_split_to_array(text, '\\s+')) AS BIGINT) AS words, true AS alike FROM documents""")
 def text_embeddings(spark, sf):
+    """Each text's vector by its length and the words it counts, and whether texts with the same words have the same vector."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return quantize.embed_texts(docs, "doc_id", "text").select("doc_id", F.size("embedding").alias("dim"))
+    vectors_ = quantize.embed_texts(docs, "doc_id", "text")
+    words = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).cast("bigint")
+    rows = docs.join(vectors_, "doc_id").withColumn("text", F.md5("text"))
+    kinds = rows.groupBy("text").agg(F.countDistinct("embedding").alias("kinds"))
+    return rows.join(kinds, "text").select("doc_id", F.size("embedding").alias("dim"), words.alias("words"), (F.col("kinds") == 1).alias("alike"))

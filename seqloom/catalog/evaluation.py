@@ -165,10 +165,12 @@ def advantages(spark, sf):
 
 
 @query("reward_semantic", with_sql(*BASE, "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)", body="""
-    SELECT event_id, pos, round(list_cosine_similarity(a.e, b.e), 5) AS semantic_reward FROM g JOIN v a ON a.vec_id = target_item JOIN v b ON b.vec_id = candidate_item"""))
+    SELECT event_id, pos, coalesce(round(list_cosine_similarity(a.e, b.e), 5), 0.0) AS semantic_reward FROM g
+    LEFT JOIN v a ON a.vec_id = target_item AND target_item % 9 <> 0 LEFT JOIN v b ON b.vec_id = candidate_item AND candidate_item % 9 <> 0"""))
 def reward_semantic(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    out = rewards.semantic_reward(groups(spark, sf), vectors, "target_item", "candidate_item")
+    # every ninth item has no vector here: its rows stay, with reward 0
+    out = rewards.semantic_reward(groups(spark, sf), vectors.filter("item_id % 9 <> 0"), "target_item", "candidate_item")
     return out.select("event_id", "pos", F.round("semantic_reward", 5).alias("semantic_reward"))
 
 
@@ -254,8 +256,8 @@ def reward_log(spark, sf):
 
 
 # ---- metrics ----
-PREDICTIONS = "p AS (SELECT event_id, uid, sid AS target, list_reverse(hs) AS predict, event_type FROM w WHERE n = 10)"
-PLACED = "pl AS (SELECT event_id, uid, event_type, CASE WHEN list_position(predict, target) > 0 THEN list_position(predict, target) - 1 END AS place FROM p)"
+PREDICTIONS = "p AS (SELECT event_id, uid, sid AS target, list_reverse(hs) AS predict, event_type FROM w)"
+PLACED = "pl AS (SELECT event_id, uid, event_type, len(predict) AS beams, CASE WHEN list_position(predict, target) > 0 THEN list_position(predict, target) - 1 END AS place FROM p)"
 
 
 def metric_sql(ks, source="pl"):
@@ -264,28 +266,36 @@ def metric_sql(ks, source="pl"):
         f"round(avg(CASE WHEN place < {k} THEN 1 / log2(place + 2) ELSE 0.0 END), 8) AS ndcg FROM {source}" for k in ks)
 
 
+def ranked_sql(ks):
+    """Each K over the requests with at least K answers."""
+    return " UNION ALL ".join(
+        f"SELECT CAST({k} AS BIGINT) AS k, count(*) AS requests, round(avg(CASE WHEN place < {k} THEN 1.0 ELSE 0.0 END), 8) AS hr, "
+        f"round(avg(CASE WHEN place < {k} THEN 1 / log2(place + 2) ELSE 0.0 END), 8) AS ndcg FROM pl WHERE beams >= {k} HAVING count(*) > 0" for k in ks)
+
+
 def predictions(spark, sf):
-    """Full-length windows as prediction records: answers quoted as a generator would print them."""
+    """All windows as prediction records: answers quoted as a generator would print them."""
     answers = F.transform(F.reverse(sequences.history_of("sid")), lambda s: F.concat(F.lit('"'), s, F.lit('"\n')))
-    return windows(spark, sf).filter(F.size("history") == G).select(
+    return windows(spark, sf).select(
         "event_id", "uid", "event_type", F.concat("sid", F.lit("\n")).alias("target"), answers.alias("predict"))
 
 
-def rounded(df):
-    return df.select("k", F.round("hr", 8).alias("hr"), F.round("ndcg", 8).alias("ndcg"))
+def rounded(df, *keep):
+    return df.select("k", *keep, F.round("hr", 8).alias("hr"), F.round("ndcg", 8).alias("ndcg"))
 
 
-@query("metrics_ranked", with_sql(*BASE, PREDICTIONS, PLACED, body=metric_sql((1, 3, 5, 10))))
+@query("metrics_ranked", with_sql(*BASE, PREDICTIONS, PLACED, body=ranked_sql((1, 3, 5, 10, 20, 50))))
 def metrics_ranked(spark, sf):
-    return rounded(metrics.ranked_metrics(predictions(spark, sf), "predict", "target"))
+    listed = predictions(spark, sf).withColumn("target", F.array("target"))
+    return rounded(metrics.ranked_metrics(listed, "predict", "target"), "requests")
 
 
-@query("metrics_one_per_group", with_sql(*BASE, PREDICTIONS, PLACED, body=metric_sql((3, 5, 10))))
+@query("metrics_one_per_group", with_sql(*BASE, PREDICTIONS, PLACED, body=ranked_sql((3, 5, 10, 20))))
 def metrics_one_per_group(spark, sf):
     from seqloom.operators.sampling import repeated
 
     many = repeated(predictions(spark, sf), 4)
-    return rounded(metrics.ranked_metrics(metrics.one_per_group(many, ["event_id"], "predict", "target"), "predict", "target", metrics.TRAINING_KS))
+    return rounded(metrics.ranked_metrics(metrics.one_per_group(many, ["event_id"], "predict", "target"), "predict", "target", metrics.TRAINING_KS), "requests")
 
 
 @query("invalid_before_hit", with_sql(*BASE, PREDICTIONS, """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seqloom.catalog.base import query, with_sql
 from seqloom.catalog.inputs import CATALOGUE, HIST, LISTENS, catalogue, listens, table, wall_micros
+from seqloom.functions import text
 from seqloom.operators import sequences
 from seqloom.operators.ranking import chronological_split
 from seqloom.plans.dataset import split_samples, titled_windows
@@ -109,13 +110,13 @@ def typed_header_file(spark, sf):
 
 @query("sequence_folder", with_sql(LISTENS, body="""
     SELECT uid, array_to_string(list(item_id ORDER BY ts, event_id), ',') AS item_ids, array_to_string(list(ts ORDER BY ts, event_id), ',') AS timestamps
-    FROM listens GROUP BY 1 ORDER BY 1 LIMIT 100"""))
+    FROM listens GROUP BY 1"""))
 def sequence_folder(spark, sf):
-    """Sequence Parquet with a train folder and singular names; the first 100 users of the debug option."""
+    """Sequence Parquet with a train folder and singular names, read back whole."""
     path = durable_path(spark, "seq")
     s = sequences.user_sequences(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id", "ts"])
     s.select("uid", F.col("sequence.item_id").alias("item_id"), F.col("sequence.ts").alias("timestamp")).write.parquet(f"{path}/train")
-    rows = readers.read_sequences(spark, path, first=100)
+    rows = readers.read_sequences(spark, path)
     return rows.select("uid", joined("item_ids").alias("item_ids"), joined("timestamps").alias("timestamps"))
 
 
@@ -170,3 +171,97 @@ def codebook_files(spark, sf):
     back = spark.read.schema("code int, centroid array<double>, level int").parquet(f"{path}/codebooks")
     flat = back.select(F.col("code").cast("bigint").alias("code"), F.posexplode("centroid").alias("p", "x"))
     return flat.select("code", (F.col("p") + 1).cast("bigint").alias("d"), F.round("x", 6).alias("x"))
+
+
+# ---- readers: the given tables written in each format by Spark, then read with the reader ----
+@query("review_json", with_sql(LISTENS, body="""
+    SELECT 'u' || uid AS reviewer, CAST(item_id AS VARCHAR) AS asin, round(value, 6) AS overall, ts AS time, event_type AS review FROM listens"""))
+def review_json(spark, sf):
+    path = durable_path(spark, "reviews")
+    rows = listens(spark, sf)
+    rows.select(F.concat(F.lit("u"), F.col("uid").cast("string")).alias("reviewerID"), F.col("item_id").cast("string").alias("asin"), F.col("value").alias("overall"),
+                F.col("ts").alias("unixReviewTime"), F.col("event_type").alias("reviewText"), F.lit("more").alias("style")).write.json(f"{path}/x_5.json")
+    back = readers.read_reviews(spark, folder=path, category="x")
+    return back.select(F.col("reviewerID").alias("reviewer"), "asin", F.round("overall", 6).alias("overall"), F.col("unixReviewTime").alias("time"), F.col("reviewText").alias("review"))
+
+
+@query("metadata_json", """
+    SELECT CAST(p_partkey AS VARCHAR) AS asin, p_name AS title, p_brand || ',' || p_type AS categories FROM part WHERE p_size % 3 > 0""")
+def metadata_json(spark, sf):
+    """Metadata lines with nested categories; blank titles fall to the lenient title rule."""
+    path = durable_path(spark, "metadata")
+    part = table(spark, sf, "part")
+    part.select(F.col("p_partkey").cast("string").alias("asin"), F.when(F.col("p_size") % 3 > 0, F.col("p_name")).otherwise("  ").alias("title"),
+                F.array(F.array(F.lit("x</span>"), F.col("p_brand")), F.array("p_type")).alias("categories")).write.json(path)
+    meta = readers.read_item_meta(spark, path)
+    named = meta.select("asin", text.join_categories(text.parse_categories("categories")).alias("categories"))
+    return readers.valid_titles(meta).join(named, "asin")
+
+
+@query("sid_sample_csv", with_sql(LISTENS, *SPLIT_CTES, body="""
+    SELECT uid || '' AS user_id, array_to_string(hi, ',') AS history_item_id, item_id, 'a, "b" ' || array_to_string(hi, '|a, "b" ') AS titles FROM m"""))
+def sid_sample_csv(spark, sf):
+    """Samples whose list columns are list text with quotes and commas inside."""
+    path = durable_path(spark, "samples")
+    w = sequences.sliding_windows(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id"])
+    ids = sequences.history_of("item_id")
+    titles = F.transform(ids, lambda i: F.concat(F.lit('a, "b" '), i.cast("string")))
+    writers.write_sid_samples(w.select(F.col("uid").cast("string").alias("user_id"), titles.alias("history_item_title"), F.lit("t").alias("item_title"),
+                                       ids.alias("history_item_id"), "item_id", titles.alias("history_item_sid"), F.lit("s").alias("item_sid")), path)
+    back = readers.read_sid_samples(spark, path)
+    return back.select("user_id", joined("history_item_id").alias("history_item_id"), "item_id", F.array_join("history_item_title", "|").alias("titles"))
+
+
+@query("keyed_json_object", "SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS title, p_brand AS brand FROM part")
+def keyed_json_object(spark, sf):
+    """One JSON object of all items, indented, so that it is read in pieces."""
+    path = durable_path(spark, "object")
+    entry = F.concat(F.lit("  "), F.to_json(F.array(F.col("p_partkey").cast("string"))), F.lit(": {\n    "), F.lit('"title": '),
+                     F.to_json(F.array("p_name")), F.lit(',\n    "brand": '), F.to_json(F.array("p_brand")), F.lit("\n  }"))
+    # to_json of a one-element array, without its brackets, is a quoted value
+    table(spark, sf, "part").select(F.regexp_replace(entry, r'\["((?:[^"\\\\]|\\\\.)*)"\]', '"$1"').alias("value")).write.text(path)
+    rows = readers.read_keyed_json(spark, path, "struct<title: string, brand: string>", indent=2)
+    return rows.select("key", "value.title", "value.brand")
+
+
+@query("preference_json", with_sql(LISTENS, """u AS (SELECT uid, list(item_id ORDER BY ts, event_id) AS i FROM listens GROUP BY uid)""", body="""
+    SELECT 'u' || uid AS "user", array_to_string(i[1:-2], ',') AS history, i[-1] AS target FROM u WHERE len(i) >= 2 AND uid % 3 > 0"""))
+def preference_json(spark, sf):
+    path = durable_path(spark, "preferences")
+    s = sequences.user_sequences(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id"]).withColumn("i", F.col("sequence.item_id"))
+    s.select(F.concat(F.lit("u"), F.col("uid").cast("string")).alias("user"), F.lit("likes").alias("user_preference"),
+             F.when(F.col("uid") % 3 > 0, "train").otherwise("test").alias("split"),
+             F.struct(F.slice("i", F.lit(1), F.size("i") - 1).alias("history_items"), F.element_at("i", -1).alias("target_item")).alias("context")).write.json(path)
+    rows = readers.preference_histories(readers.read_preferences(spark, path))
+    return rows.select("user", joined("history").alias("history"), "target")
+
+
+@query("arrow_streams", "SELECT vec_id AS item_id, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
+def arrow_streams(spark, sf):
+    """Vectors written by the tasks as Arrow stream files, one per partition, and read stream by stream."""
+    path = durable_path(spark, "streams")
+
+    def write(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs, ipc
+
+        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store.create_dir(root, recursive=True)
+        name, writer = f"{uuid.uuid4().hex}.arrow", None
+        for batch in batches:
+            if writer is None:
+                sink = store.open_output_stream(f"{root}/{name}")
+                writer = ipc.new_stream(sink, batch.schema)
+            writer.write_batch(batch)
+        if writer is not None:
+            writer.close()
+            sink.close()
+            yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"])], names=["file"])
+
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    files = [r["file"] for r in materialize(vectors.mapInArrow(write, "file string"), "files").collect()]
+    rows = readers.read_arrow_streams(spark, files, "item_id bigint, embedding array<float>")
+    return rows.select("item_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+

@@ -11,6 +11,7 @@ from seqloom.catalog.inputs import (
 from seqloom.functions import text
 from seqloom.operators import aggregates, core, ranking, sampling, sequences
 from seqloom.plans import dataset
+from seqloom.session import materialize
 
 P_KEYS = ["order_id", "line_no", "item_id", "supp_id"]
 HASH = "CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
@@ -248,8 +249,7 @@ def user_sequences(spark, sf):
 
 @query("sequence_item_frequency", with_sql(PURCHASES, body="SELECT item_id AS item, count(*) AS freq FROM purchases GROUP BY 1"))
 def sequence_item_frequency(spark, sf):
-    s = sequences.user_sequences(purchases(spark, sf), "user_id", PURCHASE_ORDER, ["item_id"])
-    return sequences.item_frequency(s.select(F.col("sequence.item_id").alias("items")), "items")
+    return sequences.item_frequency(purchases(spark, sf), "item_id")
 
 
 @query("longest_history", with_sql(LISTENS, W_LISTENS.format(src="listens"), body="""
@@ -263,18 +263,18 @@ def longest_history(spark, sf):
 
 
 @query("sequence_length_histogram", with_sql(LISTENS, body="""
-    SELECT CAST(least(floor(n / 200.0), 49) AS BIGINT) AS bin, count(*) AS n FROM (
-      SELECT uid, count(*) AS n FROM listens GROUP BY uid) WHERE n BETWEEN 0 AND 10000 GROUP BY 1"""))
+    SELECT CASE WHEN n > 70 THEN 35 ELSE CAST(least(floor(n / 2.0), 34) AS BIGINT) END AS bin, count(*) AS n FROM (
+      SELECT uid, count(*) AS n FROM listens GROUP BY uid) GROUP BY 1"""))
 def sequence_length_histogram(spark, sf):
     counts = listens(spark, sf).groupBy("uid").count()
-    return sequences.length_histogram(counts, F.col("count"))
+    return sequences.length_histogram(counts, F.col("count"), bins=35, upper=70.0)
 
 
 @query("short_sequences_dropped", with_sql(LISTENS, body="""
     SELECT uid, item_id, count(*) AS n FROM listens GROUP BY 1, 2 HAVING count(*) >= 2"""))
 def short_sequences_dropped(spark, sf):
     s = sequences.user_sequences(listens(spark, sf).withColumn("k", F.struct("uid", "item_id")), "k", ["ts", "event_id"], ["ts"])
-    return sequences.drop_short(s, "sequence", 2).select("k.uid", "k.item_id", F.size("sequence").cast("bigint").alias("n"))
+    return sequences.drop_short(s, "sequence", "k", 2).select("k.uid", "k.item_id", F.size("sequence").cast("bigint").alias("n"))
 
 
 @query("repeat_flag", with_sql(LISTENS, body="""
@@ -373,9 +373,14 @@ def merge_shards(spark, sf):
     return ranking.global_rank(sharded, ["shard", "row"], "merged_row").select("event_id", "merged_row")
 
 
-@query("negative_items")
+@query("negative_items", with_sql(PURCHASES, """
+    ids AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT item_id FROM purchases)),
+    d AS (SELECT p.*, idx, CAST('0x' || substr(md5(order_id || '/' || line_no || '/' || item_id || '/' || supp_id || '|42'), 1, 15) AS BIGINT) % (n - 1) AS draw
+          FROM purchases p JOIN ids USING (item_id)),
+    g AS (SELECT *, CASE WHEN draw >= idx THEN draw + 1 ELSE draw END AS pick FROM d)""", body="""
+    SELECT order_id, line_no, g.item_id, supp_id, ids.item_id AS negative FROM g JOIN ids ON ids.idx = pick"""))
 def negative_items(spark, sf):
     p = purchases(spark, sf)
-    n = catalogue(spark, sf).count()
-    key = F.concat_ws("|", *P_KEYS)
-    return p.select(*P_KEYS, sampling.uniform_negative(key, F.col("item_id"), n).alias("negative"))
+    ids = materialize(ranking.ids_by_key(p, "item_id", "idx"), "ids")
+    drawn = p.join(ids, "item_id").select(*P_KEYS, sampling.uniform_negative(F.concat_ws("/", *P_KEYS), F.col("idx"), ids.count()).alias("pick"))
+    return drawn.join(ids.select(F.col("item_id").alias("negative"), F.col("idx").alias("pick")), "pick").select(*P_KEYS, "negative")

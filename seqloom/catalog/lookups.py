@@ -206,12 +206,14 @@ def target_text_fallback(spark, sf):
 
 @query("item_features_last_wins", """
     WITH latest AS (SELECT p_name AS asin, max(p_partkey) AS k FROM part GROUP BY 1)
-    SELECT k AS item_id, p_name AS title, p_name || ' in ' || p_type AS description, p_brand AS brand, p_type || ',' || p_brand AS categories
+    SELECT k AS item_id, p_name AS title, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN p_type ELSE p_name || ' in ' || p_type END AS description, p_brand AS brand, p_type || ',' || p_brand AS categories
     FROM latest JOIN part ON p_partkey = k""")
 def item_features_last_wins(spark, sf):
     part = table(spark, sf, "part")
     meta = part.select(
-        F.col("p_name").alias("asin"), F.col("p_name").alias("title"), F.concat("p_name", F.lit(" <b>in</b>  "), "p_type").alias("description"),
+        F.col("p_name").alias("asin"), F.col("p_name").alias("title"),
+        F.when(F.col("p_size") % 4 == 0, "[]").when(F.col("p_size") % 4 == 1, F.concat(F.lit('["'), "p_type", F.lit('", "more"]')))
+        .otherwise(F.concat("p_name", F.lit(" <b>in</b>  "), "p_type")).alias("description"),
         F.concat(F.lit("by\n"), "p_brand").alias("brand"),
         F.concat(F.lit('[["'), "p_type", F.lit('", "x</span>"], [" '), "p_brand", F.lit('"]]')).alias("categories"), "p_partkey")
     items = part.groupBy(F.col("p_name").alias("asin")).agg(F.max("p_partkey").alias("item_id"))

@@ -260,21 +260,19 @@ def mixture_supervised(spark, sf):
         tasks.title_history_to_indexed_sid(s, KEY, known_sids(spark, sf))))
 
 
-@query("mixture_reward_stage", with_sql(*BASE, ITEMS, "d AS (SELECT item_id, sid, CASE WHEN listed THEN title ELSE plain END AS d FROM items)", f"""
-    f AS (SELECT * FROM samples ORDER BY {hash_sql('event_id')}, event_id LIMIT 10000)""", body=digest_sql(
+@query("mixture_reward_stage", with_sql(*BASE, ITEMS, "d AS (SELECT item_id, sid, CASE WHEN listed THEN title ELSE plain END AS d FROM items)", body=digest_sql(
     sid_next_sql("sid_next", tasks.SIDS_QUESTION), pair_sql("title_to_sid", tasks.TITLE_TO_SID, "title", "sid"),
-    pair_sql("description_to_sid", tasks.DESCRIPTION_TO_SID, "d", "sid", "d"), titles_sid_sql("f"))))
+    pair_sql("description_to_sid", tasks.DESCRIPTION_TO_SID, "d", "sid", "d"), titles_sid_sql("samples"))))
 def mixture_reward_stage(spark, sf):
     s, it = samples(spark, sf), items(spark, sf)
     return digest(tasks.mixture(
         tasks.sid_history_to_sid(s, KEY), tasks.item_text_to_sid(it, ["item_id"]),
-        tasks.title_history_to_sid(s, KEY, drop_repeats=False, sample=10_000)))
+        tasks.title_history_to_sid(s, KEY, drop_repeats=False)))
 
 
 @query("task_token_columns", with_sql(*BASE, "t AS (" + sid_next_sql("sid_next", tasks.SIDS_QUESTION) + ")", body="""
-    SELECT event_id, CAST(least(strlen(prompt) + strlen(completion), 400) AS BIGINT) AS tokens,
-      CAST(least(strlen(completion), 400) AS BIGINT) AS learned FROM t"""))
+    SELECT event_id, CAST(strlen(prompt) + strlen(completion) AS BIGINT) AS tokens, CAST(strlen(completion) AS BIGINT) AS learned FROM t"""))
 def task_token_columns(spark, sf):
-    rows = tasks.with_tokens(tasks.sid_history_to_sid(samples(spark, sf), KEY), lambda texts: [list(t.encode()) for t in texts], 400)
+    rows = tasks.with_tokens(tasks.sid_history_to_sid(samples(spark, sf), KEY), lambda texts: [list(t.encode()) for t in texts])
     return rows.select("event_id", F.size("input_ids").cast("bigint").alias("tokens"),
                        F.size(F.filter("labels", lambda x: x != -100)).cast("bigint").alias("learned"))

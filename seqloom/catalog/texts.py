@@ -14,7 +14,7 @@ DECODE = "replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'
 REVIEW = ("trim(regexp_replace(replace(replace(" + DECODE.format(x="regexp_replace({x}, '<[^>]+>', '', 'g')")
           + ", '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))")
 PLAIN = "regexp_replace(regexp_replace(" + DECODE + ", '</?\\w+[^>]*>', '', 'g'), '[\"\\n\\r]', '', 'g')"
-DOT = "CASE WHEN length({x}) >= 1999 AND length(left({x}, 1) || rtrim(substr({x}, 2), '.') || '.') >= 2000 THEN '' ELSE left({x}, 1) || rtrim(substr({x}, 2), '.') || '.' END"
+DOT = "left({x}, 1) || rtrim(substr({x}, 2), '.') || '.'"
 STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
@@ -98,7 +98,11 @@ def words_per_record(spark, sf):
     return aggregates.words_per_record(table(spark, sf, "documents"), "text").withColumn("mean_words", F.round("mean_words", 6))
 
 
-@query("words_dropped")
+@query("words_dropped", """
+    WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM documents),
+    k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM w
+          WHERE CAST('0x' || substr(md5(doc_id || '|' || i || '|42'), 1, 15) AS BIGINT) / 1152921504606846976.0 > 0.2 GROUP BY 1)
+    SELECT doc_id, coalesce(k.text, '') AS text FROM documents LEFT JOIN k USING (doc_id)""")
 def words_dropped(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", text.drop_words("text", "doc_id", 0.2).alias("text"))

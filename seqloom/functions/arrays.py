@@ -32,12 +32,12 @@ def pad_left_in_batch(df: DataFrame, batch: str, values: str, pad: Column) -> Da
     )
 
 
-def training_tokens(prompt: str, answer: str, max_len: int) -> tuple[Column, Column, Column]:
-    """(tokens, mask, labels): prompt positions carry no label; all keep their newest `max_len`."""
+def training_tokens(prompt: str, answer: str, max_len: int | None = None) -> tuple[Column, Column, Column]:
+    """(tokens, mask, labels): prompt positions carry no label; with `max_len`, all keep that many newest."""
     tokens = F.concat(F.col(prompt), F.col(answer))
     mask = F.array_repeat(F.lit(1), F.size(tokens))
     labels = F.concat(F.array_repeat(F.lit(IGNORED_LABEL), F.size(prompt)), F.col(answer))
-    return tuple(keep_last(c, max_len) for c in (tokens, mask, labels))
+    return tuple(c if max_len is None else keep_last(c, max_len) for c in (tokens, mask, labels))
 
 
 def until_end_token(tokens: str, end: Column) -> tuple[Column, Column]:

@@ -45,9 +45,9 @@ def longest_description(description: Column | str, title: Column | str) -> Colum
 
 
 def first_description(description: Column | str) -> Column:
-    """The first element of text of the form ['...'], any other text unchanged."""
+    """The first element of text of the form ['...'] or ["..."], any other text unchanged."""
     text = F.col(description) if isinstance(description, str) else description
-    listed = text.startswith("['") & text.endswith("']")
+    listed = (text.startswith("['") & text.endswith("']")) | (text.startswith('["') & text.endswith('"]'))
     return F.coalesce(F.when(listed, F.get(parse_list(text), F.lit(0))), text)
 
 

@@ -9,13 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqloom.functions.hashing import portable_hash
+
 # Patterns and names that decide what text comes out. Blanks are what Python calls
 # whitespace; word characters are letters, numbers and the underscore of any script.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 ANY_TAG = r"<[^>]+>"
 NAMED_TAG = r"</?[\p{L}\p{N}_]+[^>]*>"
 QUOTES_AND_NEWLINES = r'["\n\r]'
-ENCODER_TEXT_LIMIT = 2000
 TITLE_WORD_LIMIT = 20
 NO_TEXT = "unknown item"
 END_MARKERS = r"<\|im_end\|>|<\|endoftext\|>"
@@ -66,18 +67,24 @@ def _plain(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(unescape(text), NAMED_TAG, ""), QUOTES_AND_NEWLINES, "")
 
 
-def _one_final_dot(text: Column) -> Column:
+def _one_final_dot(text: Column, limit: int | None) -> Column:
     """End with a single dot; the first character is never taken for a trailing dot."""
     ended = F.concat(F.regexp_replace(text, r"(?s)(?<=.)\.+\z", ""), F.lit("."))
-    return F.when(F.length(ended) >= ENCODER_TEXT_LIMIT, F.lit("")).otherwise(ended)
+    return ended if limit is None else F.when(F.length(ended) >= limit, F.lit("")).otherwise(ended)
+
+
+def clean_for_encoder(text: Column | str, limit: int | None = None) -> Column:
+    """Encoder text of a string column; with a limit, texts of that many characters or more become empty."""
+    return _one_final_dot(_plain(strip(F.col(text) if isinstance(text, str) else text)), limit)
 
 
-def clean_for_encoder(text: Column | str) -> Column:
-    """Encoder text of a string column; texts of 2,000 characters or more become empty."""
-    return _one_final_dot(_plain(strip(F.col(text) if isinstance(text, str) else text)))
+def clean_map_for_encoder(texts: Column | str, limit: int | None = None) -> Column:
+    """Encoder text of a map column: keys and values in order, cleaned as a list."""
+    col = F.col(texts) if isinstance(texts, str) else texts
+    return clean_list_for_encoder(F.flatten(F.transform(F.map_entries(col), lambda e: F.array(e["key"], e["value"]))), limit)
 
 
-def clean_list_for_encoder(texts: Column | str) -> Column:
+def clean_list_for_encoder(texts: Column | str, limit: int | None = None) -> Column:
     """Encoder text of an array column: elements cleaned, trimmed and joined by a blank.
 
     The elements travel as one delimited string, so the Arrow step sees one value per row.
@@ -88,7 +95,7 @@ def clean_list_for_encoder(texts: Column | str) -> Column:
         F.split(packed, "\u001f"),
         lambda t: strip(F.regexp_replace(F.regexp_replace(t, NAMED_TAG, ""), QUOTES_AND_NEWLINES, "")),
     )
-    return _one_final_dot(F.when(F.size(col) > 0, F.array_join(parts, " ")).otherwise(F.lit("")))
+    return _one_final_dot(F.when(F.size(col) > 0, F.array_join(parts, " ")).otherwise(F.lit("")), limit)
 
 
 def title_present(title: Column | str) -> Column:
@@ -128,6 +135,13 @@ def parse_categories(raw: Column | str) -> Column:
     return F.coalesce(nested, F.from_json(col, "array<string>"), F.array().cast("array<string>"))
 
 
+def description_text(description: Column | str) -> Column:
+    """Raw description of a metadata file: a JSON list becomes its first element, the empty list empty text."""
+    col = F.col(description) if isinstance(description, str) else description
+    listed = F.from_json(col, "array<string>", {"allowSingleQuotes": "true"})
+    return F.when(col.startswith("[") & col.endswith("]") & listed.isNotNull(), F.coalesce(F.get(listed, F.lit(0)), F.lit(""))).otherwise(col)
+
+
 def join_categories(categories: Column | str) -> Column:
     """Comma-joined categories without leftover markup."""
     col = F.col(categories) if isinstance(categories, str) else categories
@@ -135,9 +149,9 @@ def join_categories(categories: Column | str) -> Column:
     return strip(F.array_join(F.transform(kept, strip), ","))
 
 
-def item_text(title: Column | str, description: Column | str) -> Column:
+def item_text(title: Column | str, description: Column | str, limit: int | None = None) -> Column:
     """Cleaned title and description joined by a blank, or a stand-in when both are empty."""
-    parts = [strip(clean_for_encoder(c)) for c in (title, description)]
+    parts = [strip(clean_for_encoder(c, limit)) for c in (title, description)]
     filled = F.concat_ws(" ", *[F.when(p != "", p) for p in parts])
     return F.when(filled == "", F.lit(NO_TEXT)).otherwise(filled)
 
@@ -186,10 +200,10 @@ def drop_words(text: Column | str, key: Column | str, ratio: float, seed: int =
     """Drop each blank-separated word with probability `ratio`; the draw depends on (key, position, seed) only."""
     col = F.col(text) if isinstance(text, str) else text
     row = (F.col(key) if isinstance(key, str) else key).cast("string")
-    scale = float(2**63)
+    scale = float(2**60)
     kept = F.filter(
         F.split(col, " "),
-        lambda w, i: F.abs(F.xxhash64(row, i, F.lit(seed)).cast("double")) / scale > ratio,
+        lambda w, i: portable_hash(row, i, seed=seed).cast("double") / scale > ratio,
     )
     return F.array_join(kept, " ")
 

@@ -23,7 +23,6 @@ CUT_BITS = 12
 TASK_GROUP_ROWS = 20_000
 LISTED_CODES = 32
 # fixed values
-TEMPERATURE_SAMPLE = 4000
 TEMPERATURE_QUANTILE = 90
 TEMPERATURE_SHARE = 0.1
 TEMPERATURE_FLOOR = 1e-6
@@ -38,8 +37,8 @@ def even_capacities(n: int, k: int) -> np.ndarray:
     return caps
 
 
-def temperature(vectors: DataFrame, centroids: np.ndarray, sample: int = TEMPERATURE_SAMPLE, seed: int = 42) -> float:
-    """A tenth of the median, over sampled items, of the 90th percentile of distance above the nearest code."""
+def temperatures(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """One row, `tau`: a tenth of the median, over all items, of the 90th percentile of distance above the nearest code."""
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def spread(batches):
@@ -50,9 +49,12 @@ def temperature(vectors: DataFrame, centroids: np.ndarray, sample: int = TEMPERA
             s = np.percentile(d - d.min(1, keepdims=True), TEMPERATURE_QUANTILE, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(s)], ["spread"])
 
-    rows = sample_rows(vectors, ["item_id"], sample, seed)
-    mid = rows.select("vec").mapInArrow(spread, "spread double").agg(F.percentile("spread", F.lit(0.5))).first()[0]
-    return max(TEMPERATURE_SHARE * float(mid), TEMPERATURE_FLOOR)
+    middle = F.percentile("spread", F.lit(0.5)) * TEMPERATURE_SHARE
+    return vectors.select("vec").mapInArrow(spread, "spread double").agg(F.greatest(middle, F.lit(TEMPERATURE_FLOOR)).alias("tau"))
+
+
+def temperature(vectors: DataFrame, centroids: np.ndarray) -> float:
+    return float(temperatures(vectors, centroids).first()["tau"])
 
 
 def sinkhorn_bias(
@@ -104,7 +106,7 @@ def _logits(x: np.ndarray, c: np.ndarray, tau: float, centre) -> np.ndarray:
 
 def capacity_assign(
     vectors: DataFrame, centroids: np.ndarray, capacities: np.ndarray, bias: np.ndarray | None = None,
-    tau: float = 1.0, seed: int = 42, listed: int = LISTED_CODES, max_rounds: int = 10_000,
+    tau: float = 1.0, seed: int = 42, listed: int = LISTED_CODES,
 ) -> DataFrame:
     """(item_id, code): items in seeded random order each take their best code that still has room.
 
@@ -120,7 +122,7 @@ def capacity_assign(
     cuts = [(1 << HASH_BITS, 0)] * len(centroids)
     hashed = vectors.select("item_id", "vec", portable_hash("item_id", seed=seed).alias("h"))
     prefs = materialize(_list_codes(hashed, centroids, bias, tau, cuts, listed), "prefs")
-    for _ in range(max_rounds):
+    while True:
         chosen = prefs.select("item_id", "h", _first_open(cuts).alias("code")).persist()
         loads = {r["code"]: r["count"] for r in collect_small(chosen.groupBy("code").count(), len(centroids) + 1, "codes")}
         if sum(loads.values()) > int(np.sum(capacities)):
@@ -137,7 +139,6 @@ def capacity_assign(
         for code, h, item in _new_cuts(chosen.filter(F.col("code").isNotNull()), over) if over else []:
             cuts[code] = (h, item)
         chosen.unpersist()
-    raise RuntimeError(f"no balanced assignment after {max_rounds} rounds")
 
 
 def _first_open(cuts) -> Column:
@@ -200,7 +201,9 @@ def balanced_kmeans(
     vectors = materialize(vectors.select("item_id", "vec"), "vectors")
     caps = even_capacities(vectors.count(), k)
     first = collect_small(sample_rows(vectors, ["item_id"], k, seed), k, "starting centroids")
-    centroids = np.array([r["vec"] for r in first])
+    centroids = np.array([r["vec"] for r in sorted(first, key=lambda r: r["item_id"])])
+    if len(centroids) < k:
+        raise ValueError(f"{len(centroids)} items cannot start {k} codes")
     assigned = None
     for _ in range(max_iter):
         assigned = capacity_assign(vectors, centroids, caps, seed=seed)
@@ -241,7 +244,7 @@ def uniform_mapping(
     n = left.count()
     for level, book in enumerate(books):
         caps = even_capacities(n, len(book))
-        t = tau if tau is not None else temperature(left, book, seed=seed)
+        t = tau if tau is not None else temperature(left, book)
         bias = sinkhorn_bias(left, book, caps, t, iters)
         assigned = capacity_assign(left, book, caps, bias, t, seed + level)
         codes = materialize(codes.join(assigned, "item_id").select(

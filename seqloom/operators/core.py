@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import materialize_counted
+from seqloom.session import discard, stored_counted
 
 
 def degree_edges(df: DataFrame, user: str, item: str) -> DataFrame:
@@ -27,17 +27,19 @@ def prune_round(edges: DataFrame, user_k: int, item_k: int, items_first: bool =
 
 
 def core_edges(
-    edges: DataFrame, user_k: int, item_k: int, items_first: bool = False, max_rounds: int = 200
+    edges: DataFrame, user_k: int, item_k: int, items_first: bool = False
 ) -> tuple[DataFrame, list[int]]:
-    """Prune to the fixpoint. Each round is stored, so the plan stays one round long."""
-    edges, stats = materialize_counted(edges, "core")
-    sizes = [stats["n"]]
-    for _ in range(max_rounds):
-        edges, stats = materialize_counted(prune_round(edges, user_k, item_k, items_first), "core")
-        sizes.append(stats["n"])
+    """Prune to the fixpoint. Each round is stored, so the plan stays one round long; the round before is then deleted."""
+    spark = edges.sparkSession
+    edges, path, n = stored_counted(edges, "core")
+    sizes = [n]
+    while True:
+        edges, newer, n = stored_counted(prune_round(edges, user_k, item_k, items_first), "core")
+        discard(spark, path)
+        path = newer
+        sizes.append(n)
         if sizes[-1] == sizes[-2]:
             return edges, sizes
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
 def restrict_to(df: DataFrame, edges: DataFrame, user: str, item: str) -> DataFrame:
@@ -52,20 +54,20 @@ def restrict_to(df: DataFrame, edges: DataFrame, user: str, item: str) -> DataFr
 
 def k_core(
     df: DataFrame, user: str, item: str, user_k: int = 5, item_k: int | None = None,
-    items_first: bool = False, allowed_items: DataFrame | None = None, max_rounds: int = 200,
+    items_first: bool = False, allowed_items: DataFrame | None = None,
 ) -> DataFrame:
     """Rows left when every user has at least `user_k` rows and every item at least `item_k`.
 
     `allowed_items` (one column named like `item`) is applied once, before the first round.
     """
     source = df if allowed_items is None else df.join(allowed_items, item, "left_semi")
-    edges, _ = core_edges(degree_edges(source, user, item), user_k, item_k or user_k, items_first, max_rounds)
+    edges, _ = core_edges(degree_edges(source, user, item), user_k, item_k or user_k, items_first)
     return restrict_to(source, edges, user, item)
 
 
 def adaptive_window_core(
     load: Callable[[int], DataFrame], user: str, item: str, k: int, start_year: int,
-    min_items: int = 3000, floor_year: int = 1996,
+    min_items: int, floor_year: int = 1996,
 ) -> tuple[DataFrame | None, int]:
     """Widen the time window one year at a time until enough items survive.
 
@@ -83,7 +85,7 @@ def adaptive_window_core(
 
 
 def adaptive_k_core(
-    df: DataFrame, user: str, item: str, user_k: int, item_k: int, max_items: int = 2_000_000,
+    df: DataFrame, user: str, item: str, user_k: int, item_k: int, max_items: int,
 ) -> tuple[DataFrame, int, int]:
     """Raise both thresholds by one until at most `max_items` items survive."""
     edges = degree_edges(df, user, item)

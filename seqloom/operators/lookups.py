@@ -85,7 +85,7 @@ def item_features(items: DataFrame, meta: DataFrame, seq: Sequence[str]) -> Data
     return items.join(latest, "asin").select(
         "item_id",
         F.when(text.title_present("title"), text.strip(F.col("title"))).otherwise(text.clean_review("title")).alias("title"),
-        text.clean_review("description").alias("description"),
+        text.clean_review(text.description_text("description")).alias("description"),
         F.coalesce(text.clean_brand("brand"), F.lit("")).alias("brand"),
         text.join_categories(text.parse_categories("categories")).alias("categories"))
 

@@ -48,12 +48,26 @@ def per_k(sums: DataFrame, ks: Sequence[int], count: str, keep: Sequence[str] =
 
 
 def ranked_metrics(df: DataFrame, predict: str, target: str, ks: Sequence[int] = BEAM_KS, clean: bool = True) -> DataFrame:
-    """(k, hr, ndcg) over ranked answer lists; K above the shortest list is left out."""
+    """(k, requests, hr, ndcg) over ranked answer lists: each K over the requests that list at least K answers.
+
+    A target may be a list; its first entry counts. K without such a request is left out.
+    """
+    if df.schema[target].dataType.typeName() == "array":
+        df = df.withColumn(target, F.get(target, F.lit(0)))
     answers = clean_answers(predict) if clean else F.col(predict)
     wanted = answer_core(target) if clean else F.col(target)
     placed = df.select(hit_place(answers, wanted).alias("place"), F.size(predict).alias("beams"))
-    sums = placed.agg(*at_ks(F.col("place"), ks), F.count(F.lit(1)).alias("n"), F.min("beams").alias("beams"))
-    return per_k(sums, ks, "n", ["beams"]).filter(F.col("k") <= F.col("beams")).drop("beams")
+    sums = placed.agg(*[c for k in ks for c in _usable(k)])
+    rows = F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.col(f"n{k}").alias("requests"), F.try_divide(f"h{k}", f"n{k}").alias("hr"),
+                              F.try_divide(f"g{k}", f"n{k}").alias("ndcg")) for k in ks])
+    return sums.select(F.explode(rows).alias("m")).select("m.*").filter("requests > 0")
+
+
+def _usable(k: int) -> list[Column]:
+    """Requests with at least k answers, their hits and gains within k."""
+    enough, inside = F.col("beams") >= k, F.col("place") < k
+    return [F.count_if(enough).alias(f"n{k}"), F.sum(F.when(enough & inside, 1.0).otherwise(0.0)).alias(f"h{k}"),
+            F.sum(F.when(enough & inside, gain(F.col("place"))).otherwise(0.0)).alias(f"g{k}")]
 
 
 def one_per_group(df: DataFrame, group: Sequence[str], predict: str, target: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.functions.hashing import portable_hash
 from seqloom.session import materialize, setting
 
 PART = "__part"
@@ -15,13 +16,6 @@ HISTOGRAM_BUCKETS = 4096
 DRIVER_ROWS = 20_000
 
 
-def portable_hash(*cols: Column | str, seed: int = 42) -> Column:
-    """60-bit non-negative hash of the values and a seed: any engine with md5 gives the same number."""
-    text = F.concat_ws("|", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols],
-                       F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
-
-
 def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Range-partition on a total order and pin each row's partition number.
 

@@ -43,13 +43,14 @@ def rank_penalty(df: DataFrame, group: Sequence[str], pos: str, completion: str,
 def semantic_reward(df: DataFrame, vectors: DataFrame, target_item: str, candidate_item: str, name: str = "semantic_reward") -> DataFrame:
     """Cosine similarity of target and candidate vectors; `vectors` is (item_id, embedding).
 
-    Vectors are joined to the distinct pairs only; the wide rows get the finished number.
+    Vectors are joined to the distinct pairs only; the wide rows get the finished number. Without one of the two vectors
+    (or with a null id) the reward is 0, and the row stays.
     """
     t = vectors.select(F.col("item_id").alias(target_item), F.col("embedding").alias("__t"))
     c = vectors.select(F.col("item_id").alias(candidate_item), F.col("embedding").alias("__c"))
     pairs = df.select(target_item, candidate_item).distinct().join(t, target_item).join(c, candidate_item)
     scored = pairs.select(target_item, candidate_item, cosine("__t", "__c").alias(name))
-    return df.join(scored, [target_item, candidate_item])
+    return df.join(scored, [target_item, candidate_item], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
 def transition_scores(samples: DataFrame, last: str, target: str) -> DataFrame:

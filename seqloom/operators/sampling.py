@@ -72,6 +72,9 @@ def grouped_repeats(df: DataFrame, keys: Sequence[str], times: int, seed: int =
 
 
 def uniform_negative(key: Column, target: Column, items: int, seed: int = 42) -> Column:
-    """A uniform item in [0, items) other than the target: draw from one fewer and step over the target."""
-    draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(items - 1))
+    """A uniform item in [0, items) other than the target: draw from one fewer and step over the target.
+
+    Items are dense numbers; other ids are mapped to such numbers first (`ranking.dense_ids`).
+    """
+    draw = portable_hash(key, seed=seed) % (items - 1)
     return F.when(draw >= target, draw + 1).otherwise(draw)

@@ -21,7 +21,7 @@ def sliding_windows(
     """For every row but a user's first: the up to `width` rows before it, oldest first.
 
     Adds `history`, an array of structs of `fields`. A user above the heavy-key limit is cut
-    into slices; each slice borrows the last `width` rows of the one before it. `counted` is a
+    into slices; each slice borrows the last `width` rows before it, from as many slices as hold them. `counted` is a
     narrower table with the same rows per user to look for such users in.
     """
     past = F.collect_list(F.struct(*fields))
@@ -32,9 +32,9 @@ def sliding_windows(
     light = df.join(heavy, user, "left_anti").withColumn("history", past.over(spec))
     placed = position_in_key(df.join(heavy, user, "left_semi"), [user], order, "__pos", heavy_rows)
     own = F.expr(f"__pos div {slice_rows}L")
-    lends = F.expr(f"__pos % {slice_rows}L >= {max(slice_rows - width, 0)}L")
+    # a row is in its own slice and in every later one that begins within the next `width` rows
     sliced = placed.withColumn("__own", own).withColumn(
-        "__slice", F.explode(F.when(lends, F.array(own, own + 1)).otherwise(F.array(own))))
+        "__slice", F.explode(F.sequence(own, F.expr(f"(__pos + {width}L) div {slice_rows}L"))))
     in_slice = Window.partitionBy(user, "__slice").orderBy("__pos").rowsBetween(-width, -1)
     spread = (
         sliced.withColumn("history", past.over(in_slice))
@@ -89,8 +89,10 @@ def order_within_users(df: DataFrame, user: str, order: Sequence[str]) -> DataFr
     return df.repartitionByRange(user, *order).sortWithinPartitions(user, *order)
 
 
-def drop_short(df: DataFrame, sequence: str, least: int = 2) -> DataFrame:
-    return df.filter(F.size(sequence) >= least)
+def drop_short(df: DataFrame, sequence: str, user: str, least: int = 2) -> DataFrame:
+    """Rows of users whose segments together hold at least `least` entries."""
+    long_enough = df.groupBy(user).agg(F.sum(F.size(sequence)).alias("__n")).filter(F.col("__n") >= least).select(user)
+    return df.join(long_enough, user, "left_semi")
 
 
 def repeats_last(target: str, history: str) -> Column:
@@ -104,14 +106,16 @@ def longest_history(df: DataFrame, user: str, history: str, seq: str, keep: Sequ
     return df.groupBy(user).agg(best.alias("__best")).select(user, "__best.*")
 
 
-def item_frequency(df: DataFrame, sequence: str, item: str = "item") -> DataFrame:
-    """Occurrences of every item over all sequences."""
-    return df.select(F.explode(sequence).alias(item)).groupBy(item).agg(F.count(F.lit(1)).alias("freq"))
+def item_frequency(df: DataFrame, items: str, item: str = "item") -> DataFrame:
+    """Occurrences of every item: over sequences when the column holds arrays, else over the rows of a log."""
+    listed = df.schema[items].dataType.typeName() == "array"
+    return df.select((F.explode(items) if listed else F.col(items)).alias(item)).groupBy(item).agg(F.count(F.lit(1)).alias("freq"))
 
 
 def length_histogram(df: DataFrame, length: Column, bins: int = 50, upper: float = 10000.0) -> DataFrame:
-    """Counts per equal-width bin on [0, upper]; the last bin includes its upper edge."""
+    """Counts per equal-width bin on [0, upper]; the last of them includes its upper edge, bin `bins` holds all above."""
     width = upper / bins
-    inside = df.select(length.cast("double").alias("len")).filter(F.col("len").between(0, upper))
-    bin_no = F.least(F.floor(F.col("len") / width), F.lit(bins - 1)).cast("bigint")
-    return inside.groupBy(bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(length.cast("double").alias("len"))
+    inside = F.least(F.floor(F.col("len") / width), F.lit(bins - 1)).cast("bigint")
+    bin_no = F.when(F.col("len") > upper, F.lit(bins).cast("bigint")).otherwise(inside)
+    return rows.groupBy(bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

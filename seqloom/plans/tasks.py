@@ -196,7 +196,7 @@ def mixture(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def with_tokens(rows: DataFrame, encode: Callable[[list[str]], list[list[int]]], max_len: int = 2048) -> DataFrame:
+def with_tokens(rows: DataFrame, encode: Callable[[list[str]], list[list[int]]], max_len: int | None = None) -> DataFrame:
     """Adds `input_ids`, `attention_mask` and `labels` from a caller-supplied batch tokenizer, run on Arrow batches.
 
     Rows without a completion (evaluation) keep all their prompt tokens and carry no labels.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,7 +35,7 @@ def durable_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if root:
         return f"{root.rstrip('/')}/seqloom/{app}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="seqloom-")
@@ -64,9 +65,23 @@ def materialize_counted(df: DataFrame, label: str = "table", **metrics) -> tuple
     return table, dict(seen.get)
 
 
+def stored_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame, str, int]:
+    """(table, path, row count) of `df` written to the shared folder, for loops that `discard` what they replaced."""
+    path = durable_path(df.sparkSession, label)
+    seen = Observation(f"{label}-{uuid.uuid4().hex[:8]}")
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path, dict(seen.get)["n"]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def collect_small(df: DataFrame, bound: int, what: str) -> list:
-    """Collect a result whose row count is bounded by a parameter, not by the data; refuse a surprise."""
-    rows = df.collect()
+    """Collect a result whose row count is bounded by a parameter, not by the data; refuse a surprise before it is here."""
+    rows = df.limit(bound + 1).collect()
     if len(rows) > bound:
-        raise ValueError(f"{what}: {len(rows)} rows, expected at most {bound}")
+        raise ValueError(f"{what}: more than the {bound} rows expected")
     return rows

@@ -11,29 +11,32 @@ from seqloom.functions.arrays import keep_last
 
 # Headers and limits of the text formats.
 COMPACT_HEADER = ("user_id:token", "item_id_list:token_seq", "item_id:token")
-COMPACT_HISTORY = 50
 WINDOW_COLUMNS = (
     "user_id", "item_asins", "item_asin", "history_item_id", "item_id", "history_item_title", "item_title",
     "history_rating", "rating", "history_timestamp", "timestamp",
 )
 
 
-def compact_rows(df: DataFrame, user: str, history: str, target: str, *extra: Column) -> DataFrame:
-    """Compact sample lines: the newest 50 history ids joined by blanks."""
-    ids = F.transform(keep_last(history, COMPACT_HISTORY), lambda x: x.cast("string"))
+def _newest(history: str, newest: int | None) -> Column:
+    return F.col(history) if newest is None else keep_last(history, newest)
+
+
+def compact_rows(df: DataFrame, user: str, history: str, target: str, *extra: Column, newest: int | None = None) -> DataFrame:
+    """Compact sample lines: the history ids (or the `newest` of them) joined by blanks."""
+    ids = F.transform(_newest(history, newest), lambda x: x.cast("string"))
     return df.select(*extra, F.col(user).alias(COMPACT_HEADER[0]), F.array_join(ids, " ").alias(COMPACT_HEADER[1]),
                      F.col(target).alias(COMPACT_HEADER[2]))
 
 
-def write_compact(df: DataFrame, path: str, user: str, history: str, target: str, split: str) -> None:
+def write_compact(df: DataFrame, path: str, user: str, history: str, target: str, split: str, newest: int | None = None) -> None:
     """One TSV folder per split, `split=<name>`, in one pass."""
-    rows = compact_rows(df, user, history, target, F.col(split).alias("split"))
+    rows = compact_rows(df, user, history, target, F.col(split).alias("split"), newest=newest)
     rows.write.partitionBy("split").mode("overwrite").csv(path, sep="\t", header=True)
 
 
-def write_compact_parquet(df: DataFrame, path: str, user: str, history: str, target: str, split: str) -> None:
+def write_compact_parquet(df: DataFrame, path: str, user: str, history: str, target: str, split: str, newest: int | None = None) -> None:
     df.select(F.col(split).alias("split"), F.col(user).alias("user_id"),
-              keep_last(history, COMPACT_HISTORY).alias("item_id_list"), F.col(target).alias("item_id")
+              _newest(history, newest).alias("item_id_list"), F.col(target).alias("item_id")
               ).write.partitionBy("split").mode("overwrite").parquet(path)
 
 

@@ -12,8 +12,8 @@ SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 NEEDS_MEDIUM = {"core_adaptive_window"}
 # thresholds no row of the smallest tables reaches
 EMPTY_WHEN_SMALL = {"core_listens", "pruned_interactions"}
-# long loops without SQL, whose invariants test_balance.py checks on the same vectors
-IN_BALANCE_TESTS = {"balanced_kmeans_codes", "uniform_mapping_codes", "collisions_resolved", "residual_kmeans_codes"}
+# long loops, whose invariants test_balance.py checks on the same vectors
+IN_BALANCE_TESTS = {"balanced_kmeans_codes", "uniform_mapping_codes", "collisions_resolved"}
 
 
 @pytest.fixture(scope="module")

@@ -45,6 +45,18 @@ def test_sequences_on_hot_user(hot):
     assert max(r["segment"] for r in out if r["u"] == 0) > 0
 
 
+def test_short_users_are_judged_by_all_their_segments(spark):
+    df = spark.range(301).select(F.lit(0).alias("u"), F.col("id").alias("ts")).union(spark.range(1).select(F.lit(1).alias("u"), "id"))
+    out = sequences.user_sequences(df, "u", ["ts"], ["ts"], heavy_rows=200, segment_rows=100)
+    assert [r["u"] for r in sequences.drop_short(out, "sequence", "u").collect()] == [0] * 4
+
+
+def test_windows_wider_than_a_slice(spark):
+    df = spark.range(60).select(F.lit(0).alias("u"), F.col("id").alias("ts"))
+    got = {r["ts"]: [h["ts"] for h in r["history"]] for r in sequences.sliding_windows(df, "u", ["ts"], ["ts"], 10, heavy_rows=20, slice_rows=4).collect()}
+    assert got == {n: list(range(max(0, n - 10), n)) for n in range(1, 60)}
+
+
 def test_positions_agree(hot):
     plain = ranking.position_in_key(hot, ["u"], ["ts", "event"]).select("event", "pos")
     spread = ranking.position_in_key(hot, ["u"], ["ts", "event"], limit=50).select("event", "pos")
@@ -168,3 +180,17 @@ def test_caller_reward_gets_its_columns(spark):
     df = spark.createDataFrame([("p", "abc", 2), ("q", "a", 5)], "p string, c string, w int")
     got = df.select(caller_reward(lambda prompts, completions, w: [len(c) * x for c, x in zip(completions, w)], "p", "c", "w").alias("r"))
     assert [r["r"] for r in got.collect()] == [6.0, 5.0]
+
+
+def test_core_leaves_one_stored_table(spark):
+    """A chain that loses one layer per round: many rounds, one table left at the end."""
+    import glob
+
+    from seqloom.session import durable_root
+
+    root = durable_root(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/core-*"))
+    chain = spark.range(12).select(F.col("id").alias("u"), F.col("id").alias("i")).union(spark.range(11).select("id", F.col("id") + 1))
+    edges, sizes = core.core_edges(core.degree_edges(chain, "u", "i"), 2, 2)
+    assert edges.count() == 0 and len(sizes) > 5
+    assert len(set(glob.glob(f"{root}/core-*")) - before) == 1

@@ -1,15 +1,31 @@
-"""Text rules on hand-written rows, against plain Python."""
-
-import html
-import re
+"""Text rules on hand-written rows."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import arrays, prompts, sids, text
 
-TEXTS = ["", "  ", "plain", "a<b>c</b> <i>d", "x &amp;quot; y &amp;amp; z", "&lt;b&gt;bold&lt;/b&gt; tail...", "...", ".", "end..", "no<!-- c -->",
-         "a  b\n\tc", "\x1ctab\x1f", '"q"\r\nline', "y" * 1998, "y" * 1999, "y" * 2000, "é ü</Ünder x>", "1 < 2 > 0", "&copy &notit;"]
+# text, what review cleaning gives, what encoder cleaning gives
+CASES = [
+    ("", "", "."),
+    ("  ", "", "."),
+    ("plain", "plain", "plain."),
+    ("a<b>c</b> <i>d", "ac d", "ac d."),
+    ("x &amp;quot; y &amp;amp; z", 'x " y & z', "x &quot; y &amp; z."),
+    ("&lt;b&gt;bold&lt;/b&gt; tail...", "<b>bold</b> tail...", "bold tail."),
+    ("...", "...", ".."),
+    (".", ".", ".."),
+    ("end..", "end..", "end."),
+    ("no<!-- c -->", "no", "no<!-- c -->."),
+    ("a  b\n\tc", "a b c", "a  b\tc."),
+    ("\x1ctab\x1f", "tab", "tab."),
+    ('"q"\r\nline', '"q" line', "qline."),
+    ("y" * 3000, "y" * 3000, "y" * 3000 + "."),
+    ("é ü</Ünder x>", "é ü", "é ü."),
+    ("1 < 2 > 0", "1 0", "1 < 2 > 0."),
+    ("&copy &notit;", "© ¬it;", "© ¬it;."),
+]
+TEXTS = [c[0] for c in CASES]
 
 
 def column(spark, values, expr, ddl="string"):
@@ -17,28 +33,18 @@ def column(spark, values, expr, ddl="string"):
     return [r["o"] for r in df.select("i", expr.alias("o")).orderBy("i").collect()]
 
 
-def review(t):
-    t = html.unescape(re.sub(r"<[^>]+>", "", t or "")).replace("&quot;", '"').replace("&amp;", "&")
-    return " ".join(t.split())
-
-
-def encoder(t, listed=False):
-    def plain(x):
-        return re.sub(r'["\n\r]*', "", re.sub(r"</?\w+[^>]*>", "", html.unescape(x)))
-
-    t = " ".join(plain(x).strip() for x in t) if listed else plain(t.strip())
-    core = t[:1] + t[1:].rstrip(".") + "."
-    return "" if len(core) >= 2000 else core
-
-
 def test_review_cleaning(spark):
-    assert column(spark, [*TEXTS, None], text.clean_review("t")) == [review(t) for t in [*TEXTS, None]]
+    assert column(spark, [*TEXTS, None], text.clean_review("t")) == [*[c[1] for c in CASES], ""]
 
 
 def test_encoder_cleaning(spark):
-    assert column(spark, TEXTS, text.clean_for_encoder("t")) == [encoder(t) for t in TEXTS]
-    lists = [TEXTS[:4], [], ["a..", "b.."], [TEXTS[4], TEXTS[16]]]
-    assert column(spark, lists, text.clean_list_for_encoder("t"), "array<string>") == [encoder(x, True) for x in lists]
+    assert column(spark, TEXTS, text.clean_for_encoder("t")) == [c[2] for c in CASES]
+    short = ["y" * 1998, "y" * 1999, "y" * 2000]
+    assert column(spark, short, text.clean_for_encoder("t", limit=2000)) == ["y" * 1998 + ".", "", ""]
+    lists = [TEXTS[:4], [], ["a..", "b.."], [TEXTS[4], TEXTS[14]]]
+    wanted = ["  plain ac d.", ".", "a.. b.", "x &quot; y &amp; z é ü."]
+    assert column(spark, lists, text.clean_list_for_encoder("t"), "array<string>") == wanted
+    assert column(spark, [{"k": "v..", "l": "<b>w</b>"}], text.clean_map_for_encoder("t"), "map<string,string>") in (["k v.. l w."], ["l w k v."])
 
 
 def test_titles(spark):
@@ -50,7 +56,8 @@ def test_titles(spark):
 
 def test_item_text(spark):
     df = spark.createDataFrame([("A.", "<b></b>"), ("y" * 2500, "z" * 2500)], "a string, b string")
-    assert [r[0] for r in df.select(text.item_text("a", "b")).collect()] == ["A. .", "unknown item"]
+    assert [r[0] for r in df.select(text.item_text("a", "b", 2000)).collect()] == ["A. .", "unknown item"]
+    assert [r[0] for r in df.select(text.item_text("a", "b")).collect()] == ["A. .", "y" * 2500 + ". " + "z" * 2500 + "."]
 
 
 def test_categories_and_brand(spark):
@@ -62,7 +69,7 @@ def test_categories_and_brand(spark):
 def test_descriptions(spark):
     rows = [None, "", "  ", "plain", "['a']", "['', 'bb', 'cc']", "[]", "[broken", '["x", "it\'s"]', "['it\\'s']"]
     assert column(spark, rows, prompts.longest_description("t", F.lit("T"))) == ["T", "T", "T", "plain", "a", "bb", "T", "[broken", "it's", "it's"]
-    assert column(spark, rows, prompts.first_description("t")) == [None, "", "  ", "plain", "a", "", "[]", "[broken", '["x", "it\'s"]', "it's"]
+    assert column(spark, rows, prompts.first_description("t")) == [None, "", "  ", "plain", "a", "", "[]", "[broken", "x", "it's"]
 
 
 def test_track_titles(spark):
