@@ -2,8 +2,9 @@
 
 Shingles are ordered from rare to frequent by counts over all documents. A document with n shingles that needs an overlap of
 at least a with any partner looks only at its first n - a + l shingles; two linked documents then share at least the smaller
-of their two l among them. Every document picks its own l: lengthening the prefix scans more list entries but leaves fewer
-candidates to verify, and the estimated cost of both decides. Verification counts the whole sets.
+of their two l among them. Every document picks its own l from 1 to `MAX_EXTRA`: lengthening the prefix scans more list
+entries but leaves fewer candidates to verify. The lengths of the lists estimate both costs, and the cheapest l is taken.
+Verification counts the whole sets.
 
 Steps: documents with equal sets form a class. Each class first meets the leader of the list it shares most entries with;
 verified pairs join into components. The exact pass then pairs classes of different components only: within a list, members
@@ -33,6 +34,7 @@ from seqloom.llm.components import connected_components, discard, stored
 
 WIDTH, PERCENT = 3, 90
 SKETCH_BITS, MAX_EXTRA = 18, 8
+BROADCAST_BYTES = 32 << 20
 SCAN_COST, VERIFY_COST, ROW_COST = 1.0, 20.0, 2.0
 
 
@@ -96,33 +98,19 @@ def min_overlap(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def choose_prefixes(hashes: np.ndarray, at: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order each set from rare to frequent and pick how many extra shingles its prefix gets.
-
-    Returns the ordered hashes, the extra length of each document and the prefix length of each.
-    """
+def longest_prefixes(hashes: np.ndarray, at: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each set from rare to frequent, and how many of them its longest prefix has."""
     cell = counts[(hashes & np.uint64(len(counts) - 1)).astype(np.int64)]
-    owner = W.owners(at)
-    hashes = hashes[order := np.lexsort((hashes, cell, owner))]
-    # other documents expected on each list, beyond what crowding of cells explains
-    crowd = counts.sum() / len(counts)
-    others = np.maximum(cell[order] - crowd - 3 * np.sqrt(crowd) - 1, 0.0)
-    run = np.append(0.0, np.cumsum(others))
     n = np.diff(at)
     need = min_overlap(n, percent)
-    best, cost = np.ones(len(n), np.int64), np.full(len(n), np.inf)
-    for extra in range(1, MAX_EXTRA + 1):
-        scanned = run[at[:-1] + np.minimum(n - need + extra, n)] - run[at[:-1]]
-        here = np.where(extra <= np.maximum(need, 1), SCAN_COST * scanned + VERIFY_COST * scanned / extra + ROW_COST * extra, np.inf)
-        best, cost = np.where(here < cost, extra, best), np.minimum(cost, here)
-    return hashes, best, np.minimum(n - need + best, n)
+    return hashes[np.lexsort((hashes, cell, W.owners(at)))], n - need + np.minimum(need, MAX_EXTRA)
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(id, n, key, extra, prefix) of every document; the key names its set, null when empty."""
+    """(id, n, key, prefix) of every document; the key names its set, null when empty, the prefix is the longest allowed."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int64))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()),
-                           T.StructField("extra", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+                           T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -131,12 +119,12 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, wi
             for lo, hi, data, offsets in W.text_chunks(W.arrow_column(batch, text_col)):
                 hashes, at = shingle_sets(data, offsets, width)
                 keys = set_keys(hashes, at)
-                ordered, extra, size = choose_prefixes(hashes, at, table, percent)
+                ordered, size = longest_prefixes(hashes, at, table, percent)
                 stops = np.append(0, np.cumsum(size))
                 take = np.repeat(at[:-1] - stops[:-1], size) + np.arange(stops[-1])
                 prefix = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(ordered[take].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(keys, pa.binary()), pa.array(extra.astype(np.int32)), prefix],
+                    [ids.slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(keys, pa.binary()), prefix],
                     names=[f.name for f in schema])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
@@ -158,10 +146,18 @@ def keyed_texts(docs: DataFrame, text_col: str, width: int, keep: list[str]) ->
     return docs.select(*names).mapInArrow(run, schema)
 
 
+def small(df: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
+    """`df` for a broadcast join if its counted size allows; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if n_rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole shingle sets reach the threshold."""
     pairs, pairs_path = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "key", "rep"), "node")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node")
+    wanted, wanted_path = stored(wanted, "wanted")
+    # a row is an id, a node and a key of 16 bytes, with room for ids that are short strings
+    wanted = small(wanted, wanted.count(), 200)
     texts = keyed_texts(docs.select(F.col(id_col).alias("_j_id"), F.col(text_col).alias("_j_text")), "_j_text", width, ["_j_id", "_j_text"])
     # the class's own document, by set and id, so that copies are left behind
     texts = (texts.join(wanted, (F.col("_j_key") == F.col("key")) & F.col("_j_id").eqNullSafe(F.col("rep")))
@@ -189,14 +185,28 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
                 yield part.select(["a", "b"]).filter(linked)
 
     out, _ = stored(rows.mapInArrow(check, "a bigint, b bigint"), "links")
-    for path in (pairs_path, texts_path):
+    for path in (pairs_path, wanted_path, texts_path):
         discard(docs.sparkSession, path)
     return out
 
 
+def adapted(entries: DataFrame, percent: int) -> DataFrame:
+    """The list entries (token, node, n, pos, c, lead) within the prefix each class chooses, with its extra length `extra`."""
+    need = F.floor((percent * F.col("n") + 99) / 100).cast("int")
+    lengths = range(1, MAX_EXTRA + 1)
+    # entries of lists that no other class is on were dropped before; they cost nothing
+    scans = entries.groupBy("node", "n").agg(*[F.sum(F.when(F.col("pos") < F.col("n") - need + k, F.col("c") - 1).otherwise(0)).alias(f"s{k}")
+                                               for k in lengths])
+    costs = [F.struct(F.when(k <= need, SCAN_COST * F.col(f"s{k}") + VERIFY_COST * F.col(f"s{k}") / k + ROW_COST * k)
+                      .otherwise(F.lit(float("inf"))).alias("cost"), F.lit(k).alias("k")) for k in lengths]
+    chosen = scans.select("node", F.array_min(F.array(*costs))["k"].alias("extra"))
+    return entries.join(chosen, "node").where(F.col("pos") < F.col("n") - need + F.col("extra")).drop("c")
+
+
 def _leader_pairs(entries: DataFrame) -> DataFrame:
     """For every class the leader (smallest class) of the lists it shares most entries with."""
-    shared = entries.where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("c"))
+    shared = (entries.where("node <> lead").groupBy("node", "lead", "extra").agg(F.count(F.lit(1)).alias("c"))
+              .where("c >= extra").drop("extra"))
     best = shared.groupBy("node").agg(F.max("c").alias("c"))
     # among equals the smallest leader; both aggregates combine before they shuffle
     return (shared.join(best, ["node", "c"]).groupBy("node").agg(F.min("lead").alias("lead"))
@@ -229,14 +239,20 @@ def _cross_pairs(entries: DataFrame, parts: DataFrame, percent: int) -> DataFram
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
                  sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
     """Per document (id, n, key) and per set (key, rep, component_id), the component named by its smallest id."""
+    spark = docs.sparkSession
     counts = shingle_counts(docs, text_col, width, sketch_bits)
-    found, _ = stored(prefixes(docs, id_col, text_col, counts, width, percent), "prefixes")
-    classes = (found.where("key IS NOT NULL").groupBy("key")
-               .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("extra").alias("extra"), F.first("prefix").alias("prefix")))
-    classes, _ = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    entries = classes.select("node", F.col("n").cast("int").alias("n"), "extra", F.posexplode("prefix").alias("pos", "token"))
-    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead")).where("c > 1").drop("c")
-    entries, _ = stored(entries.join(lists, "token"), "entries")
+    raw, raw_path = stored(prefixes(docs, id_col, text_col, counts, width, percent), "prefixes")
+    found, _ = stored(raw.select("id", "n", "key"), "sets")
+    wide = raw.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    wide, wide_path = stored(wide.withColumn("node", F.monotonically_increasing_id()), "classes")
+    discard(spark, raw_path)
+    classes, _ = stored(wide.select("node", "key", "rep"), "classes")
+    entries = wide.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead")).where("c > 1")
+    entries, entries_path = stored(entries.join(lists, "token"), "entries")
+    discard(spark, wide_path)
+    entries, _ = stored(adapted(entries, percent), "adapted")
+    discard(spark, entries_path)
     args = (classes, docs, id_col, text_col, width, percent)
     links = verified(_leader_pairs(entries), *args)
     more = verified(_cross_pairs(entries, connected_components(links), percent), *args)
