@@ -33,7 +33,7 @@ from seqloom.llm import words as W
 from seqloom.llm.components import connected_components, discard, stored
 
 WIDTH, PERCENT = 3, 90
-SKETCH_BITS, MAX_EXTRA = 18, 8
+SKETCH_BITS, MAX_EXTRA = 20, 16
 BROADCAST_BYTES = 32 << 20
 SCAN_COST, VERIFY_COST, ROW_COST = 1.0, 20.0, 2.0
 
@@ -191,31 +191,37 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
 
 
 def adapted(entries: DataFrame, percent: int) -> DataFrame:
-    """The list entries (token, node, n, pos, c, lead) within the prefix each class chooses, with its extra length `extra`."""
+    """The list entries (token, node, n, pos, c) within the prefix each class chooses, with its extra length `extra`.
+
+    `hub` counts the entries a class shares with others in its longest prefix: where a group of copies has an original, that
+    shares the most, as it has no words of its own.
+    """
     need = F.floor((percent * F.col("n") + 99) / 100).cast("int")
     lengths = range(1, MAX_EXTRA + 1)
     # entries of lists that no other class is on were dropped before; they cost nothing
-    scans = entries.groupBy("node", "n").agg(*[F.sum(F.when(F.col("pos") < F.col("n") - need + k, F.col("c") - 1).otherwise(0)).alias(f"s{k}")
+    scans = entries.groupBy("node", "n").agg(F.count(F.lit(1)).alias("hub"), *[F.sum(F.when(F.col("pos") < F.col("n") - need + k, F.col("c") - 1).otherwise(0)).alias(f"s{k}")
                                                for k in lengths])
     costs = [F.struct(F.when(k <= need, SCAN_COST * F.col(f"s{k}") + VERIFY_COST * F.col(f"s{k}") / k + ROW_COST * k)
                       .otherwise(F.lit(float("inf"))).alias("cost"), F.lit(k).alias("k")) for k in lengths]
-    chosen = scans.select("node", F.array_min(F.array(*costs))["k"].alias("extra"))
+    chosen = scans.select("node", "hub", F.array_min(F.array(*costs))["k"].alias("extra"))
     return entries.join(chosen, "node").where(F.col("pos") < F.col("n") - need + F.col("extra")).drop("c")
 
 
 def _leader_pairs(entries: DataFrame) -> DataFrame:
-    """For every class the leader (smallest class) of the lists it shares most entries with."""
-    shared = (entries.where("node <> lead").groupBy("node", "lead", "extra").agg(F.count(F.lit(1)).alias("c"))
-              .where("c >= extra").drop("extra"))
+    """For every class the leader of the lists it shares most entries with; a list's leader is its class of largest `hub`."""
+    leads = entries.groupBy("token").agg(F.max(F.struct("hub", -F.col("node"))).alias("best")).select(
+        "token", (-F.col("best.col2")).alias("lead"))
+    shared = (entries.join(leads, "token").where("node <> lead").groupBy("node", "lead", "extra").agg(F.count(F.lit(1)).alias("c"))
+              .where("c >= extra"))
     best = shared.groupBy("node").agg(F.max("c").alias("c"))
-    # among equals the smallest leader; both aggregates combine before they shuffle
+    # among equals the smallest leader; all these aggregates combine before they shuffle
     return (shared.join(best, ["node", "c"]).groupBy("node").agg(F.min("lead").alias("lead"))
             .select(F.col("lead").alias("a"), F.col("node").alias("b")))
 
 
 def _cross_pairs(entries: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components that share enough prefix entries."""
-    rows = entries.join(parts, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component", "lead")
+    rows = entries.join(parts, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component", "hub")
     rows, _ = stored(rows, "entries")
     sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     # the largest component of each list, named by count and then by number
@@ -231,9 +237,15 @@ def _cross_pairs(entries: DataFrame, parts: DataFrame, percent: int) -> DataFram
     near = ((F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
             & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
             & (100 * nx >= percent * ny) & (100 * ny >= percent * nx) & (most >= need))
-    return (x.join(y, near)
-            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.extra", "y.extra").alias("e"))
-            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("e").alias("e")).where("c >= e").select("a", "b"))
+    first = F.col("x.node") < F.col("y.node")
+    met = x.join(y, near).select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.extra", "y.extra").alias("e"), need.alias("need"),
+        *[F.when(first, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(name)
+          for p, q, c, name in (("x", "y", "n", "na"), ("y", "x", "n", "nb"), ("x", "y", "pos", "pa"), ("y", "x", "pos", "pb"))])
+    # after the last common entry of the prefixes, the shorter of the two rests limits what can still be shared
+    rest = F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
+    return (met.groupBy("a", "b", "e", "need", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+            .where((F.col("c") >= F.col("e")) & (F.col("c") + rest >= F.col("need"))).select("a", "b"))
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
@@ -248,7 +260,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     discard(spark, raw_path)
     classes, _ = stored(wide.select("node", "key", "rep"), "classes")
     entries = wide.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead")).where("c > 1")
+    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     entries, entries_path = stored(entries.join(lists, "token"), "entries")
     discard(spark, wide_path)
     entries, _ = stored(adapted(entries, percent), "adapted")
