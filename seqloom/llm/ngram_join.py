@@ -33,7 +33,7 @@ from seqloom.llm import words as W
 from seqloom.llm.components import connected_components, discard, stored
 
 WIDTH, PERCENT = 3, 90
-SKETCH_BITS, MAX_EXTRA = 20, 16
+SKETCH_BITS, MAX_EXTRA = 19, 16
 BROADCAST_BYTES = 32 << 20
 SCAN_COST, VERIFY_COST, ROW_COST = 1.0, 20.0, 2.0
 
@@ -87,9 +87,9 @@ def shingle_counts(docs: DataFrame, text_col: str, width: int, bits: int) -> np.
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
 
-    rows = (docs.select(text_col).mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas())
+    rows = docs.select(text_col).mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(cells, np.int64)
-    out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
