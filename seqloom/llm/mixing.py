@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqloom.operators.ranking import dense_ids
+from seqloom.session import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 SLOTS = 4096  # parts of a source's shuffled stream, by the leading hex digits of the shuffle key
 SHARE, MAX_REPEATS = 1.5, 2
@@ -50,30 +53,27 @@ def source_targets(sizes: DataFrame, schedules: list[list[tuple[float, float]]],
                    max_repeats: int) -> DataFrame:
     """Targets per source from (`_mx_source`, `_mx_size`): shares by weight, no source above `max_repeats` times its size.
 
-    Capped sources are those that fill first when a common level rises, so they are a prefix in the order of cap by
-    weight; one pass over running sums finds it. The table has one row per source.
+    A common level rises, and sources above their cap leave it, until none does. Only sums over the sources reach the driver.
     """
     def literal(knots):
         return F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(w)).alias("w")) for t, w in knots])
 
-    order = Window.orderBy(F.col("_mx_source").isNull(), "_mx_source")
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(schedules)))
-    knots = F.get(F.array(*[literal(k) for k in schedules]), turn)
-    table = (sizes.withColumn("_mx_knots", knots).withColumn("_mx_area", schedule_area(F.col("_mx_knots")))
-             .withColumn("_mx_weight", F.element_at("_mx_area", -1))
-             .withColumn("_mx_cap", F.col("_mx_size") * max_repeats))
-    fill = Window.orderBy(F.col("_mx_cap") / F.col("_mx_weight"), F.col("_mx_source").isNull(), "_mx_source")
-    every = Window.partitionBy(F.lit(0))
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    budget = F.sum("_mx_size").over(every) * share
-    level = (budget - F.coalesce(F.sum("_mx_cap").over(before), F.lit(0))) / (
-        F.sum("_mx_weight").over(every) - F.coalesce(F.sum("_mx_weight").over(before), F.lit(0.0)))
-    return (table.withColumn("_mx_level", level)
-            .withColumn("_mx_free", F.col("_mx_level") * F.col("_mx_weight") <= F.col("_mx_cap"))
-            .withColumn("_mx_final", F.max(F.when(F.col("_mx_free"), F.col("_mx_level"))).over(every))
-            .withColumn("_mx_target", F.when(F.col("_mx_free"), F.col("_mx_final") * F.col("_mx_weight"))
-                        .otherwise(F.col("_mx_cap").cast("double")))
-            .select("_mx_source", F.col("_mx_size").alias("_mx_source_size"), "_mx_target", "_mx_knots", "_mx_area"))
+    ranked = dense_ids(sizes.withColumn("_mx_last", F.col("_mx_source").isNull()), ["_mx_last", "_mx_source"], "_mx_rank")
+    knots = F.get(F.array(*[literal(k) for k in schedules]), F.col("_mx_rank") % len(schedules))
+    table = materialize(
+        ranked.withColumn("_mx_knots", knots).withColumn("_mx_area", schedule_area(F.col("_mx_knots")))
+        .withColumn("_mx_weight", F.element_at("_mx_area", -1)).withColumn("_mx_cap", F.col("_mx_size") * max_repeats)
+        .drop("_mx_last", "_mx_rank"), "sources")
+    level, capped = 0.0, -1
+    while True:
+        over = F.lit(level) * F.col("_mx_weight") > F.col("_mx_cap")
+        sums = table.agg(F.coalesce(F.sum("_mx_size"), F.lit(0)).alias("all"), F.count_if(over).alias("n"), F.sum(F.when(over, F.col("_mx_cap"))).alias("held"),
+                         F.sum(F.when(~over, F.col("_mx_weight"))).alias("free")).first()
+        if sums["n"] == capped or not sums["free"]:
+            break
+        capped, level = sums["n"], (sums["all"] * share - (sums["held"] or 0)) / sums["free"]
+    target = F.when(over, F.col("_mx_cap").cast("double")).otherwise(F.lit(level) * F.col("_mx_weight"))
+    return table.select("_mx_source", F.col("_mx_size").alias("_mx_source_size"), target.alias("_mx_target"), "_mx_knots", "_mx_area")
 
 
 def assign_positions(docs: DataFrame, schedules: list[list[tuple[float, float]]] = SCHEDULES, share: float = SHARE,
