@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from seqloom.llm import words as W
 from seqloom.llm.components import connected_components, discard, stored
@@ -146,9 +147,9 @@ def keyed_texts(docs: DataFrame, text_col: str, width: int, keep: list[str]) ->
     return docs.select(*names).mapInArrow(run, schema)
 
 
-def small(df: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
-    """`df` for a broadcast join if its counted size allows; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if n_rows * row_bytes <= BROADCAST_BYTES else df
+def small(side: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
+    """`side` for a broadcast join if its counted size allows; otherwise as it is, for a shuffled join."""
+    return F.broadcast(side) if n_rows * row_bytes <= BROADCAST_BYTES else side
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -161,9 +162,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     texts = keyed_texts(docs.select(F.col(id_col).alias("_j_id"), F.col(text_col).alias("_j_text")), "_j_text", width, ["_j_id", "_j_text"])
     # the class's own document, by set and id, so that copies are left behind
     texts = (texts.join(wanted, (F.col("_j_key") == F.col("key")) & F.col("_j_id").eqNullSafe(F.col("rep")))
-             .select("node", F.col("_j_text").alias("text")))
+             .select("node", F.col("_j_text").alias("text")).dropDuplicates(["node"]))
     texts, texts_path = stored(texts, "texts")
-    texts = texts.dropDuplicates(["node"])
     rows = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b"))
 
@@ -204,7 +204,10 @@ def adapted(entries: DataFrame, percent: int) -> DataFrame:
     costs = [F.struct(F.when(k <= need, SCAN_COST * F.col(f"s{k}") + VERIFY_COST * F.col(f"s{k}") / k + ROW_COST * k)
                       .otherwise(F.lit(float("inf"))).alias("cost"), F.lit(k).alias("k")) for k in lengths]
     chosen = scans.select("node", "hub", F.array_min(F.array(*costs))["k"].alias("extra"))
-    return entries.join(chosen, "node").where(F.col("pos") < F.col("n") - need + F.col("extra")).drop("c")
+    # how many entries before this one could match anything; matches of two prefixes always lie in both
+    before = Window.partitionBy("node").orderBy("pos")
+    return (entries.join(chosen, "node").withColumn("live", F.row_number().over(before) - 1)
+            .where(F.col("pos") < F.col("n") - need + F.col("extra")).drop("c"))
 
 
 def _leader_pairs(entries: DataFrame) -> DataFrame:
@@ -222,30 +225,45 @@ def _leader_pairs(entries: DataFrame) -> DataFrame:
 def _cross_pairs(entries: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components that share enough prefix entries."""
     rows = entries.join(parts, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component", "hub")
-    rows, _ = stored(rows, "entries")
-    sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    rows, rows_path = stored(rows, "entries")
+    # linked classes share an entry already in their shortest prefixes; lists of those are enough to find the pairs
+    heads = rows.where(F.col("pos") <= F.col("n") - F.floor((percent * F.col("n") + 99) / 100))
+    sizes = heads.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     # the largest component of each list, named by count and then by number
     lists = (sizes.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max("c").alias("top")).where("comps > 1"))
     main = sizes.join(lists, "token").where("c = top").groupBy("token").agg(F.max("comp").alias("main"))
-    live, _ = stored(rows.join(main, "token"), "live")
-    small = live.where("comp <> main")
-    x, y = small.alias("x"), live.alias("y")
+    live, live_path = stored(heads.join(main, "token"), "live")
+    x, y = live.where("comp <> main").alias("x"), live.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
     need = F.ceil(percent * (nx + ny) / (100 + percent))
-    # what two sets can still share, given where a common entry stands in each
-    most = F.least("x.pos", "y.pos") + 1 + F.least(nx - 1 - F.col("x.pos"), ny - 1 - F.col("y.pos"))
+    # what two sets can share at most, given where a common entry stands in each and how many before it could match
+    most = F.least("x.live", "y.live") + 1 + F.least(nx - 1 - F.col("x.pos"), ny - 1 - F.col("y.pos"))
     near = ((F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
             & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
             & (100 * nx >= percent * ny) & (100 * ny >= percent * nx) & (most >= need))
-    first = F.col("x.node") < F.col("y.node")
-    met = x.join(y, near).select(
-        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.extra", "y.extra").alias("e"), need.alias("need"),
-        *[F.when(first, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(name)
-          for p, q, c, name in (("x", "y", "n", "na"), ("y", "x", "n", "nb"), ("x", "y", "pos", "pa"), ("y", "x", "pos", "pb"))])
+    met = x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    met, met_path = stored(met, "met")
+    # the whole prefixes of both, which a document's length bounds
+    ends = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
+    sides, sides_path = stored(rows.join(ends, "node").groupBy("node", "n", "extra").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("es")), "sides")
+
+    def side(end: str) -> DataFrame:
+        return sides.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "extra", "es")])
+
+    both = met.join(side("a"), "a").join(side("b"), "b")
+    both = both.withColumn("common", F.array_intersect(F.col("es_a.token"), F.col("es_b.token")))
+    last = F.try_element_at("common", F.lit(-1))
+
+    def place(end: str):
+        return F.get(F.col(f"es_{end}"), (F.array_position(F.col(f"es_{end}.token"), last) - 1).cast("int"))["pos"]
+
     # after the last common entry of the prefixes, the shorter of the two rests limits what can still be shared
-    rest = F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    return (met.groupBy("a", "b", "e", "need", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-            .where((F.col("c") >= F.col("e")) & (F.col("c") + rest >= F.col("need"))).select("a", "b"))
+    rest = F.least(F.col("n_a") - 1 - place("a"), F.col("n_b") - 1 - place("b"))
+    enough = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    pairs, _ = stored(both.where((F.size("common") >= F.least("extra_a", "extra_b")) & (F.size("common") + rest >= enough)).select("a", "b"), "cross")
+    for path in (rows_path, live_path, met_path, sides_path):
+        discard(entries.sparkSession, path)
+    return pairs
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
