@@ -101,13 +101,15 @@ def cut_rows(
     rank to one bucket, again and again until the bucket holds at most `small` rows, which
     are compared on the driver. Only a value that is itself repeated more often than that has
     its tied rows ranked, by ranges. Whatever the distribution, no task sorts the table.
+    Rows without a leading value come first, and no cut falls among them.
     """
     lead, keys = order[0], df.select(*order)
-    lo, hi, n = keys.agg(F.min(lead), F.max(lead), F.count(lead)).first()
-    wanted = list(ranks(n or 0))
+    lo, hi, valued, n = keys.agg(F.min(lead), F.max(lead), F.count(lead), F.count(F.lit(1))).first()
+    first = n - valued
+    wanted = [max(r, first) for r in ranks(n)]
     open_ranges = {}
-    if n:
-        open_ranges[(int(lo), int(hi), 0, n)] = sorted({r for r in wanted if 0 <= r < n})
+    if valued:
+        open_ranges[(int(lo), int(hi), first, valued)] = sorted({r for r in wanted if r < n})
     ready: dict[tuple[int, int, int, int], list[int]] = {}
     found: dict[int, tuple] = {}
     while open_ranges:
@@ -128,7 +130,7 @@ def cut_rows(
         for (a, b, below, _), group in ready.items():
             here = [r for r in rows if a <= r[0] <= b]
             found.update({g: here[g - below] for g in group})
-    return n or 0, [found.get(r) for r in wanted]
+    return n, [found.get(r) for r in wanted]
 
 
 def _narrow(keys: DataFrame, lead: str, a: int, b: int, below: int, group: Sequence[int]) -> dict:
@@ -147,7 +149,7 @@ def _narrow(keys: DataFrame, lead: str, a: int, b: int, below: int, group: Seque
 
 
 def before(order: Sequence[str], cut: tuple | None, schema) -> Column:
-    """True for rows that sort before the cut row; all rows when there is no cut row."""
+    """True for rows that sort before the cut row, nulls first; all rows when there is no cut row."""
     if cut is None:
         return F.lit(True)
     here, smaller = F.lit(False), F.lit(True)
@@ -155,7 +157,7 @@ def before(order: Sequence[str], cut: tuple | None, schema) -> Column:
         literal = F.lit(value).cast(schema[name].dataType)
         here = here | (smaller & (F.col(name) < literal))
         smaller = smaller & (F.col(name) == literal)
-    return here
+    return F.coalesce(here, F.lit(True))
 
 
 def split_cuts(keys: DataFrame, order: Sequence[str], fractions: Sequence[float] = (0.8, 0.9)) -> list[tuple | None]:

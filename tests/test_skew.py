@@ -194,3 +194,13 @@ def test_core_leaves_one_stored_table(spark):
     edges, sizes = core.core_edges(core.degree_edges(chain, "u", "i"), 2, 2)
     assert edges.count() == 0 and len(sizes) > 5
     assert len(set(glob.glob(f"{root}/core-*")) - before) == 1
+
+
+def test_rows_without_time_come_first(spark):
+    rows = [(None if i % 4 == 0 else 100 - i, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "ts long, id long")
+    got = {r["id"]: r["split"] for r in ranking.chronological_split(df, ["ts", "id"]).collect()}
+    order = [i for _, i in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+    assert got == {i: "train" if k < 32 else "valid" if k < 36 else "test" for k, i in enumerate(order)}
+    late = spark.createDataFrame([(None, i) for i in range(9)] + [(5, 9)], "ts long, id long")
+    assert {r["id"]: r["split"] for r in ranking.chronological_split(late, ["ts", "id"]).collect()} == {**{i: "train" for i in range(9)}, 9: "test"}
