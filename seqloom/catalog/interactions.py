@@ -170,6 +170,23 @@ def core_window_split_summary(spark, sf):
     return aggregates.split_summary(marked, "uid", "item_id", "split")
 
 
+@query("dataset_from_log", with_sql(
+    LISTENS, *core_ctes("listens", "uid", "item_id", 10, 10, 6),
+    "users AS (SELECT uid, row_number() OVER (ORDER BY min(ts), uid) - 1 AS user_idx FROM core GROUP BY uid)",
+    "walk AS (SELECT item_id, row_number() OVER (ORDER BY user_idx, ts, event_id) AS r FROM core JOIN users USING (uid))",
+    "items AS (SELECT item_id, row_number() OVER (ORDER BY min(r)) - 1 AS item_idx FROM walk GROUP BY item_id)",
+    "numbered AS (SELECT * FROM core JOIN users USING (uid) JOIN items USING (item_id))",
+    """later AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY ts, event_id) AS i,
+      list(item_idx) OVER (PARTITION BY user_idx ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS h FROM numbered)""",
+    "samples AS (SELECT * FROM later WHERE i > 1)", SPLIT.format(out="marked", order="ts, event_id", src="samples"),
+    body="SELECT split, user_idx, item_idx, event_id, array_to_string(h, ',') AS history FROM marked"))
+def dataset_from_log(spark, sf):
+    """Log to numbered, split training samples as one plan."""
+    made = dataset.dataset_from_log(listens(spark, sf), "uid", "item_id", ["ts", "event_id"], 10)["samples"]
+    history = F.array_join(F.transform("history", lambda h: h["item_idx"].cast("string")), ",")
+    return made.select("split", "user_idx", "item_idx", "event_id", history.alias("history"))
+
+
 @query("split_purchases", with_sql(
     PURCHASES, f"later AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {ROUND_ORDER}) AS i FROM purchases)",
     "samples AS (SELECT * FROM later WHERE i > 1)", SPLIT.format(out="marked", order=ROUND_ORDER, src="samples"),

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.ranking import label_splits, split_cuts
+from seqloom.operators.core import k_core
+from seqloom.operators.ranking import item_ids_by_appearance, label_splits, split_cuts, user_ids_by_appearance
 from seqloom.operators.sequences import sliding_windows
 from seqloom.session import materialize
 
@@ -36,3 +37,19 @@ def split_samples(
     targets = events.select(user, *order).join(firsts, user).filter(F.struct(*order) != F.col("__first"))
     keys = materialize(targets.select(*order), "targets")
     return label_splits(sliding_windows(events, user, order, fields), order, split_cuts(keys, order, fractions))
+
+
+def dataset_from_log(
+    events: DataFrame, user: str, item: str, order: Sequence[str], user_k: int, item_k: int | None = None,
+    fields: Sequence[str] = (),
+) -> dict[str, DataFrame]:
+    """A log to a dataset: k-core, dense ids by appearance, sliding windows split by time.
+
+    `samples` has user_idx, item_idx, history (structs of item_idx and `fields`) and split; `users` and `items` map the ids.
+    The core and the numbered log are stored once, and every later step reads those.
+    """
+    kept = materialize(k_core(events, user, item, user_k, item_k), "kept")
+    users = materialize(user_ids_by_appearance(kept, user, order), "users")
+    items = materialize(item_ids_by_appearance(kept, user, item, order), "items")
+    numbered = materialize(kept.join(users, user).join(items, item), "numbered")
+    return {"samples": split_samples(numbered, "user_idx", order, ["item_idx", *fields]), "users": users, "items": items}
