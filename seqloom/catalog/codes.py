@@ -9,8 +9,10 @@ from seqloom.catalog.inputs import CATALOGUE, catalogue, table
 from seqloom.functions import arrays, sids
 from seqloom.operators import aggregates, balance, quantize
 from seqloom.operators.ranking import dense_ids
-from seqloom.session import materialize
-from seqloom.sources.readers import sanitized_stats
+from seqloom.plans.sid_index import sid_index
+from seqloom.session import durable_path, materialize
+from seqloom.sources import writers
+from seqloom.sources.readers import read_json_lines, sanitized_stats
 
 CLASSES, LEVELS, DIM = 8, 3, 64
 
@@ -264,6 +266,18 @@ def residual_kmeans_codes(spark, sf):
     return rows.select("*", F.lit(steps.first()["error_falls"]).alias("error_falls"))
 
 
+@query("sid_index_from_vectors", "SELECT vec_id AS item_id, true AS levels_fit, true AS is_unique FROM embeddings")
+def sid_index_from_vectors(spark, sf):
+    """Vectors to codes to unique tokens to an index file and back: every item with a SID of its own."""
+    _, index = sid_index(vectors(spark, sf), 16, 3)
+    path = durable_path(spark, "index")
+    writers.write_sid_index(index, path, "item_id", "tokens")
+    back = read_json_lines(spark, path, "key string, value array<string>").select(
+        F.col("key").cast("bigint").alias("item_id"), F.size("value").between(3, 4).alias("levels_fit"), F.array_join("value", "").alias("sid"))
+    owners = back.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
+    return back.join(owners, "sid").select("item_id", "levels_fit", (F.col("n") == 1).alias("is_unique"))
+
+
 @query("balanced_kmeans_codes", even_sizes_sql(2, 8))
 def balanced_kmeans_codes(spark, sf):
     """Items per level and code of a fit that honours even sizes."""
