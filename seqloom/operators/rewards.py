@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.arrays import cosine
@@ -32,12 +32,14 @@ def rank_penalties(group_size: int) -> list[float]:
 
 def rank_penalty(df: DataFrame, group: Sequence[str], pos: str, completion: str, target: str, group_size: int,
                  name: str = "rank_reward") -> DataFrame:
-    """In groups with a hit, misses are penalised by place and hits get 0; groups without one get 0."""
+    """In groups with a hit, misses are penalised by place and hits get 0; groups without one get 0.
+
+    A group has `group_size` rows, so one window over it takes one shuffle, shared with later windows on the group.
+    """
     hit = same_answer(completion, target, blanks=False)
-    any_hit = df.groupBy(*group).agg(F.max(hit).alias("__any"))
+    any_hit = F.max(hit).over(Window.partitionBy(*group))
     share = F.get(F.array(*[F.lit(p) for p in rank_penalties(group_size)]), F.col(pos).cast("int"))
-    value = F.when(F.col("__any") & ~hit, share).otherwise(F.lit(0.0))
-    return df.join(any_hit, list(group)).withColumn(name, value).drop("__any")
+    return df.withColumn(name, F.when(any_hit & ~hit, share).otherwise(F.lit(0.0)))
 
 
 def semantic_reward(df: DataFrame, vectors: DataFrame, target_item: str, candidate_item: str, name: str = "semantic_reward") -> DataFrame:
@@ -106,10 +108,10 @@ def caller_reward(fn: Callable[..., Sequence[float]], prompt: str, completion: s
 
 
 def advantages(df: DataFrame, group: Sequence[str], reward: str, name: str = "advantage") -> DataFrame:
-    """(reward - group mean) / (group sample deviation + 1e-4)."""
-    stats = df.groupBy(*group).agg(F.avg(reward).alias("__mean"), F.stddev_samp(reward).alias("__std"))
-    value = (F.col(reward) - F.col("__mean")) / (F.col("__std") + ADVANTAGE_FLOOR)
-    return df.join(stats, list(group)).withColumn(name, value).drop("__mean", "__std")
+    """(reward - group mean) / (group sample deviation + 1e-4), in one window over the group's few rows."""
+    same = Window.partitionBy(*group)
+    value = (F.col(reward) - F.avg(reward).over(same)) / (F.stddev_samp(reward).over(same) + ADVANTAGE_FLOOR)
+    return df.withColumn(name, value)
 
 
 def select_completions(df: DataFrame, group: Sequence[str], pos: str, completion: str, target: str, g: int) -> DataFrame:
