@@ -13,6 +13,7 @@ from seqloom.functions import prompts, sids
 from seqloom.operators import lookups, sequences
 from seqloom.plans import tasks
 from seqloom.plans.dataset import titled_windows
+from seqloom.session import materialize
 
 KEY = ["event_id"]
 CATEGORY = "tracks"
@@ -253,7 +254,7 @@ def digest_sql(*parts):
     pair_sql("sid_to_title", tasks.SID_TO_TITLE, "sid", "title"), pair_sql("title_to_sid", tasks.TITLE_TO_SID, "title", "sid"),
     item_text_sql("sids_to_item_title", tasks.SIDS_TITLE_QUESTION, "coalesce(kt, sid)"), title_next_sql("title_next", TITLE_LINE), indexed_sid_sql("g"))))
 def mixture_supervised(spark, sf):
-    s, it = samples(spark, sf), items(spark, sf)
+    s, it = materialize(samples(spark, sf), "samples"), items(spark, sf)
     return digest(tasks.mixture(
         tasks.sid_history_to_sid(s, KEY, tasks.SID_INSTRUCTION), tasks.item_identification(it, ["item_id"]),
         tasks.sid_history_to_item_text(s, KEY, known_items(spark, sf), ["item_id"]), tasks.title_history_to_title(s, KEY, CATEGORY),
@@ -264,7 +265,7 @@ def mixture_supervised(spark, sf):
     sid_next_sql("sid_next", tasks.SIDS_QUESTION), pair_sql("title_to_sid", tasks.TITLE_TO_SID, "title", "sid"),
     pair_sql("description_to_sid", tasks.DESCRIPTION_TO_SID, "d", "sid", "d"), titles_sid_sql("samples"))))
 def mixture_reward_stage(spark, sf):
-    s, it = samples(spark, sf), items(spark, sf)
+    s, it = materialize(samples(spark, sf), "samples"), items(spark, sf)
     return digest(tasks.mixture(
         tasks.sid_history_to_sid(s, KEY), tasks.item_text_to_sid(it, ["item_id"]),
         tasks.title_history_to_sid(s, KEY, drop_repeats=False)))

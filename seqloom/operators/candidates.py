@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.ranking import keep_first_per_key
+from seqloom.session import materialize
 
 END = "</s>"
 BLOCKED = -1_000_000.0  # fixed value: added to the log-probability of a token the catalogue does not allow
@@ -39,8 +40,10 @@ def allowed_tokens(requests: DataFrame, allowed: DataFrame, prefix: str = "prefi
 def log_softmax(scores: DataFrame, group: Sequence[str], score: str, name: str = "logp") -> DataFrame:
     """score - log(sum(exp(score))) per group, shifted by the group's maximum.
 
-    Two map-side-combined aggregates joined back: a group spread over many tasks is never gathered.
+    Two map-side-combined aggregates joined back: a group spread over many tasks is never gathered. The scores are stored
+    once, as all three passes read them.
     """
+    scores = materialize(scores, "scores")
     top = scores.groupBy(*group).agg(F.max(score).alias("__top"))
     sums = scores.join(top, list(group)).groupBy(*group, "__top").agg(F.sum(F.exp(F.col(score) - F.col("__top"))).alias("__sum"))
     norm = F.col("__top") + F.log("__sum")
@@ -63,8 +66,10 @@ def expand_beams(
     `scores` is (request, step, token, score); total score is the plain sum, without a length
     penalty. Each step joins the open beams to their allowed next tokens and keeps the best per
     request, trimmed inside map tasks before the shuffle. Ties go to the smaller path text. The
-    first step starts from the request's own scores, as the empty prefix is shared by all.
+    first step starts from the request's own scores, as the empty prefix is shared by all. The scores are stored once,
+    since every step reads its part of them.
     """
+    scores = materialize(scores.select(request, "step", "token", "score"), "scores")
     steps_only = rows.filter(F.col("next") != end)
     roots = steps_only.filter(F.col("prefix") == "").select("next")
     open_beams = None
