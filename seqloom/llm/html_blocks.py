@@ -6,8 +6,10 @@ page before and after it. The labelled blocks, in page order, are the main text.
 seeded page layouts (`html_training`), a fixed small number, and its weights (some hundred kilobytes) go to the tasks.
 
 Defined results. Null or empty page, or one without text: empty text, length 0. Broken markup never fails: unclosed elements
-end with their parents, stray end tags are ignored, an unclosed comment or script runs to the end. Repeated rows are handled
-alike. Empty table: empty result. Other columns pass through; internal columns start with `_h_`.
+end with their parents, stray end tags are ignored, an unclosed comment, script or other raw text runs to the end. Drawings and
+formulas end with their parents or at the next element that only HTML has; their text, and that of objects and templates, is read
+like any other, with the element on the path. Repeated rows are handled alike. Empty table: empty result. Other columns pass
+through; internal columns start with `_h_`.
 """
 
 from __future__ import annotations
@@ -28,10 +30,18 @@ PATH_DIM, LEAF_DIM, WORD_DIM, PLAIN_DIM = 256, 24, 32, 6
 INPUT_DIM = PATH_DIM + LEAF_DIM + WORD_DIM + PLAIN_DIM
 # element classes of the HTML standard
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-SKIPPED = set("script style noscript template title svg math iframe object head".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike "
-             "strong sub sup time tt u var wbr br".split())
-SCOPES = set("html body article section main aside nav header footer div table ul ol dl form blockquote figure td th".split())
+RAW = set("script style noscript title iframe".split())  # text up to the end tag, not shown
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark math mi mn mo ms mtext object q "
+             "s samp small span strike strong sub sup svg time tt u var wbr br".split())
+SCOPES = set("html body article section main aside nav header footer div table ul ol dl form blockquote figure td th object template "
+             "foreignobject".split())
+FOREIGN = {"svg", "math"}
+EMBEDDED = FOREIGN | {"object"}
+HOLDS_HTML = set("foreignobject desc annotation-xml mi mn mo ms mtext".split())  # inside drawings and formulas
+FOREIGN_BLOCKS = {"text", "desc", "foreignobject"}  # all other elements of drawings and formulas stand in the line
+ENDS_FOREIGN = SCOPES - {"object", "template", "foreignobject"} | set(
+    "address b big br button caption center code dd details dt em embed fieldset figcaption h1 h2 h3 h4 h5 h6 head hr i img legend li "
+    "meta option p pre s select small span strong strike sub summary sup tbody tfoot thead tr tt u var".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
             "option": {"option"}}
 
@@ -68,27 +78,44 @@ def page_blocks(html: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     place: tuple | None = None
-    linked, anchors, pos, end = 0, 0, 0, len(html)
+    aside = False  # the place is that of an embedded element, until text outside of it comes
+    linked, anchors, embedded, pos, end = 0, 0, 0, 0, len(html)
 
     def flush() -> None:
-        nonlocal place, linked
+        nonlocal place, aside, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 blocks.append(Block(text, place[0], place[1], linked))
             parts.clear()
-        place, linked = None, 0
+        place, aside, linked = None, False, 0
 
     def say(raw: str) -> None:
-        nonlocal place, linked
+        nonlocal place, aside, linked
         text = unescape(raw) if "&" in raw else raw
         parts.append(text)
-        if place is None and not text.isspace():
+        if (place is None or aside and not embedded) and not text.isspace():
+            aside = embedded > 0
             leaf = next((tag for tag, _ in reversed(stack) if tag not in INLINE), "")
             place = (tuple(marks for _, marks in stack), leaf)
         if anchors:
             linked += len(text)
 
+    def close(i: int) -> None:
+        nonlocal anchors, embedded
+        anchors -= sum(t == "a" for t, _ in stack[i:])
+        embedded -= sum(t in EMBEDDED for t, _ in stack[i:])
+        del stack[i:]
+
+    def foreign() -> int:
+        """Where in the stack the drawing or formula begins whose elements are read now, or -1."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in FOREIGN:
+                return i
+            if stack[i][0] in HOLDS_HTML:
+                break
+        return -1
+
     while pos < end:
         m = _TAG.search(html, pos)
         if m is None:
@@ -100,38 +127,47 @@ def page_blocks(html: str) -> list[Block]:
         tag = m[2]
         if tag is None:
             if html.startswith("<!--", m.start()):
-                close = html.find("-->", m.start() + 4)
-                pos = end if close < 0 else close + 3
+                after = html.find("-->", m.start() + 4)
+                pos = end if after < 0 else after + 3
             continue
         tag, attributes = tag.lower(), m[3] or m[4] or ""  # the second form has an unclosed quote
-        inline = tag in INLINE
+        root = foreign() if embedded else -1
+        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1) if m[1] else -1
+        if tag in ENDS_FOREIGN and not m[1]:
+            while root >= 0:
+                close(root)
+                root = foreign()
+        # an end tag from outside the drawing or formula is one of HTML
+        inline = tag in INLINE or root >= 0 and tag not in FOREIGN_BLOCKS and tag not in ENDS_FOREIGN and (at < 0 or at >= root)
         if not inline:
             flush()
         if tag == "br":
             parts.append(" ")
         elif m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    anchors -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
-        elif tag in SKIPPED and tag != "head":
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, pos)
-            pos = end if close is None else close.end()
+            if at >= 0:
+                close(at)
+        elif tag in RAW and (root < 0 or not attributes.endswith("/")):
+            # inside a drawing or formula it ends there at the latest
+            until = f"{tag}|{stack[root][0]}" if root >= 0 else re.escape(tag)
+            after = re.compile(rf"</({until})(?=[\s/>])[^>]*>?", re.I).search(html, pos)
+            if after is not None:
+                pos = after.end() if after[1].lower() == tag else after.start()
+            elif root < 0:
+                pos = end
         elif tag in VOID or tag == "head":
             pass
         else:
             ended = ENDED_BY.get(tag) or (() if inline else {"p"})
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if root < 0 else ():
                 if stack[i][0] in ended:
-                    anchors -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in SCOPES:
                     break
             if not attributes.endswith("/"):
                 stack.append((tag, _marks(tag, attributes)))
                 anchors += tag == "a"
+                embedded += tag in EMBEDDED
     flush()
     return blocks
 

@@ -8,6 +8,15 @@ BROKEN = {"": [], "plain": ["plain"], "<p>a<p>b": ["a", "b"], "<p>a <b>b<br>c</p
           "a &lt;b&gt; &amp;amp; &#233;&nbsp;c": ["a <b> &amp; é c"], '<p title="a>b">c</p>': ["c"], "<p title=\"a>b": ["b"], "< p>q": ["< p>q"],
           "<table><tr><td>1<td>2<tr><td>3</table>": ["1", "2", "3"], "<head><title>t</title></head><body>u": ["u"], "a\r\n\t b": ["a b"]}
 
+# drawings, formulas, objects and templates: closed by a slash, by a parent, by an element that only HTML has, or not at all
+EMBEDDED = {'a <svg class="i"/>b<p>c': ["a b", "c"], "a<math/>b": ["ab"], "<svg/><script>x</script>y": ["y"], "<p>a<object>b</p><p>c": ["ab", "c"],
+            "<div>x<svg><p>y</p></div>z": ["x", "y", "z"], "<div>x<svg><path d='q'>y</div><p>z": ["xy", "z"], "<div><svg><title>t</div><p>y": ["t", "y"],
+            "<p>Let <math><msup><mi>x</mi><mn>2</mn></msup></math> be.<p>q": ["Let x2 be.", "q"], "<p>a<svg><title>Icon</title><path/></svg>b</p>": ["ab"],
+            "<p>a<svg><title/><g/></svg>b</p><title>t</title>c": ["ab", "c"], "<svg><text>A</text><text>B</text></svg>": ["A", "B"],
+            "<svg><foreignObject><p>in</p>side</foreignObject></svg>out": ["in", "side", "out"], "<p>a<svg><style>x{}</style></svg>b": ["ab"],
+            "<p>a<object data='f'><p>fall</p><b>back</b></object></p>c": ["a", "fall", "back", "c"],
+            "<ul><li>a<template><li>b</li></template><li>c</ul>": ["a", "b", "c"], "<iframe>z</iframe>w": ["w"]}
+
 
 @pytest.fixture(scope="module")
 def weights():
@@ -19,6 +28,26 @@ def test_blocks_of_broken_markup(html):
     assert [b.text for b in html_blocks.page_blocks(html)] == BROKEN[html]
 
 
+@pytest.mark.parametrize("html", list(EMBEDDED))
+def test_blocks_of_embedded_elements(html):
+    assert [b.text for b in html_blocks.page_blocks(html)] == EMBEDDED[html]
+
+
+def test_embedded_elements_are_on_the_path():
+    page = "<p><math><mi>x</mi></math><p><object>b</object><template>c</template><svg><text>d</text></svg><p><math>x</math> is a number"
+    marks = [{m for marks in b.path for m in marks} & {"t:math", "t:object", "t:template", "t:svg"} for b in html_blocks.page_blocks(page)]
+    assert marks == [{"t:math"}, {"t:object"}, {"t:template"}, {"t:svg"}, set()]
+
+
+@pytest.mark.parametrize("more", ['<svg class="i"/>', "<p>Before <svg><path d='x'></p>", "<object data='a.pdf'><p>A sentence that stands in the text.</p></object>",
+                                  "<p>The value of <math><mi>x</mi></math> is what counts in this long sentence of the text.</p>"])
+def test_embedded_elements_cut_no_article(weights, more):
+    pages = [h for h, in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    labeller, features = html_blocks.Labeller(weights), html_blocks.Features()
+    plain, got = (html_blocks.main_texts(p, labeller, features) for p in (pages, [h.replace("</h1>", "</h1>" + more, 1) for h in pages]))
+    assert sum(set(a.split("\n")) <= set(b.split("\n")) for a, b in zip(plain, got, strict=True)) >= 0.99 * len(pages)
+
+
 def test_held_out_layouts(weights):
     blocks, pages = html_training.held_out_accuracy(weights)
     assert blocks > 0.99 and pages > 0.93
