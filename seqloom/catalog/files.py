@@ -115,8 +115,8 @@ def sequence_folder(spark, sf):
     """Sequence Parquet with a train folder and singular names, read back whole."""
     path = durable_path(spark, "seq")
     s = sequences.user_sequences(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id", "ts"])
-    s.select("uid", F.col("sequence.item_id").alias("item_id"), F.col("sequence.ts").alias("timestamp")).write.parquet(f"{path}/train")
-    rows = readers.read_sequences(spark, path)
+    s.select("uid", "segment", F.col("sequence.item_id").alias("item_id"), F.col("sequence.ts").alias("timestamp")).write.parquet(f"{path}/train")
+    rows = sequences.whole_sequences(readers.read_sequences(spark, path), "uid", "item_ids", "timestamps")
     return rows.select("uid", joined("item_ids").alias("item_ids"), joined("timestamps").alias("timestamps"))
 
 
@@ -142,7 +142,7 @@ def keyed_json_lines(spark, sf):
     SELECT uid, array_to_string(list(item_id ORDER BY ts, event_id), ' ') AS items FROM listens GROUP BY 1"""))
 def user_sequence_file(spark, sf):
     path = durable_path(spark, "user-items")
-    s = sequences.user_sequences(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id"])
+    s = sequences.whole_sequences(sequences.user_sequences(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id"]), "uid")
     writers.write_keyed_json_lines(s, path, F.col("uid"), F.col("sequence.item_id"))
     rows = readers.read_json_lines(spark, path, "key string, value array<bigint>")
     return rows.select(F.col("key").cast("bigint").alias("uid"), joined("value", " ").alias("items"))
@@ -228,7 +228,8 @@ def keyed_json_object(spark, sf):
     SELECT 'u' || uid AS "user", array_to_string(i[1:-2], ',') AS history, i[-1] AS target FROM u WHERE len(i) >= 2 AND uid % 3 > 0"""))
 def preference_json(spark, sf):
     path = durable_path(spark, "preferences")
-    s = sequences.user_sequences(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id"]).withColumn("i", F.col("sequence.item_id"))
+    s = sequences.user_sequences(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id"])
+    s = sequences.whole_sequences(s, "uid").withColumn("i", F.col("sequence.item_id"))
     s.select(F.concat(F.lit("u"), F.col("uid").cast("string")).alias("user"), F.lit("likes").alias("user_preference"),
              F.when(F.col("uid") % 3 > 0, "train").otherwise("test").alias("split"),
              F.struct(F.slice("i", F.lit(1), F.size("i") - 1).alias("history_items"), F.element_at("i", -1).alias("target_item")).alias("context")).write.json(path)

@@ -259,8 +259,8 @@ def ids_by_shuffle(spark, sf):
     SELECT uid, CAST(0 AS BIGINT) AS segment, array_to_string(list(item_id ORDER BY ts, event_id), ',') AS items,
            array_to_string(list(ts ORDER BY ts, event_id), ',') AS timestamps FROM listens GROUP BY uid"""))
 def user_sequences(spark, sf):
-    s = sequences.user_sequences(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id", "ts"])
-    return s.select("uid", "segment", F.array_join(F.col("sequence.item_id").cast("array<string>"), ",").alias("items"),
+    s = sequences.whole_sequences(sequences.user_sequences(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id", "ts"]), "uid")
+    return s.select("uid", F.lit(0).cast("bigint").alias("segment"), F.array_join(F.col("sequence.item_id").cast("array<string>"), ",").alias("items"),
                     F.array_join(F.col("sequence.ts").cast("array<string>"), ",").alias("timestamps"))
 
 
@@ -291,7 +291,7 @@ def sequence_length_histogram(spark, sf):
     SELECT uid, item_id, count(*) AS n FROM listens GROUP BY 1, 2 HAVING count(*) >= 2"""))
 def short_sequences_dropped(spark, sf):
     s = sequences.user_sequences(listens(spark, sf).withColumn("k", F.struct("uid", "item_id")), "k", ["ts", "event_id"], ["ts"])
-    return sequences.drop_short(s, "sequence", "k", 2).select("k.uid", "k.item_id", F.size("sequence").cast("bigint").alias("n"))
+    return sequences.drop_short(sequences.whole_sequences(s, "k"), "sequence", "k", 2).select("k.uid", "k.item_id", F.size("sequence").cast("bigint").alias("n"))
 
 
 @query("repeat_flag", with_sql(LISTENS, body="""

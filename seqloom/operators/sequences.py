@@ -61,27 +61,23 @@ def user_sequences(
     df: DataFrame, user: str, order: Sequence[str], fields: Sequence[str],
     heavy_rows: int | None = None, segment_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Each user's rows in time order as one array of structs, `sequence`.
+    """Each user's rows in time order as arrays of structs, `sequence`, of `segment_rows` rows each.
 
-    A user above the heavy-key limit comes out as several rows numbered by `segment`, since
-    no single row could hold it; every other user has exactly segment 0.
+    Positions alone decide the bigint `segment`, for users of every size, so no row holds more than one segment.
     """
     entry = F.struct(*order, *[f for f in fields if f not in order])
     ordered = F.sort_array(F.collect_list(entry)).alias("__seq")
     shaped = F.transform("__seq", lambda e: F.struct(*[e[f].alias(f) for f in fields])).alias("sequence")
+    placed = position_in_key(df, [user], order, "__pos", heavy_rows)
+    split = placed.withColumn("segment", F.expr(f"__pos div {segment_rows}L"))
+    return split.groupBy(user, "segment").agg(ordered).select(user, "segment", shaped)
 
-    def gather(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(user, "segment").agg(ordered).select(user, "segment", shaped)
 
-    heavy = heavy_keys(df, [user], heavy_rows)
-    zero = F.lit(0).cast("bigint")
-    if heavy is None:
-        grouped = df.groupBy(user).agg(ordered)
-        return grouped.select(user, zero.alias("segment"), shaped)
-    placed = position_in_key(df.join(heavy, user, "left_semi"), [user], order, "__pos", heavy_rows)
-    split = placed.withColumn("segment", F.expr(f"__pos div {segment_rows}L"))
-    light = df.join(heavy, user, "left_anti").withColumn("segment", zero)
-    return gather(light).unionByName(gather(split))
+def whole_sequences(segments: DataFrame, user: str, sequence: str = "sequence", *more: str) -> DataFrame:
+    """One row per user from the rows of `user_sequences`, for formats that have no segments; the row is as long as the user's log."""
+    names = (sequence, *more)
+    parts = F.sort_array(F.collect_list(F.struct("segment", *names)))
+    return segments.groupBy(user).agg(parts.alias("__parts")).select(user, *[F.flatten(F.col(f"__parts.{n}")).alias(n) for n in names])
 
 
 def order_within_users(df: DataFrame, user: str, order: Sequence[str]) -> DataFrame:

@@ -50,13 +50,20 @@ def invalid_items(meta: DataFrame, strict: bool = False) -> DataFrame:
 def read_sequences(
     spark: SparkSession, path: str, split: str = "train", first: int | None = None, order: Sequence[str] = ("uid",)
 ) -> DataFrame:
-    """User sequences: the `split` folder when there is one, plural column names, optionally the first n by `order`."""
+    """User sequences: the `split` folder when there is one, plural column names, optionally the first n users by `order`.
+
+    Files of `user_sequences` keep its `segment`; the segments of a user stay together.
+    """
     try:
         found = _existing(spark, [f"{path}/{split}", path])
     except FileNotFoundError as e:
         raise AnalysisException(f"no sequences under {path}") from e
     df = spark.read.parquet(found).withColumnsRenamed({"item_id": "item_ids", "timestamp": "timestamps"})
-    return df if first is None else df.orderBy(*order).limit(first)
+    if first is None:
+        return df
+    if "segment" not in df.columns:
+        return df.orderBy(*order).limit(first)
+    return df.join(df.filter("segment = 0").orderBy(*order).limit(first).select("uid"), "uid", "left_semi")
 
 
 def read_listens(spark: SparkSession, path: str) -> DataFrame:
