@@ -268,7 +268,10 @@ def _cross_pairs(entries: DataFrame, parts: DataFrame, percent: int) -> DataFram
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
                  sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
-    """Per document (id, n, key) and per set (key, rep, component_id), the component named by its smallest id."""
+    """Per document (id, n, key) and per set (key, rep, component_id, first), the component named by its smallest id.
+
+    One set of each component is `first`: by its smallest id, null ids last, then by key.
+    """
     spark = docs.sparkSession
     counts = shingle_counts(docs, text_col, width, sketch_bits)
     raw, raw_path = stored(prefixes(docs, id_col, text_col, counts, width, percent), "prefixes")
@@ -288,8 +291,10 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = verified(_cross_pairs(entries, connected_components(links), percent), *args)
     parts = connected_components(links.union(more))
     named = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "rep", "component")
-    names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return found.select("id", "n", "key"), named.join(names, "component").drop("component")
+    least = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "key"))
+    names = named.groupBy("component").agg(F.min("rep").alias("component_id"), least.alias("least"))
+    sets = named.join(names, "component").select("key", "rep", "component_id", (F.col("key") == F.col("least.key")).alias("first"))
+    return found.select("id", "n", "key"), sets
 
 
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -301,9 +306,9 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, **options) -> DataFrame:
-    """`docs` with one document of each component, that with the smallest id; documents without words stay."""
+    """`docs` with one document of each component, that with the smallest id (null ids last); documents without words stay."""
     _, sets = ngram_groups(docs, id_col, text_col, width, **options)
-    chosen = sets.where(F.col("rep").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("_j_k"), F.col("rep").alias("_j_rep"))
+    chosen = sets.where("first").select(F.col("key").alias("_j_k"), F.col("rep").alias("_j_rep"))
     chosen, _ = stored(chosen, "chosen")
     rows = keyed_texts(docs, text_col, width, docs.columns)
     kept = rows.join(chosen, (F.col("_j_key") == F.col("_j_k")) & F.col(id_col).eqNullSafe(F.col("_j_rep"))).dropDuplicates(["_j_key"])

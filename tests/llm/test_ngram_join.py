@@ -80,3 +80,18 @@ def test_keep_first_keeps_one_of_each_group_and_other_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n string, key int")
     kept = sorted((r.doc_id, r.n, r.key) for r in ngram_join.keep_first(docs).collect())
     assert kept == [(1, "y", 2), (2, "z", 3), (4, "z", 4), (5, "z", 5)]
+
+
+@pytest.mark.parametrize("ids", [(None, None, None), (7, 7, 7), (None, 7, 7), (7, None, None)])
+def test_keep_first_keeps_one_of_near_copies_with_null_or_repeated_ids(spark, ids):
+    """Two groups of near but different texts, with the same ids in both."""
+    rows = []
+    for group in "ab":
+        words = [f"{group}{i}" for i in range(200)]
+        for i, doc_id in enumerate(ids):
+            words[50 * i] = f"n{i}"
+            rows.append((doc_id, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = ngram_join.keep_first(docs).collect()
+    assert sorted(r.text.split()[1] for r in kept) == ["a1", "b1"]
+    assert {r.doc_id for r in kept} == {min((i for i in ids if i is not None), default=None)}
