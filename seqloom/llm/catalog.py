@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "ngram_join", "warc", "html_blocks", "packing", "host_quality", "chat_format", "pii", "url_filter", "binary_dedup", "piece_codec", "whitening"]
+MODULES = ["mixing", "ngram_join", "warc", "html_blocks", "packing", "host_quality", "chat_format", "pii", "url_filter", "binary_dedup", "piece_codec", "whitening", "periodic_runs"]
 
 
 def load() -> tuple[dict, dict]:
