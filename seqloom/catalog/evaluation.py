@@ -164,13 +164,21 @@ def advantages(spark, sf):
     return out.select("event_id", "pos", F.round("reward", 9).alias("reward"), F.round("advantage", 5).alias("advantage"))
 
 
-@query("reward_semantic", with_sql(*BASE, "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)", body="""
-    SELECT event_id, pos, coalesce(round(list_cosine_similarity(a.e, b.e), 5), 0.0) AS semantic_reward FROM g
-    LEFT JOIN v a ON a.vec_id = target_item AND target_item % 9 <> 0 LEFT JOIN v b ON b.vec_id = candidate_item AND candidate_item % 9 <> 0"""))
+# besides all candidates, two rows a group that no vector belongs to: an unknown id and none at all
+UNKNOWN = """more AS (SELECT event_id, CAST(pos AS BIGINT) AS pos, target_item, candidate_item FROM g
+    UNION ALL SELECT event_id, 100, target_item, -1 - event_id FROM g WHERE pos = 0 UNION ALL SELECT event_id, 101, target_item, NULL FROM g WHERE pos = 0)"""
+
+
+@query("reward_semantic", with_sql(*BASE, "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)", UNKNOWN, body="""
+    SELECT event_id, pos, coalesce(round(list_cosine_similarity(a.e, b.e), 5), 0.0) AS semantic_reward FROM more
+    LEFT JOIN v a ON a.vec_id = target_item LEFT JOIN v b ON b.vec_id = candidate_item"""))
 def reward_semantic(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    # every ninth item has no vector here: its rows stay, with reward 0
-    out = rewards.semantic_reward(groups(spark, sf), vectors.filter("item_id % 9 <> 0"), "target_item", "candidate_item")
+    g = groups(spark, sf).select("event_id", F.col("pos").cast("bigint").alias("pos"), "target_item", "candidate_item")
+    first = g.filter("pos = 0").select("event_id", "target_item")
+    unknown = first.selectExpr("event_id", "100L AS pos", "target_item", "-1 - event_id AS candidate_item")
+    none = first.selectExpr("event_id", "101L AS pos", "target_item", "CAST(NULL AS BIGINT) AS candidate_item")
+    out = rewards.semantic_reward(g.unionByName(unknown).unionByName(none), vectors, "target_item", "candidate_item")
     return out.select("event_id", "pos", F.round("semantic_reward", 5).alias("semantic_reward"))
 
 

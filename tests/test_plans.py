@@ -1,7 +1,11 @@
 """What the plans must and must not contain, and library-wide rules."""
 
+import os
 import pathlib
 import re
+import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +70,13 @@ def test_durable_folder_comes_from_the_session():
     assert session.durable_root(Session("hdfs://shared/dir/")) == "hdfs://shared/dir/seqloom/app-1"
     with pytest.raises(RuntimeError):
         session.durable_root(Session(None))
+
+
+def test_entry_without_the_corpus_parts(tmp_path):
+    root = PACKAGE.parent
+    shutil.copytree(PACKAGE, tmp_path / "seqloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):  # a pipeline left behind has nothing to run on
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 150 and set(o) <= set(q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
