@@ -84,7 +84,7 @@ def with_measures(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
                 [W.arrow_column(batch, n) for n in names] + [pa.array(x.astype(np.int64)) for x in figures],
                 names=names + [f"_q_{m}" for m in MEASURES])
 
-    return docs.select(*dict.fromkeys([*names, text_col])).mapInArrow(run, schema)
+    return W.map_arrow(docs.select(*dict.fromkeys([*names, text_col])), run, schema)
 
 
 def base_failed() -> Column:

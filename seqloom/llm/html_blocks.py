@@ -323,7 +323,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
                                                  pa.array([len(t) for t in texts], pa.int64())], names=[*names, "_h_text", "_h_n_chars"])
                 lo = hi
 
-    return pages.select(*dict.fromkeys([*names, html_col])).mapInArrow(run, schema)
+    return W.map_arrow(pages.select(*dict.fromkeys([*names, html_col])), run, schema)
 
 
 def op4_html_main_text(spark: SparkSession, sf: str) -> DataFrame:

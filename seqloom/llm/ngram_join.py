@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,7 +89,7 @@ def shingle_counts(docs: DataFrame, text_col: str, width: int, bits: int) -> np.
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = W.map_arrow(docs.select(text_col), count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(cells, np.int64)
     out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -128,7 +129,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, wi
                     [ids.slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(keys, pa.binary()), prefix],
                     names=[f.name for f in schema])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return W.map_arrow(docs.select(id_col, text_col), run, schema)
 
 
 def keyed_texts(docs: DataFrame, text_col: str, width: int, keep: list[str]) -> DataFrame:
@@ -144,7 +145,7 @@ def keyed_texts(docs: DataFrame, text_col: str, width: int, keep: list[str]) ->
                 keys += set_keys(*shingle_sets(data, offsets, width))
             yield pa.RecordBatch.from_arrays([W.arrow_column(batch, c) for c in names] + [pa.array(keys, pa.binary())], names=[*names, "_j_key"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return W.map_arrow(docs.select(*names), run, schema)
 
 
 def small(side: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
@@ -169,22 +170,27 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 32):
-                part = batch.slice(lo, 32)
-                left, right = (W.arrow_column(part, c).cast(pa.large_binary()).to_pylist() for c in ("text_a", "text_b"))
-                mixed = pa.array([t for both in zip(left, right, strict=True) for t in both], pa.large_binary())
-                inter, sizes = [], []
-                for _, _, data, offsets in W.text_chunks(mixed, 1 << 60):
-                    hashes, at = shingle_sets(data, offsets, width)
-                    pair = W.owners(at) // 2
-                    order = np.lexsort((hashes, pair))
-                    same = (hashes[order[1:]] == hashes[order[:-1]]) & (pair[order[1:]] == pair[order[:-1]])
-                    inter = np.bincount(pair[order[1:]][same], minlength=part.num_rows)
-                    sizes = np.diff(at).reshape(-1, 2).sum(axis=1)
-                linked = pa.array(100 * inter >= percent * (sizes - inter))
-                yield part.select(["a", "b"]).filter(linked)
-
-    out, _ = stored(rows.mapInArrow(check, "a bigint, b bigint"), "links")
+            left, right = (W.arrow_column(batch, c).cast(pa.large_binary()) for c in ("text_a", "text_b"))
+            sizes = np.cumsum([a + b for a, b in zip(pc.binary_length(left).to_pylist(), pc.binary_length(right).to_pylist(), strict=True)])
+            lo = 0
+            while lo < batch.num_rows:  # pairs whose texts are a chunk together, one pair at least
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + W.CHUNK_BYTES, "right")))
+                part = batch.slice(lo, hi - lo)
+                hashes, owner = [], []
+                for side in (left, right):
+                    for first, _, data, offsets in W.text_chunks(side.slice(lo, hi - lo)):
+                        found, at = shingle_sets(data, offsets, width)
+                        hashes.append(found)
+                        owner.append(first + W.owners(at))
+                hashes, owner = np.concatenate(hashes), np.concatenate(owner)
+                order = np.lexsort((hashes, owner))
+                same = (hashes[order[1:]] == hashes[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+                inter = np.bincount(owner[order[1:]][same], minlength=part.num_rows)
+                of_pair = np.bincount(owner, minlength=part.num_rows)
+                yield part.select(["a", "b"]).filter(pa.array(100 * inter >= percent * (of_pair - inter)))
+                lo = hi
+
+    out, _ = stored(W.map_arrow(rows, check, "a bigint, b bigint"), "links")
     for path in (pairs_path, wanted_path, texts_path):
         discard(docs.sparkSession, path)
     return out

@@ -25,7 +25,7 @@ from seqloom.llm import words as W
 from seqloom.session import materialize
 
 WINDOW, END_ID, N_OPEN, PARTS_PER_MERGE = 2048, 1, 32, 256
-CACHE_UNITS = 1_000_000
+CACHE_UNITS, LONG_PIECE = 150_000, 1 << 20
 PIECE_COLUMNS = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _BYTE = np.arange(256)
 _ALNUM = ((_BYTE >= 48) & (_BYTE < 58)) | ((_BYTE >= 65) & (_BYTE < 91)) | ((_BYTE >= 97) & (_BYTE < 123))
@@ -54,6 +54,22 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def long_pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text cut before single blanks between visible characters into pieces of about `LONG_PIECE` bytes."""
+    lo = 0
+    while len(data) - lo > LONG_PIECE:
+        for at in range(lo + LONG_PIECE, len(data) - 1, LONG_PIECE):
+            part = data[at - 1:at + LONG_PIECE + 1]
+            cuts = np.flatnonzero((part[1:-1] == 32) & _VISIBLE[part[:-2]] & _VISIBLE[part[2:]])
+            if len(cuts):
+                yield data[lo:at + int(cuts[0])]
+                lo = at + int(cuts[0])
+                break
+        else:
+            break
+    yield data[lo:]
+
+
 class UnitTokenizer:
     """Ids of texts through a bounded memory of the ids of their units, the stretches between safe cuts.
 
@@ -128,6 +144,8 @@ class UnitTokenizer:
         raw = data.tobytes()
         if any(s in raw for s in self.special):
             odd.update(i for i in range(len(offsets) - 1) if any(s in raw[offsets[i]:offsets[i + 1]] for s in self.special))
+        if len(offsets) == 2 and len(data) > LONG_PIECE and not odd:
+            return [np.concatenate([self._units(part, np.array([0, len(part)]))[0] for part in long_pieces(data)])]
         ids, at = self._units(data, offsets) if len(odd) < len(offsets) - 1 and len(data) else (None, None)
         empty = np.zeros(0, np.uint32)
         return [np.array(self.tokenizer.encode(raw[offsets[i]:offsets[i + 1]].decode(), add_special_tokens=False).ids, np.uint32)
@@ -227,7 +245,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         if doc_type is not None:
             yield packer.batch(doc_type)
 
-    placed = materialize(docs.select(id_col, text_col).mapInArrow(place, schema), "packed")
+    placed = materialize(W.map_arrow(docs.select(id_col, text_col), place, schema), "packed")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer((1 << 60) + (TaskContext.get().partitionId() << 32), window, 1, keep_ids)

@@ -310,7 +310,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for lo, hi, data, offsets in W.text_chunks(W.arrow_column(batch, text_col)):
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *searched_chunk(data, offsets)], names=[f.name for f in schema])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return W.map_arrow(docs.select(id_col, text_col), run, schema).withColumnRenamed("id", id_col)
 
 
 def with_planted_periods(docs: DataFrame) -> DataFrame:

@@ -18,13 +18,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from seqloom.llm import words as W
 
-TABLE_BYTES, LONG_CHUNK, STRETCH, ROWS = 48 << 20, 512, 1 << 18, 2000
+TABLE_BYTES, LONG_CHUNK, STRETCH, ROWS = 96 << 20, 512, 1 << 18, 2000
 MARKER = "▁"  # fixed value: the library's sign for a space
 _CHUNK = re.compile(r" +[^ \n]*|\n+[^ \n]*")
 _BORDER = re.compile(r"(?<=[^ \n])[ \n]")
@@ -56,6 +57,7 @@ class ChunkTable:
         if self.model.normalize(" ﬁ  é\n") != f"{MARKER}{MARKER}ﬁ{MARKER}{MARKER}é\n":
             raise ValueError("this model rewrites texts before it segments them")
         self.lone = str(self.model.piece_to_id(MARKER)).encode()
+        self.piece_bytes = np.array([1 if self.model.is_byte(i) else len(p.replace(MARKER, " ").encode()) for i, p in enumerate(pieces)])
         self.limit = limit
         self._clear()
 
@@ -65,15 +67,32 @@ class ChunkTable:
         self.held = 0
 
     def _segment(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks by the library, which puts the first marker in front by itself."""
-        bare = [c[1:] if c[0] == " " else c for c in chunks]
+        """Ids of chunks by the library, which puts the first marker in front by itself.
+
+        Chunks that do not end in a space are handed over one behind the other, as no piece crosses from one to the next; the
+        lengths of the pieces tell where each chunk's ids end.
+        """
+        together = [c for c in chunks if c[-1] != " "]
+        joined = "".join(together)
+        text = joined[1:] if joined[:1] == " " else joined
+        ids = self.model.encode(text)
+        own = ids if joined[:1] == " " else ids[1:]  # a chunk that starts with a line feed has no marker of its own
+        sizes = np.cumsum(self.piece_bytes[own])
+        ends = np.cumsum([len(c.encode()) for c in together], dtype=np.int64)
+        if not together or sizes[-1] != ends[-1] or self.model.decode(ids) != text:
+            return self._one_by_one(chunks)
+        names = list(map(str, own))
+        cuts = (np.searchsorted(sizes, ends) + 1).tolist()
+        found = {c: ",".join(names[lo:hi]).encode() for c, lo, hi in zip(together, [0, *cuts], cuts, strict=False)}
+        return found if len(together) == len(chunks) else found | self._one_by_one([c for c in chunks if c[-1] == " "])
+
+    def _one_by_one(self, chunks: list[str]) -> dict[str, bytes]:
         found = {}
-        lists = self.model.encode(bare, num_threads=1)
+        lists = self.model.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
         for chunk, ids, text in zip(chunks, lists, self.model.decode(lists), strict=True):
             if chunk == " ":
                 found[chunk] = self.lone
                 continue
-            # a chunk that starts with a line feed has no marker of its own
             found[chunk] = ",".join(map(str, ids if chunk[0] == " " else ids[1:])).encode()
             back = " " + text if chunk[0] == " " else text
             if back != chunk:
@@ -142,7 +161,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 ids = [table.encode(t.as_py()) for t in W.arrow_column(part, text_col)]
                 yield pa.RecordBatch.from_arrays([W.arrow_column(part, id_col), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return W.map_arrow(docs.select(id_col, text_col), run, schema).withColumnRenamed("id", id_col)
 
 
 def codec_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +178,7 @@ def codec_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([W.arrow_column(part, id_col), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)],
                                                  names=[f.name for f in schema])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return W.map_arrow(docs.select(id_col, text_col), run, schema).withColumnRenamed("id", id_col)
 
 
 def default_model() -> str:

@@ -6,12 +6,15 @@ gives the same words as working on characters. Hashes have 64 bits and are a fun
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, STRETCH_BYTES, BATCH_BYTES = 1 << 20, 1 << 18, 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -21,12 +24,11 @@ _MASK = (1 << 64) - 1
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, kept between calls."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, one for every byte of a stretch and one more; kept between calls."""
+    if not _POWERS:
         for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            out = np.full(size, base, np.uint64)
+            out = np.full(STRETCH_BYTES + 1, base, np.uint64)
             out[0] = 1
             _POWERS[key] = np.multiply.accumulate(out)
     return _POWERS["up"], _POWERS["down"]
@@ -77,11 +79,27 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each span, from one running sum over the chunk."""
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data.astype(np.uint64) * up[:len(data)] + up[:len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    """Hash of the bytes of each span, from running sums over stretches of the chunk; the spans come in order and do not overlap."""
+    up, down = _powers()
+    out = np.zeros(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, base + STRETCH_BYTES, "right")))
+        if ends[lo] - base > STRETCH_BYTES:  # one span alone, stretch by stretch
+            total, shift = 0, 1
+            for at in range(base, int(ends[lo]), STRETCH_BYTES):
+                part = data[at:min(at + STRETCH_BYTES, int(ends[lo]))].astype(np.uint64)
+                total += int(((part + np.uint64(1)) * up[:len(part)]).sum()) * shift
+                shift = shift * pow(_BASE, STRETCH_BYTES, 1 << 64) & _MASK
+            out[lo] = total & _MASK
+        else:
+            part = data[base:int(ends[hi - 1])]
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part.astype(np.uint64) * up[:len(part)] + up[:len(part)], out=total[1:])
+            out[lo:hi] = (total[ends[lo:hi] - base] - total[starts[lo:hi] - base]) * down[starts[lo:hi] - base]
+        lo = hi
+    return mix(out)
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -113,5 +131,28 @@ def keep_by_doc(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return mix(hashes ^ mix(docs.astype(np.uint64) + np.uint64(1)))
 
 
+def map_arrow(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """`rows.mapInArrow(run, schema)` for wide rows: batches of `BATCH_BYTES` at most, and a worker that returns what it has freed.
+
+    The setting is the session's and is only ever lowered.
+    """
+    conf = rows.sparkSession.conf
+    if int(conf.get(BATCH_SETTING, str(1 << 30))) > BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return rows.mapInArrow(lean, schema)
+
+
+def trim() -> None:
+    """Give freed memory back to the system, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def arrow_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))

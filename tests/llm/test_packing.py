@@ -22,6 +22,17 @@ def test_ids_equal_the_tokenizer():
                 assert list(ids) == plain.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    plain, own = Tokenizer.from_file(PATH), packing.UnitTokenizer(PATH)
+    monkeypatch.setattr(packing, "LONG_PIECE", 50)
+    texts = [" ".join(f"w{i * i % 97}, don't {i}" for i in range(300)), "x" * 400, "é è  " * 100 + "a b c " * 40, "\n".join(["one two", "three"] * 60)]
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        parts = [p.tobytes() for p in packing.long_pieces(data)]
+        assert b"".join(parts) == text.encode() and all(p for p in parts)
+        assert list(own.encode_chunk(data, np.array([0, len(data)]))[0]) == plain.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize(("window", "n_open"), [(2048, 32), (16, 2)])
 def test_every_id_lies_in_one_piece(spark, window, n_open):
     rows = [(i, (TEXTS[i % len(TEXTS)] or "") * (i % 5) + "word " * (i * 13 % 900)) for i in range(300)] + [(7, "again"), (7, "again"), (None, "x"), (900, None)]
