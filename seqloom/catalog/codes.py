@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from seqloom.catalog.base import query, with_sql
 from seqloom.catalog.inputs import CATALOGUE, catalogue, table
 from seqloom.functions import arrays, sids
-from seqloom.operators import aggregates, balance, quantize
+from seqloom.operators import aggregates, balance, clusters, collisions, quantize
 from seqloom.operators.ranking import dense_ids
+from seqloom.operators.tiles import book_of
 from seqloom.plans.sid_index import sid_index
 from seqloom.session import durable_path, materialize
 from seqloom.sources import writers
@@ -174,8 +175,8 @@ def encoded_vectors(spark, sf):
 @query("encoded_vectors_blockwise", with_sql(*quantizer_ctes(), body="""
     SELECT vec_id AS item_id, k0.code || ',' || k1.code || ',' || k2.code AS codes FROM k0 JOIN k1 USING (vec_id) JOIN k2 USING (vec_id)"""))
 def encoded_vectors_blockwise(spark, sf):
-    """The same encoding with a size limit that makes every codebook travel in blocks."""
-    out = quantize.encode(vectors(spark, sf), class_codebooks(spark, sf), limit=3 * DIM * 8)
+    """The same encoding with parts of three codes, so that every codebook takes several passes."""
+    out = quantize.encode(vectors(spark, sf), class_codebooks(spark, sf), part_bytes=3 * DIM * 8)
     return out.select("item_id", joined("codes").alias("codes"))
 
 
@@ -193,8 +194,8 @@ def quantizer_errors(spark, sf):
     s AS (SELECT vec_id, quantile_cont(dist - lo, 0.9) AS q FROM (SELECT vec_id, dist, min(dist) OVER (PARTITION BY vec_id) AS lo FROM d0) GROUP BY 1)""", body="""
     SELECT round(greatest(0.1 * median(q), 1e-6), 6) AS tau FROM s"""))
 def balancing_temperature(spark, sf):
-    book = quantize.load_codebooks(class_codebooks(spark, sf, 1))[0]
-    return balance.temperatures(vectors(spark, sf), book).select(F.round("tau", 6).alias("tau"))
+    tau = balance.temperature(vectors(spark, sf), book_of(spark, class_codebooks(spark, sf, 1)))
+    return spark.range(1).select(F.round(F.lit(tau), 6).alias("tau"))
 
 
 SINK_ITERS, SINK_TAU = 6, 0.05
@@ -217,8 +218,8 @@ def sinkhorn_ctes() -> list[str]:
     SELECT code, round(ln(v), 6) AS log_scaling FROM v{SINK_ITERS}"""))
 def sinkhorn_scalings(spark, sf):
     v = vectors(spark, sf)
-    book = quantize.load_codebooks(class_codebooks(spark, sf, 1))[0]
-    caps = balance.even_capacities(v.count(), len(book))
+    book = book_of(spark, class_codebooks(spark, sf, 1))
+    caps = balance.even_capacities(v.count(), book.size)
     bias = balance.sinkhorn_bias(v, book, caps, SINK_TAU, SINK_ITERS)
     rows = v.sparkSession.createDataFrame([(i, float(b)) for i, b in enumerate(bias)], "code bigint, b double")
     return rows.select("code", F.round("b", 6).alias("log_scaling"))
@@ -239,74 +240,92 @@ GREEDY = """
        "\nSELECT vec_id AS item_id, code FROM walk WHERE vec_id IS NOT NULL")
 def capacity_assignment(spark, sf):
     v = vectors(spark, sf)
-    book = quantize.load_codebooks(class_codebooks(spark, sf, 1))[0]
-    out = balance.capacity_assign(v, book, balance.even_capacities(v.count(), len(book)))
+    book = book_of(spark, class_codebooks(spark, sf, 1))
+    out = balance.capacity_assign(v, book, balance.even_capacities(v.count(), book.size))
     return out.select("item_id", F.col("code").cast("bigint").alias("code"))
 
 
-# ---- fitted quantisers: each query returns what must hold of every item, and the SQL says what that is ----
-def level_sizes(codes):
-    """Items per level and code."""
-    flat = codes.select(F.posexplode("codes").alias("level", "code"))
-    return flat.groupBy(F.col("level").cast("bigint").alias("level"), F.col("code").cast("bigint").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+# ---- fitted quantisers: codes of every item with the errors of the fit; tests/test_fitted.py compares them with numpy ----
+def with_errors(codes, books, v, **plain):
+    """Codes as text, and per item the same mean squared errors: of the codes, and of others for comparison."""
+    out = codes.select("item_id", joined("codes").alias("codes"))
+    for name, other in {"mse": codes, **plain}.items():
+        last = quantize.level_errors(v, other, books).orderBy(F.desc("level")).first()["mse_after"]
+        out = out.withColumn(name, F.round(F.lit(last), 9))
+    return out
 
 
-def even_sizes_sql(levels, k):
-    return f"""SELECT level, code, n // k + CASE WHEN code < n % k THEN 1 ELSE 0 END AS n
-      FROM (SELECT count(*) AS n, ({k}) AS k FROM embeddings), (SELECT unnest(range({levels})) AS level), (SELECT unnest(range(({k}))) AS code)"""
-
-
-@query("residual_kmeans_codes", "SELECT vec_id AS item_id, 3 AS levels, true AS in_range, true AS error_falls FROM embeddings")
+@query("residual_kmeans_codes")
 def residual_kmeans_codes(spark, sf):
-    """Every item with its number of levels, whether its codes exist, and whether each level lowers the mean error."""
+    """Codes of a fit of three levels, and the mean squared error they leave."""
     v = vectors(spark, sf)
     books, codes = quantize.fit_residual_kmeans(v, 16, 3, max_iter=100)
-    steps = quantize.level_errors(v, codes, books).agg(F.bool_and(F.col("mse_after") <= F.col("mse_before") + 1e-12).alias("error_falls"))
-    rows = codes.select("item_id", F.size("codes").alias("levels"), F.forall("codes", lambda c: (c >= 0) & (c < 16)).alias("in_range"))
-    return rows.select("*", F.lit(steps.first()["error_falls"]).alias("error_falls"))
+    return with_errors(codes, books, v)
 
 
-@query("sid_index_from_vectors", "SELECT vec_id AS item_id, true AS levels_fit, true AS is_unique FROM embeddings")
+@query("sid_index_from_vectors")
 def sid_index_from_vectors(spark, sf):
-    """Vectors to codes to unique tokens to an index file and back: every item with a SID of its own."""
+    """Vectors to codes to unique tokens to an index file and back: every item with a SID of its own, and the codes it stands for."""
     _, index = sid_index(vectors(spark, sf), 16, 3)
     path = durable_path(spark, "index")
     writers.write_sid_index(index, path, "item_id", "tokens")
     back = read_json_lines(spark, path, "key string, value array<string>").select(
-        F.col("key").cast("bigint").alias("item_id"), F.size("value").between(3, 4).alias("levels_fit"), F.array_join("value", "").alias("sid"))
-    owners = back.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
-    return back.join(owners, "sid").select("item_id", "levels_fit", (F.col("n") == 1).alias("is_unique"))
+        F.col("key").cast("bigint").alias("item_id"), F.array_join("value", "").alias("sid"))
+    return back.join(index.select("item_id", joined("codes").alias("codes")), "item_id").select("item_id", "codes", "sid")
 
 
-@query("balanced_kmeans_codes", even_sizes_sql(2, 8))
+@query("balanced_kmeans_codes")
 def balanced_kmeans_codes(spark, sf):
-    """Items per level and code of a fit that honours even sizes."""
-    return level_sizes(balance.residual_balanced_kmeans(vectors(spark, sf), 8, 2)[1])
+    """Codes of a fit within the size bounds, its mean squared error, and that of every item at its nearest code instead."""
+    v = vectors(spark, sf)
+    books, codes = clusters.residual_balanced_kmeans(v, 8, 2)
+    return with_errors(codes, books, v, nearest_mse=quantize.encode(v, books))
+
+
+MAP_ITERS = 6
+
+
+def uniform_level(level: int) -> list[str]:
+    """Temperature, scalings and walk of one level in SQL, on residuals `m{level}`; the codes are `a{level}`."""
+    n, tau = level, f"(SELECT tau FROM tau{level})"
+    ctes = [f"e{n} AS MATERIALIZED (SELECT vec_id, b.code, sum((x - c) * (x - c)) AS dist FROM m{n} JOIN b{n} b USING (d) GROUP BY 1, 2)",
+            f"tau{n} AS MATERIALIZED (SELECT greatest(0.1 * median(q), 1e-6) AS tau FROM (SELECT vec_id, quantile_cont(dist - lo, 0.9) AS q "
+            f"FROM (SELECT vec_id, dist, min(dist) OVER (PARTITION BY vec_id) AS lo FROM e{n}) GROUP BY 1))",
+            f"ker{n} AS MATERIALIZED (SELECT vec_id, code, dist, exp(-(dist - min(dist) OVER (PARTITION BY vec_id)) / {tau}) AS g FROM e{n})",
+            f"v{n}_0 AS (SELECT code, 1.0::DOUBLE AS v FROM cls)"]
+    for i in range(MAP_ITERS):
+        ctes += [f"u{n}_{i} AS MATERIALIZED (SELECT vec_id, 1 / sum(g * v) AS u FROM ker{n} JOIN v{n}_{i} USING (code) GROUP BY 1)",
+                 f"v{n}_{i + 1} AS MATERIALIZED (SELECT code, (max(cap) / max(n)) / (sum(g * u) / max(n)) AS v "
+                 f"FROM ker{n} JOIN u{n}_{i} USING (vec_id) JOIN cap USING (code) GROUP BY 1)"]
+    return ctes + [
+        f"pref{n} AS MATERIALIZED (SELECT vec_id, list(code ORDER BY dist / {tau} - ln(v), code) AS p FROM ker{n} JOIN v{n}_{MAP_ITERS} USING (code) GROUP BY 1)",
+        f"turn{n} AS MATERIALIZED (SELECT vec_id, p, row_number() OVER (ORDER BY CAST('0x' || substr(md5(vec_id || '|{42 + n}'), 1, 15) AS BIGINT), vec_id) AS t FROM pref{n})",
+        f"""a{n} AS (
+    SELECT CAST(0 AS BIGINT) AS t, CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS BIGINT) AS code, (SELECT list(CAST(cap AS BIGINT) ORDER BY code) FROM cap) AS room
+    UNION ALL
+    SELECT s.t, s.vec_id, s.c, list_transform(s.room, lambda x, i: CASE WHEN i = s.c + 1 THEN x - 1 ELSE x END) FROM (
+      SELECT turn{n}.t, turn{n}.vec_id, a{n}.room, list_filter(turn{n}.p, lambda q: a{n}.room[CAST(q AS INTEGER) + 1] > 0)[1] AS c FROM a{n} JOIN turn{n} ON turn{n}.t = a{n}.t + 1) s)""",
+        f"m{n + 1} AS MATERIALIZED (SELECT vec_id, d, x - c AS x FROM m{n} JOIN a{n} USING (vec_id) JOIN b{n} b USING (code, d))"]
 
 
-@query("uniform_mapping_codes", even_sizes_sql(2, "SELECT count(DISTINCT label) FROM embeddings"))
+@query("uniform_mapping_codes", "WITH RECURSIVE " + ",\n".join([
+    *quantizer_ctes(2), *sinkhorn_ctes()[:2], "m0 AS MATERIALIZED (SELECT vec_id, d, x FROM r0)", *uniform_level(0), *uniform_level(1)]) + """
+    SELECT vec_id AS item_id, a0.code || ',' || a1.code AS codes FROM a0 JOIN a1 USING (vec_id)""")
 def uniform_mapping_codes(spark, sf):
-    return level_sizes(balance.uniform_mapping(vectors(spark, sf), class_codebooks(spark, sf, 2)))
+    return balance.uniform_mapping(vectors(spark, sf), class_codebooks(spark, sf, 2), MAP_ITERS).select("item_id", joined("codes").alias("codes"))
 
 
-@query("collisions_resolved", "SELECT vec_id AS item_id, true AS head_kept, true AS fewer_collisions FROM embeddings")
+@query("collisions_resolved")
 def collisions_resolved(spark, sf):
-    """Every item: its earlier codes are as before, and no more items share a path than before."""
+    """Codes of every item before and after the members of shared paths have spread over the last level."""
     v, books = vectors(spark, sf), class_codebooks(spark, sf, 2)
     coded = materialize(quantize.encode(v, books), "codes")
-    out = materialize(balance.resolve_collisions(v, coded, books), "resolved")
-    before, after = (c.select("codes").distinct().count() for c in (coded, out))
-    both = coded.select("item_id", F.col("codes").alias("old")).join(out, "item_id")
-    return both.select("item_id", (F.slice("old", 1, 1) == F.slice("codes", 1, 1)).alias("head_kept"), F.lit(after >= before).alias("fewer_collisions"))
+    out = collisions.resolve_collisions(v, coded, books)
+    return coded.select("item_id", joined("codes").alias("before")).join(out.select("item_id", joined("codes").alias("codes")), "item_id")
 
 
-@query("text_embeddings", """
-    SELECT doc_id, 64 AS dim, CAST(len(regexp_split_to_array(text, '\\s+')) AS BIGINT) AS words, true AS alike FROM documents""")
+@query("text_embeddings")
 def text_embeddings(spark, sf):
-    """Each text's vector by its length and the words it counts, and whether texts with the same words have the same vector."""
+    """Each text's vector of hashed word counts; tests/test_fitted.py computes the hashes itself."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    vectors_ = quantize.embed_texts(docs, "doc_id", "text")
-    words = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).cast("bigint")
-    rows = docs.join(vectors_, "doc_id").withColumn("text", F.md5("text"))
-    kinds = rows.groupBy("text").agg(F.countDistinct("embedding").alias("kinds"))
-    return rows.join(kinds, "text").select("doc_id", F.size("embedding").alias("dim"), words.alias("words"), (F.col("kinds") == 1).alias("alike"))
+    return quantize.embed_texts(docs, "doc_id", "text").select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("bigint")), ",").alias("embedding"))

@@ -197,6 +197,36 @@ def reward_collaborative(spark, sf):
     return rewards.collaborative_reward(g, scores, "last_item", "known", n, ["event_id", "pos"]).select("event_id", "pos", "collaborative_reward")
 
 
+# every reward by its name, and one that the caller writes: 1 where the first level of the code is right
+BY_NAME = (REWARDED, "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)",
+    "tr AS (SELECT hi[-1] AS last, item_id AS nxt, CAST(count(*) AS DOUBLE) AS score FROM w GROUP BY 1, 2)",
+    f"c AS (SELECT *, CASE WHEN candidate_item IN (SELECT item_id FROM benchmark) THEN candidate_item ELSE {DRAW} END AS cand FROM rw)",
+    """s AS (SELECT c.*, coalesce(list_cosine_similarity(a.e, b.e), 0.0) AS semantic, coalesce(score, 0.0) AS sasrec FROM c LEFT JOIN v a ON a.vec_id = target_item
+      LEFT JOIN v b ON b.vec_id = candidate_item LEFT JOIN tr ON last = last_item AND nxt = cand)""")
+
+
+def first_level_right(prompts, completions, target):
+    return [float(c.split(">")[0] == t.split(">")[0]) for c, t in zip(completions, target)]
+
+
+@query("rewards_by_name", with_sql(*BASE, *BY_NAME, body="""
+    SELECT event_id, pos, kind, round(r, 5) AS reward FROM (
+      SELECT event_id, pos, unnest(['rule', 'ranking', 'ranking_only', 'semantic', 'sasrec', 'first_level']) AS kind,
+             unnest([rule_reward, rule_reward + rank_reward, rank_reward, semantic, sasrec,
+                     CASE WHEN split_part(completion, '>', 1) = split_part(target, '>', 1) THEN 1.0 ELSE 0.0 END]) AS r FROM s)"""))
+def rewards_by_name(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    scores = rewards.transition_scores(windows(spark, sf).select(F.element_at("history", -1)["item_id"].alias("last"), "item_id"), "last", "item_id")
+    known = table(spark, sf, "benchmark").select(F.col("item_id").alias("candidate_item"), F.col("item_id").alias("known"))
+    g = rewards.semantic_reward(rewarded(spark, sf), vectors, "target_item", "candidate_item").join(known, "candidate_item", "left")
+    g = rewards.collaborative_reward(g, scores, "last_item", "known", catalogue(spark, sf).count(), ["event_id", "pos"])
+    own = {"first_level": lambda: rewards.caller_reward(first_level_right, "event_id", "completion", "target")}
+    g = g.withColumns({name: make() for name, make in own.items()})
+    kinds = [*rewards.REWARD_SETS, *own]
+    totals = [F.struct(F.lit(k).alias("kind"), F.round(rewards.weighted_sum(rewards.reward_columns(k, own)), 5).alias("reward")) for k in kinds]
+    return g.select("event_id", "pos", F.explode(F.array(*totals)).alias("k")).select("event_id", "pos", "k.kind", "k.reward")
+
+
 @query("selected_completions", with_sql(*BASE, "c AS (SELECT event_id, completion, target, count(*) AS n, min(pos) AS f FROM g GROUP BY ALL)",
     "r AS (SELECT *, unnest(range(1, n + 1)) AS round FROM c)", """
     o AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY completion = target DESC, CASE WHEN completion = target THEN 0 ELSE round END, n DESC, f, round) AS rn FROM r)""",

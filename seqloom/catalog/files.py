@@ -11,7 +11,7 @@ from seqloom.operators import sequences
 from seqloom.operators.ranking import chronological_split
 from seqloom.plans.dataset import split_samples, titled_windows
 from seqloom.session import durable_path, materialize
-from seqloom.sources import readers, writers
+from seqloom.sources import npy, readers, writers
 
 
 def joined(col, sep=","):
@@ -224,6 +224,44 @@ def keyed_json_object(spark, sf):
     return rows.select("key", "value.title", "value.brand")
 
 
+@query("keyed_json_one_line", "SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS title, 'a \"b\", {' || p_brand || '}, [' AS brand FROM part")
+def keyed_json_one_line(spark, sf):
+    """The same object without line feeds: one file of entries between commas, found by a scan of quotes and brackets."""
+    path = durable_path(spark, "line")
+    value = F.to_json(F.struct(F.col("p_name").alias("title"), F.concat(F.lit('a "b", {'), "p_brand", F.lit("}, [")).alias("brand"), F.array("p_size", "p_size").alias("sizes")))
+    rows = table(spark, sf, "part").select("p_partkey", F.concat(F.lit('"'), F.col("p_partkey").cast("string"), F.lit('":'), value).alias("e"))
+    entries = rows.select(F.concat("e", F.lit(",")).alias("e"))
+    entries.mapInArrow(closed_objects, "e string").write.option("lineSep", " ").text(path)
+    return readers.read_keyed_json(spark, path, "struct<title: string, brand: string>").where("key <> 'end'").select("key", "value.title", "value.brand")
+
+
+def closed_objects(batches):
+    """The text of each partition as one object: opened before its first entry, closed by a last one."""
+    import pyarrow as pa
+
+    some = False
+    for batch in batches:
+        if batch.num_rows and not some:
+            some = True
+            yield pa.RecordBatch.from_arrays([pa.array(["{"])], ["e"])
+        yield batch
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(['"end":null}'])], ["e"])
+
+
+@query("npy_vectors", """
+    SELECT vec_id AS item_id, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS by_row, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS by_column,
+           CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last FROM embeddings""")
+def npy_vectors(spark, sf):
+    """Vectors as array files of ranges of ids, written and read by tasks, row-major and column-major."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    dim = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    back = [npy.read_npy_files(npy.write_npy_files(vectors, "item_id", "embedding", dim or 1, by_column)) for by_column in (False, True)]
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4)
+    rows = back[0].select("item_id", total.alias("by_row"), F.get("embedding", F.lit(0)).cast("double").alias("first"))
+    return rows.join(back[1].select("item_id", total.alias("by_column"), F.element_at("embedding", -1).cast("double").alias("last")), "item_id")
+
+
 @query("preference_json", with_sql(LISTENS, """u AS (SELECT uid, list(item_id ORDER BY ts, event_id) AS i FROM listens GROUP BY uid)""", body="""
     SELECT 'u' || uid AS "user", array_to_string(i[1:-2], ',') AS history, i[-1] AS target FROM u WHERE len(i) >= 2 AND uid % 3 > 0"""))
 def preference_json(spark, sf):

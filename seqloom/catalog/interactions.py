@@ -8,7 +8,7 @@ from seqloom.catalog.base import query, with_sql
 from seqloom.catalog.inputs import (
     CATALOGUE, HIST, LISTENS, PURCHASE_ORDER, PURCHASES, ROUND_ORDER, catalogue, core_ctes, listens, purchases, table,
 )
-from seqloom.functions import text
+from seqloom.functions import tables, text
 from seqloom.operators import aggregates, core, ranking, sampling, sequences
 from seqloom.plans import dataset
 from seqloom.session import materialize
@@ -111,6 +111,16 @@ def windows_listens(spark, sf):
                     F.array_join(sequences.history_of("ts").cast("array<string>"), ",").alias("history_ts"))
 
 
+@query("windows_by_table_function", with_sql(LISTENS, W_LISTENS.format(src="listens"), body="""
+    SELECT event_id, uid, item_id, history_items FROM windows WHERE hist_n > 0"""))
+def windows_by_table_function(spark, sf):
+    """The same windows from SQL: a table function that walks each user's rows in order."""
+    tables.register(spark)
+    return spark.sql("""
+        SELECT event_id, uid, item_id, array_join(CAST(history AS ARRAY<STRING>), ',') AS history_items
+        FROM history_windows(TABLE(SELECT * FROM {log}) PARTITION BY uid ORDER BY (ts, event_id))""", log=listens(spark, sf).select("uid", "event_id", "item_id", "ts"))
+
+
 W_PURCHASES = f"""pw AS MATERIALIZED (SELECT *, count(*) OVER w AS hist_n, list(item_id) OVER w AS hist_items,
    list(CAST(rating AS BIGINT)) OVER w AS hist_ratings, list(ts) OVER w AS hist_ts
    FROM purchases WINDOW w AS (PARTITION BY user_id ORDER BY {ROUND_ORDER} {HIST}))"""

@@ -21,6 +21,7 @@ def event_stream(spark, sf):
                       wall_micros(F.col("ts")).alias("ts"), F.timestamp_micros(wall_micros(F.col("ts"))).alias("at"))
 
 
+SLICES = 3
 WINDOWS = f"""w AS MATERIALIZED (SELECT *, count(*) OVER x AS n, array_to_string(list(item_id) OVER x, ',') AS history
    FROM listens WINDOW x AS (PARTITION BY uid ORDER BY ts, event_id {HIST}))"""
 
@@ -41,10 +42,18 @@ def stream_longest_history(spark, sf):
 
 @query("stream_rolling_history", with_sql(LISTENS, WINDOWS, body="SELECT event_id, uid, item_id, ts, history FROM w WHERE n > 0"))
 def stream_rolling_history(spark, sf):
-    out, check = durable_path(spark, "rolling"), durable_path(spark, "stream")
-    jobs.drain_rows(jobs.rolling_history(event_stream(spark, sf)), out, check)
-    rows = spark.read.schema("event_id bigint, uid bigint, item_id bigint, ts bigint, history array<bigint>").parquet(out)
-    return rows.withColumn("history", joined("history"))
+    """The log as files in time order, one file a micro-batch."""
+    log, out, state, check = (durable_path(spark, label) for label in ("log", "rolling", "state", "stream"))
+    rows = listens(spark, sf).select("event_id", "uid", "item_id", "ts")
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    for part in range(SLICES if low is not None else 0):
+        cut = F.expr(f"(ts - {low}L) * {SLICES}L div ({high - low + 1}L)")
+        rows.filter(cut == part).coalesce(1).write.mode("append").parquet(log)
+    if low is None:
+        return rows.withColumn("history", F.lit(""))
+    jobs.drain_rolling_history(jobs.stream_folder(spark, log, rows.schema, files_per_batch=1), out, state, check)
+    found = spark.read.schema("event_id bigint, uid bigint, item_id bigint, ts bigint, history array<bigint>, batch_id bigint").parquet(out)
+    return found.drop("batch_id").withColumn("history", joined("history"))
 
 
 @query("stream_degree_counts", with_sql(LISTENS, body="""

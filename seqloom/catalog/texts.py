@@ -46,6 +46,17 @@ def clean_list_for_encoder(spark, sf):
     return lists.select("doc_id", text.clean_list_for_encoder("lines").alias("cleaned"))
 
 
+@query("clean_map_for_encoder", f"""
+    WITH lists AS (SELECT doc_id, ['language', lang, 'text', text, 'source', source] AS l FROM documents),
+    lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS p FROM lists),
+    parts AS (SELECT doc_id, p, {STRIP.format(x=PLAIN.format(x='line'))} AS t FROM lines),
+    j AS (SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS t FROM parts GROUP BY 1) SELECT doc_id, {DOT.format(x='t')} AS cleaned FROM j""")
+def clean_map_for_encoder(spark, sf):
+    """Keys and values of a map in their order, cleaned and joined like a list."""
+    maps = table(spark, sf, "documents").select("doc_id", F.create_map(F.lit("language"), "lang", F.lit("text"), "text", F.lit("source"), "source").alias("m"))
+    return maps.select("doc_id", text.clean_map_for_encoder("m").alias("cleaned"))
+
+
 @query("item_texts", with_sql(ITEM_META, "c AS (SELECT page_id, " + PLAIN.format(x=STRIP.format(x="title")) + " AS a, "
     + PLAIN.format(x=STRIP.format(x="html")) + " AS b FROM item_meta)",
     "d AS (SELECT page_id, trim(" + DOT.format(x="a") + ") AS a, trim(" + DOT.format(x="b") + ") AS b FROM c)", body="""

@@ -1,33 +1,27 @@
-"""Balanced code assignment: Sinkhorn scalings, capacity-limited choice, collision re-resolution.
+"""Balanced code assignment: temperature, Sinkhorn scalings and capacity-limited choice.
 
-The state of every loop is one number (or one row) per code. Items are only scanned, so a loop
-neither grows a plan nor keeps per-item state on executors.
+The state of every loop is one number (or one row) per code, or one narrow row per item in the shared folder. Vectors are only
+scanned, a tile of rows and codes at a time, so a loop neither grows a plan nor keeps per-item state on executors.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators.aggregates import path_sizes
-from seqloom.operators.quantize import (
-    codebook_frame, load_codebooks, matrix, mean_vectors, require_broadcast, residuals, squared_distances,
-)
-from seqloom.operators.ranking import portable_hash
-from seqloom.operators.sampling import sample_rows
-from seqloom.session import collect_small, materialize
+from seqloom.operators.quantize import n_levels
+from seqloom.operators.ranking import portable_hash, values_at
+from seqloom.operators.tiles import Book, Part, as_lists, book_of, minus_centroid, over_parts, row_tiles, squared_distances
+from seqloom.session import collect_small, discard, materialize, stored, stored_counted
 
 HASH_BITS = 60
 CUT_BITS = 12
-TASK_GROUP_ROWS = 20_000
 LISTED_CODES = 32
 # fixed values
 TEMPERATURE_QUANTILE = 90
 TEMPERATURE_SHARE = 0.1
 TEMPERATURE_FLOOR = 1e-6
-COLLISION_EPSILON = 0.003
-COLLISION_ROUNDS = 20
 
 
 def even_capacities(n: int, k: int) -> np.ndarray:
@@ -37,59 +31,63 @@ def even_capacities(n: int, k: int) -> np.ndarray:
     return caps
 
 
-def temperatures(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """One row, `tau`: a tenth of the median, over all items, of the 90th percentile of distance above the nearest code."""
-    shared = vectors.sparkSession.sparkContext.broadcast(centroids)
+def spreads(vectors: DataFrame, book: Book) -> DataFrame:
+    """(spread): per vector the 90th percentile of its squared distances above the smallest one.
 
-    def spread(batches):
-        import pyarrow as pa
+    A percentile needs the largest tenth of the distances only, so with several parts each gives its own largest ones and its
+    smallest, and what they give is merged per item.
+    """
+    place = TEMPERATURE_QUANTILE / 100 * (book.size - 1)
+    low = int(place)
+    largest = book.size - low  # from position `low` to the end
 
-        for b in batches:
-            d = squared_distances(matrix(b.column("vec")), shared.value)
-            s = np.percentile(d - d.min(1, keepdims=True), TEMPERATURE_QUANTILE, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(s)], ["spread"])
+    def make(_, part: Part):
+        def run(batches):
+            import pyarrow as pa
 
-    middle = F.percentile("spread", F.lit(0.5)) * TEMPERATURE_SHARE
-    return vectors.select("vec").mapInArrow(spread, "spread double").agg(F.greatest(middle, F.lit(TEMPERATURE_FLOOR)).alias("tau"))
+            c = part.centroids.value
+            keep = min(largest, len(c))
+            for tile, x in row_tiles(batches, len(c)):
+                d = np.sort(squared_distances(x, c), axis=1)
+                yield pa.RecordBatch.from_arrays([tile.column("item_id"), pa.array(d[:, 0]), as_lists(d[:, len(c) - keep:])], ["item_id", "least", "top"])
 
+        return run
 
-def temperature(vectors: DataFrame, centroids: np.ndarray) -> float:
-    return float(temperatures(vectors, centroids).first()["tau"])
+    found = over_parts(vectors.select("item_id", "vec"), book, make, "item_id bigint, least double, top array<double>")
+    if len(book.parts) > 1:
+        merged = found.groupBy("item_id").agg(F.min("least").alias("least"), F.sort_array(F.flatten(F.collect_list("top"))).alias("top"))
+        found = merged.withColumn("top", F.slice("top", F.size("top") - largest + 1, largest))
+    at, after = F.get("top", F.lit(0)), F.coalesce(F.get("top", F.lit(1)), F.get("top", F.lit(0)))
+    return found.select((at + (after - at) * (place - low) - F.col("least")).alias("spread"))
+
+
+def temperature(vectors: DataFrame, centroids: np.ndarray | Book) -> float:
+    """A tenth of the median, over all items, of the 90th percentile of distance above the nearest code.
+
+    The median is selected by narrowing down on it; nothing is sorted and no task holds the values.
+    """
+    book = book_of(vectors.sparkSession, centroids)
+    table, path = stored(spreads(vectors, book), "spreads")
+    middle = values_at(table, "spread", lambda n: [(n - 1) // 2, n // 2])
+    discard(vectors.sparkSession, path)
+    return max(sum(middle) / 2 * TEMPERATURE_SHARE, TEMPERATURE_FLOOR) if middle else TEMPERATURE_FLOOR
 
 
 def sinkhorn_bias(
-    vectors: DataFrame, centroids: np.ndarray, capacities: np.ndarray, tau: float, iters: int = 30, tol: float = 0.0,
-    centre: tuple[float, float] | None = None,
+    vectors: DataFrame, centroids: np.ndarray | Book, capacities: np.ndarray, tau: float, iters: int = 30, tol: float = 0.0,
 ) -> np.ndarray:
     """Log column scalings of the transport plan between items (equal weight) and codes (capacity).
 
-    An iteration is one pass: each task normalises its rows and adds up K column sums. The row
-    scalings never matter for an item's own ranking of codes, so they are not kept. `centre` is
-    (middle, amplitude) for distances centred before the kernel.
+    An iteration normalises every item's row and adds up K column sums. With one part that is one pass; with several, one pass
+    per part gives each item's share of its row sum, and a second one the column sums of the part. The row scalings never matter
+    for an item's own ranking of codes, so they are not kept.
     """
     target = capacities / capacities.sum()
-    bias = np.zeros(len(centroids))
-    sc = vectors.sparkSession.sparkContext
+    book = book_of(vectors.sparkSession, centroids)
+    bias = np.zeros(book.size)
+    n = vectors.count()
     for _ in range(iters):
-        shared = sc.broadcast((centroids, bias, tau, centre))
-
-        def column_sums(batches, shared=shared):
-            import pyarrow as pa
-
-            c, log_v, t, mid = shared.value
-            sums, rows = np.zeros(len(c)), 0
-            for b in batches:
-                logits = _logits(matrix(b.column("vec")), c, t, mid)
-                plan = np.exp(logits - (logits + log_v).max(1, keepdims=True))
-                sums += (plan / (plan * np.exp(log_v)).sum(1, keepdims=True)).sum(0)
-                rows += len(plan)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(c))), pa.array(sums), pa.array(np.full(len(c), rows))], ["code", "s", "n"])
-
-        parts = vectors.select("vec").mapInArrow(column_sums, "code bigint, s double, n bigint")
-        rows = collect_small(parts.groupBy("code").agg(F.sum("s").alias("s"), F.sum("n").alias("n")),
-                             len(centroids), "codes")
-        sums = np.array([r["s"] for r in sorted(rows)]) / rows[0]["n"]
+        sums = _column_sums(vectors, book, bias, tau) / n
         error = np.abs(np.exp(bias) * sums - target).sum()
         bias = np.log(target) - np.log(np.maximum(sums, 1e-300))
         if error < tol:
@@ -97,15 +95,57 @@ def sinkhorn_bias(
     return bias
 
 
-def _logits(x: np.ndarray, c: np.ndarray, tau: float, centre) -> np.ndarray:
-    d = squared_distances(x, c)
-    if centre is not None:
-        d = (d - centre[0]) / centre[1]
-    return -d / tau
+def _column_sums(vectors: DataFrame, book: Book, bias: np.ndarray, tau: float) -> np.ndarray:
+    """Sums over items of exp(-distance / tau) over the item's row sum with the biases."""
+    sc = vectors.sparkSession.sparkContext
+    shared = sc.broadcast(book.slices(bias))
+    rows = vectors.select("item_id", "vec")
+
+    def shares(i: int, part: Part):
+        """Largest entry and scaled sum of each row's part."""
+        def run(batches):
+            import pyarrow as pa
+
+            for tile, x in row_tiles(batches, part.size):
+                m = -squared_distances(x, part.centroids.value) / tau + shared.value[i]
+                top = m.max(1)
+                yield pa.RecordBatch.from_arrays([tile.column("item_id"), pa.array(top), pa.array(np.exp(m - top[:, None]).sum(1))], ["item_id", "top", "s"])
+
+        return run
+
+    if len(book.parts) > 1:
+        parts = over_parts(rows, book, shares, "item_id bigint, top double, s double")
+        tops = parts.groupBy("item_id").agg(F.max("top").alias("m"), F.collect_list(F.struct("top", "s")).alias("e"))
+        total = F.aggregate("e", F.lit(0.0), lambda acc, e: acc + e["s"] * F.exp(e["top"] - F.col("m")))
+        rows = materialize(rows.join(tops.select("item_id", (F.col("m") + F.log(total)).alias("norm")), "item_id"), "normed")
+
+    def column_sums(i: int, part: Part):
+        def run(batches):
+            import pyarrow as pa
+
+            sums = np.zeros(part.size)
+            for tile, x in row_tiles(batches, part.size):
+                logits = -squared_distances(x, part.centroids.value) / tau
+                if "norm" in tile.schema.names:
+                    sums += np.exp(logits - tile.column("norm").to_numpy()[:, None]).sum(0)
+                else:
+                    m = logits + shared.value[i]
+                    plan = np.exp(logits - m.max(1, keepdims=True))
+                    sums += (plan / (plan * np.exp(shared.value[i])).sum(1, keepdims=True)).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.size) + part.start), pa.array(sums)], ["code", "s"])
+
+        return run
+
+    sums = over_parts(rows, book, column_sums, "code bigint, s double").groupBy("code").agg(F.sum("s").alias("s"))
+    out = np.zeros(book.size)
+    for r in collect_small(sums, book.size, "codes"):
+        out[r["code"]] = r["s"]
+    shared.destroy()
+    return out
 
 
 def capacity_assign(
-    vectors: DataFrame, centroids: np.ndarray, capacities: np.ndarray, bias: np.ndarray | None = None,
+    vectors: DataFrame, centroids: np.ndarray | Book, capacities: np.ndarray, bias: np.ndarray | None = None,
     tau: float = 1.0, seed: int = 42, listed: int = LISTED_CODES,
 ) -> DataFrame:
     """(item_id, code): items in seeded random order each take their best code that still has room.
@@ -118,57 +158,82 @@ def capacity_assign(
     Rounds read a narrow table of each item's `listed` best codes. Items turned away by all of
     them get their next best ones listed, so the result does not depend on the length.
     """
-    bias = np.zeros(len(centroids)) if bias is None else bias
-    cuts = [(1 << HASH_BITS, 0)] * len(centroids)
+    book = book_of(vectors.sparkSession, centroids)
+    bias = np.zeros(book.size) if bias is None else bias
+    cuts = np.full((2, book.size), 0, np.int64)
+    cuts[0] = 1 << HASH_BITS
     hashed = vectors.select("item_id", "vec", portable_hash("item_id", seed=seed).alias("h"))
-    prefs = materialize(_list_codes(hashed, centroids, bias, tau, cuts, listed), "prefs")
+    prefs = materialize(_list_codes(hashed, book, bias, tau, cuts, listed), "prefs")
     while True:
-        chosen = prefs.select("item_id", "h", _first_open(cuts).alias("code")).persist()
-        loads = {r["code"]: r["count"] for r in collect_small(chosen.groupBy("code").count(), len(centroids) + 1, "codes")}
+        chosen, path = stored(_first_open(prefs, cuts), "chosen")
+        loads = {r["code"]: r["count"] for r in collect_small(chosen.groupBy("code").count(), book.size + 1, "codes")}
         if sum(loads.values()) > int(np.sum(capacities)):
             raise ValueError("the capacities do not add up to the number of items")
         over = {c: int(capacities[c]) for c, n in loads.items() if c is not None and n > capacities[c]}
         if None in loads:
             turned_away = chosen.filter(F.col("code").isNull()).select("item_id")
-            again = _list_codes(hashed.join(turned_away, "item_id", "left_semi"), centroids, bias, tau, cuts, listed)
+            again = _list_codes(hashed.join(turned_away, "item_id", "left_semi"), book, bias, tau, cuts, listed)
             prefs = materialize(prefs.join(turned_away, "item_id", "left_anti").unionByName(again), "prefs")
         elif not over:
-            done = materialize(chosen.select("item_id", "code"), "assigned")
-            chosen.unpersist()
-            return done
+            return chosen.select("item_id", "code")
         for code, h, item in _new_cuts(chosen.filter(F.col("code").isNotNull()), over) if over else []:
-            cuts[code] = (h, item)
-        chosen.unpersist()
+            cuts[:, code] = h, item
+        discard(vectors.sparkSession, path)
 
 
-def _first_open(cuts) -> Column:
-    """The first listed code whose cut-off the item makes, null when none."""
-    cut_h = F.array(*[F.lit(h).cast("bigint") for h, _ in cuts])
-    cut_i = F.array(*[F.lit(i).cast("bigint") for _, i in cuts])
-    makes_it = F.filter("prefs", lambda c: (F.col("h") < F.get(cut_h, c)) | (
-        (F.col("h") == F.get(cut_h, c)) & (F.col("item_id") <= F.get(cut_i, c))))
-    return F.get(makes_it, F.lit(0))
-
-
-def _list_codes(hashed: DataFrame, centroids, bias, tau, cuts, listed: int) -> DataFrame:
-    """(item_id, h, prefs): each item's best codes among those it can still get, best first."""
-    shared = hashed.sparkSession.sparkContext.broadcast(
-        (centroids, bias, tau, np.array([c[0] for c in cuts]), np.array([c[1] for c in cuts])))
+def _first_open(prefs: DataFrame, cuts: np.ndarray) -> DataFrame:
+    """(item_id, h, code): the first listed code whose cut-off the item makes, null when none."""
+    shared = prefs.sparkSession.sparkContext.broadcast(cuts.copy())  # two numbers a code
 
     def run(batches):
         import pyarrow as pa
 
-        c, log_v, t, cut_h, cut_i = shared.value
+        cut_h, cut_i = shared.value
         for b in batches:
-            score = _logits(matrix(b.column("vec")), c, t, None) + log_v
-            h, item = b.column("h").to_numpy()[:, None], b.column("item_id").to_numpy()[:, None]
-            makes_it = (h < cut_h) | ((h == cut_h) & (item <= cut_i))
-            order = np.argsort(-np.where(makes_it, score, -np.inf), axis=1, kind="stable")[:, :listed].astype(np.int32)
-            codes = [row[ok[row]] for row, ok in zip(order, makes_it)]
-            yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("h"), pa.array(codes, pa.list_(pa.int32()))],
-                                             ["item_id", "h", "prefs"])
+            lists, h, item = b.column("prefs"), b.column("h").to_numpy(), b.column("item_id").to_numpy()
+            codes = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            row = np.repeat(np.arange(len(lists)), np.diff(ends, prepend=0))
+            makes_it = (h[row] < cut_h[codes]) | ((h[row] == cut_h[codes]) & (item[row] <= cut_i[codes]))
+            at = np.flatnonzero(makes_it)
+            rows, first = np.unique(row[at], return_index=True)
+            code = np.zeros(len(lists), np.int32)
+            none = np.ones(len(lists), bool)
+            code[rows], none[rows] = codes[at[first]], False
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("h"), pa.array(code, mask=none)], ["item_id", "h", "code"])
+
+    return prefs.mapInArrow(run, "item_id bigint, h bigint, code int")
+
+
+def _list_codes(hashed: DataFrame, book: Book, bias: np.ndarray, tau: float, cuts: np.ndarray, listed: int) -> DataFrame:
+    """(item_id, h, prefs): each item's best codes among those it can still get, best first."""
+    sc = hashed.sparkSession.sparkContext
+    shared = sc.broadcast([(bias[p.start:p.start + p.size], cuts[:, p.start:p.start + p.size]) for p in book.parts])
+
+    def make(i: int, part: Part):
+        def run(batches):
+            import pyarrow as pa
+
+            log_v, (cut_h, cut_i) = shared.value[i]
+            for tile, x in row_tiles(batches, part.size):
+                score = -squared_distances(x, part.centroids.value) / tau + log_v
+                h, item = tile.column("h").to_numpy()[:, None], tile.column("item_id").to_numpy()[:, None]
+                makes_it = (h < cut_h) | ((h == cut_h) & (item <= cut_i))
+                score = np.where(makes_it, score, -np.inf)
+                order = np.argsort(-score, axis=1, kind="stable")[:, :listed]
+                best = np.take_along_axis(score, order, axis=1)
+                sizes = np.isfinite(best).sum(axis=1)
+                flat = np.isfinite(best)
+                entries = pa.StructArray.from_arrays([pa.array(-best[flat]), pa.array((order[flat] + part.start).astype(np.int32))], ["loss", "code"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), entries)
+                yield pa.RecordBatch.from_arrays([tile.column("item_id"), tile.column("h"), lists], ["item_id", "h", "prefs"])
 
-    return hashed.mapInArrow(run, "item_id bigint, h bigint, prefs array<int>")
+        return run
+
+    found = over_parts(hashed, book, make, "item_id bigint, h bigint, prefs array<struct<loss:double,code:int>>")
+    if len(book.parts) > 1:
+        found = found.groupBy("item_id", "h").agg(F.slice(F.sort_array(F.flatten(F.collect_list("prefs"))), 1, listed).alias("prefs"))
+    return found.select("item_id", "h", F.col("prefs.code").alias("prefs"))
 
 
 def _new_cuts(chosen: DataFrame, over: dict[int, int]) -> list[tuple[int, int, int]]:
@@ -191,144 +256,24 @@ def _new_cuts(chosen: DataFrame, over: dict[int, int]) -> list[tuple[int, int, i
     return [(code, *found.get(code, (-1, 0))) for code in over]
 
 
-def balanced_kmeans(
-    vectors: DataFrame, k: int, max_iter: int = 10, seed: int = 42, tol: float = 1e-4
-) -> tuple[np.ndarray, DataFrame]:
-    """(centroids, assignment): Lloyd rounds whose assignment step honours even capacities.
-
-    Cluster sizes are n // k or one more, inside the bounds [max(1, n//k - 1), n//k + 1].
-    """
-    vectors = materialize(vectors.select("item_id", "vec"), "vectors")
-    caps = even_capacities(vectors.count(), k)
-    first = collect_small(sample_rows(vectors, ["item_id"], k, seed), k, "starting centroids")
-    centroids = np.array([r["vec"] for r in sorted(first, key=lambda r: r["item_id"])])
-    if len(centroids) < k:
-        raise ValueError(f"{len(centroids)} items cannot start {k} codes")
-    assigned = None
-    for _ in range(max_iter):
-        assigned = capacity_assign(vectors, centroids, caps, seed=seed)
-        means = collect_small(mean_vectors(vectors.join(assigned, "item_id"), "code", "vec"), k, "centroids")
-        moved = centroids.copy()
-        for r in means:
-            moved[r["code"]] = r["centroid"]
-        shift = float(((moved - centroids) ** 2).sum(1).max())
-        centroids = moved
-        if shift <= tol:
-            break
-    return centroids, assigned
-
-
-def residual_balanced_kmeans(
-    vectors: DataFrame, k: int, levels: int, max_iter: int = 10, seed: int = 42
-) -> tuple[DataFrame, DataFrame]:
-    """(codebooks, codes) with every level balanced."""
-    spark, left = vectors.sparkSession, materialize(vectors.select("item_id", "vec"), "residual")
-    codes, books = left.select("item_id", F.array().cast("array<int>").alias("codes")), []
-    for level in range(levels):
-        centroids, assigned = balanced_kmeans(left, k, max_iter, seed + level)
-        books.append(centroids)
-        codes = materialize(codes.join(assigned, "item_id").select(
-            "item_id", F.concat("codes", F.array("code")).alias("codes")), "codes")
-        one = assigned.select("item_id", F.array("code").alias("codes"))
-        left = materialize(residuals(left, one, codebook_frame(spark, [centroids]), 1), "residual")
-    return codebook_frame(spark, books), codes
-
-
 def uniform_mapping(
     vectors: DataFrame, codebooks: DataFrame, iters: int = 30, tau: float | None = None, seed: int = 42
 ) -> DataFrame:
     """(item_id, codes): level by level, Sinkhorn scalings then capacity-limited choice, sizes within one of each other."""
-    books = load_codebooks(require_broadcast(codebooks))
-    left = materialize(vectors.select("item_id", "vec"), "residual")
+    left, path, n = stored_counted(vectors.select("item_id", "vec"), "residual")
     codes = left.select("item_id", F.array().cast("array<int>").alias("codes"))
-    n = left.count()
-    for level, book in enumerate(books):
-        caps = even_capacities(n, len(book))
+    levels = n_levels(codebooks)
+    for level in range(levels):
+        book = book_of(vectors.sparkSession, codebooks, level)
+        caps = even_capacities(n, book.size)
         t = tau if tau is not None else temperature(left, book)
         bias = sinkhorn_bias(left, book, caps, t, iters)
         assigned = capacity_assign(left, book, caps, bias, t, seed + level)
         codes = materialize(codes.join(assigned, "item_id").select(
             "item_id", F.concat("codes", F.array("code")).alias("codes")), "codes")
-        one = assigned.select("item_id", F.array("code").alias("codes"))
-        left = materialize(residuals(left, one, codebook_frame(vectors.sparkSession, [book]), 1), "residual")
+        if level < levels - 1:
+            less, old = minus_centroid(left.join(assigned, "item_id"), book), path
+            left, path = stored(less, "residual")
+            discard(vectors.sparkSession, old)
+    discard(vectors.sparkSession, path)
     return codes
-
-
-def _group_choice(d: np.ndarray, epsilon: float, iters: int) -> np.ndarray:
-    """Balanced choice inside one group from its (n, k) distances."""
-    middle = (d.max() + d.min()) / 2
-    logits = -(d - middle) / (d.max() - middle + 1e-5) / epsilon
-    log_v = np.zeros(d.shape[1])
-    for _ in range(iters):
-        m = logits + log_v
-        top = m.max(1, keepdims=True)
-        log_u = -(top + np.log(np.exp(m - top).sum(1, keepdims=True)))
-        cols = logits + log_u
-        top = cols.max(0, keepdims=True)
-        log_v = -(top + np.log(np.exp(cols - top).sum(0, keepdims=True)))[0]
-    return (logits + log_v).argmax(1)
-
-
-def resolve_collisions(
-    vectors: DataFrame, coded: DataFrame, codebooks: DataFrame, rounds: int = COLLISION_ROUNDS,
-    epsilon: float = COLLISION_EPSILON, iters: int = 50, task_rows: int = TASK_GROUP_ROWS,
-) -> DataFrame:
-    """(item_id, codes): members of a shared path spread over the last level, until paths are unique or rounds end.
-
-    Groups up to `task_rows` are solved inside one task each; larger ones run the same iteration
-    as passes over their members.
-    """
-    books = load_codebooks(require_broadcast(codebooks))
-    last_book = books[-1]
-    levels = len(books)
-    # the last-level residual depends on the earlier codes only, which never change here
-    tail = materialize(residuals(vectors, coded, codebooks, levels - 1), "tail")
-    coded = materialize(coded, "codes")
-    for _ in range(rounds):
-        groups = materialize(path_sizes(coded, "codes").filter(F.col("members") > 1), "collided")
-        if groups.isEmpty():
-            break
-        members = coded.join(groups, "codes").join(tail, "item_id")
-        small = members.filter(F.col("members") <= task_rows)
-
-        def solve(pdf):
-            pdf = pdf.sort_values("item_id")
-            d = squared_distances(np.stack(pdf["vec"].to_numpy()).astype(np.float64), last_book)
-            return pdf[["item_id"]].assign(last=_group_choice(d, epsilon, iters).astype(np.int32))
-
-        moved = small.groupBy("codes").applyInPandas(solve, "item_id bigint, last int")
-        for g in groups.filter(F.col("members") > task_rows).select("codes").toLocalIterator():
-            path = F.array(*[F.lit(int(c)) for c in g["codes"]])
-            moved = moved.unionByName(_spread_group(members.filter(F.col("codes") == path), last_book, epsilon, iters))
-        joined = coded.join(moved, "item_id", "left")
-        head = F.slice("codes", 1, levels - 1)
-        coded = materialize(joined.select("item_id", F.when(
-            F.col("last").isNotNull(), F.concat(head, F.array("last"))).otherwise(F.col("codes")).alias("codes")), "codes")
-    return coded
-
-
-def _spread_group(members: DataFrame, book: np.ndarray, epsilon: float, iters: int) -> DataFrame:
-    members = materialize(members.select("item_id", "vec"), "group")
-    shared = members.sparkSession.sparkContext.broadcast(book)
-
-    def extremes(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            d = squared_distances(matrix(b.column("vec")), shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array([d.min()]), pa.array([d.max()])], ["lo", "hi"])
-
-    lo, hi = members.select("vec").mapInArrow(extremes, "lo double, hi double").agg(F.min("lo"), F.max("hi")).first()
-    middle = (lo + hi) / 2
-    centre = (middle, hi - middle + 1e-5)
-    bias = sinkhorn_bias(members, book, np.ones(len(book)), epsilon, iters, centre=centre)
-
-    def pick(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            score = _logits(matrix(b.column("vec")), shared.value, epsilon, centre) + bias
-            yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(score.argmax(1).astype(np.int32))], ["item_id", "last"])
-
-    return members.mapInArrow(pick, "item_id bigint, last int")
-

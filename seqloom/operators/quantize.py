@@ -11,25 +11,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.operators.tiles import PART_BYTES, as_lists, book_of, matrix, minus_centroid, nearest, row_tiles, squared_distances
 from seqloom.session import collect_small, materialize
 
-CODEBOOK_BYTES = 256 * 1024 * 1024
-
-
-def matrix(column) -> np.ndarray:
-    """Arrow list column of equal lengths to an (n, d) double array."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64, copy=False).reshape(len(column), -1)
-
 
 def _code_matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return (x * x).sum(1, keepdims=True) + (c * c).sum(1)[None, :] - 2.0 * (x @ c.T)
-
-
 def as_doubles(df: DataFrame, item: str, embedding: str) -> DataFrame:
     return df.select(F.col(item).cast("bigint").alias("item_id"), F.col(embedding).cast("array<double>").alias("vec"))
 
@@ -40,153 +29,110 @@ def codebook_frame(spark: SparkSession, books: Sequence[np.ndarray]) -> DataFram
     return spark.createDataFrame(rows, "level int, code int, centroid array<double>")
 
 
-def fits_broadcast(codebooks: DataFrame, limit: int = CODEBOOK_BYTES) -> bool:
-    """Size check from counts alone, before any centroid reaches the driver."""
-    values = codebooks.agg(F.sum(F.size("centroid")).alias("v")).first()["v"] or 0
-    return values * 8 <= limit
-
+def n_levels(codebooks: DataFrame) -> int:
+    return (codebooks.agg(F.max("level")).first()[0] or 0) + 1
 
-def require_broadcast(codebooks: DataFrame, limit: int = CODEBOOK_BYTES) -> DataFrame:
-    """The codebooks, for steps that hold a level's K centroids in each task; refuses larger ones."""
-    if not fits_broadcast(codebooks, limit):
-        raise ValueError("codebooks exceed the size every task may hold")
-    return codebooks
 
-
-def load_codebooks(codebooks: DataFrame) -> list[np.ndarray]:
-    """Codebooks as one array per level; call only after `fits_broadcast`."""
-    rows = collect_small(codebooks.select("level", "code", "centroid"), CODEBOOK_BYTES // 8, "codebook")
+def whole_books(codebooks: DataFrame, part_bytes: int | None = None) -> list | None:
+    """All levels as books when together they are one part, so that one pass can take them all; else None."""
+    limit = part_bytes or PART_BYTES
+    values, n = codebooks.agg(F.sum(F.size("centroid")), F.count(F.lit(1))).first()
+    if (values or 0) * 8 > limit:
+        return None
     levels: dict[int, list] = {}
-    for r in sorted(rows):
+    for r in sorted(collect_small(codebooks.select("level", "code", "centroid"), n, "codebook")):
         levels.setdefault(r["level"], []).append(r["centroid"])
-    return [np.array(levels[k], dtype=np.float64) for k in sorted(levels)]
+    return [book_of(codebooks.sparkSession, np.array(levels[k], dtype=np.float64), part_bytes=limit) for k in sorted(levels)]
 
 
-def encode(vectors: DataFrame, codebooks: DataFrame, limit: int = CODEBOOK_BYTES) -> DataFrame:
+def encode(vectors: DataFrame, codebooks: DataFrame, part_bytes: int | None = None) -> DataFrame:
     """(item_id, codes): per level the nearest centroid of what earlier levels left over.
 
-    Codebooks under the size limit travel to the tasks whole. Larger ones are scanned in
-    blocks of that size, keeping the best code so far with each row.
+    Codebooks that fit in one part are passed in one go. Larger ones go level by level, each in as many passes as it has
+    parts, merged per item.
     """
-    if fits_broadcast(codebooks, limit):
-        return _encode_whole(vectors, load_codebooks(codebooks))
-    return _encode_blocks(vectors, codebooks, limit)
+    books = whole_books(codebooks, part_bytes)
+    if books is not None:
+        return _encode_whole(vectors, books)
+    left = vectors.select("item_id", "vec")
+    codes = left.select("item_id", F.array().cast("array<int>").alias("codes"))
+    levels = n_levels(codebooks)
+    for level in range(levels):
+        book = book_of(codebooks.sparkSession, codebooks, level, part_bytes)
+        found = materialize(nearest(left, book).select("item_id", "code"), "nearest")
+        codes = codes.join(found, "item_id").select("item_id", F.concat("codes", F.array("code")).alias("codes"))
+        if level < levels - 1:
+            left = materialize(minus_centroid(left.join(found, "item_id"), book), "residual")
+    return materialize(codes, "encoded")
 
 
-def _encode_whole(vectors: DataFrame, books: list[np.ndarray], keep_residual: bool = False) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast(books)
+def _encode_whole(vectors: DataFrame, books: list, keep_residual: bool = False) -> DataFrame:
+    widest = max(book.size for book in books)
+    shared = [book.parts[0].centroids for book in books]
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            residual = matrix(b.column("vec"))
-            codes = np.empty((len(residual), len(shared.value)), dtype=np.int32)
-            for level, book in enumerate(shared.value):
-                codes[:, level] = squared_distances(residual, book).argmin(1)
-                residual = residual - book[codes[:, level]]
-            columns, names = [b.column("item_id"), _lists(codes)], ["item_id", "codes"]
+        for tile, residual in row_tiles(batches, widest):
+            codes = np.empty((len(residual), len(shared)), dtype=np.int32)
+            for level, book in enumerate(shared):
+                codes[:, level] = squared_distances(residual, book.value).argmin(1)
+                residual = residual - book.value[codes[:, level]]
+            columns, names = [tile.column("item_id"), as_lists(codes)], ["item_id", "codes"]
             if keep_residual:
-                columns, names = [*columns, _lists(residual)], [*names, "vec"]
+                columns, names = [*columns, as_lists(residual)], [*names, "vec"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "item_id bigint, codes array<int>" + (", vec array<double>" if keep_residual else "")
     return vectors.select("item_id", "vec").mapInArrow(run, schema)
 
 
-def _lists(rows: np.ndarray):
-    import pyarrow as pa
-
-    flat = pa.array(rows.ravel())
-    return pa.FixedSizeListArray.from_arrays(flat, rows.shape[1]).cast(pa.list_(flat.type))
-
-
-def _encode_blocks(vectors: DataFrame, codebooks: DataFrame, limit: int) -> DataFrame:
-    sc = vectors.sparkSession.sparkContext
-    dim = codebooks.select(F.size("centroid").alias("d")).first()["d"]
-    block = max(1, limit // (8 * dim))
-    state = vectors.select("item_id", F.col("vec").alias("residual"), F.array().cast("array<int>").alias("codes"))
-    sizes = collect_small(codebooks.groupBy("level").count().orderBy("level"), 1000, "levels")
-    for level, size in ((r["level"], r["count"]) for r in sizes):
-        best = state.withColumn("best", F.lit(float("inf"))).withColumn("at", F.lit(-1))
-        for start in range(0, size, block):
-            rows = codebooks.filter((F.col("level") == level) & F.col("code").between(start, start + block - 1))
-            part = sc.broadcast(np.array([r["centroid"] for r in collect_small(rows.orderBy("code"), block, "block")]))
-            best = best.mapInArrow(_closer(part, start), best.schema)
-        centroids = codebooks.filter(F.col("level") == level).select(F.col("code").alias("at"), "centroid")
-        state = materialize(best.join(centroids, "at").select(
-            "item_id", F.zip_with("residual", "centroid", lambda x, y: x - y).alias("residual"),
-            F.concat("codes", F.array("at")).alias("codes")), "encoded")
-    return state.select("item_id", "codes")
-
-
-def _closer(part, start):
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            d = squared_distances(matrix(b.column("residual")), part.value)
-            code = d.argmin(1)
-            d = d[np.arange(len(code)), code]
-            old, at = b.column("best").to_numpy(), b.column("at").to_numpy()
-            better = d < old
-            out = {n: b.column(n) for n in b.schema.names}
-            out["best"] = pa.array(np.where(better, d, old))
-            out["at"] = pa.array(np.where(better, code + start, at).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([out[n] for n in b.schema.names], b.schema.names)
-
-    return run
-
-
-def centroid_of_codes(coded: DataFrame, codebooks: DataFrame, levels: int | None = None) -> DataFrame:
-    """(item_id, recon): sum of the chosen centroids of the first `levels` levels, by joins on (level, code)."""
-    used = coded.select("item_id", F.posexplode("codes").alias("level", "code"))
-    if levels is not None:
-        used = used.filter(F.col("level") < levels)
-    picked = used.join(codebooks, ["level", "code"])
-    return picked.groupBy("item_id").agg(
-        F.aggregate(F.collect_list("centroid"), F.array().cast("array<double>"),
-                    lambda acc, c: F.when(F.size(acc) == 0, c).otherwise(F.zip_with(acc, c, lambda a, b: a + b))).alias("recon"))
-
-
-def residuals(vectors: DataFrame, coded: DataFrame, codebooks: DataFrame, upto: int) -> DataFrame:
-    """(item_id, vec): what is left of each vector after its first `upto` levels.
-
-    Codebooks under the size limit are subtracted inside the tasks; larger ones are joined.
-    """
+def residuals(vectors: DataFrame, coded: DataFrame, codebooks: DataFrame, upto: int, part_bytes: int | None = None) -> DataFrame:
+    """(item_id, vec): what is left of each vector after its first `upto` levels; in parts, each row meets only its own."""
     if upto == 0:
         return vectors.select("item_id", "vec")
-    if not fits_broadcast(codebooks):
-        recon = centroid_of_codes(coded, codebooks, upto)
-        return vectors.join(recon, "item_id").select("item_id", F.zip_with("vec", "recon", lambda x, y: x - y).alias("vec"))
-    shared = vectors.sparkSession.sparkContext.broadcast(load_codebooks(codebooks)[:upto])
+    left = vectors.select("item_id", "vec").join(coded.select("item_id", "codes"), "item_id")
+    books = whole_books(codebooks, part_bytes)
+    if books is not None:
+        shared = [book.parts[0].centroids for book in books[:upto]]
 
-    def subtract(batches):
-        import pyarrow as pa
+        def subtract(batches):
+            import pyarrow as pa
 
-        for b in batches:
-            left, codes = matrix(b.column("vec")), _code_matrix(b.column("codes"))
-            for level, book in enumerate(shared.value):
-                left = left - book[codes[:, level]]
-            yield pa.RecordBatch.from_arrays([b.column("item_id"), _lists(left)], ["item_id", "vec"])
+            for b in batches:
+                vec, codes = matrix(b.column("vec")), _code_matrix(b.column("codes"))
+                for level, book in enumerate(shared):
+                    vec = vec - book.value[codes[:, level]]
+                yield pa.RecordBatch.from_arrays([b.column("item_id"), as_lists(vec)], ["item_id", "vec"])
 
-    head = coded.select("item_id", F.slice("codes", 1, upto).alias("codes"))
-    return vectors.select("item_id", "vec").join(head, "item_id").mapInArrow(subtract, "item_id bigint, vec array<double>")
+        return left.mapInArrow(subtract, "item_id bigint, vec array<double>")
+    for level in range(upto):
+        book = book_of(vectors.sparkSession, codebooks, level, part_bytes)
+        less = minus_centroid(left.withColumn("code", F.get("codes", F.lit(level))), book)
+        left = less if level == upto - 1 else less.join(coded.select("item_id", "codes"), "item_id")
+    return left.select("item_id", "vec")
 
 
 def next_residual(vectors: DataFrame, codebook: DataFrame) -> DataFrame:
-    """(item_id, vec): each vector minus its nearest centroid of a one-level codebook, in one pass."""
-    if fits_broadcast(codebook):
-        return _encode_whole(vectors, load_codebooks(codebook), keep_residual=True).select("item_id", "vec")
-    return residuals(vectors, _encode_blocks(vectors, codebook, CODEBOOK_BYTES), codebook, 1)
-
+    """(item_id, vec): each vector minus its nearest centroid of a one-level codebook."""
+    books = whole_books(codebook)
+    if books is not None:
+        return _encode_whole(vectors, books, keep_residual=True).select("item_id", "vec")
+    return residuals(vectors, encode(vectors, codebook), codebook, 1)
+
+
+def level_errors(vectors: DataFrame, coded: DataFrame, codebooks: DataFrame, beta: float = 0.25, part_bytes: int | None = None) -> DataFrame:
+    """Per level: mean squared residual before and after it, and the quantiser loss (1 + beta) x error."""
+    books = whole_books(codebooks, part_bytes)
+    squares = _squares_in_one_pass(vectors, coded, books) if books is not None else _squares_by_level(vectors, coded, codebooks, part_bytes)
+    sums = squares.groupBy("level").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.sum("n").alias("n"))
+    after = F.col("a") / F.col("n")
+    return sums.select("level", (F.col("b") / F.col("n")).alias("mse_before"), after.alias("mse_after"), (after * (1 + beta)).alias("loss"))
 
-def level_errors(vectors: DataFrame, coded: DataFrame, codebooks: DataFrame, beta: float = 0.25) -> DataFrame:
-    """Per level: mean squared residual before and after it, and the quantiser loss (1 + beta) x error.
 
-    One join and one pass: each task adds up its squares for all levels.
-    """
-    shared = vectors.sparkSession.sparkContext.broadcast(load_codebooks(require_broadcast(codebooks)))
+def _squares_in_one_pass(vectors: DataFrame, coded: DataFrame, books: list) -> DataFrame:
+    """One join and one pass: each task adds up its squares for all levels."""
+    shared = [book.parts[0].centroids for book in books]
 
     def squares(batches):
         import pyarrow as pa
@@ -194,19 +140,30 @@ def level_errors(vectors: DataFrame, coded: DataFrame, codebooks: DataFrame, bet
         for b in batches:
             left, codes = matrix(b.column("vec")), _code_matrix(b.column("codes"))
             before, after = [], []
-            for level, book in enumerate(shared.value):
+            for level, book in enumerate(shared):
                 before.append(float((left * left).sum()))
-                left = left - book[codes[:, level]]
+                left = left - book.value[codes[:, level]]
                 after.append(float((left * left).sum()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(before), dtype=np.int32)), pa.array(before), pa.array(after), pa.array([left.size] * len(before))],
                 ["level", "b", "a", "n"])
 
-    parts = vectors.select("item_id", "vec").join(coded.select("item_id", "codes"), "item_id").mapInArrow(
+    return vectors.select("item_id", "vec").join(coded.select("item_id", "codes"), "item_id").mapInArrow(
         squares, "level int, b double, a double, n bigint")
-    sums = parts.groupBy("level").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.sum("n").alias("n"))
-    after = F.col("a") / F.col("n")
-    return sums.select("level", (F.col("b") / F.col("n")).alias("mse_before"), after.alias("mse_after"), (after * (1 + beta)).alias("loss"))
+
+
+def _squares_by_level(vectors: DataFrame, coded: DataFrame, codebooks: DataFrame, part_bytes: int | None) -> DataFrame:
+    square = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
+    left, out = vectors.select("item_id", "vec"), None
+    for level in range(n_levels(codebooks)):
+        book = book_of(vectors.sparkSession, codebooks, level, part_bytes)
+        rows = left.join(coded.select("item_id", F.get("codes", F.lit(level)).alias("code")), "item_id")
+        before = rows.select(F.lit(level).alias("level"), square.alias("b"), F.lit(0.0).alias("a"), F.size("vec").cast("bigint").alias("n"))
+        left = materialize(minus_centroid(rows, book), "residual")
+        after = left.select(F.lit(level).alias("level"), F.lit(0.0).alias("b"), square.alias("a"), F.lit(0).cast("bigint").alias("n"))
+        both = before.unionByName(after)
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 def mean_vectors(df: DataFrame, key: str, vec: str, count: bool = False) -> DataFrame:
@@ -272,7 +229,7 @@ def embed_texts(texts: DataFrame, item: str, text: str, encoder=None, dim: int =
 
         for b in batches:
             out = np.asarray(encoder(b.column(1).to_pylist()), dtype=np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(out)], [item, "embedding"])
+            yield pa.RecordBatch.from_arrays([b.column(0), as_lists(out)], [item, "embedding"])
 
     kind = texts.schema[item].dataType.simpleString()
     return texts.select(item, text).mapInArrow(run, f"{item} {kind}, embedding array<float>")

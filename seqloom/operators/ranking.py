@@ -14,6 +14,7 @@ PART = "__part"
 HEAVY_KEY_ROWS = 2_000_000
 HISTOGRAM_BUCKETS = 4096
 DRIVER_ROWS = 20_000
+QUANTILE_ACCURACY, QUANTILE_MARGIN = 10_000, 3e-4
 
 
 def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -148,6 +149,42 @@ def _narrow(keys: DataFrame, lead: str, a: int, b: int, below: int, group: Seque
     return out
 
 
+def values_at(df: DataFrame, column: str, ranks: Callable[[int], Sequence[int]], small: int = DRIVER_ROWS) -> list[float]:
+    """The values of a finite double column at the wanted 0-based ranks; nulls do not count.
+
+    Approximate quantiles on both sides of the wanted ranks, then exact counts between them, narrow the rows down to a small
+    share, again and again, until at most `small` are left to be compared on the driver. No task sorts or holds the column.
+    """
+    rows = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    lo, hi, n = rows.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).first()
+    wanted = [r for r in ranks(n) if 0 <= r < n] if n else []
+    found: dict[int, float] = {}
+    open_ranges = {(lo, hi, 0, n): sorted(set(wanted))} if wanted else {}
+    while open_ranges:
+        (a, b, below, size), group = open_ranges.popitem()
+        inside = rows.filter(F.col("x").between(a, b))
+        if a == b:
+            found.update(dict.fromkeys(group, a))
+            continue
+        if size <= small:
+            values = sorted(r["x"] for r in inside.collect())
+            found.update({g: values[g - below] for g in group})
+            continue
+        sides = [max(0.0, (group[0] - below) / size - QUANTILE_MARGIN), min(1.0, (group[-1] + 1 - below) / size + QUANTILE_MARGIN)]
+        left, right = inside.agg(F.percentile_approx("x", sides, QUANTILE_ACCURACY)).first()[0]
+        inner = F.col("x").between(left, right)
+        if left == a and right == b:  # few distinct values: at least the outermost ones split off
+            inner = (F.col("x") > a) & (F.col("x") < b)
+        piece = F.when(inner, 1).otherwise(F.when(F.col("x") <= left, 0).otherwise(2)).alias("piece")
+        counts = inside.groupBy(piece).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        for r in sorted(counts, key=lambda r: r["piece"]):
+            here = [g for g in group if below <= g < below + r["n"]]
+            if here:
+                open_ranges[r["lo"], r["hi"], below, r["n"]] = here
+            below += r["n"]
+    return [found[r] for r in wanted]
+
+
 def before(order: Sequence[str], cut: tuple | None, schema) -> Column:
     """True for rows that sort before the cut row, nulls first; all rows when there is no cut row."""
     if cut is None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from seqloom.functions import sids
 from seqloom.operators.aggregates import suffix_collisions
-from seqloom.operators.balance import residual_balanced_kmeans
+from seqloom.operators.clusters import residual_balanced_kmeans
 from seqloom.operators.quantize import fit_residual_kmeans
 from seqloom.session import materialize
 

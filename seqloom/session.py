@@ -65,6 +65,13 @@ def materialize_counted(df: DataFrame, label: str = "table", **metrics) -> tuple
     return table, dict(seen.get)
 
 
+def stored(df: DataFrame, label: str = "table") -> tuple[DataFrame, str]:
+    """(table, path) of `df` written to the shared folder, for callers that `discard` it."""
+    path = durable_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def stored_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame, str, int]:
     """(table, path, row count) of `df` written to the shared folder, for loops that `discard` what they replaced."""
     path = durable_path(df.sparkSession, label)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +13,8 @@ from seqloom import schemas
 from seqloom.functions.prompts import LIST_JSON, parse_list
 from seqloom.functions.text import strip, title_present, title_strict, track_title
 from seqloom.operators.aggregates import last_wins
-
-NPY_TASK_BYTES = 64 * 1024 * 1024
+from seqloom.sources import json_scan
+from seqloom.sources.npy import open_store, read_npy  # noqa: F401
 
 
 def _existing(spark: SparkSession, paths: Sequence[str]) -> str:
@@ -116,12 +116,15 @@ def read_keyed_json(spark: SparkSession, path: str, value_type: str, indent: int
 
     With the indent it was written with, the file is split where an entry's closing bracket
     stands on its own line (JSON text has no raw newlines), so it is read in parallel and no
-    row holds the whole object. Without an indent the object is one line and is parsed whole.
+    row holds the whole object. Without an indent the object may stand on one line; its entries
+    are then found by a scan of quotes and brackets, in parallel too.
     """
     if indent is None:
-        whole = spark.read.text(path, wholetext=True)
-        parsed = F.from_json("value", f"map<string, {value_type}>")
-        return whole.select(F.explode(parsed).alias("key", "value"))
+        pair = r'(?s)^\s*("(?:[^"\\]|\\.)*")\s*:(.*)$'
+        entry = json_scan.entries(spark, path)
+        key = F.from_json(F.concat(F.lit("["), F.regexp_extract("entry", pair, 1), F.lit("]")), "array<string>")
+        value = F.from_json(F.concat(F.lit('{"v":'), F.regexp_extract("entry", pair, 2), F.lit("}")), f"struct<v: {value_type}>")
+        return entry.select(F.get(key, F.lit(0)).alias("key"), value["v"].alias("value"))
     close = "]" if value_type.lower().startswith("array") else "}"
     opener = {"]": "[", "}": "{"}[close]
     pieces = spark.read.text(path, lineSep="\n" + " " * indent + close)
@@ -155,10 +158,16 @@ def read_id_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_preferences(spark: SparkSession, path: str) -> DataFrame:
-    """Preferences as a JSON array or as JSON lines, told apart by the first character of the file."""
-    head = spark.read.text(path).filter(F.trim("value") != "").first()
-    as_array = head is not None and head[0].lstrip().startswith("[")
-    rows = spark.read.schema(schemas.PREFERENCE).json(path, multiLine=as_array)
+    """Preferences as JSON arrays or as JSON lines, each file told apart by its first character; arrays are read in parallel."""
+    openers, starts = json_scan.file_forms(spark, path)
+    arrays, lines = ([f for f, first in openers.items() if (first == "[") == wanted] for wanted in (True, False))
+    found = []
+    if lines:
+        found.append(spark.read.schema(schemas.PREFERENCE).json(lines))
+    if arrays:
+        kind = schemas.PREFERENCE if isinstance(schemas.PREFERENCE, str) else schemas.PREFERENCE.simpleString()
+        found.append(json_scan.entries(spark, arrays, starts).select(F.from_json("entry", kind).alias("p")).select("p.*"))
+    rows = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schemas.PREFERENCE)
     return rows.select("user", "user_preference", "split", "context.*")
 
 
@@ -180,55 +189,6 @@ def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, sep="\t", header=True, enforceSchema=True)
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    return system, inner
-
-
-def read_npy(spark: SparkSession, path: str, task_bytes: int = NPY_TASK_BYTES) -> DataFrame:
-    """A 2-d NumPy array file as (item_id = row number, embedding), read by row ranges.
-
-    The driver reads the header only; each task seeks to its own byte range.
-    """
-    import ast
-
-    system, inner = _open(path)
-    with system.open_input_file(inner) as f:
-        magic = f.read(8)
-        head_len = struct.unpack("<H", f.read(2))[0] if magic[6] == 1 else struct.unpack("<I", f.read(4))[0]
-        header = ast.literal_eval(f.read(head_len).decode("latin1"))
-        start = f.tell()
-    rows, dim = header["shape"]
-    if header["fortran_order"]:
-        raise ValueError("column-major arrays have no contiguous rows")
-    descr = header["descr"]
-
-    import numpy as np
-
-    row_bytes = np.dtype(descr).itemsize * dim
-    per_task = max(1, task_bytes // row_bytes)
-    tasks = -(-rows // per_task)
-
-    def load(batches):
-        import pyarrow as pa
-
-        fs_, p = _open(path)
-        with fs_.open_input_file(p) as handle:
-            for batch in batches:
-                for task in batch.column(0).to_pylist():
-                    lo, hi = task * per_task, min((task + 1) * per_task, rows)
-                    handle.seek(start + lo * row_bytes)
-                    data = np.frombuffer(handle.read((hi - lo) * row_bytes), dtype=descr).astype("float32")
-                    vectors = pa.FixedSizeListArray.from_arrays(pa.array(data), dim).cast(pa.list_(pa.float32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, hi, dtype="int64")), vectors],
-                                                     ["item_id", "embedding"])
-
-    ids = spark.range(0, tasks, 1, max(1, tasks))
-    return ids.mapInArrow(load, "item_id bigint, embedding array<float>")
-
-
 def read_arrow_streams(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
     """Arrow IPC stream files: one task per file, handed on record batch by record batch."""
 
@@ -237,7 +197,7 @@ def read_arrow_streams(spark: SparkSession, paths: Sequence[str], schema: str) -
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system, inner = _open(path)
+                system, inner = open_store(path)
                 with system.open_input_stream(inner) as stream:
                     yield from ipc.open_stream(stream)
 

@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from seqloom.operators.sequences import HISTORY
-
-KEPT_ROWS = "array<struct<ts: bigint, item_id: bigint>>"
+from seqloom.operators.ranking import keep_first_per_key
+from seqloom.operators.sequences import HISTORY, sliding_windows
+from seqloom.session import discard, stored
 
 
 def stream_folder(spark: SparkSession, path: str, schema, files_per_batch: int | None = None, glob: str | None = None) -> DataFrame:
@@ -70,32 +68,40 @@ def windowed_popularity(events: DataFrame, ts: str, item: str, width: str = "1 d
     return counted.select(F.col("window.start").alias("start"), item, "n")
 
 
-def rolling_history(
-    events: DataFrame, width: int = HISTORY, lateness: str = "1 hour", idle_ms: int = 30 * 24 * 3600 * 1000
-) -> DataFrame:
-    """For each event (event_id, uid, item_id, ts bigint micros, at timestamp): the items before it.
+def drain_rolling_history(
+    events: DataFrame, out: str, state: str, checkpoint: str, width: int = HISTORY, lateness_us: int = 3600 * 1_000_000,
+    idle_us: int = 30 * 24 * 3600 * 1_000_000,
+) -> None:
+    """For each event (event_id, uid, item_id, ts bigint micros): the up to `width` items before it, written to `out`.
 
-    The state of a user is the last `width` items, so it is bounded however active the user is;
-    a micro-batch is bounded by its trigger limits. Rows behind the watermark are dropped, and
-    the state goes when the user has been idle for `idle_ms` of event time.
+    A micro-batch is windowed by the same operator as a whole table, together with the last `width` rows of every user from the
+    batches before, so no task holds a user's rows at once. Those rows are the state: one table per batch under `state`, bounded
+    per user however active. Rows more than `lateness_us` behind the newest one of earlier batches are dropped, and a user's
+    state goes when the user has been idle for `idle_us` of event time. Each batch overwrites its own folders, so a retry changes
+    nothing; the trigger limits of the reader bound a batch.
     """
-
-    def step(key, chunks, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        batch = pd.concat(list(chunks)).sort_values(["ts", "event_id"])
-        past = [(int(r["ts"]), int(r["item_id"])) for r in state.get[0]] if state.exists else []
-        rows = []
-        for event, item, ts in zip(batch["event_id"], batch["item_id"], batch["ts"]):
-            if past:
-                rows.append((int(event), key[0], int(item), int(ts), [i for _, i in past]))
-            past = (past + [(int(ts), int(item))])[-width:]
-        state.update(([{"ts": t, "item_id": i} for t, i in past],))
-        if past:
-            state.setTimeoutTimestamp(max(past[-1][0] // 1000, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(rows, columns=["event_id", "uid", "item_id", "ts", "history"])
-
-    return events.withWatermark("at", lateness).groupBy("uid").applyInPandasWithState(
-        step, "event_id bigint, uid bigint, item_id bigint, ts bigint, history array<bigint>", f"past {KEPT_ROWS}", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    columns = ["event_id", "uid", "item_id", "ts"]
+    schema = "event_id bigint, uid bigint, item_id bigint, ts bigint"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select(*columns)
+        if batch_id:
+            past = spark.read.schema(schema).parquet(f"{state}/batch_id={batch_id - 1}")
+            newest = past.agg(F.max("ts")).first()[0]
+            if newest is not None:
+                new = new.filter(F.col("ts") >= newest - lateness_us)
+        else:
+            past = new.limit(0)
+        rows, path = stored(past.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True))), "rolling")
+        windows = sliding_windows(rows, "uid", ["ts", "event_id"], ["item_id"], width).filter("fresh")
+        windows.select("event_id", "uid", "item_id", "ts", F.col("history.item_id").alias("history")).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        last = keep_first_per_key(rows, ["uid"], [F.desc("ts"), F.desc("event_id")], width)
+        horizon = (rows.agg(F.max("ts")).first()[0] or 0) - idle_us
+        awake = rows.groupBy("uid").agg(F.max("ts").alias("at")).filter(F.col("at") >= horizon).select("uid")
+        last.join(awake, "uid", "left_semi").select(*columns).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        discard(spark, path)
+        if batch_id > 1:
+            discard(spark, f"{state}/batch_id={batch_id - 2}")
+
+    drain(events.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start())

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.sources import readers, writers
+from seqloom.sources import json_scan, npy, readers, writers
 
 
 def test_reviews_prefer_the_dense_file(spark, tmp_path):
@@ -73,16 +73,71 @@ def test_preferences(spark, tmp_path, as_array):
     assert sorted((r["user"], tuple(r["history"]), r["target"]) for r in got) == [("a", (1, 2), 3), ("b", (1,), 2)]
 
 
+@pytest.fixture
+def small_stretches(spark):
+    """Files read in stretches of a few bytes."""
+    keys = {"spark.sql.files.maxPartitionBytes": "40", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_one_line_objects_in_stretches(spark, tmp_path, small_stretches):
+    """Quotes, backslashes, brackets and commas inside strings, entries longer than a stretch, several files."""
+    want = {}
+    for name in "ab":
+        whole = {f"{name}{i}": {"t": t, "l": [i, [i, {"x": t}]], "long": "y" * (i * 7)} for i, t in enumerate(
+            ['plain', 'a,b', 'q"q,"', '\\', '\\",', '}],{[', 'é,日', '', ',,,', '"', 'x\\"y', "\n,\t"])}
+        (tmp_path / f"{name}.json").write_text(json.dumps(whole, ensure_ascii=name == "a"), encoding="utf-8")
+        want |= {k: v["t"] + v["long"] for k, v in whole.items()}
+    pieces = json_scan.pieces(spark, str(tmp_path))
+    assert pieces.select("file", "block").distinct().count() > 20
+    rows = readers.read_keyed_json(spark, str(tmp_path), "struct<t: string, long: string>")
+    assert {r["key"]: r["value"]["t"] + r["value"]["long"] for r in rows.collect()} == want
+
+
+@pytest.mark.parametrize("text", ["{}", "[]", " [ ] \n", '{"a": 1}', '[1, 2,\n 3]\n', '["a,b", [1, 2], {"c": [3, 4]}]', '\ufeff[7, 8]'])
+def test_entries_of_small_files(spark, tmp_path, small_stretches, text):
+    (tmp_path / "x.json").write_text(text, encoding="utf-8")
+    got = sorted(json.dumps(json.loads(r["entry"] if text.strip("\ufeff ")[0] == "[" else "{" + r["entry"] + "}")) for r in json_scan.entries(spark, str(tmp_path / "x.json")).collect())
+    whole = json.loads(text.strip("\ufeff"))
+    assert got == sorted(json.dumps(e) for e in (whole if isinstance(whole, list) else [{k: v} for k, v in whole.items()]))
+
+
+def test_preference_files_of_both_forms(spark, tmp_path, small_stretches):
+    def row(i):
+        return {"user": f"u{i}", "split": "train", "user_preference": "likes, [a] and \"b\"", "context": {"history_items": [i, i + 1], "target_item": i + 2}}
+
+    (tmp_path / "a.json").write_text(json.dumps([row(i) for i in range(20)]))
+    (tmp_path / "b.json").write_text("\n".join(json.dumps(row(i)) for i in range(20, 30)))
+    (tmp_path / "c.json").write_text("\n " + json.dumps([row(i) for i in range(30, 35)], indent=2))
+    got = readers.read_preferences(spark, str(tmp_path)).collect()
+    assert sorted((r["user"], tuple(r["history_items"]), r["target_item"]) for r in got) == sorted((f"u{i}", (i, i + 1), i + 2) for i in range(35))
+
+
+@pytest.mark.parametrize("by_column", [False, True])
 @pytest.mark.parametrize("dtype", ["float32", "float16", "float64"])
-def test_npy_in_ranges(spark, tmp_path, dtype):
+def test_npy_in_ranges(spark, tmp_path, dtype, by_column):
     data = np.arange(60, dtype=dtype).reshape(20, 3)
-    np.save(tmp_path / "e.npy", data)
+    np.save(tmp_path / "e.npy", np.asfortranarray(data) if by_column else data)
     df = readers.read_npy(spark, str(tmp_path / "e.npy"), task_bytes=64)
     assert df.rdd.getNumPartitions() > 1
     got = {r["item_id"]: r["embedding"] for r in df.collect()}
     assert got == {i: list(map(float, data[i])) for i in range(20)}
 
 
+def test_npy_files_written_by_tasks(spark):
+    vectors = spark.range(50).select(F.col("id").alias("item_id"), F.array(F.col("id").cast("float"), F.lit(1.5).cast("float")).alias("embedding"))
+    for by_column in (False, True):
+        files = npy.write_npy_files(vectors, "item_id", "embedding", 2, by_column)
+        assert files.count() >= 1
+        got = {r["item_id"]: r["embedding"] for r in npy.read_npy_files(files, 40).collect()}
+        assert got == {i: [float(i), 1.5] for i in range(50)}
+
+
 def test_arrow_streams(spark, tmp_path):
     paths = []
     for part in range(2):

@@ -12,8 +12,8 @@ SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 NEEDS_MEDIUM = {"core_adaptive_window"}
 # thresholds no row of the smallest tables reaches
 EMPTY_WHEN_SMALL = {"core_listens", "pruned_interactions"}
-# long loops, whose invariants test_balance.py checks on the same vectors
-IN_BALANCE_TESTS = {"balanced_kmeans_codes", "uniform_mapping_codes", "collisions_resolved"}
+# without SQL: compared with plain versions in test_fitted.py
+IN_OTHER_TESTS = {"balanced_kmeans_codes", "collisions_resolved", "residual_kmeans_codes", "sid_index_from_vectors", "text_embeddings"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def connections():
     return {d: duck(d) for d in (SMALL, MEDIUM)}
 
 
-@pytest.mark.parametrize("name", [q for q in QUERIES if q not in IN_BALANCE_TESTS])
+@pytest.mark.parametrize("name", [q for q in QUERIES if q not in IN_OTHER_TESTS])
 def test_query_matches_sql(spark, connections, name):
     folder = MEDIUM if name in NEEDS_MEDIUM else SMALL
     rows, problem = compare(spark, connections[folder], QUERIES[name], ORACLES.get(name), folder)

@@ -23,13 +23,28 @@ def files(spark, tmp_path_factory):
     return path, events
 
 
+def rolled(spark, path, **options):
+    out = durable_path(spark, "rolling")
+    jobs.drain_rolling_history(jobs.stream_folder(spark, path, SCHEMA, 1), out, durable_path(spark, "state"), durable_path(spark, "check"), **options)
+    return sorted((r["event_id"], tuple(r["history"])) for r in spark.read.parquet(out).collect())
+
+
 def test_rolling_history(spark, files):
     path, events = files
-    out = durable_path(spark, "rolling")
-    jobs.drain_rows(jobs.rolling_history(jobs.stream_folder(spark, path, SCHEMA, 1)), out, durable_path(spark, "check"))
-    got = sorted((r["event_id"], tuple(r["history"])) for r in spark.read.parquet(out).collect())
     w = sequences.sliding_windows(events, "uid", ["ts", "event_id"], ["item_id"])
-    assert got == sorted((r["event_id"], tuple(h["item_id"] for h in r["history"])) for r in w.collect())
+    assert rolled(spark, path) == sorted((r["event_id"], tuple(h["item_id"] for h in r["history"])) for r in w.collect())
+
+
+def test_late_rows_and_idle_users(spark, tmp_path):
+    def write(rows):
+        spark.createDataFrame(rows, "event_id bigint, uid bigint, item_id bigint, ts bigint").coalesce(1).write.mode("append").parquet(str(tmp_path))
+
+    write([(1, 1, 10, 0), (2, 2, 20, 100)])
+    write([(3, 1, 11, 130), (4, 2, 21, 40), (5, 2, 22, 95), (11, 4, 40, 150)])  # 4 is too late, 5 is late but within bounds
+    write([(6, 1, 12, 1200), (7, 2, 23, 1300), (8, 3, 30, 1300)])  # by now user 4 has been idle too long
+    write([(9, 1, 13, 1301), (10, 2, 24, 1302), (12, 4, 41, 1302)])
+    got = rolled(spark, str(tmp_path), width=2, lateness_us=10, idle_us=1100)
+    assert got == [(3, (10,)), (6, (10, 11)), (7, (22, 20)), (9, (11, 12)), (10, (20, 23))]
 
 
 def test_running_counts_and_longest(spark, files):
