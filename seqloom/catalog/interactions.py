@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from seqloom.catalog.base import query, with_sql
@@ -11,7 +13,8 @@ from seqloom.catalog.inputs import (
 from seqloom.functions import tables, text
 from seqloom.operators import aggregates, core, ranking, sampling, sequences
 from seqloom.plans import dataset
-from seqloom.session import materialize
+from seqloom.session import durable_path, materialize
+from seqloom.sources import readers, writers
 
 P_KEYS = ["order_id", "line_no", "item_id", "supp_id"]
 HASH = "CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
@@ -180,7 +183,7 @@ def core_window_split_summary(spark, sf):
     return aggregates.split_summary(marked, "uid", "item_id", "split")
 
 
-@query("dataset_from_log", with_sql(
+DATASET = (
     LISTENS, *core_ctes("listens", "uid", "item_id", 10, 10, 6),
     "users AS (SELECT uid, row_number() OVER (ORDER BY min(ts), uid) - 1 AS user_idx FROM core GROUP BY uid)",
     "walk AS (SELECT item_id, row_number() OVER (ORDER BY user_idx, ts, event_id) AS r FROM core JOIN users USING (uid))",
@@ -188,8 +191,10 @@ def core_window_split_summary(spark, sf):
     "numbered AS (SELECT * FROM core JOIN users USING (uid) JOIN items USING (item_id))",
     """later AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY ts, event_id) AS i,
       list(item_idx) OVER (PARTITION BY user_idx ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS h FROM numbered)""",
-    "samples AS (SELECT * FROM later WHERE i > 1)", SPLIT.format(out="marked", order="ts, event_id", src="samples"),
-    body="SELECT split, user_idx, item_idx, event_id, array_to_string(h, ',') AS history FROM marked"))
+    "samples AS (SELECT * FROM later WHERE i > 1)", SPLIT.format(out="marked", order="ts, event_id", src="samples"))
+
+
+@query("dataset_from_log", with_sql(*DATASET, body="SELECT split, user_idx, item_idx, event_id, array_to_string(h, ',') AS history FROM marked"))
 def dataset_from_log(spark, sf):
     """Log to numbered, split training samples as one plan."""
     made = dataset.dataset_from_log(listens(spark, sf), "uid", "item_id", ["ts", "event_id"], 10)["samples"]
@@ -197,6 +202,59 @@ def dataset_from_log(spark, sf):
     return made.select("split", "user_idx", "item_idx", "event_id", history.alias("history"))
 
 
+@query("dataset_files", with_sql(*DATASET, body="""
+    SELECT split AS file, CAST(user_idx AS VARCHAR) AS key, array_to_string(h, ' ') || ' > ' || item_idx AS value FROM marked
+    UNION ALL SELECT 'users', CAST(uid AS VARCHAR), CAST(user_idx AS VARCHAR) FROM users
+    UNION ALL SELECT 'items', CAST(item_id AS VARCHAR), CAST(item_idx AS VARCHAR) FROM items
+    UNION ALL SELECT 'sequences', user_idx || '/0', string_agg(item_idx, ' ' ORDER BY ts, event_id) FROM numbered GROUP BY user_idx
+    UNION ALL SELECT 'features', CAST(item_idx AS VARCHAR), p_name || '; ' || p_brand || '; ' || p_type FROM items JOIN part ON p_partkey = item_id
+    UNION ALL SELECT 'reviews', '(' || user_idx || ', ' || item_idx || ', ' || ts || ')', arg_max(event_type, event_id) FROM numbered GROUP BY user_idx, item_idx, ts"""))
+def dataset_files(spark, sf):
+    """Log to all files of a dataset, and every line of them read back."""
+    log = listens(spark, sf).withColumn("summary", F.lit(""))
+    made = dataset.dataset_from_log(log, "uid", "item_id", ["ts", "event_id"], 10)
+    meta = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("asin"), F.col("p_name").alias("title"), F.lit("").alias("description"),
+                                           F.col("p_brand").alias("brand"), F.to_json(F.array("p_type")).alias("categories"), F.lit(0).alias("seq"))
+    files = dataset.write_dataset(made, durable_path(spark, "dataset"), ["ts", "event_id"], "uid", "item_id", meta, ["seq"], "event_type", "summary")
+
+    def rows(name, df, key, value):
+        return df.select(F.lit(name).alias("file"), F.col(key).cast("string").alias("key"), value.cast("string").alias("value"))
+
+    ids = "key string, value bigint"
+    parts = [rows(name, spark.read.schema(ids).csv(files[name], sep="\t"), "key", F.col("value")) for name in ("users", "items")]
+    for split in ("train", "valid", "test"):
+        samples = readers.read_inter(spark, f"{files['samples']}/split={split}")[0]
+        parts.append(rows(split, samples, "user_id", F.concat(F.array_join(F.col("item_id_list").cast("array<string>"), " "), F.lit(" > "), "item_id")))
+    sequences_ = readers.read_json_lines(spark, files["sequences"], "key string, value array<string>")
+    parts.append(rows("sequences", sequences_, "key", F.array_join("value", " ")))
+    features = readers.read_json_lines(spark, files["features"], "key string, value struct<title: string, brand: string, categories: string>")
+    parts.append(rows("features", features, "key", F.concat_ws("; ", "value.title", "value.brand", "value.categories")))
+    parts.append(rows("reviews", readers.read_json_lines(spark, files["reviews"], "key string, value struct<review: string>"), "key", F.col("value.review")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("sid_samples_from_files", with_sql(LISTENS, CATALOGUE, "w AS (SELECT *, count(*) OVER x AS n, list(item_id) OVER x AS hi FROM listens WINDOW x AS (PARTITION BY uid ORDER BY ts, event_id "
+    + HIST + "))", "m AS (SELECT * FROM w WHERE n > 0)", SPLIT.format(out="marked", order="ts, event_id", src="(SELECT * EXCLUDE (n), n AS len FROM m)"), """
+    kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid, split ORDER BY len DESC, ts, event_id) AS rn FROM marked) WHERE split <> 'train' OR rn = 1)""",
+    "flat AS (SELECT event_id, unnest(hi) AS h, generate_subscripts(hi, 1) AS p FROM kept)",
+    "hist AS (SELECT event_id, string_agg(c.sid, ' ' ORDER BY p) AS hs, string_agg(c.title, '|' ORDER BY p) AS ht FROM flat JOIN catalogue c ON h = c.item_id GROUP BY 1)", body="""
+    SELECT split, 'A' || uid AS user_id, item_id, c.sid AS item_sid, c.title AS item_title, array_to_string(hi, ',') AS history_item_id,
+           coalesce(hs, '') AS history_item_sid, coalesce(ht, '') AS history_item_title
+    FROM kept JOIN catalogue c USING (item_id) LEFT JOIN hist USING (event_id)"""))
+def sid_samples_from_files(spark, sf):
+    """Compact files in time order to SID samples: each user's longest history for training, all lines of the other splits."""
+    path = durable_path(spark, "compact")
+    marked = materialize(dataset.split_samples(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id"]), "marked")
+    files = {split: f"{path}/{split}" for split in ("train", "valid", "test")}
+    for split, folder in files.items():
+        rows = marked.filter(F.col("split") == split).orderBy("ts", "event_id").withColumn("ids", F.col("history.item_id"))
+        writers.compact_rows(rows, "uid", "ids", "item_id").write.csv(folder, sep="\t", header=True)
+    cat = catalogue(spark, sf)
+    out = dataset.sid_samples_from_compact(spark, files, cat.select("item_id", "title"), cat.select("item_id", "sid"))
+    text_of = {c: F.array_join(F.col(c).cast("array<string>"), sep) for c, sep in (("history_item_id", ","), ("history_item_sid", " "), ("history_item_title", "|"))}
+    return out.drop("line").withColumns(text_of)
+
+
 @query("split_purchases", with_sql(
     PURCHASES, f"later AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {ROUND_ORDER}) AS i FROM purchases)",
     "samples AS (SELECT * FROM later WHERE i > 1)", SPLIT.format(out="marked", order=ROUND_ORDER, src="samples"),

@@ -25,6 +25,7 @@ COLLISION_EPSILON = 0.003
 COLLISION_ROUNDS = 20
 LEAST_SUM = 1e-300
 AMPLITUDE_FLOOR = 1e-5
+TIED = 1e-6  # a path of few rows gives several codes whole to one of them; among such equals the nearest is taken
 
 
 def centred_logits(d: np.ndarray, lo: np.ndarray, hi: np.ndarray, epsilon: float) -> np.ndarray:
@@ -40,6 +41,12 @@ def scaled_rows(logits: np.ndarray, log_v: np.ndarray) -> np.ndarray:
     return plan / plan.sum(1, keepdims=True)
 
 
+def best_codes(logits: np.ndarray, log_v: np.ndarray) -> np.ndarray:
+    """Per row the code of the largest entry of the plan, the nearest among those equal up to `TIED`."""
+    m = logits + log_v
+    return np.where(m >= m.max(1, keepdims=True) - TIED, logits, -np.inf).argmax(1)
+
+
 def choose(d: np.ndarray, starts: np.ndarray, epsilon: float, iters: int) -> np.ndarray:
     """The code of every row of a slab of whole paths, which begin at `starts`."""
     owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(d))))
@@ -49,7 +56,7 @@ def choose(d: np.ndarray, starts: np.ndarray, epsilon: float, iters: int) -> np.
     for _ in range(iters):
         sums = np.add.reduceat(scaled_rows(logits, log_v[owner]), starts, axis=0)
         log_v -= np.log(np.maximum(sums, LEAST_SUM))
-    return (logits + log_v[owner]).argmax(1)
+    return best_codes(logits, log_v[owner])
 
 
 def slabs(batches, n_rows: int) -> Iterator:
@@ -135,7 +142,7 @@ def _cut_paths(members: DataFrame, book: Book, epsilon: float, iters: int, n_row
     spark = members.sparkSession
     placed = position_in_key(members.select("path", "item_id", "vec"), ["path"], ["item_id"], "pos")
     rows, rows_path = stored(placed.withColumn("piece", F.expr(f"pos div {n_rows}L")).drop("pos").repartition("path", "piece"), "pieces")
-    pieces, _ = stored(rows.select("path", "piece").distinct(), "piece-list")
+    pieces, pieces_path = stored(rows.select("path", "piece").distinct(), "piece-list")
 
     def extremes(batches):
         import pyarrow as pa
@@ -170,7 +177,7 @@ def _cut_paths(members: DataFrame, book: Book, epsilon: float, iters: int, n_row
         import pyarrow as pa
 
         for part, logits, log_v in with_state(batches):
-            yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.array((logits + log_v).argmax(1).astype(np.int32))], ["item_id", "last"])
+            yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.array(best_codes(logits, log_v).astype(np.int32))], ["item_id", "last"])
 
     for _ in range(iters):
         # a path's scalings go to each of its pieces, so no join key is hot
@@ -182,6 +189,6 @@ def _cut_paths(members: DataFrame, book: Book, epsilon: float, iters: int, n_row
         discard(spark, old)
     joined = rows.join(state.join(pieces, "path"), ["path", "piece"])
     out, _ = stored(joined.select("item_id", "vec", "lo", "hi", "log_v").mapInArrow(pick, "item_id bigint, last int"), "spread")
-    for done in (rows_path, path):
+    for done in (rows_path, pieces_path, path):
         discard(spark, done)
     return out

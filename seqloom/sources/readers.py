@@ -98,16 +98,24 @@ def read_sid_samples(spark: SparkSession, path: str) -> DataFrame:
         "history_item_sid": parse_list("history_item_sid")})
 
 
-def read_inter(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(samples, rejected lines) of a compact TSV; a line must have exactly three fields."""
-    lines = spark.read.text(path).select(strip(F.col("value")).alias("line")).filter(
+def read_inter(spark: SparkSession, path: str, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(samples, rejected lines) of a compact TSV; a line must have exactly three fields. `numbered` adds each sample's place, `line`."""
+    raw = spark.read.text(path)
+    if numbered:
+        from seqloom.operators.ranking import global_rank
+
+        placed = raw.select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+                            F.monotonically_increasing_id().alias("__row"))
+        raw = global_rank(placed, ["__file", "__block", "__row"], "line").select("value", F.col("line").alias("__line"))
+    place = ["__line"] if numbered else []
+    lines = raw.select(*place, strip(F.col("value")).alias("line")).filter(
         (F.col("line") != "") & ~F.col("line").startswith("user_id:token"))
-    fields = lines.select("line", F.split("line", "\t").alias("f"))
+    fields = lines.select(*place, "line", F.split("line", "\t").alias("f"))
     history = F.filter(F.split(F.get("f", F.lit(1)), " "), lambda x: x != "")
     samples = fields.filter(F.size("f") == 3).select(
         F.get("f", F.lit(0)).cast("bigint").alias("user_id"),
         F.transform(history, lambda x: x.cast("bigint")).alias("item_id_list"),
-        F.get("f", F.lit(2)).cast("bigint").alias("item_id"))
+        F.get("f", F.lit(2)).cast("bigint").alias("item_id"), *[F.col(c).alias("line") for c in place])
     return samples, fields.filter(F.size("f") != 3).select("line")
 
 

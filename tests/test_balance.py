@@ -234,8 +234,9 @@ def resolved(points, codes, books, rounds, iters, epsilon=0.003):
             for _ in range(iters):
                 log_u = -np.logaddexp.reduce(logits + log_v, axis=1)
                 log_v = -np.logaddexp.reduce(logits + log_u[:, None], axis=0)
-            for i, last in zip(members, (logits + log_v).argmax(1), strict=True):
-                codes[i] = (*path[:-1], int(last))
+            for i, row, near in zip(members, logits + log_v, logits, strict=True):
+                equal = np.flatnonzero(row >= row.max() - 1e-6)
+                codes[i] = (*path[:-1], int(equal[near[equal].argmax()]))
     return codes
 
 
