@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqloom.catalog.base import query, with_sql
@@ -283,9 +284,13 @@ def user_time_order(spark, sf):
     return ranking.position_in_key(listens(spark, sf).select("event_id", "uid", "ts"), ["uid"], ["ts", "event_id"]).drop("ts")
 
 
-@query("raw_user_order", with_sql(PURCHASES, body="SELECT user_id, item_id, rating, ts, order_id, line_no, supp_id FROM purchases"))
+@query("raw_user_order", with_sql(PURCHASES, body=f"""
+    SELECT user_id, item_id, rating, ts, order_id, line_no, supp_id, row_number() OVER (PARTITION BY user_id ORDER BY {ROUND_ORDER}) - 1 AS place FROM purchases"""))
 def raw_user_order(spark, sf):
-    return sequences.order_within_users(purchases(spark, sf), "user_id", PURCHASE_ORDER)
+    """Rows as they are laid out, with the place each has among its user's rows there."""
+    laid = sequences.order_within_users(purchases(spark, sf), "user_id", PURCHASE_ORDER).withColumn("at", F.monotonically_increasing_id())
+    laid = materialize(laid, "laid-out")
+    return laid.withColumn("place", (F.row_number().over(Window.partitionBy("user_id").orderBy("at")) - 1).cast("bigint")).drop("at")
 
 
 # ---- dense ids (W7a-c, SNK3) ----
@@ -323,12 +328,16 @@ def ids_by_shuffle(spark, sf):
 
 
 # ---- sequences (A4, A6, A7, A16, F7, F8, J2) ----
-@query("user_sequences", with_sql(LISTENS, body="""
-    SELECT uid, CAST(0 AS BIGINT) AS segment, array_to_string(list(item_id ORDER BY ts, event_id), ',') AS items,
-           array_to_string(list(ts ORDER BY ts, event_id), ',') AS timestamps FROM listens GROUP BY uid"""))
+SEGMENT_ROWS = 30
+SEGMENTS = (LISTENS, "placed AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ts, event_id) - 1 AS place FROM listens)",
+            f"segments AS (SELECT *, place // {SEGMENT_ROWS} AS segment FROM placed)")
+
+
+@query("user_sequences", with_sql(*SEGMENTS, body="""
+    SELECT uid, segment, string_agg(item_id, ',' ORDER BY place) AS items, string_agg(ts, ',' ORDER BY place) AS timestamps FROM segments GROUP BY 1, 2"""))
 def user_sequences(spark, sf):
-    s = sequences.whole_sequences(sequences.user_sequences(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id", "ts"]), "uid")
-    return s.select("uid", F.lit(0).cast("bigint").alias("segment"), F.array_join(F.col("sequence.item_id").cast("array<string>"), ",").alias("items"),
+    s = sequences.user_sequences(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id", "ts"], segment_rows=SEGMENT_ROWS)
+    return s.select("uid", "segment", F.array_join(F.col("sequence.item_id").cast("array<string>"), ",").alias("items"),
                     F.array_join(F.col("sequence.ts").cast("array<string>"), ",").alias("timestamps"))
 
 
@@ -358,8 +367,10 @@ def sequence_length_histogram(spark, sf):
 @query("short_sequences_dropped", with_sql(LISTENS, body="""
     SELECT uid, item_id, count(*) AS n FROM listens GROUP BY 1, 2 HAVING count(*) >= 2"""))
 def short_sequences_dropped(spark, sf):
-    s = sequences.user_sequences(listens(spark, sf).withColumn("k", F.struct("uid", "item_id")), "k", ["ts", "event_id"], ["ts"])
-    return sequences.drop_short(sequences.whole_sequences(s, "k"), "sequence", "k", 2).select("k.uid", "k.item_id", F.size("sequence").cast("bigint").alias("n"))
+    """Sequences by segments of three; a user's segments count together."""
+    s = sequences.user_sequences(listens(spark, sf).withColumn("k", F.struct("uid", "item_id")), "k", ["ts", "event_id"], ["ts"], segment_rows=3)
+    kept = sequences.drop_short(s, "sequence", "k", 2)
+    return kept.groupBy("k").agg(F.sum(F.size("sequence")).alias("n")).select("k.uid", "k.item_id", "n")
 
 
 @query("repeat_flag", with_sql(LISTENS, body="""
@@ -387,9 +398,11 @@ def seeded_shuffle_rank(spark, sf):
     return sampling.shuffle_rank(listens(spark, sf).select("event_id"), ["event_id"])
 
 
-@query("seeded_shuffle", "SELECT o_orderkey, o_custkey FROM orders")
+@query("seeded_shuffle", f"SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY {hash_sql('o_orderkey')}, o_orderkey) - 1 AS place FROM orders")
 def seeded_shuffle(spark, sf):
-    return sampling.shuffled(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"])
+    """Rows in their new order, with the place of each."""
+    rows = sampling.shuffled(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"]).withColumn("at", F.monotonically_increasing_id())
+    return ranking.global_rank(materialize(rows, "shuffled"), ["at"], "place").drop("at")
 
 
 @query("sample_fixed_size", f"SELECT o_orderkey, o_custkey FROM orders ORDER BY {hash_sql('o_orderkey', seed=7)}, o_orderkey LIMIT 1000")
