@@ -30,7 +30,7 @@ PATH_DIM, LEAF_DIM, WORD_DIM, PLAIN_DIM = 256, 24, 32, 6
 INPUT_DIM = PATH_DIM + LEAF_DIM + WORD_DIM + PLAIN_DIM
 # element classes of the HTML standard
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-RAW = set("script style noscript title iframe".split())  # text up to the end tag, not shown
+RAW = set("script style title iframe".split())  # text up to the end tag, not shown
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark math mi mn mo ms mtext object q "
              "s samp small span strike strong sub sup svg time tt u var wbr br".split())
 SCOPES = set("html body article section main aside nav header footer div table ul ol dl form blockquote figure td th object template "

@@ -17,28 +17,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BASE_KINDS, EXTRA_KINDS = ["email", "ip", "card", "phone"], ["iban", "ssn", "tel"]
+BASE_KINDS, EXTRA_KINDS = ["email", "ip", "card", "phone"], ["iban", "ssn", "tel", "secret"]
+# fixed values: lengths of account numbers by country
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "(?:" + "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()) + ")"
 KINDS = BASE_KINDS + EXTRA_KINDS
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])(?=(?:[0-9][\x20-]?){13})[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
+    "iban": IBAN,
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "tel": r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{24,}+",
 }
 # what a text must contain before its full pattern is tried
 HINTS = {
     "email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", "ssn": r"[0-9]-[0-9]{2}-[0-9]{4}", "tel": r"[0-9][.-][0-9]{4}",
+    "secret": r"[A-Za-z0-9_+/-]{24}",
 }
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.4, "phone": 0.7, "iban": 0.2, "ssn": 0.3, "tel": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.4, "phone": 0.7, "iban": 0.2, "ssn": 0.3, "tel": 0.3, "secret": 0.3}
 CHECKSUM, CONTEXT, ACCEPT, NEAR = 0.5, 0.4, 0.6, 40
 CONTEXT_WORDS = {
     "email": "mail|email|contact", "ip": "ip|address|host|server", "card": "card|visa|mastercard|credit",
     "phone": "phone|tel|call|fax|mobile", "iban": "iban|account|bank|konto|cuenta|compte",
     "ssn": "ssn|social security|social", "tel": "phone|tel|call|fax|mobile|telefon|movil",
+    "secret": "token|secret|password|passwd|pwd|credential|bearer|key|apikey",
 }
 BLOCK = 256
 
@@ -82,6 +92,7 @@ def valid(kind: str, m: Column) -> Column:
         "iban": mod97(m),
         "ssn": F.lit(True),
         "tel": F.lit(True),
+        "secret": m.rlike("[0-9]") & m.rlike("[A-Za-z]"),
     }[kind]
 
 
@@ -187,8 +198,8 @@ ORACLES = {"op8_pii": r"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 k(o, kind, pat) AS (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'),
   (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), (2, 'card', '[0-9]([\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'),
-  (4, 'iban', '[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}'), (5, 'ssn', '[0-9]{3}-[0-9]{2}-[0-9]{4}'),
-  (6, 'tel', '\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}')),
+  (4, 'iban', '{IBAN}'), (5, 'ssn', '[0-9]{3}-[0-9]{2}-[0-9]{4}'),
+  (6, 'tel', '\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}'), (7, 'secret', '[A-Za-z0-9_+/-]{24,}')),
 m AS (SELECT doc_id, o, kind, t, regexp_extract_all(t, pat) AS ms, regexp_split_to_array(t, pat) AS gs FROM d, k WHERE regexp_matches(t, pat)),
 u AS (SELECT doc_id, o, kind, t, unnest(ms) AS x, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM m),
 p AS (SELECT *, CAST(sum(length(g) + length(x)) OVER (PARTITION BY doc_id, o ORDER BY i) AS BIGINT) AS e,
@@ -202,11 +213,13 @@ v AS (SELECT *, lower(substring(t, greatest(s - 40, 0) + 1, least(s, 40))) AS ne
   WHEN 3 THEN length(ds) BETWEEN 9 AND 15
   WHEN 4 THEN TRY_CAST(array_to_string(list_transform(string_split(cs[5:] || cs[:4], ''), lambda z:
        CASE WHEN z BETWEEN '0' AND '9' THEN z ELSE CAST(ascii(z) - 55 AS VARCHAR) END), '') AS HUGEINT) % 97 = 1
+  WHEN 7 THEN regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]')
   ELSE true END),
 b AS (SELECT doc_id, o, kind, s, e FROM v WHERE o < 4),
 a AS (SELECT doc_id, o, kind, s, e FROM b UNION ALL
       SELECT doc_id, o, kind, s, e FROM v WHERE o >= 4
         AND (o = 4 OR regexp_matches(near, CASE o WHEN 5 THEN '(^|[^a-z])(ssn|social security|social)([^a-z]|$)'
+                                                 WHEN 7 THEN '(^|[^a-z])(token|secret|password|passwd|pwd|credential|bearer|key|apikey)([^a-z]|$)'
                                                  ELSE '(^|[^a-z])(phone|tel|call|fax|mobile|telefon|movil)([^a-z]|$)' END))
         AND NOT regexp_matches(CASE WHEN s > 0 THEN substring(t, s, 1) ELSE '' END || substring(t, e + 1, 1), '[A-Za-z0-9+-]')
         AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = v.doc_id AND b.s < v.e AND v.s < b.e)),
@@ -215,4 +228,4 @@ g AS (SELECT doc_id, CAST(count(*) FILTER (o = 0) AS BIGINT) AS n_email, CAST(co
              coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (o < 4), '') AS base,
              string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS spans FROM a GROUP BY doc_id)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""}
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)""".replace("{IBAN}", IBAN)}

@@ -39,6 +39,16 @@ def test_embedded_elements_are_on_the_path():
     assert marks == [{"t:math"}, {"t:object"}, {"t:template"}, {"t:svg"}, set()]
 
 
+def test_text_for_readers_without_scripts(weights):
+    """What stands in `noscript` is judged like any other text."""
+    paragraphs = [f"The {word} part of the report says in plain words what was seen on the coast that day, and why it matters." for word in ("first", "second", "third")]
+    page = (f"<html><body><nav><a href='/'>Home</a></nav><article><h1>A report</h1><p>{paragraphs[0]}</p><noscript><p>{paragraphs[1]}</p></noscript>"
+            f"<p>{paragraphs[2]}</p></article><footer>All rights reserved</footer></body></html>")
+    (text,) = html_blocks.main_texts([page], html_blocks.Labeller(weights), html_blocks.Features())
+    assert set(paragraphs) <= set(text.split("\n"))
+    assert [b.text for b in html_blocks.page_blocks("<p>a<noscript>b</noscript><p>c")] == ["a", "b", "c"]
+
+
 @pytest.mark.parametrize("more", ['<svg class="i"/>', "<p>Before <svg><path d='x'></p>", "<object data='a.pdf'><p>A sentence that stands in the text.</p></object>",
                                   "<p>The value of <math><mi>x</mi></math> is what counts in this long sentence of the text.</p>"])
 def test_embedded_elements_cut_no_article(weights, more):

@@ -51,6 +51,9 @@ def test_base_spans_match_the_plain_patterns(rows):
 
 def test_further_kinds_need_a_checksum_or_a_telling_word(spark):
     cases = {"pay to GB82 WEST 1234 5698 7654 32 now": ["iban:7:34"], "DE89370400440532013000": ["iban:0:22"], "DE89370400440532013001": [],
+             "GB82 WEST 1234 5698 7654 32 BIC ABCDEF": ["iban:0:27"], "DE89370400440532013000 EUR 50": ["iban:0:22"], "ZZ89370400440532013000": [],
+             'the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962";': ["secret:13:53"], "hash 04dbebab91ab85687d33eeaaf9ac699e1188f962": [],
+             "password: abcdefghijklmnopqrstuvwxyz": [], "API key A1b2C3d4/E5f6G7h8+I9j0K1l2 x": ["secret:8:34"],
              "xDE89370400440532013000": [], "my SSN is 078-05-1120.": ["ssn:10:21"], "code 078-05-1120.": [], "phone: (555) 123-4567": ["tel:7:21"],
              "(555) 123-4567": [], "hotel 555-123-4567": [], "call +1 (555) 123-4567 now": ["phone:5:22"]}
     docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
