@@ -25,7 +25,7 @@ from seqloom.llm import words as W
 from seqloom.session import materialize
 
 WINDOW, END_ID, N_OPEN, PARTS_PER_MERGE = 2048, 1, 32, 256
-CACHE_UNITS, LONG_PIECE = 150_000, 1 << 20
+CACHE_UNITS, LONG_PIECE = 600_000, 1 << 20
 PIECE_COLUMNS = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _BYTE = np.arange(256)
 _ALNUM = ((_BYTE >= 48) & (_BYTE < 58)) | ((_BYTE >= 65) & (_BYTE < 91)) | ((_BYTE >= 97) & (_BYTE < 123))
