@@ -99,7 +99,7 @@ def beam_ctes(beams):
 
 def beams(spark, sf, n=20):
     users = listens(spark, sf).select("uid").distinct()
-    return candidates.expand_beams(users, sid_prefixes(spark, sf), token_scores(spark, sf), "uid", n, 3)
+    return candidates.expand_beams(users, catalogue(spark, sf), "tokens", token_scores(spark, sf), "uid", n, 3)
 
 
 @query("constrained_beams", with_sql(LISTENS, CATALOGUE, PREFIXES, TOKEN_SCORES, *beam_ctes(20), body="""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.ranking import keep_first_per_key
+from seqloom.operators import trie
 from seqloom.session import materialize
 
 END = "</s>"
@@ -58,32 +58,18 @@ def mask_scores(scored: DataFrame, rows: DataFrame, prefix: str, token: str, log
 
 
 def expand_beams(
-    requests: DataFrame, rows: DataFrame, scores: DataFrame, request: str, beams: int, steps: int,
-    separator: str = "", end: str = END,
+    requests: DataFrame, catalogue: DataFrame, tokens: str, scores: DataFrame, request: str, beams: int, steps: int,
+    separator: str = "", part_paths: int | None = None,
 ) -> DataFrame:
-    """Best `beams` catalogue paths per request as (request, sid, total, place), place 0 first.
+    """Best `beams` catalogue paths of `steps` tokens per request as (request, sid, total, place), place 0 first.
 
-    `scores` is (request, step, token, score); total score is the plain sum, without a length
-    penalty. Each step joins the open beams to their allowed next tokens and keeps the best per
-    request, trimmed inside map tasks before the shuffle. Ties go to the smaller path text. The
-    first step starts from the request's own scores, as the empty prefix is shared by all. The scores are stored once,
-    since every step reads its part of them.
+    `catalogue` has the paths in the array column `tokens`; `scores` is (request, step, token, score), each token once per request
+    and step. The total is the plain sum, without a length penalty; ties go to the smaller path text. Scores are gathered once
+    per request, and tries of the catalogue are walked over those rows, step by step.
     """
-    scores = materialize(scores.select(request, "step", "token", "score"), "scores")
-    steps_only = rows.filter(F.col("next") != end)
-    roots = steps_only.filter(F.col("prefix") == "").select("next")
-    open_beams = None
-    for step in range(steps):
-        at_step = scores.filter(F.col("step") == step).select(request, F.col("token").alias("next"), "score")
-        if open_beams is None:
-            grown = at_step.join(requests.select(request), request).join(roots, "next", "left_semi").select(
-                request, "next", "score", F.lit("").alias("prefix"), F.lit(0.0).alias("total"))
-        else:
-            grown = open_beams.join(steps_only, "prefix").join(at_step, [request, "next"])
-        glue = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat("prefix", F.lit(separator), "next"))
-        open_beams = keep_first_per_key(
-            grown.select(request, glue.alias("prefix"), (F.col("total") + F.col("score")).alias("total")),
-            [request], [F.desc("total"), "prefix"], beams)
-    complete = open_beams.join(rows.filter(F.col("next") == end).select("prefix"), "prefix", "left_semi")
-    place = F.row_number().over(Window.partitionBy(request).orderBy(F.desc("total"), "prefix")) - 1
-    return complete.select(request, F.col("prefix").alias("sid"), "total", place.cast("bigint").alias("place"))
+    parts = trie.tries(requests.sparkSession, catalogue, tokens, part_paths)
+    if not parts:
+        return requests.select(request, F.lit("").alias("sid"), F.lit(0.0).alias("total"), F.lit(0).cast("bigint").alias("place")).limit(0)
+    walked = trie.complete(trie.walk(requests, request, scores, parts, beams, steps, separator), parts)
+    flat = walked.select(request, F.posexplode("beams").alias("place", "b"))
+    return flat.select(request, F.col("b.text").alias("sid"), "b.total", F.col("place").cast("bigint").alias("place"))
