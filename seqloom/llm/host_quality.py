@@ -156,7 +156,8 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", kee
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judge(docs, **options).where("_q_kept").select(*docs.columns)
+    used = [options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("host_col", "source"))]
+    return W.shielded(docs, lambda rows: judge(rows, **options).where("_q_kept").select(*rows.columns), *used)
 
 
 def op6_host_quality(spark: SparkSession, sf: str) -> DataFrame:

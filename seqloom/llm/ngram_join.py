@@ -16,7 +16,7 @@ order less sharp, never the result wrong.
 
 Defined results. Null text or text without words: no shingles, linked with nothing. Fewer words than the width: the whole
 sequence is one shingle. Repeated rows and ids: rows are judged by their text; null ids are never a component's id unless
-all of it are null. Empty table: empty result. Other columns pass through `keep_first`; internal columns start with `_j_`.
+all of it are null. Empty table: empty result. Other columns pass through `keep_first`, whatever their names.
 """
 
 from __future__ import annotations
@@ -313,6 +313,10 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, **options) -> DataFrame:
     """`docs` with one document of each component, that with the smallest id (null ids last); documents without words stay."""
+    return W.shielded(docs, lambda rows: _first_of_groups(rows, id_col, text_col, width, **options), id_col, text_col)
+
+
+def _first_of_groups(docs: DataFrame, id_col: str, text_col: str, width: int, **options) -> DataFrame:
     _, sets = ngram_groups(docs, id_col, text_col, width, **options)
     chosen = sets.where("first").select(F.col("key").alias("_j_k"), F.col("rep").alias("_j_rep"))
     chosen, _ = stored(chosen, "chosen")

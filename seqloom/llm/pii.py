@@ -9,7 +9,7 @@ The patterns use possessive quantifiers and start guards. They find exactly what
 walk a run of characters twice and never recurse, so long runs cost linear time and no stack.
 
 Defined results. Null or empty text: no spans. Repeated rows are handled alike. Empty table: empty result. Other columns
-pass through; internal columns start with `_p_`.
+pass through `redact`, whatever their names; `with_spans` adds columns that start with `_p_`.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.llm import words as W
+
 BASE_KINDS, EXTRA_KINDS = ["email", "ip", "card", "phone"], ["iban", "ssn", "tel", "secret"]
 # fixed values: lengths of account numbers by country
 IBAN_LENGTHS = {
@@ -161,6 +163,10 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with every span replaced by `[kind]`; of overlapping spans the first names the whole stretch."""
+    return W.shielded(docs, lambda rows: _redacted(rows, text_col), text_col)
+
+
+def _redacted(docs: DataFrame, text_col: str) -> DataFrame:
     rows = with_spans(docs, text_col)
     ordered = F.array_sort(F.transform("_p_spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
     text = F.col(text_col)

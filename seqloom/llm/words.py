@@ -147,6 +147,17 @@ def map_arrow(rows: DataFrame, run: Callable, schema) -> DataFrame:
     return rows.mapInArrow(lean, schema)
 
 
+def shielded(docs: DataFrame, run: Callable[[DataFrame], DataFrame], *used: str) -> DataFrame:
+    """`run(docs)`, a table with the columns of `docs`, where further columns may have names an operator uses inside.
+
+    Columns that start with an underscore, but for those in `used`, go by other names while `run` works.
+    """
+    own = {c: f"other {i}" for i, c in enumerate(docs.columns) if c.startswith("_") and c not in used}
+    if not own:
+        return run(docs)
+    return run(docs.withColumnsRenamed(own)).withColumnsRenamed({v: k for k, v in own.items()})
+
+
 def trim() -> None:
     """Give freed memory back to the system, so that an idle worker holds little."""
     pa.default_memory_pool().release_unused()
