@@ -1,7 +1,11 @@
 """From raw documents to packed token windows: quality rules, near duplicates, personal data, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a table; `run` writes each to the shared folder and reads it back as the
-next one's input. All but the last return the columns of `documents`.
+next one's input. All but the last return the columns of `documents`, whatever further ones there are.
+
+Defined results. Null or empty texts, or such without words: they fail the rules and go in the first stage. Null ids: the document
+is judged like any other; of a group of near duplicates it stays only if no other member has an id. Repeated rows: one of them
+stays. Null sources are a source. Empty table: no pieces.
 """
 
 from __future__ import annotations
@@ -10,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import host_quality, mixing, ngram_join, packing, pii
-from seqloom.session import materialize
+from seqloom.llm import words as W
+from seqloom.session import discard, stored
 
 ORACLE_SQL = None  # packing needs the tokenizer; tests/llm compares every stage with a plain version of it
 
@@ -33,7 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, as often as the mix reads them."""
-    return mixing.mix(docs, whole=True).select(*docs.columns)
+    return W.shielded(docs, lambda rows: mixing.mix(rows, whole=True).select(*rows.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +51,10 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
