@@ -301,7 +301,7 @@ def arrow_streams(spark, sf):
             yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"])], names=["file"])
 
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    files = [r["file"] for r in materialize(vectors.mapInArrow(write, "file string"), "files").collect()]
-    rows = readers.read_arrow_streams(spark, files, "item_id bigint, embedding array<float>")
+    manifest = materialize(vectors.mapInArrow(write, "file string"), "files")
+    rows = readers.read_arrow_streams(spark, manifest, "item_id bigint, embedding array<float>")
     return rows.select("item_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 

@@ -87,12 +87,19 @@ def clean_map_for_encoder(texts: Column | str, limit: int | None = None) -> Colu
 def clean_list_for_encoder(texts: Column | str, limit: int | None = None) -> Column:
     """Encoder text of an array column: elements cleaned, trimmed and joined by a blank.
 
-    The elements travel as one delimited string, so the Arrow step sees one value per row.
+    The elements travel as one delimited string, so the Arrow step sees one value per row; a delimiter inside an element is
+    written as two other characters meanwhile.
     """
     col = F.col(texts) if isinstance(texts, str) else texts
-    packed = unescape(F.array_join(col, "\u001f"))
+
+    def swapped(t: Column, *pairs: tuple[str, str]) -> Column:
+        for old, new in pairs:
+            t = F.replace(t, F.lit(old), F.lit(new))
+        return t
+
+    packed = unescape(F.array_join(F.transform(col, lambda t: swapped(t, ("\u001e", "\u001e0"), ("\u001f", "\u001e1"))), "\u001f"))
     parts = F.transform(
-        F.split(packed, "\u001f"),
+        F.transform(F.split(packed, "\u001f"), lambda t: swapped(t, ("\u001e1", "\u001f"), ("\u001e0", "\u001e"))),
         lambda t: strip(F.regexp_replace(F.regexp_replace(t, NAMED_TAG, ""), QUOTES_AND_NEWLINES, "")),
     )
     return _one_final_dot(F.when(F.size(col) > 0, F.array_join(parts, " ")).otherwise(F.lit("")), limit)

@@ -1,7 +1,6 @@
 """Rewards over candidate groups and offline policy diagnostics.
 
-Group figures come from aggregates joined back, so a hot group is combined map-side and its rows
-stay spread.
+Group figures are windows over a group's few rows, the completions drawn for one prompt.
 """
 
 from __future__ import annotations

@@ -197,8 +197,8 @@ def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, sep="\t", header=True, enforceSchema=True)
 
 
-def read_arrow_streams(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
-    """Arrow IPC stream files: one task per file, handed on record batch by record batch."""
+def read_arrow_streams(spark: SparkSession, paths: Sequence[str] | DataFrame, schema: str) -> DataFrame:
+    """Arrow IPC stream files, listed or in a table's column `file`: a task opens one after another and hands on its record batches."""
 
     def load(batches):
         import pyarrow.ipc as ipc
@@ -209,8 +209,8 @@ def read_arrow_streams(spark: SparkSession, paths: Sequence[str], schema: str) -
                 with system.open_input_stream(inner) as stream:
                     yield from ipc.open_stream(stream)
 
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    return files.mapInArrow(load, schema)
+    files = paths.select("file") if isinstance(paths, DataFrame) else spark.createDataFrame([(p,) for p in paths], "file string")
+    return files.repartition(max(1, files.count()), "file").mapInArrow(load, schema)
 
 
 def sanitized_stats(df: DataFrame, embedding: str) -> DataFrame:

@@ -120,3 +120,9 @@ def test_tokens(spark):
 @pytest.mark.parametrize("template,want", [("a {x} b {x}", "a % b %"), ("{x}", "%"), ("none", "none")])
 def test_fill(spark, template, want):
     assert column(spark, ["%"], prompts.fill(template, x=F.col("t"))) == [want]
+
+
+def test_list_elements_may_hold_the_delimiter(spark):
+    rows = [(["a\x1fb", "c\x1e1&amp;", "\x1e0\x1f"],), (["x", None, "y"],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t array<string>").coalesce(1).select(text.clean_list_for_encoder("t")).collect()]
+    assert got == ["a\x1fb c\x1e1& 0.", "x y."]
