@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from seqloom.functions import text
 from seqloom.operators.aggregates import last_wins
@@ -37,21 +36,22 @@ def map_elements(
 
     Result columns are parallel arrays named by `values`. Unmapped elements are dropped, or
     kept through the given expressions (which then see nulls) when `keep_unmapped`. Rows with
-    no element keep empty arrays. `key` must identify a row. Only (key, position, id) travels to
-    the look-up and back, where a hot id is a skewed join of narrow rows for adaptive execution
-    to split; the wide rows cross one shuffle, when the arrays come back to them.
+    no element keep empty arrays. `key` must identify a row. The other columns ride with a row's
+    first element only, so the input is read once and a wide row is never multiplied; the other
+    elements travel as (key, position, id), and a hot id is a skewed join for adaptive execution to split.
     """
-    flat = df.select(*key, F.posexplode(ids).alias("__pos", "__id"))
-    looked = flat.join(table.withColumn("__found", F.lit(True)), flat["__id"] == table[table_key], "left")
-    entry = F.struct("__pos", *[v.alias(n) for n, v in values.items()])
-    wanted = looked if keep_unmapped else looked.filter("__found")
-    gathered = wanted.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("__all"))
-    renamed = gathered.select(*[F.col(k).alias(f"__{k}") for k in key], "__all")
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
-    kinds = {f.name: f.dataType for f in looked.select(*[v.alias(n) for n, v in values.items()]).schema}
-    found = {n: F.coalesce(F.transform("__all", _field(n)), F.array().cast(ArrayType(kinds[n]))) for n in values}
     rest = [c for c in df.columns if c not in (*key, ids)]
-    return df.join(renamed, same, "left").select(*key, *rest, F.coalesce(ids, F.array().cast(df.schema[ids].dataType)).alias(ids), *[c.alias(n) for n, c in found.items()])
+    flat = df.select(*key, F.struct(F.lit(1).alias("__one"), *rest).alias("__rest"), F.posexplode_outer(ids).alias("__pos", "__id"))
+    flat = flat.withColumn("__rest", F.when(F.coalesce("__pos", F.lit(0)) == 0, F.col("__rest")))
+    looked = flat.join(table.withColumn("__found", F.lit(True)), flat["__id"] == table[table_key], "left")
+    known = F.col("__pos").isNotNull() if keep_unmapped else F.col("__found").isNotNull()
+    entry = F.struct("__pos", "__id", known.alias("__keep"), *[v.alias(n) for n, v in values.items()])
+    everything = F.sort_array(F.collect_list(F.when(F.col("__pos").isNotNull(), entry))).alias("__all")
+    gathered = looked.groupBy(*key).agg(F.first("__rest", ignorenulls=True).alias("__rest"), everything)
+    kept = F.filter("__all", lambda e: e["__keep"])
+    return gathered.select(
+        *key, *[F.col(f"__rest.{c}").alias(c) for c in rest], F.col("__all.__id").alias(ids),
+        *[F.transform(kept, _field(n)).alias(n) for n in values])
 
 
 def sid_samples(
