@@ -88,28 +88,50 @@ def _step(part: int, shared, step: int, width: int, separator: str, first: bool)
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         trie = shared.value
-        number = {t: i for i, t in enumerate(trie.tokens)}
+        names = pa.array(trie.tokens, pa.string())
+        value = np.full(len(trie.tokens) + 1, np.nan)
         for batch in batches:
-            grown = []
-            for scores, beams in zip(batch.column("scores").to_pylist(), batch.column("beams").to_pylist(), strict=True):
-                value = np.full(len(trie.tokens) + 1, np.nan)
-                for s in scores:
-                    if s["step"] == step and s["token"] in number:
-                        value[number[s["token"]]] = s["score"]
-                open_ = [(0, 0.0, "")] if first else [(b["node"], b["total"], b["text"]) for b in beams if b["part"] == part]
+            scores, beams = batch.column("scores"), batch.column("beams")
+            entries, score_at = scores.flatten(), np.append(0, np.cumsum(scores.value_lengths().to_numpy(zero_copy_only=False)))
+            token = pc.fill_null(pc.index_in(entries.field("token"), value_set=names), -1).to_numpy()
+            here = (entries.field("step").to_numpy() == step) & (token >= 0)
+            gain = entries.field("score").to_numpy()
+            open_, beam_at = beams.flatten(), np.append(0, np.cumsum(beams.value_lengths().to_numpy(zero_copy_only=False)))
+            of, node, total, text = (open_.field(f).to_numpy(zero_copy_only=False) for f in ("part", "node", "total", "text"))
+            sizes, out_node, out_total, out_text = [], [], [], []
+            for r in range(batch.num_rows):
+                mine = np.arange(score_at[r], score_at[r + 1])[here[score_at[r]:score_at[r + 1]]]
+                value[token[mine]] = gain[mine]
+                if first:
+                    nodes, totals, texts = np.zeros(1, np.int64), np.zeros(1), [""]
+                else:
+                    own = np.arange(beam_at[r], beam_at[r + 1])[of[beam_at[r]:beam_at[r + 1]] == part]
+                    nodes, totals, texts = node[own].astype(np.int64), total[own], text[own]
+                count = trie.count[nodes]
+                beam = np.repeat(np.arange(len(nodes)), count)
+                child = np.arange(len(beam)) + np.repeat(trie.first[nodes] - (np.cumsum(count) - count), count)
+                sums = totals[beam] + value[trie.token[child]]
+                kept = np.flatnonzero(~np.isnan(sums))
+                if len(kept) > width:  # ties at the edge stay in until their texts are compared
+                    kept = kept[sums[kept] >= np.partition(sums[kept], len(kept) - width)[len(kept) - width]]
                 found = []
-                for node, total, text in open_:
-                    children = np.arange(trie.first[node], trie.first[node] + trie.count[node])
-                    gains = value[trie.token[children]]
-                    for child, gain in zip(children[~np.isnan(gains)].tolist(), gains[~np.isnan(gains)].tolist(), strict=True):
-                        name = trie.tokens[trie.token[child]]
-                        found.append((-(total + gain), text + separator + name if text else name, child))
+                for k in kept.tolist():
+                    name, before = trie.tokens[trie.token[child[k]]], texts[beam[k]]
+                    found.append((-sums[k], before + separator + name if before else name, int(child[k])))
                 found.sort()
-                grown.append([{"part": part, "node": n, "total": -t, "text": x} for t, x, n in found[:width]])
-            kind = batch.schema.field("beams").type
-            yield batch.set_column(batch.schema.get_field_index("beams"), "beams", pa.array(grown, kind))
+                sizes.append(len(found[:width]))
+                for t, x, c in found[:width]:
+                    out_node.append(c)
+                    out_total.append(-t)
+                    out_text.append(x)
+                value[token[mine]] = np.nan
+            rows = pa.StructArray.from_arrays([pa.array(np.full(len(out_node), part, np.int32)), pa.array(out_node, pa.int32()),
+                                               pa.array(out_total, pa.float64()), pa.array(out_text, pa.string())], ["part", "node", "total", "text"])
+            grown = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), rows)
+            yield batch.set_column(batch.schema.get_field_index("beams"), "beams", grown)
 
     return run
 
