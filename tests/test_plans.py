@@ -51,7 +51,7 @@ def test_library_rules():
         source = path.read_text()
         for banned in ("localCheckpoint", "crossJoin", ".toPandas(", "broadcast(df", "eval(data"):
             assert banned not in source, (path, banned)
-        assert not re.search(r"(?<!literal_)\beval\(", source), path
+        assert not re.search(r"(?<!literal_)(?<!def )\beval\(", source), path
         assert not re.search(r"Window\.orderBy", source), path
 
 
