@@ -236,3 +236,22 @@ def test_first_users_keep_all_their_segments(spark, tmp_path):
     s.select("uid", "segment", F.col("sequence.item_id").alias("item_id")).write.parquet(f"{tmp_path}/s/train")
     got = sorted((r["uid"], r["segment"], len(r["item_ids"])) for r in readers.read_sequences(spark, f"{tmp_path}/s", first=2).collect())
     assert got == [(u, n, size) for u in (0, 1) for n, size in enumerate((4, 4, 2))]
+
+
+def test_core_rounds_do_not_write_the_edges_anew(spark, monkeypatch):
+    """A chain that loses one layer per round beside a large core: the edges are written once, whatever the number of rounds."""
+    from pyspark.sql import DataFrameWriter
+
+    written, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (written.append(path), write(self, path, *a, **k))[1])
+    core_rows = [(u, i) for u in range(100, 105) for i in range(100, 105)]
+    df = spark.createDataFrame([(n, n + d) for n in range(4) for d in (0, 1)] + core_rows, "u bigint, i bigint")
+    got = core.k_core(df, "u", "i", 2)
+    assert sorted(map(tuple, got.collect())) == core_rows
+    assert len([p for p in written if "/core-" in p]) == 1
+
+
+def test_core_counts_rows_without_an_item(spark):
+    """A row without an item counts for its user and is not in the core; it never makes the others go."""
+    df = spark.createDataFrame([(1, 1), (1, None), (2, 1), (2, 2), (None, 1), (3, 3), (4, None), (4, None)], "u bigint, i bigint")
+    assert sorted(map(tuple, core.k_core(df, "u", "i", 2).collect())) == [(1, 1)]
