@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqloom.catalog.base import query, with_sql
 from seqloom.catalog.inputs import CATALOGUE, HIST, LISTENS, catalogue, listens, table, wall_micros
-from seqloom.catalog.interactions import SEGMENT_ROWS, SEGMENTS
+from seqloom.catalog.interactions import SEGMENT_ROWS
 from seqloom.functions import text
 from seqloom.operators import sequences
 from seqloom.operators.ranking import chronological_split
@@ -109,15 +109,16 @@ def typed_header_file(spark, sf):
     return readers.read_tsv(spark, path, "uid bigint, item_id bigint, ts bigint")
 
 
-@query("sequence_folder", with_sql(*SEGMENTS, body="""
-    SELECT uid, segment, string_agg(item_id, ',' ORDER BY place) AS item_ids, string_agg(ts, ',' ORDER BY place) AS timestamps FROM segments GROUP BY 1, 2"""))
+@query("sequence_folder", with_sql(LISTENS, body="""
+    SELECT uid, array_to_string(list(item_id ORDER BY ts, event_id), ',') AS item_ids, array_to_string(list(ts ORDER BY ts, event_id), ',') AS timestamps
+    FROM listens GROUP BY 1"""))
 def sequence_folder(spark, sf):
-    """Sequence Parquet with a train folder and singular names, read back segment by segment."""
+    """Sequence Parquet with a train folder and singular names, written by segments of 30 rows and read back whole."""
     path = durable_path(spark, "seq")
     s = sequences.user_sequences(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id", "ts"], segment_rows=SEGMENT_ROWS)
     s.select("uid", "segment", F.col("sequence.item_id").alias("item_id"), F.col("sequence.ts").alias("timestamp")).write.parquet(f"{path}/train")
-    rows = readers.read_sequences(spark, path)
-    return rows.select("uid", "segment", joined("item_ids").alias("item_ids"), joined("timestamps").alias("timestamps"))
+    rows = sequences.whole_sequences(readers.read_sequences(spark, path), "uid", "item_ids", "timestamps")
+    return rows.select("uid", joined("item_ids").alias("item_ids"), joined("timestamps").alias("timestamps"))
 
 
 @query("listen_scan", "SELECT user_id AS uid, event_id AS item_id, epoch_us(ts) AS timestamp FROM events WHERE value >= 20")
@@ -138,15 +139,16 @@ def keyed_json_lines(spark, sf):
     return rows.select(F.col("key").cast("bigint").alias("item_id"), "value.title", "value.brand")
 
 
-@query("user_sequence_file", with_sql(*SEGMENTS, body="""
-    SELECT uid || '/' || segment AS key, string_agg(item_id, ' ' ORDER BY place) AS items FROM segments GROUP BY 1"""))
+@query("user_sequence_file", with_sql(LISTENS, body="""
+    SELECT uid, array_to_string(list(item_id ORDER BY ts, event_id), ' ') AS items FROM listens GROUP BY 1"""))
 def user_sequence_file(spark, sf):
-    """One line per segment of a user's sequence."""
+    """One line per user with the whole sequence."""
     path = durable_path(spark, "user-items")
-    s = sequences.user_sequences(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id"], segment_rows=SEGMENT_ROWS)
-    writers.write_keyed_json_lines(s, path, F.concat_ws("/", "uid", "segment"), F.col("sequence.item_id"))
+    segments = sequences.user_sequences(listens(spark, sf), "uid", ["ts", "event_id"], ["item_id"], segment_rows=SEGMENT_ROWS)
+    s = sequences.whole_sequences(segments, "uid")
+    writers.write_keyed_json_lines(s, path, F.col("uid"), F.col("sequence.item_id"))
     rows = readers.read_json_lines(spark, path, "key string, value array<bigint>")
-    return rows.select("key", joined("value", " ").alias("items"))
+    return rows.select(F.col("key").cast("bigint").alias("uid"), joined("value", " ").alias("items"))
 
 
 @query("review_text_file", "SELECT '(' || user_id || ', ' || event_id || ', ' || epoch_us(ts) || ')' AS key, event_type AS review FROM events")

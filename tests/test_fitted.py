@@ -109,6 +109,17 @@ def test_text_embeddings(spark):
         assert list(map(int, r["embedding"].split(","))) == want
 
 
+def test_text_embeddings_tell_length_words_and_likeness(spark):
+    import re
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["text_embeddings"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        words = len(re.split(r"[ \t\n\x0b\f\r]+", texts[r["doc_id"]]))
+        assert (r["dim"], r["words"], r["alike"]) == (64, words, True)
+
+
 def test_encoding_matches_numpy(spark, points):
     books = levels_of(catalogue.class_codebooks(spark, SF))
     left = np.array([points[i] for i in sorted(points)])

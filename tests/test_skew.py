@@ -255,3 +255,16 @@ def test_core_counts_rows_without_an_item(spark):
     """A row without an item counts for its user and is not in the core; it never makes the others go."""
     df = spark.createDataFrame([(1, 1), (1, None), (2, 1), (2, 2), (None, 1), (3, 3), (4, None), (4, None)], "u bigint, i bigint")
     assert sorted(map(tuple, core.k_core(df, "u", "i", 2).collect())) == [(1, 1)]
+
+
+@pytest.mark.parametrize("name,key", [("user_sequences", "uid"), ("sequence_folder", "uid"), ("user_sequence_file", "uid")])
+def test_sequence_queries_give_whole_sequences(spark, name, key):
+    """One row per user with all of the user's rows, also for users of more than one segment."""
+    from seqloom.catalog import load
+
+    folder = "/root/testdata/sf0.001"
+    n = {r["user_id"]: r["count"] for r in spark.read.parquet(f"{folder}/events.parquet").groupBy("user_id").count().collect()}
+    assert max(n.values()) > 30
+    rows = load()[0][name](spark, folder).collect()
+    column = "items" if "items" in rows[0] else "item_ids"
+    assert sorted((r[key], len(r[column].replace(",", " ").split(" "))) for r in rows) == sorted(n.items())
