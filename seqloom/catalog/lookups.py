@@ -18,9 +18,9 @@ PW = f"""pw AS MATERIALIZED (SELECT *, count(*) OVER w AS hist_n, list(item_id)
 
 
 def compact_samples(spark, sf):
-    """Windows over purchases as (row key, user, history ids, target id)."""
-    w = sequences.sliding_windows(purchases(spark, sf), "user_id", PURCHASE_ORDER, ["item_id"])
-    return w.withColumn("history", sequences.history_of("item_id"))
+    """Windows over purchases as (row key, user, history ids, target id), 32 rows of a user to a `block`."""
+    w = sequences.sliding_windows(purchases(spark, sf), "user_id", PURCHASE_ORDER, ["item_id"], position="place")
+    return w.withColumn("history", sequences.history_of("item_id")).withColumn("block", F.expr("place div 32"))
 
 
 def joined(col, sep=","):
@@ -164,8 +164,8 @@ def sid_samples(spark, sf):
     cat = catalogue(spark, sf)
     sids = cat.filter(F.get("codes", F.lit(2)) <= 45).select("item_id", "sid")
     titles = cat.filter(F.get("codes", F.lit(2)) >= 3).select("item_id", "title")
-    samples = compact_samples(spark, sf).select("user_id", *ROW, "history")
-    out = lookups.sid_samples(samples, ROW, "history", "item_id", "user_id", titles, sids)
+    samples = compact_samples(spark, sf).select("user_id", "block", *ROW, "history")
+    out = lookups.sid_samples(samples, ROW, "history", "item_id", "user_id", titles, sids, near=["user_id", "block"])
     return out.withColumns({
         "history_item_id": joined("history_item_id"), "history_item_title": joined("history_item_title", "|"),
         "history_item_sid": joined("history_item_sid", " ")})
@@ -177,9 +177,9 @@ def sid_samples(spark, sf):
     FROM flat LEFT JOIN known ON h = known.item_id GROUP BY ALL"""))
 def history_sids_keep_raw(spark, sf):
     sids = catalogue(spark, sf).filter(F.get("codes", F.lit(2)) <= 45).select(F.col("item_id").alias("k"), "sid")
-    samples = compact_samples(spark, sf).select(*ROW, "history")
-    out = lookups.map_elements(samples, ROW, "history", sids, "k",
-                               {"sids": F.coalesce("sid", F.col("__id").cast("string"))}, keep_unmapped=True)
+    samples = compact_samples(spark, sf).select("user_id", "block", *ROW, "history")
+    out = lookups.map_elements(samples, ROW, "history", sids, "k", {"sids": F.coalesce("sid", F.col("__id").cast("string"))},
+                               keep_unmapped=True, near=["user_id", "block"])
     return out.select(*ROW, joined("sids", " ").alias("history_sid"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,52 +31,72 @@ def rekey_events(df: DataFrame, user_ids: DataFrame, item_ids: DataFrame, user:
 
 def map_elements(
     df: DataFrame, key: Sequence[str], ids: str, table: DataFrame, table_key: str,
-    values: dict[str, Column], keep_unmapped: bool = False,
+    values: dict[str, Column], keep_unmapped: bool = False, near: Sequence[str] | None = None, one: str | None = None,
 ) -> DataFrame:
     """Replace each element of the array `ids` by columns looked up in `table`, in order.
 
     Result columns are parallel arrays named by `values`. Unmapped elements are dropped, or
     kept through the given expressions (which then see nulls) when `keep_unmapped`. Rows with
-    no element keep empty arrays. `key` must identify a row. The other columns ride with a row's
-    first element only, so the input is read once and a wide row is never multiplied; the other
-    elements travel as (key, position, id), and a hot id is a skewed join for adaptive execution to split.
+    no element keep empty arrays. `key` must identify a row. Rows equal in `near` (the key, unless given) are a block, which
+    looks an id up once for all its rows; a block should be a few dozen rows with ids in common. A row is moved to its block's
+    entries once, and a hot id is a skewed join for adaptive execution to split. The entries found for the column `one`, if
+    given, come as `__one`, an array of structs of `values`.
     """
-    rest = [c for c in df.columns if c not in (*key, ids)]
-    flat = df.select(*key, F.struct(F.lit(1).alias("__one"), *rest).alias("__rest"), F.posexplode_outer(ids).alias("__pos", "__id"))
-    flat = flat.withColumn("__rest", F.when(F.coalesce("__pos", F.lit(0)) == 0, F.col("__rest")))
-    looked = flat.join(table.withColumn("__found", F.lit(True)), flat["__id"] == table[table_key], "left")
-    known = F.col("__pos").isNotNull() if keep_unmapped else F.col("__found").isNotNull()
-    entry = F.struct("__pos", "__id", known.alias("__keep"), *[v.alias(n) for n, v in values.items()])
-    everything = F.sort_array(F.collect_list(F.when(F.col("__pos").isNotNull(), entry))).alias("__all")
-    gathered = looked.groupBy(*key).agg(F.first("__rest", ignorenulls=True).alias("__rest"), everything)
+    near = list(near or key)
+    rest = [c for c in df.columns if c not in (*key, *near, ids)]
+    asked = F.array_distinct(F.concat(F.coalesce(ids, F.array()), F.array(one))) if one else F.array_distinct(ids)
+    wanted = df.select(*near, F.explode(asked).alias("__id")).distinct()
+    looked = wanted.join(table.withColumn("__found", F.lit(True)), wanted["__id"] == table[table_key], "left" if keep_unmapped else "inner")
+    entry = F.struct("__id", *[v.alias(n) for n, v in values.items()])
+    at = [F.col(c).alias(f"__near{n}") for n, c in enumerate(near)]
+    blocks = looked.groupBy(*at).agg(F.sort_array(F.collect_list(entry)).alias("__entries"))
+    blocks = blocks.withColumn("__ids", F.array_distinct("__entries.__id")).withColumn("__sets", F.transform(  # one set of entries per id
+        "__ids", lambda x: F.filter("__entries", lambda e: e["__id"].eqNullSafe(x)))).drop("__entries")
+
+    def found(x: Column) -> Column:
+        place = F.when(x.isNull(), 0).otherwise(F.array_position("__ids", x) - 1).cast("int")  # null is the first id there is
+        return F.when(x.isNotNull() | F.get("__ids", F.lit(0)).isNull(), F.get("__sets", F.when(place >= 0, place)))
+
+    def placed(x: Column, pos: Column) -> Column:
+        kinds = blocks.schema["__sets"].dataType.elementType.elementType
+        missing = F.struct(pos.alias("__pos"), x.alias("__id"), F.lit(False).alias("__keep"), *[F.lit(None).cast(kinds[n].dataType).alias(n) for n in values])
+        return F.coalesce(F.transform(found(x), lambda e: F.struct(
+            pos.alias("__pos"), x.alias("__id"), F.lit(True).alias("__keep"), *[e[n].alias(n) for n in values])), F.array(missing))
+
+    rows = df.groupBy(*dict.fromkeys([*near, *key])).agg(F.first(F.struct(F.lit(1).alias("__one"), *rest)).alias("__rest"), F.collect_list(ids).alias("__lists"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__near{n}")) for n, c in enumerate(near)])
+    listed = F.flatten(F.transform("__lists", lambda xs: F.flatten(F.transform(xs, placed))))
+    gathered = rows.join(blocks, same, "left").withColumn("__all", F.sort_array(listed))
     kept = F.filter("__all", lambda e: e["__keep"])
+    other = [c for c in near if c not in key and c in df.columns]
     return gathered.select(
-        *key, *[F.col(f"__rest.{c}").alias(c) for c in rest], F.col("__all.__id").alias(ids),
-        *[F.transform(kept, _field(n)).alias(n) for n in values])
+        *key, *other, *[F.col(f"__rest.{c}").alias(c) for c in rest], F.col("__all.__id").alias(ids),
+        *[F.transform(kept, _field(n)).alias(n) for n in values], *([found(F.col(one)).alias("__one")] if one else []))
 
 
 def sid_samples(
     samples: DataFrame, key: Sequence[str], history: str, target: str, user: str, items: DataFrame, sids: DataFrame,
+    near: Sequence[str] | None = None,
 ) -> DataFrame:
     """Sample rows with ids, titles and SIDs of history and target side by side.
 
     Samples whose target has no SID drop out; history SIDs and titles skip unmapped items.
-    `items` is (item_id, title), `sids` is (item_id, sid); a missing title reads Item_<id>.
+    `items` is (item_id, title), `sids` is (item_id, sid); a missing title reads Item_<id>. `target` is part of the key, and
+    `near` as in `map_elements`: targets are looked up with the histories, so samples with their texts are not moved again.
     """
     default_title = F.concat(F.lit("Item_"), F.col("item_id").cast("string"))
     item_titles = items.select("item_id", F.coalesce("title", default_title).alias("title"))
-    lookup = item_titles.join(sids.select("item_id", "sid"), "item_id", "full_outer")
+    lookup = item_titles.join(sids.select("item_id", "sid", F.lit(True).alias("coded")), "item_id", "full_outer")
     known = map_elements(samples, key, history, lookup.withColumnRenamed("item_id", "__k"), "__k", {
-        "__title": F.col("title"), "__sid": F.col("sid")}, keep_unmapped=False)
-    targets = sids.join(item_titles, "item_id", "left").select(
-        F.col("item_id").alias(target), F.col("sid").alias("item_sid"),
-        F.coalesce("title", default_title).alias("item_title"))
-    return known.join(targets, target).select(
+        "__title": F.col("title"), "__sid": F.col("sid"), "__coded": F.col("coded")}, near=near, one=target)
+    known = known.withColumn("__target", F.explode(F.filter("__one", lambda e: e["__coded"])))
+    return known.select(
         *[c for c in key if c not in (user, target, history)],
         F.concat(F.lit("A"), F.col(user).cast("string")).alias("user_id"),
-        F.filter("__title", lambda t: t.isNotNull()).alias("history_item_title"), "item_title",
+        F.filter("__title", lambda t: t.isNotNull()).alias("history_item_title"),
+        F.coalesce("__target.__title", F.concat(F.lit("Item_"), F.col(target).cast("string"))).alias("item_title"),
         F.col(history).alias("history_item_id"), F.col(target).alias("item_id"),
-        F.filter("__sid", lambda s: s.isNotNull()).alias("history_item_sid"), "item_sid")
+        F.filter("__sid", lambda s: s.isNotNull()).alias("history_item_sid"), F.col("__target.__sid").alias("item_sid"))
 
 
 def item_features(items: DataFrame, meta: DataFrame, seq: Sequence[str]) -> DataFrame:

@@ -16,20 +16,22 @@ SLICE_ROWS = 100_000
 def sliding_windows(
     df: DataFrame, user: str, order: Sequence[str], fields: Sequence[str],
     width: int = HISTORY, heavy_rows: int | None = None, slice_rows: int = SLICE_ROWS,
-    counted: DataFrame | None = None,
+    counted: DataFrame | None = None, position: str | None = None,
 ) -> DataFrame:
     """For every row but a user's first: the up to `width` rows before it, oldest first.
 
     Adds `history`, an array of structs of `fields`. A user above the heavy-key limit is cut
     into slices; each slice borrows the last `width` rows before it, from as many slices as hold them. `counted` is a
-    narrower table with the same rows per user to look for such users in.
+    narrower table with the same rows per user to look for such users in. `position` names a column for the row's place among
+    its user's rows, from 0.
     """
     past = F.collect_list(F.struct(*fields))
     heavy = heavy_keys(df if counted is None else counted, [user], heavy_rows)
     spec = Window.partitionBy(user).orderBy(*order).rowsBetween(-width, -1)
+    place = {position: (F.row_number().over(Window.partitionBy(user).orderBy(*order)) - 1).cast("bigint")} if position else {}
     if heavy is None:
-        return df.withColumn("history", past.over(spec)).filter(F.size("history") > 0)
-    light = df.join(heavy, user, "left_anti").withColumn("history", past.over(spec))
+        return df.withColumns({"history": past.over(spec), **place}).filter(F.size("history") > 0)
+    light = df.join(heavy, user, "left_anti").withColumns({"history": past.over(spec), **place})
     placed = position_in_key(df.join(heavy, user, "left_semi"), [user], order, "__pos", heavy_rows)
     own = F.expr(f"__pos div {slice_rows}L")
     # a row is in its own slice and in every later one that begins within the next `width` rows
@@ -39,6 +41,7 @@ def sliding_windows(
     spread = (
         sliced.withColumn("history", past.over(in_slice))
         .filter(F.col("__own") == F.col("__slice"))
+        .withColumns({position: F.col("__pos")} if position else {})
         .drop("__pos", "__own", "__slice")
     )
     return light.unionByName(spread).filter(F.size("history") > 0)

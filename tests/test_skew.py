@@ -268,3 +268,20 @@ def test_sequence_queries_give_whole_sequences(spark, name, key):
     rows = load()[0][name](spark, folder).collect()
     column = "items" if "items" in rows[0] else "item_ids"
     assert sorted((r[key], len(r[column].replace(",", " ").split(" "))) for r in rows) == sorted(n.items())
+
+
+@pytest.mark.parametrize("near", [None, ["u", "block"]])
+def test_array_lookup_by_blocks(spark, near):
+    """Ids met many times, unknown, null or repeated in the table, and rows without ids, with and without blocks."""
+    from seqloom.operators import lookups
+
+    rows = [(7, 0, 1, "a", [1, 2, 9]), (7, 0, 2, "b", [2, 9, None, 2]), (7, 1, 3, "c", []), (None, 0, 4, "d", None), (8, 0, 5, "e", [3, 1])]
+    df = spark.createDataFrame(rows, "u bigint, block bigint, k bigint, note string, ids array<bigint>")
+    names = spark.createDataFrame([(1, "one"), (2, "two"), (3, "x"), (3, "y")], "key bigint, name string")
+    value = {"names": F.coalesce("name", F.concat(F.lit("?"), F.coalesce(F.col("__id").cast("string"), F.lit("-"))))}
+    got = {(r["k"], r["u"], r["note"]): (r["ids"], r["names"]) for r in lookups.map_elements(df, ["k"], "ids", names, "key", value, True, near=near).collect()}
+    assert got == {(1, 7, "a"): ([1, 2, 9], ["one", "two", "?9"]), (2, 7, "b"): ([2, 9, None, 2], ["two", "?9", "?-", "two"]),
+                   (3, 7, "c"): ([], []), (4, None, "d"): ([], []), (5, 8, "e"): ([3, 3, 1], ["x", "y", "one"])}
+    known = lookups.map_elements(df, ["k"], "ids", names, "key", {"names": F.col("name")}, near=near)
+    assert {r["k"]: (r["ids"], r["names"]) for r in known.collect()} == {
+        1: ([1, 2, 9], ["one", "two"]), 2: ([2, 9, None, 2], ["two", "two"]), 3: ([], []), 4: ([], []), 5: ([3, 3, 1], ["x", "y", "one"])}
