@@ -38,7 +38,8 @@ def map_elements(
     Result columns are parallel arrays named by `values`. Unmapped elements are dropped, or
     kept through the given expressions (which then see nulls) when `keep_unmapped`. Rows with
     no element keep empty arrays. `key` must identify a row. Rows equal in `near` (the key, unless given) are a block, which
-    looks an id up once for all its rows; a block should be a few dozen rows with ids in common. A row is moved to its block's
+    looks an id up once for all its rows; a block should be a few dozen rows with ids in common, and rows
+    that repeat a key belong in one. A row is moved to its block's
     entries once, and a hot id is a skewed join for adaptive execution to split. The entries found for the column `one`, if
     given, come as `__one`, an array of structs of `values`.
     """

@@ -23,12 +23,12 @@ def sliding_windows(
     Adds `history`, an array of structs of `fields`. A user above the heavy-key limit is cut
     into slices; each slice borrows the last `width` rows before it, from as many slices as hold them. `counted` is a
     narrower table with the same rows per user to look for such users in. `position` names a column for the row's place among
-    its user's rows, from 0.
+    its user's rows, from 0; rows that tie share the first place.
     """
     past = F.collect_list(F.struct(*fields))
     heavy = heavy_keys(df if counted is None else counted, [user], heavy_rows)
     spec = Window.partitionBy(user).orderBy(*order).rowsBetween(-width, -1)
-    place = {position: (F.row_number().over(Window.partitionBy(user).orderBy(*order)) - 1).cast("bigint")} if position else {}
+    place = {position: (F.rank().over(Window.partitionBy(user).orderBy(*order)) - 1).cast("bigint")} if position else {}
     if heavy is None:
         return df.withColumns({"history": past.over(spec), **place}).filter(F.size("history") > 0)
     light = df.join(heavy, user, "left_anti").withColumns({"history": past.over(spec), **place})
@@ -41,7 +41,7 @@ def sliding_windows(
     spread = (
         sliced.withColumn("history", past.over(in_slice))
         .filter(F.col("__own") == F.col("__slice"))
-        .withColumns({position: F.col("__pos")} if position else {})
+        .withColumns({position: F.min("__pos").over(Window.partitionBy(user, *order))} if position else {})
         .drop("__pos", "__own", "__slice")
     )
     return light.unionByName(spread).filter(F.size("history") > 0)

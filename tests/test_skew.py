@@ -285,3 +285,10 @@ def test_array_lookup_by_blocks(spark, near):
     known = lookups.map_elements(df, ["k"], "ids", names, "key", {"names": F.col("name")}, near=near)
     assert {r["k"]: (r["ids"], r["names"]) for r in known.collect()} == {
         1: ([1, 2, 9], ["one", "two"]), 2: ([2, 9, None, 2], ["two", "two"]), 3: ([], []), 4: ([], []), 5: ([3, 3, 1], ["x", "y", "one"])}
+
+
+@pytest.mark.parametrize("heavy", [3, None])
+def test_rows_that_tie_share_their_position(spark, heavy):
+    df = spark.createDataFrame([(1, t, n) for n, t in enumerate((5, 6, 6, 7, 8, 8, 8))] + [(2, 1, 9), (2, 2, 10)], "u bigint, ts bigint, n bigint")
+    got = sequences.sliding_windows(df, "u", ["ts"], ["ts"], heavy_rows=heavy, slice_rows=10, position="place").select("u", "ts", "place")
+    assert sorted(map(tuple, got.collect())) == [(1, 6, 1), (1, 6, 1), (1, 7, 3), (1, 8, 4), (1, 8, 4), (1, 8, 4), (2, 2, 1)]
