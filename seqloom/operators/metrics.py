@@ -71,8 +71,12 @@ def _usable(k: int) -> list[Column]:
 
 
 def one_per_group(df: DataFrame, group: Sequence[str], predict: str, target: str) -> DataFrame:
-    """One row of every prompt group, for metrics that count a prompt once; all its rows carry the same list."""
-    return df.groupBy(*group).agg(F.min(F.struct(predict, target)).alias("r")).select(*group, "r.*")
+    """One row of every prompt group, for metrics that count a prompt once; all its rows carry the same list.
+
+    Equal rows are dropped by hash where they arise, so no task sorts the copies of a list, and the rest is sorted in tasks of its own.
+    """
+    once = df.select(*group, predict, target).distinct().repartition(*group)
+    return once.groupBy(*group).agg(F.min(F.struct(predict, target)).alias("r")).select(*group, "r.*")
 
 
 def invalid_before_hit(df: DataFrame, predict: str, target: str, catalogue: DataFrame, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.catalog.inputs import listens, purchases
-from seqloom.operators import candidates, core, ranking, sequences
+from seqloom.operators import candidates, core, metrics, ranking, sampling, sequences
 
 SF = "/root/testdata/sf0.01"
 PACKAGE = pathlib.Path(__file__).parent.parent / "seqloom"
@@ -37,6 +37,15 @@ def test_top_k_is_trimmed_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(kept)
 
 
+def test_copies_of_a_list_are_dropped_before_any_sort(spark):
+    rows = [(1, ["a", "b"], "b"), (1, ["a", "a"], "c"), (2, [], "b"), (None, ["z"], None), (None, None, "y")]
+    many = sampling.repeated(spark.createDataFrame(rows, "g int, p array<string>, t string"), 4)
+    once = metrics.one_per_group(many, ["g"], "p", "t")
+    where_copies_arise = plan(once).rsplit("Exchange", 1)[1]
+    assert "HashAggregate" in where_copies_arise and "Sort" not in where_copies_arise
+    assert sorted(map(tuple, once.collect()), key=str) == [(1, ["a", "a"], "c"), (2, [], "b"), (None, None, "y")]
+
+
 @pytest.mark.parametrize("make", [
     lambda s: core.prune_round(core.degree_edges(purchases(s, SF), "user_id", "item_id"), 5, 5),
     lambda s: candidates.log_softmax(listens(s, SF), ["uid"], "value"),
