@@ -19,6 +19,7 @@ NAMED_TAG = r"</?[\p{L}\p{N}_]+[^>]*>"
 QUOTES_AND_NEWLINES = r'["\n\r]'
 TITLE_WORD_LIMIT = 20
 NO_TEXT = "unknown item"
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"  # what html.unescape looks at
 END_MARKERS = r"<\|im_end\|>|<\|endoftext\|>"
 REVIEW_CATEGORY_NAMES = {
     "Arts": "Arts_Crafts_and_Sewing",
@@ -37,13 +38,28 @@ CATEGORY_PHRASES = {
 
 
 @F.pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def _decoded(references: pd.Series) -> pd.Series:
+    """Decoded references of every row, parted by U+001F; they come parted by newlines, which none of them contains."""
+
+    def decode(row: str) -> str:
+        return "\u001f".join(html.unescape(r).replace("\u001e", "\u001e0").replace("\u001f", "\u001e1") for r in row.split("\n"))
+
+    return references.map(decode, na_action="ignore")
+
+
+def _swapped(text: Column, *pairs: tuple[str, str]) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
 def unescape(text: Column | str) -> Column:
-    """HTML entities to characters: Spark has no built-in, so Arrow batches go through the standard library."""
-    return _unescape(F.col(text) if isinstance(text, str) else text)
+    """HTML entities to characters: Spark has no built-in, so the references, and nothing else of a text, go through the standard library."""
+    col = F.col(text) if isinstance(text, str) else text
+    packed = _decoded(F.nullif(F.array_join(F.regexp_extract_all(col, F.lit(REFERENCE), F.lit(0)), "\n"), F.lit("")))
+    decoded = F.transform(F.split(packed, "\u001f"), lambda t: _swapped(t, ("\u001e1", "\u001f"), ("\u001e0", "\u001e")))
+    between = F.zip_with(F.split(col, REFERENCE), F.concat(decoded, F.array(F.lit(""))), lambda t, r: F.concat(t, r))
+    return F.when(packed.isNull(), col).otherwise(F.array_join(between, ""))
 
 
 def _blanks_as_spaces(text: Column) -> Column:
@@ -91,15 +107,9 @@ def clean_list_for_encoder(texts: Column | str, limit: int | None = None) -> Col
     written as two other characters meanwhile.
     """
     col = F.col(texts) if isinstance(texts, str) else texts
-
-    def swapped(t: Column, *pairs: tuple[str, str]) -> Column:
-        for old, new in pairs:
-            t = F.replace(t, F.lit(old), F.lit(new))
-        return t
-
-    packed = unescape(F.array_join(F.transform(col, lambda t: swapped(t, ("\u001e", "\u001e0"), ("\u001f", "\u001e1"))), "\u001f"))
+    packed = unescape(F.array_join(F.transform(col, lambda t: _swapped(t, ("\u001e", "\u001e0"), ("\u001f", "\u001e1"))), "\u001f"))
     parts = F.transform(
-        F.transform(F.split(packed, "\u001f"), lambda t: swapped(t, ("\u001e1", "\u001f"), ("\u001e0", "\u001e"))),
+        F.transform(F.split(packed, "\u001f"), lambda t: _swapped(t, ("\u001e1", "\u001f"), ("\u001e0", "\u001e"))),
         lambda t: strip(F.regexp_replace(F.regexp_replace(t, NAMED_TAG, ""), QUOTES_AND_NEWLINES, "")),
     )
     return _one_final_dot(F.when(F.size(col) > 0, F.array_join(parts, " ")).otherwise(F.lit("")), limit)

@@ -1,5 +1,8 @@
 """Text rules on hand-written rows."""
 
+import html
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +50,16 @@ def test_encoder_cleaning(spark):
     assert column(spark, [{"k": "v..", "l": "<b>w</b>"}], text.clean_map_for_encoder("t"), "map<string,string>") in (["k v.. l w."], ["l w k v."])
 
 
+def test_only_references_leave_the_texts_to_be_decoded(spark):
+    odd = ["&amp;&lt;", "&copy=1 &", "&&amp;;", "&#10;&NewLine;x", "&#31;&#x1e;|&#xD800;", "&\x1famp;\x1e0\x1f1", "&am\x1fp;&amp\x1e", "\U0001f600&#128512;",
+           "&" + "x" * 40 + ";", "&amp" + "y" * 40, "a&#x26b", "$1\\&gt;", "", "no more", "&#9999999999;\r\n&eacute;"]
+    assert column(spark, [*odd, None], text.unescape("t")) == [*map(html.unescape, odd), None]
+    for made in (text.clean_for_encoder("t"), text.clean_review("t"), text.clean_map_for_encoder(F.create_map(F.lit("k"), "t"))):
+        plan = spark.createDataFrame([("x",)], "t string").select(made.alias("o"))._jdf.queryExecution().executedPlan().toString()
+        sent = re.findall(r"EvalPython \[(.*)", plan)
+        assert sent and all("regexp_extract_all" in s for s in sent), plan
+
+
 def test_titles(spark):
     titles = [None, "", "  ", 'x <span id="a">', " ".join("w" * 21), "a", '"Quoted &amp; co"', " ".join(["w"] * 20), " ".join(["w"] * 21)]
     assert column(spark, titles, text.title_present("t")) == [False, False, False] + [True] * 6
