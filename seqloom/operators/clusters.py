@@ -7,12 +7,14 @@ so the total is within one step per item of the least possible one for the sizes
 item: the result does not depend on the layout.
 
 Rounds move narrow rows only: an item's best codes, listed once, and the bids held. The lowest bid a code keeps is found by
-narrowing histograms, not by sorting its bids. Once only a few items are left, they bid on the driver against a bounded number
-of each code's lowest bids, as such ends take many short rounds.
+narrowing histograms, of all codes at once, not by sorting its bids. Once only a few items are left, the rounds are played on the
+driver with a bounded number of each code's lowest bids, as such ends take many short rounds; they are the rounds Spark would play.
 """
 
 from __future__ import annotations
 
+import bisect
+import collections
 import heapq
 
 import numpy as np
@@ -22,19 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.quantize import codebook_frame, mean_vectors
-from seqloom.operators.ranking import cut_rows, keep_first_per_key, portable_hash
+from seqloom.operators.ranking import DRIVER_ROWS, HISTOGRAM_BUCKETS, portable_hash
 from seqloom.operators.sampling import sample_rows
 from seqloom.operators.tiles import Book, Part, book_of, minus_centroid, nearest, over_parts, row_tiles, squared_distances
-from seqloom.session import collect_small, discard, materialize, stored, stored_counted
+from seqloom.session import collect_arrow, collect_small, discard, materialize, stored, stored_counted
 
 LISTED_CODES = 32
 GAP = 0.005  # how far the total may lie above the least possible one
 STEP_UNITS, BID_BITS = 16, 40
 WIDE_STEP, SHRINK = 0.1, 5
 TAIL_ITEMS, TAIL_DEPTH, TAIL_BIDS = 2000, 64, 200_000
+KNOWN_BIDS = 32_768  # bids fetched for the end of an auction, over all codes
+HASH_BITS, HISTOGRAM_CELLS = 60, 1 << 20
 STARTS, ROUNDS = 3, 100
 WARM, COLD, COOLING, SETTLE = 0.1, 0.005, 0.7, 10  # temperatures of the fit as shares of the mean squared distance, rounds at the last one
 FAR = 1 << 60
+TOO_HIGH = "bids beyond the range of the integers they are kept in"
 
 
 def size_bounds(n: int, k: int) -> tuple[int, int]:
@@ -111,86 +116,167 @@ def _placed(hashed, book: Book, price: np.ndarray, unit: float, listed: int, pre
         open_ = prefs if held is None else prefs.join(held.select("item_id"), "item_id", "left_anti")
         bids = _bids(open_, price, step)
         offers, offers_path = stored(bids if held is None else held.unionByName(bids), "offers")
-        seen = {r["code"]: (r["n"], r["least"]) for r in collect_small(
-            offers.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("bid").alias("least")), book.size + 1, "codes")}
+        seen = {r["code"]: (r["n"], r["least"], r["most"]) for r in collect_small(
+            offers.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("bid").alias("least"), F.max("bid").alias("most")), book.size + 1, "codes")}
         stale = seen.pop(None, None)
-        if any(least >= 1 << BID_BITS for _, least in seen.values()):
-            raise OverflowError("bids beyond the range of the integers they are kept in")
+        if any(least >= 1 << BID_BITS for _, least, _ in seen.values()):
+            raise OverflowError(TOO_HIGH)
         placed = offers.filter(F.col("code").isNotNull())
-        cuts = _cuts(placed, seen, sizes)
-        for code, (count, least) in seen.items():
+        cuts, marks, counts = _cuts(placed, seen, sizes)
+        for code, (count, least, _) in seen.items():
             if count > sizes[code]:
                 price[code] = cuts[0, code]
             elif count == sizes[code]:
                 price[code] = max(price[code], least)
         if held_path:
             discard(spark, held_path)
-        held, held_path, n_held = stored_counted(_kept(placed, cuts), "held")
+        held, held_path = stored(_beside(placed, cuts, "from"), "held")
+        n_held = int(counts.sum())
         if stale:  # lists too short for these prices: twice as long ones for everybody, all codes at last
             listed = min(book.size, 2 * listed)
             (prefs, prefs_path), old = stored(_listed(hashed, book, price, unit, listed), "prefs"), prefs_path
             discard(spark, old)
         discard(spark, offers_path)
         if 0 < n - n_held <= tail:
-            moved, n_held = _tail(prefs, held, price, sizes, step, n_held, tail)
-            changed = spark.createDataFrame(moved, "item_id bigint, h bigint, code int, bid bigint")
-            rest = held.join(changed.select("item_id"), "item_id", "left_anti").unionByName(changed.filter(F.col("code").isNotNull()))
+            known, done = _End(prefs, held, marks, counts, sizes, tail).played(price, step, n)
+            rest = _beside(held, marks, "above").unionByName(spark.createDataFrame(known))
             (held, held_path), old = stored(rest, "held"), held_path
             discard(spark, old)
+            n_held = n if done else n_held
         if n_held == n:
             return held, held_path, prefs, prefs_path, listed
 
 
-def _tail(prefs: DataFrame, held: DataFrame, price: np.ndarray, sizes: np.ndarray, step: int, n_held: int, tail: int) -> tuple[list[tuple], int]:
-    """The last few unplaced items bid one after the other on the driver, against each code's lowest bids.
+class _End:
+    """The last rounds of an auction, played on the driver by the rules of the rounds before.
 
-    Only `tail` items and `TAIL_DEPTH` bids a code are fetched. A code whose fetched bids do not tell its lowest one any more
-    takes no further bids here; whoever wants it waits for the next round. Returns the rows that changed and how many are placed.
+    Of every code the lowest bids are fetched, `known_bids` of them, and the few unplaced items. What a round decides depends on
+    a code's lowest bids only, so it is the same as with all bids at hand, as long as the bids looked at are not above the
+    highest one fetched, the code's mark. The game stops before the first round that would have to look further.
     """
-    lowest = keep_first_per_key(held, ["code"], ["bid", "h", "item_id"], TAIL_DEPTH + 1)
-    open_ = prefs.select("item_id").join(held.select("item_id"), "item_id", "left_anti")
-    known = lowest.select("item_id", "code", "bid").unionByName(
-        open_.withColumns({"code": F.lit(None).cast("int"), "bid": F.lit(None).cast("bigint")}))
-    rows = collect_small(prefs.join(known, "item_id"), len(sizes) * (TAIL_DEPTH + 1) + tail, "the tail of an auction")
-    entries = {r["item_id"]: (np.array([e["code"] for e in r["entries"]]), np.array([e["cost"] for e in r["entries"]], np.int64), r["beyond"], r["h"]) for r in rows}
-    heaps: dict[int, list] = {c: [] for c in range(len(sizes))}
-    for r in rows:
-        if r["code"] is not None:
-            heaps[r["code"]].append((r["bid"], r["h"], r["item_id"]))
-    counts = {r["code"]: r["count"] for r in collect_small(held.groupBy("code").count(), len(sizes), "codes")}
-    limit = {}  # beyond this bid a code holds others that were not fetched
-    for code, heap in heaps.items():
-        heap.sort()
-        if counts.get(code, 0) > len(heap) or len(heap) > TAIL_DEPTH:
-            limit[code] = heap[-1]
-    queue = sorted(r["item_id"] for r in rows if r["code"] is None)
-    moved: dict[int, tuple] = {}
-    for _ in range(TAIL_BIDS):
-        if not queue:
-            break
-        item = queue.pop()
-        codes, cost, beyond, h = entries[item]
-        loss = cost + price[codes]
+
+    def __init__(self, prefs: DataFrame, held: DataFrame, marks: np.ndarray, counts: np.ndarray, sizes: np.ndarray, tail: int):
+        bound = len(sizes) * known_bids(len(sizes))
+        near = collect_arrow(_beside(held, marks, "to").select("code", "bid", "h", "item_id"), 2 * bound, "lowest bids of an auction")
+        open_ = prefs.select("item_id").join(held.select("item_id"), "item_id", "left_anti")
+        wanted = _beside(held, marks, "to").select("item_id").unionByName(open_).distinct()
+        rows = collect_arrow(prefs.join(F.broadcast(wanted), "item_id"), 2 * bound + tail, "the tail of an auction")
+        entries = rows.column("entries").combine_chunks().flatten()
+        self.codes, self.cost = (entries.field(f).to_numpy().reshape(rows.num_rows, -1) for f in ("code", "cost"))
+        items, self.beyond, self.h = (rows.column(c).to_pylist() for c in ("item_id", "beyond", "h"))
+        self.row = {item: i for i, item in enumerate(items)}
+        self.copies = collections.Counter(items)  # ids may repeat
+        self.known: list[list[tuple]] = [[] for _ in sizes]
+        for code, *bid in sorted(zip(*(near.column(c).to_pylist() for c in ("code", "bid", "h", "item_id")), strict=True)):
+            self.known[code].append(tuple(bid))
+        self.marks = [tuple(int(x) for x in m) for m in marks.T]
+        self.counts, self.sizes = counts.astype(np.int64), sizes
+        self.open = self.row.keys() - near.column("item_id").to_pylist()
+
+    def played(self, price: np.ndarray, step: int, n: int):
+        """(known bids in the end as an Arrow table, whether everybody is placed)."""
+        import pyarrow as pa
+
+        done = self._tail(price, step) == n
+        while not done and self._round(price, step):
+            n_held = int(self.counts.sum())
+            done = n_held == n or not self.open or (n_held < n and self._tail(price, step) == n)
+        rows = [(item, h, code, bid) for code, bids in enumerate(self.known) for bid, h, item in bids]
+        types = (("item_id", pa.int64()), ("h", pa.int64()), ("code", pa.int32()), ("bid", pa.int64()))
+        return pa.table({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(types)}), done
+
+    def _tail(self, price: np.ndarray, step: int) -> int:
+        """Unplaced items bid one after the other, against the `TAIL_DEPTH` lowest bids of each code; returns how many are placed.
+
+        A code whose lowest bids do not tell its lowest one any more takes no further bids here; whoever wants it waits for the
+        next round.
+        """
+        heaps = [[bid for bid in bids[:TAIL_DEPTH + 1] for _ in range(self.copies[bid[2]])] for bids in self.known]
+        counts = self.counts.tolist()
+        limit = {}  # beyond this bid a code holds others that do not take part
+        for code, heap in enumerate(heaps):
+            if counts[code] > len(heap) or len(heap) > TAIL_DEPTH:
+                limit[code] = heap[-1]
+        queue = sorted(item for item in self.open for _ in range(self.copies[item] ** 2))
+        moved: dict[int, tuple | None] = {}
+        for _ in range(TAIL_BIDS):
+            if not queue:
+                break
+            item = queue.pop()
+            code, bid, stale = self._bid(item, price, step)
+            moved[item] = None
+            if stale or (code in limit and heaps[code][0] >= limit[code]):
+                continue
+            heapq.heappush(heaps[code], (bid, self.h[self.row[item]], item))
+            moved[item] = code, bid
+            counts[code] += 1
+            if counts[code] > self.sizes[code]:
+                out = heapq.heappop(heaps[code])[2]
+                counts[code] -= 1
+                moved[out] = None
+                queue.append(out)
+            if counts[code] == self.sizes[code]:
+                price[code] = max(int(price[code]), heaps[code][0][0])
+        moved |= dict.fromkeys(queue)
+        for code, bids in enumerate(self.known):
+            stay = [bid for bid in bids if bid[2] not in moved]
+            self.counts[code] -= len(bids) - len(stay)
+            self.known[code] = stay
+        self._place((code_bid[0], (code_bid[1], self.h[self.row[item]], item)) for item, code_bid in moved.items() if code_bid)
+        self.open = {item for item, code_bid in moved.items() if code_bid is None}
+        return sum(counts)
+
+    def _place(self, bids) -> None:
+        added = collections.Counter()
+        for code, bid in bids:
+            self.known[code].append(bid)
+            added[code] += 1
+        for code, count in added.items():
+            self.known[code].sort()
+            self.counts[code] += count
+
+    def _round(self, price: np.ndarray, step: int) -> bool:
+        """All unplaced items bid at once; False, and nothing has changed, where the known bids do not tell what comes of it."""
+        new = collections.defaultdict(list)
+        for item in self.open:
+            code, bid, stale = self._bid(item, price, step)
+            if stale:
+                return False
+            new[code] += [(bid, self.h[self.row[item]], item)] * self.copies[item]
+        after = []
+        for code, (bids, mark) in enumerate(zip(self.known, self.marks, strict=True)):
+            bids, over = sorted(bids + new[code]), int(self.counts[code] + len(new[code]) - self.sizes[code])
+            first = bisect.bisect_left(bids, bids[over]) if 0 < over < len(bids) else max(over, 0)
+            whole, last = mark[0] == FAR, first + TAIL_DEPTH  # the tail looks so far
+            if not whole and (last >= len(bids) or bids[last] > mark):
+                return False
+            after.append((bids, first, over))
+        self.open = set()
+        for code, (bids, first, over) in enumerate(after):
+            if bids and bids[0][0] >= 1 << BID_BITS:
+                raise OverflowError(TOO_HIGH)
+            if over > 0:
+                price[code] = bids[over][0]
+            elif over == 0 and bids:
+                price[code] = max(int(price[code]), bids[0][0])
+            self.open |= {item for _, _, item in bids[:first]}
+            self.counts[code] += len(new[code]) - first
+            self.known[code] = bids[first:]
+        return True
+
+    def _bid(self, item: int, price: np.ndarray, step: int) -> tuple[int, int, bool]:
+        """(code, bid, whether a code that is not listed might be better)."""
+        row = self.row[item]
+        loss = self.cost[row] + price[self.codes[row]]
         order = np.argsort(loss, kind="stable")
-        least, code = int(loss[order[0]]), int(codes[order[0]])
+        least, code, beyond = int(loss[order[0]]), int(self.codes[row, order[0]]), self.beyond[row]
         second = min(int(loss[order[1]]) if len(order) > 1 else beyond, beyond)
-        moved[item] = (item, h, None, None)
-        if least > beyond or (code in limit and heaps[code][0] >= limit[code]):
-            continue
-        bid = int(price[code]) + max((second if second < FAR else least) - least, 0) + step
-        heapq.heappush(heaps[code], (bid, h, item))
-        moved[item] = (item, h, code, bid)
-        counts[code] = counts.get(code, 0) + 1
-        if counts[code] > sizes[code]:
-            _, out_h, out = heapq.heappop(heaps[code])
-            counts[code] -= 1
-            moved[out] = (out, out_h, None, None)
-            queue.append(out)
-        if counts[code] == sizes[code]:
-            price[code] = max(int(price[code]), heaps[code][0][0])
-    for item in queue:
-        moved[item] = (item, entries[item][3], None, None)
-    return list(moved.values()), sum(counts.values())
+        return code, int(price[code]) + max((second if second < FAR else least) - least, 0) + step, least > beyond
+
+
+def known_bids(k: int) -> int:
+    """How many of the lowest bids of each code the end of an auction is played with."""
+    return max(TAIL_DEPTH + 2, KNOWN_BIDS // k)
 
 
 def _listed(hashed: DataFrame, book: Book, price: np.ndarray, unit: float, listed: int) -> DataFrame:
@@ -248,25 +334,111 @@ def _bids(open_: DataFrame, price: np.ndarray, step: int) -> DataFrame:
     return open_.mapInArrow(run, "item_id bigint, h bigint, code int, bid bigint")
 
 
-def _cuts(offers: DataFrame, seen: dict, sizes: np.ndarray) -> np.ndarray:
-    """Per code the (bid, h, item) of the lowest offer it keeps; below every offer where it keeps all."""
-    cuts = np.full((3, len(sizes)), -1, np.int64)
-    over, ranks, before = [], [], 0
-    for code in sorted(seen):
-        count = seen[code][0]
-        if count > sizes[code]:
-            over.append(code)
-            ranks.append(before + count - int(sizes[code]))
-        before += count
-    if over:
-        lead = F.col("code").cast("bigint") * (1 << BID_BITS) + F.col("bid")
-        rows = offers.select(lead.alias("lead"), "h", "item_id")
-        for code, row in zip(over, cut_rows(rows, ["lead", "h", "item_id"], lambda _: ranks)[1], strict=True):
-            cuts[:, code] = row[0] - (code << BID_BITS), row[1], row[2]
-    return cuts
-
-
-def _kept(offers: DataFrame, cuts: np.ndarray) -> DataFrame:
+def _cuts(offers: DataFrame, seen: dict, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per code the (bid, h, item) of the lowest offer it keeps, of the last one of its lowest `known_bids`, and how many it keeps.
+
+    The first is below every offer where a code keeps all, the second above them (`FAR`) where it has no more than these.
+    """
+    cuts, marks = np.full((3, len(sizes)), -1, np.int64), np.full((3, len(sizes)), FAR, np.int64)
+    counts = np.zeros(len(sizes), np.int64)
+    wanted = {}
+    for code, (count, _, _) in seen.items():
+        counts[code] = count
+        over = max(count - int(sizes[code]), 0)
+        if over:
+            wanted[0, code] = over
+        if over + known_bids(len(sizes)) < count:
+            wanted[1, code] = over + known_bids(len(sizes)) - 1
+    for (kind, code), (row, before) in _offers_at(offers, seen, wanted, len(sizes)).items():
+        (marks if kind else cuts)[:, code] = row
+        counts[code] -= 0 if kind else before
+    return cuts, marks, counts
+
+
+def _offers_at(offers: DataFrame, seen: dict, wanted: dict, k: int) -> dict:
+    """Per (kind, code) the (bid, h, item) at the wanted rank of the code's offers, and how many offers are below that one.
+
+    Histograms of bids, and of hashes where bids tie, narrow all of them at once, until few enough rows are left for the driver.
+    """
+    spans = {key: ("bid", 0, seen[key[1]][1], seen[key[1]][2], 0, seen[key[1]][0]) for key in wanted}  # field, bid, from, to, before, rows
+    small = max(16, DRIVER_ROWS // max(1, len(wanted)))
+    while wide := [key for key, (field, _, lo, hi, _, rows) in spans.items() if rows > small and (lo < hi or field == "bid")]:
+        for key in wide:
+            field, _, lo, hi, before, rows = spans[key]
+            if lo == hi:  # one bid many times
+                spans[key] = "h", lo, 0, (1 << HASH_BITS) - 1, before, rows
+        buckets = max(2, min(HISTOGRAM_BUCKETS, HISTOGRAM_CELLS // len(wide)))
+        cells = _inside(offers, {key: spans[key] for key in wide}, k, buckets).groupBy("cell").agg(F.sum("n").alias("n"))
+        found = collections.defaultdict(list)
+        for r in collect_small(cells, buckets * len(wide), "histogram"):
+            found[r["cell"] // buckets].append((r["cell"] % buckets, r["n"]))
+        for slot, key in enumerate(wide):
+            field, bid, lo, hi, before, _ = spans[key]
+            width = (hi - lo) // buckets + 1
+            for bucket, rows in sorted(found[slot]):
+                if before + rows > wanted[key]:
+                    start = lo + bucket * width
+                    spans[key] = field, bid, start, min(start + width - 1, hi), before, rows
+                    break
+                before += rows
+    if not spans:
+        return {}
+    left = _inside(offers, spans, k).groupBy("code", "bid", "h", "item_id").count()
+    rows = collections.defaultdict(list)
+    for r in left.toArrow().to_pylist():
+        rows[r["code"]].append((r["bid"], r["h"], r["item_id"], r["count"]))
+    out = {}
+    for key, (field, bid, lo, hi, before, _) in spans.items():
+        for *row, count in sorted(r for r in rows[key[1]] if (lo <= r[0] <= hi if field == "bid" else r[0] == bid and lo <= r[1] <= hi)):
+            if before + count > wanted[key]:
+                out[key] = tuple(row), before
+                break
+            before += count
+    return out
+
+
+def _inside(offers: DataFrame, spans: dict, k: int, buckets: int = 0) -> DataFrame:
+    """The offers inside any of the spans, or, by `buckets`, how many of them each cell of each span holds: (cell, n)."""
+    kinds = []
+    for kind in sorted({key[0] for key in spans}):
+        bid, h, slot = np.ones((2, k), np.int64), np.ones((2, k), np.int64), np.zeros(k, np.int64)
+        bid[1] = h[1] = 0  # nothing is inside
+        by_hash = np.zeros(k, bool)
+        for i, ((own, code), (field, value, lo, hi, _, _)) in enumerate(spans.items()):
+            if own == kind:
+                by_hash[code] = field == "h"
+                bid[:, code] = (value, value) if by_hash[code] else (lo, hi)
+                h[:, code] = (lo, hi) if by_hash[code] else (np.iinfo(np.int64).min, np.iinfo(np.int64).max)
+                slot[code] = i
+        kinds.append((bid, h, slot, by_hash))
+    shared, cells = offers.sparkSession.sparkContext.broadcast(kinds), buckets * len(spans)
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros(cells, np.int64)
+        for b in batches:
+            code, value, hashed = (b.column(c).to_numpy() for c in ("code", "bid", "h"))
+            stays = np.zeros(len(code), bool)
+            for bid, h, slot, by_hash in shared.value:
+                own = (value >= bid[0, code]) & (value <= bid[1, code]) & (hashed >= h[0, code]) & (hashed <= h[1, code])
+                stays |= own
+                if buckets:
+                    c = code[own]
+                    lo, hi = np.where(by_hash, h, bid)[:, c]
+                    at = (np.where(by_hash[c], hashed[own], value[own]) - lo) // ((hi - lo) // buckets + 1)
+                    total += np.bincount(slot[c] * buckets + at, minlength=cells)
+            if not buckets:
+                yield b.filter(pa.array(stays))
+        if buckets:
+            full = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], ["cell", "n"])
+
+    return offers.mapInArrow(run, "cell bigint, n bigint" if buckets else offers.schema)
+
+
+def _beside(offers: DataFrame, cuts: np.ndarray, side: str) -> DataFrame:
+    """The offers from each code's cut on, above it, or up to it (`side`: from, above, to)."""
     shared = offers.sparkSession.sparkContext.broadcast(cuts)  # three numbers a code
 
     def run(batches):
@@ -274,13 +446,13 @@ def _kept(offers: DataFrame, cuts: np.ndarray) -> DataFrame:
 
         for b in batches:
             code = b.column("code").to_numpy()
-            stays = np.zeros(len(code), bool)
+            above = np.zeros(len(code), bool)
             equal = np.ones(len(code), bool)
             for name, cut in zip(("bid", "h", "item_id"), shared.value, strict=True):
                 value = b.column(name).to_numpy()
-                stays |= equal & (value > cut[code])
+                above |= equal & (value > cut[code])
                 equal &= value == cut[code]
-            yield b.filter(pa.array(stays | equal))
+            yield b.filter(pa.array({"from": above | equal, "above": above, "to": ~above}[side]))
 
     return offers.mapInArrow(run, offers.schema)
 

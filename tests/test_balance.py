@@ -169,6 +169,56 @@ def test_auction_of_equal_items(spark):
     assert sum(sizes.values()) == 90 and all(29 <= sizes[c] <= 31 for c in range(3))
 
 
+def crowded(n, k):
+    """Items of which a third want one code, and the codes."""
+    rng = np.random.default_rng(n)
+    x = np.concatenate([rng.normal(0, 0.3, (n // 3, 2)), rng.normal(1, 1, (n - n // 3, 2))])
+    return x, rng.normal(0.5, 1, (k, 2))
+
+
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_end_of_an_auction_takes_few_jobs(spark, monkeypatch):
+    """Rounds on the driver give what rounds of Spark give; before, they went back to Spark after 64 bids a code."""
+    x, c = crowded(3000, 4)
+    vectors, found, jobs = points_frame(spark, x).cache(), [], []
+    for i, bids in enumerate((clusters.KNOWN_BIDS, 0)):
+        monkeypatch.setattr(clusters, "KNOWN_BIDS", bids)
+        (assigned, prices), count = jobs_of(spark, f"auction {i}", lambda: clusters.auction(vectors, c, 749, 751))
+        found.append((sorted(map(tuple, assigned.collect())), prices.tolist()))
+        jobs.append(count)
+    assert found[0] == found[1]
+    assert jobs[0] < 0.6 * jobs[1]
+
+
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_cuts_of_all_codes_at_once(spark, monkeypatch, small):
+    """Cuts, marks and counts against sorted lists: crowded, tied, and identical offers, codes that keep all."""
+    monkeypatch.setattr(clusters, "DRIVER_ROWS", small)
+    monkeypatch.setattr(clusters, "TAIL_DEPTH", 3)
+    monkeypatch.setattr(clusters, "KNOWN_BIDS", 0)
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(1 << 60)), 0, int(rng.integers(1 << 38))) for i in range(400)]
+    rows += [(1000 + i, int(rng.integers(1 << 60)), 1, 77) for i in range(300)]  # one bid
+    rows += [(2000 + i % 5, 9 + i % 5, 2, 5) for i in range(100)]  # few items, many times
+    rows += [(3000 + i, i, 3, 8 + i) for i in range(4)]  # all kept
+    offers = spark.createDataFrame(rows, "item_id bigint, h bigint, code int, bid bigint").repartition(3)
+    keys = [sorted((r[3], r[1], r[0]) for r in rows if r[2] == code) for code in range(4)]
+    sizes = np.array([150, 40, 70, 9])
+    cuts, marks, counts = clusters._cuts(offers, {c: (len(k), k[0][0], k[-1][0]) for c, k in enumerate(keys)}, sizes)
+    for code, (key, size) in enumerate(zip(keys, sizes, strict=True)):
+        over = max(len(key) - size, 0)
+        assert tuple(cuts[:, code]) == (key[over] if over else (-1, -1, -1))
+        assert tuple(marks[:, code]) == (key[over + 4] if over + 5 < len(key) else (clusters.FAR,) * 3)
+        assert counts[code] == (sum(k >= key[over] for k in key) if over else len(key))
+
+
 def test_balanced_kmeans_converges_within_bounds(spark, vectors, points):
     n, k = len(points), 7
     centroids, assigned, error = clusters.balanced_kmeans(vectors, k)
