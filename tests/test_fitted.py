@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from seqloom.catalog import codes as catalogue
-from seqloom.catalog.base import QUERIES
+from seqloom.catalog.base import ORACLES, QUERIES
 from seqloom.operators import collisions, quantize
 
 SF = "/root/testdata/sf0.001"
@@ -120,6 +120,22 @@ def test_text_embeddings_tell_length_words_and_likeness(spark):
         assert (r["dim"], r["words"], r["alike"]) == (64, words, True)
 
 
+def test_text_embeddings_match_their_sql(spark, tmp_path):
+    """All columns, the vector too, over the given texts and over empty, missing, equal and oddly spaced ones with ids that repeat or miss."""
+    import duckdb
+    from oracle import compare
+
+    odd = [(1, "a bc def ghij klmno pqrstu vwxyzab 12345678 123456789"), (1, "b a"), (2, ""), (3, "\t\n"), (4, " a  b "), (5, None), (5, None),
+           (None, "b a"), (None, None), (6, "x\x0by z\u00e9 \U0001f600 \u00a0 k\u0000l \u2003"), (7, "word " * 3000)]
+    spark.createDataFrame(odd, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder, n, files in ((SF, 200, "documents.parquet"), (str(tmp_path), len(odd), "documents.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/{files}'")
+        assert compare(spark, con, QUERIES["text_embeddings"], ORACLES["text_embeddings"], folder) == (n, "")
+    missing = [r for r in QUERIES["text_embeddings"](spark, str(tmp_path)).collect() if r["words"] is None]
+    assert [(r["embedding"], r["dim"], r["alike"]) for r in missing] == [(",".join("0" * 64), 64, True)] * 3
+
+
 def test_encoding_matches_numpy(spark, points):
     books = levels_of(catalogue.class_codebooks(spark, SF))
     left = np.array([points[i] for i in sorted(points)])
